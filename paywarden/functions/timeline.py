@@ -8,7 +8,12 @@ the clock and not by the row count, and joined back on the same partitioning.
 
 Sliding windows are differences of running sums: a row counts from just after
 its own time until ``width`` later, so it enters as ``+x`` at ``t`` and leaves
-as ``-x`` at ``t + width``. Measures are integers or decimals, hence exact.
+as ``-x`` at ``t + width``. Measures are integers or decimals, hence exact. (A RANGE frame would
+add up its whole window again for every row.)
+
+Every helper reads its input twice, once for the rows and once for the summaries. Callers should
+therefore hand in narrow columns and put results side by side with :func:`attach` rather than
+feed one helper's output into the next.
 """
 
 from __future__ import annotations
@@ -26,6 +31,13 @@ def slice_start(time: Column, width: int) -> Column:
     return time - F.pmod(time, F.lit(width))
 
 
+def attach(base: DataFrame, *parts: DataFrame, on: str = "txn_id") -> DataFrame:
+    """Put narrow per-row results beside ``base``; one shuffle of ``base`` on the row id serves all parts."""
+    for p in parts:
+        base = base.join(p, on, "left")
+    return base
+
+
 def _win(keys, *order):
     return Window.partitionBy(*keys, _SL).orderBy(*order)
 
@@ -34,21 +46,22 @@ def _slices(keys):
     return Window.partitionBy(*keys).orderBy(_SL)
 
 
-def neighbour(df: DataFrame, keys: list[str], time: str, tie: str, values: dict[str, str],
-              slice_us: int = SLICE, ahead: bool = False) -> DataFrame:
-    """Add, for each ``out: column`` in ``values``, that column of the previous row of the key
-    (the next row when ``ahead``), in (time, tie) order; null where there is none."""
+def neighbours(df: DataFrame, keys: list[str], time: str, tie: str, before: dict[str, str] | None = None,
+               after: dict[str, str] | None = None, slice_us: int = SLICE) -> DataFrame:
+    """Add columns of the key's previous row (``before``: out -> column) and next row (``after``),
+    in (time, tie) order; null where there is none. Both directions share one pass."""
+    before, after = before or {}, after or {}
     base = df.withColumn(_SL, slice_start(F.col(time), slice_us))
-    packed = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(values.values())])
-    shift = F.lead if ahead else F.lag
-    pick = F.min_by if ahead else F.max_by
-    edge = (
-        base.groupBy(*keys, _SL).agg(pick(packed, F.struct(time, tie)).alias("_edge"))
-        .select(*keys, _SL, shift("_edge").over(_slices(keys)).alias("_carried"))
-    )
-    local = base.withColumn("_local", shift(packed).over(_win(keys, time, tie)))
-    joined = local.join(edge, [*keys, _SL], "left").withColumn("_n", F.coalesce("_local", "_carried"))
-    return joined.select(*df.columns, *[F.col(f"_n.c{i}").alias(o) for i, o in enumerate(values)])
+    w, at = _win(keys, time, tie), F.struct(time, tie)
+    ways = [(n, m, sh, pick) for n, m, sh, pick in
+            (("b", before, F.lag, F.max_by), ("a", after, F.lead, F.min_by)) if m]
+    packed = {n: F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(m.values())]) for n, m, _, _ in ways}
+    edges = base.groupBy(*keys, _SL).agg(*[pick(packed[n], at).alias(f"_edge_{n}") for n, _, _, pick in ways])
+    edges = edges.select(*keys, _SL, *[sh(f"_edge_{n}").over(_slices(keys)).alias(f"_far_{n}") for n, _, sh, _ in ways])
+    local = base.select("*", *[sh(packed[n]).over(w).alias(f"_near_{n}") for n, _, sh, _ in ways])
+    joined = local.join(edges, [*keys, _SL], "left")
+    joined = joined.select(*df.columns, *[F.coalesce(f"_near_{n}", f"_far_{n}").alias(f"_got_{n}") for n, _, _, _ in ways])
+    return joined.select(*df.columns, *[F.col(f"_got_{n}.c{i}").alias(o) for n, m, _, _ in ways for i, o in enumerate(m)])
 
 
 def running(df: DataFrame, keys: list[str], time: str, sums: dict[str, Column], slice_col: Column,
@@ -115,71 +128,71 @@ def trailing(df: DataFrame, keys: list[str], time: str,
 
 def presence(df: DataFrame, keys: list[str], member: str, time: str, tie: str, width: int, name: str,
              slice_us: int = SLICE) -> DataFrame:
-    """Flags ``{name}_in`` / ``{name}_out`` that make :func:`trailing` count distinct members.
+    """Flags ``{name}_in`` / ``{name}_out`` that make :func:`trailing` count distinct members, and
+    ``{name}_fresh``: not seen for ``width``.
 
     A member stays present for ``width`` after each of its rows. Only the row that opens a spell
     and the row that ends it count, so the sliding distinct count is a sum of +1 and -1.
     """
     known = df.filter(F.col(member).isNotNull())
     blank = df.filter(F.col(member).isNull())
-    a = neighbour(known, [*keys, member], time, tie, {"_p": time}, slice_us)
-    b = neighbour(a, [*keys, member], time, tie, {"_n": time}, slice_us, ahead=True)
+    b = neighbours(known, [*keys, member], time, tie, {"_p": time}, {"_n": time}, slice_us)
     t = F.col(time)
     flags = [
         F.when(F.col("_p").isNull() | (t - F.col("_p") > width), 1).otherwise(0).cast("long").alias(f"{name}_in"),
         F.when(F.col("_n").isNull() | (F.col("_n") - t > width), 1).otherwise(0).cast("long").alias(f"{name}_out"),
+        F.when(F.col("_p").isNull() | (t - F.col("_p") >= width), 1).otherwise(0).alias(f"{name}_fresh"),
     ]
-    zero = [F.lit(0).cast("long").alias(f"{name}_in"), F.lit(0).cast("long").alias(f"{name}_out")]
+    zero = [F.lit(0).alias(f"{name}_fresh"), F.lit(0).cast("long").alias(f"{name}_in"), F.lit(0).cast("long").alias(f"{name}_out")]
     return b.select(*df.columns, *flags).unionByName(blank.select(*df.columns, *zero))
 
 
-def session_counters(df: DataFrame, keys: list[str], time: str, tie: str, amount: str,
-                     gaps: dict[str, int], slice_us: int = SLICE) -> DataFrame:
+def session_counters(df: DataFrame, keys: list[str], time: str, tie: str, amount: str, gaps: dict[str, int],
+                     moves: Column | None = None, slice_us: int = SLICE) -> DataFrame:
     """Count and sum of the key's earlier rows since its last pause of at least the gap.
 
     This is what an expiring counter shows before the row is added: every write renews the
-    expiry, so the counter resets only after a silence. Adds ``count_{g}`` and ``sum_{g}``.
+    expiry, so the counter resets only after a silence. Rows where ``moves`` is false read the
+    counter without writing. Adds ``count_{g}`` and ``sum_{g}``.
     """
-    base = df.withColumn(_SL, slice_start(F.col(time), slice_us))
+    moved = F.lit(True) if moves is None else F.coalesce(moves, F.lit(False))
+    base = df.select("*", slice_start(F.col(time), slice_us).alias(_SL), F.when(moved, F.col(time)).alias("_t"),
+                     F.when(moved, 1).otherwise(0).cast("long").alias("_w"),
+                     F.when(moved, F.col(amount)).otherwise(F.lit(0)).alias("_x"))
     w = _win(keys, time, tie)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     local = base.select(
-        "*", F.lag(time).over(w).alias("_prev"), (F.row_number().over(w) - 1).cast("long").alias("_c"),
-        F.coalesce(F.sum(amount).over(before), F.lit(0)).alias("_v"),
-    )
-    breaks = [
-        F.when(F.col(time) - F.col("_prev") >= g, F.struct("_c", "_v")).alias(f"_b_{n}") for n, g in gaps.items()
-    ]
-    local = local.select("*", *breaks)
-    local = local.select("*", *[F.max(f"_b_{n}").over(upto).alias(f"_last_{n}") for n in gaps])
+        "*", F.max("_t").over(earlier).alias("_prev"), F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_c"),
+        F.coalesce(F.sum("_x").over(earlier), F.lit(0)).alias("_v"))
+    local = local.select("*", *[F.when(F.col("_t") - F.col("_prev") >= g, F.struct("_c", "_v")).alias(f"_b_{n}") for n, g in gaps.items()])
 
     summary = local.groupBy(*keys, _SL).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_s"), F.min(time).alias("_first"),
-        F.max(time).alias("_final"), *[F.max(f"_b_{n}").alias(f"_b_{n}") for n in gaps],
-    )
-    sw = _slices(keys)
-    prior = sw.rowsBetween(Window.unboundedPreceding, -1)
+        F.sum("_w").alias("_n"), F.sum("_x").alias("_s"), F.min("_t").alias("_first"), F.max("_t").alias("_final"),
+        *[F.max(f"_b_{n}").alias(f"_b_{n}") for n in gaps])
+    prior = _slices(keys).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(
         "*", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_oc"),
-        F.coalesce(F.sum("_s").over(prior), F.lit(0)).alias("_ov"), F.lag("_final").over(sw).alias("_pf"),
-    )
+        F.coalesce(F.sum("_s").over(prior), F.lit(0)).alias("_ov"), F.max("_final").over(prior).alias("_pf"))
     start = F.struct(F.col("_oc").alias("c"), F.col("_ov").alias("v"))
-    heads = {n: F.col("_pf").isNull() | (F.col("_first") - F.col("_pf") >= g) for n, g in gaps.items()}
+    heads = {n: F.col("_first").isNotNull() & (F.col("_pf").isNull() | (F.col("_first") - F.col("_pf") >= g)) for n, g in gaps.items()}
     summary = summary.select("*", *[
         F.when(F.col(f"_b_{n}").isNotNull(),
                F.struct((F.col("_oc") + F.col(f"_b_{n}._c")).alias("c"), (F.col("_ov") + F.col(f"_b_{n}._v")).alias("v")))
-        .when(heads[n], start).alias(f"_pos_{n}") for n in gaps
-    ])
+        .when(heads[n], start).alias(f"_pos_{n}") for n in gaps])
+    summary = summary.select("*", *[F.max(f"_pos_{n}").over(prior).alias(f"_carry_{n}") for n in gaps])
     summary = summary.select(
-        *keys, _SL, "_oc", "_ov",
-        *[F.when(heads[n], start).otherwise(F.max(f"_pos_{n}").over(prior)).alias(f"_enter_{n}") for n in gaps],
-    )
+        *keys, _SL, "_oc", "_ov", "_pf", *[f"_carry_{n}" for n in gaps],
+        *[F.when(heads[n], start).otherwise(F.col(f"_carry_{n}")).alias(f"_enter_{n}") for n in gaps])
+    local = local.select(*df.columns, _SL, "_prev", "_c", "_v", *[F.max(f"_b_{n}").over(upto).alias(f"_last_{n}") for n in gaps])
     out = local.join(summary, [*keys, _SL], "left")
+    idle = F.col(time) - F.coalesce("_prev", "_pf")
     cols = []
-    for n in gaps:
-        open_c = F.coalesce(F.col("_oc") + F.col(f"_last_{n}._c"), F.col(f"_enter_{n}.c"))
-        open_v = F.coalesce(F.col("_ov") + F.col(f"_last_{n}._v"), F.col(f"_enter_{n}.v"))
-        cols.append((F.col("_oc") + F.col("_c") - open_c).alias(f"count_{n}"))
-        cols.append((F.col("_ov") + F.col("_v") - open_v).alias(f"sum_{n}"))
+    for n, g in gaps.items():
+        for part, own, off, field in (("count", "_c", "_oc", "c"), ("sum", "_v", "_ov", "v")):
+            begin = F.coalesce(
+                F.col(off) + F.col(f"_last_{n}.{own}"),
+                F.when(F.col("_c") == 0, F.col(f"_carry_{n}.{field}")).otherwise(F.col(f"_enter_{n}.{field}")))
+            live = F.col(off) + F.col(own) - begin
+            cols.append(F.coalesce(F.when(idle < g, live), F.lit(0)).alias(f"{part}_{n}"))
     return out.select(*df.columns, *cols)

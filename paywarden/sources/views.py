@@ -17,6 +17,7 @@ from ..functions.session import prepare
 # --- fixed values: cycles used to give events a country and a currency ---------
 COUNTRY_CYCLE = ["KE", "UG", "TZ", "NG", "GH", "ZA", "IR", "KP", "SY", "US", "GB", "VE"]
 CURRENCY_CYCLE = ["KES", "NGN", "UGX", "USD", "IRR", "EUR"]
+AS_OF = 996_624_000_000_000  # 2001-08-01 UTC, the end of the orders
 T0 = 1_704_067_200_000_000  # 2024-01-01 UTC
 
 
@@ -205,3 +206,63 @@ class Views:
         """Embeddings with a binary target."""
         e = self.table("embeddings")
         return e.select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y"))
+
+    # ---- inputs of the vectors ----------------------------------------------------
+    @cached_property
+    def auth_failures(self) -> DataFrame:
+        return self.dense.filter("type = 'ERROR'").select("user_id", "us")
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        """Account creation: the customer's first order, moved 10,400 days ahead; KYC by customer key."""
+        first = self.table("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("d"))
+        return first.select(
+            F.col("o_custkey").alias("user_id"), (micros(F.col("d")) + 10400 * DAY).alias("created_us"),
+            (F.pmod("o_custkey", F.lit(10)) / 10.0).alias("kyc_completeness_score"))
+
+    @cached_property
+    def merchant_accounts(self) -> DataFrame:
+        """Merchants of the transactions with creation time and category code."""
+        m = F.col("merchant_id")
+        return self.txn.groupBy("merchant_id").agg(F.min("us").alias("f")).select(
+            m, (F.col("f") - F.pmod(m * 13, F.lit(200)) * DAY).alias("created_us"),
+            F.concat(F.lit("mcc-"), F.pmod(m, F.lit(8)).cast("string")).alias("mcc"))
+
+    @cached_property
+    def mcc_table(self) -> DataFrame:
+        """Category risk, one row per category in use; two categories are left unknown."""
+        m = self.merchant_accounts.select("mcc").distinct().filter("mcc not in ('mcc-3', 'mcc-7')")
+        return m.select("mcc", (F.substring("mcc", 5, 2).cast("double") / 8.0).alias("mcc_risk_score"))
+
+    @cached_property
+    def ip_geo(self) -> DataFrame:
+        """Country of each ip in use, every fifth unknown."""
+        ips = self.txn.select("ip", "k").distinct().filter("k % 5 <> 4")
+        return ips.select("ip", _cycle(COUNTRY_CYCLE, F.pmod(F.col("k") * 5, F.lit(12))).alias("ip_country"))
+
+    @cached_property
+    def confirmed_frauds(self) -> DataFrame:
+        """Arrival of confirmed-fraud labels on the fast clock."""
+        return self.dense.filter("txn_id % 12 = 0").select(
+            "user_id", (F.col("us") + F.pmod("txn_id", F.lit(96)) * (HOUR // 24)).alias("us"))
+
+    @cached_property
+    def fraud_labels(self) -> DataFrame:
+        return self.predictions("fraud").select(F.col("prediction_id").alias("txn_id"), "label")
+
+    @cached_property
+    def customer_risk(self) -> DataFrame:
+        """Mean AML score per user in whole thousandths, with its level."""
+        p = self.predictions("aml").withColumn("m", F.round(F.col("score") * 1000).cast("long"))
+        r = p.groupBy("user_id").agg(F.sum("m").alias("s"), F.count(F.lit(1)).alias("n")).select(
+            "user_id", F.floor(F.col("s") / F.col("n")).alias("risk_milli"))
+        m = F.col("risk_milli")
+        return r.withColumn("level", F.when(m >= 560, "CRITICAL").when(m >= 520, "HIGH").when(m >= 480, "MEDIUM").otherwise("LOW"))
+
+    @cached_property
+    def user_graph(self) -> DataFrame:
+        """Stand-in network measures per user, by arithmetic on the key."""
+        u = F.col("user_id")
+        return self.txn.select("user_id").distinct().select(
+            u, (F.pmod(u, F.lit(10)) / 10.0).alias("network_risk_score"), (F.pmod(u, F.lit(17)) == 0).cast("int").alias("circular_transfer_flag"),
+            F.pmod(u, F.lit(9)).alias("shared_device_cluster_size"))
