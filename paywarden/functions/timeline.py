@@ -47,11 +47,11 @@ def _slices(keys):
 
 
 def neighbours(df: DataFrame, keys: list[str], time: str, tie: str, before: dict[str, str] | None = None,
-               after: dict[str, str] | None = None, slice_us: int = SLICE) -> DataFrame:
+               after: dict[str, str] | None = None, slice_us: int = SLICE, slice_col: Column | None = None) -> DataFrame:
     """Add columns of the key's previous row (``before``: out -> column) and next row (``after``),
     in (time, tie) order; null where there is none. Both directions share one pass."""
     before, after = before or {}, after or {}
-    base = df.withColumn(_SL, slice_start(F.col(time), slice_us))
+    base = df.withColumn(_SL, slice_start(F.col(time), slice_us) if slice_col is None else slice_col)
     w, at = _win(keys, time, tie), F.struct(time, tie)
     ways = [(n, m, sh, pick) for n, m, sh, pick in
             (("b", before, F.lag, F.max_by), ("a", after, F.lead, F.min_by)) if m]

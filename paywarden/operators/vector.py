@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import timeline as tl
+from ..functions.bins import histogram_bin
 from ..functions.joins import latest_n, lookup
 from . import profiles, velocity
 
@@ -167,8 +168,8 @@ def population_priors(snapshots: DataFrame, domain: str, newest: int = 10_000) -
         "*", F.when(flat, F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(flat, F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"),
         F.least(F.lit(50), F.floor(F.col("n") / 2) + 1).cast("long").alias("bins"))
-    b = F.floor((F.col("value") - F.col("lo")) * F.col("bins") / (F.col("hi") - F.col("lo"))).cast("long")
-    binned = long.join(F.broadcast(stats), "feature").select("feature", F.least(b, F.col("bins") - 1).alias("bin"))
+    b = histogram_bin(F.col("value"), F.col("lo"), F.col("hi"), F.col("bins"))
+    binned = long.join(F.broadcast(stats), "feature").select("feature", b.alias("bin"))  # one row per registry feature
     fullest = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("c")).groupBy("feature").agg(
         F.min_by("bin", F.struct((-F.col("c")).alias("c"), F.col("bin"))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / F.col("bins")

@@ -7,7 +7,7 @@ from ..functions.session import cut
 from ..operators import profiles, vector, velocity
 from ..sources.views import AS_OF, T0
 from .registry import query
-from .sqlviews import CCY_SQL, HIGH_RISK_SQL, TOD_SQL, over, session_counts, using
+from .sqlviews import CCY_SQL, HIGH_RISK_SQL, TOD_SQL, bin_sql, over, using
 
 
 @query("user_avg_7d", using("txn", f"""
@@ -228,7 +228,7 @@ def _priors_sql(source: str, features: list[str]) -> str:
     return using(source, """
   SELECT feature, round(median, 4) AS median, round(mean, 4) AS mean, round(lo + (bin + 0.5) * (hi - lo) / bins, 4) AS mode, round(std, 4) AS std, n
   FROM stats JOIN (SELECT feature, arg_min(bin, (-c) * 1000 + bin) AS bin FROM
-        (SELECT feature, least(floor((value - lo) * bins / (hi - lo))::BIGINT, bins - 1) AS bin, count(*) AS c FROM long JOIN stats USING (feature) GROUP BY ALL)
+        (SELECT feature, """ + bin_sql('value', 'lo', 'hi', 'bins') + """ AS bin, count(*) AS c FROM long JOIN stats USING (feature) GROUP BY ALL)
         GROUP BY feature) USING (feature)""",
         recent=f"SELECT * FROM {source} ORDER BY us DESC, txn_id DESC LIMIT 10000", long=rows,
         stats="""SELECT feature, quantile_cont(value, 0.5) AS median, avg(value) AS mean, stddev_pop(value) AS std, count(value) AS n,

@@ -252,3 +252,10 @@ VIEWS["mv"] = (["msess", "mspike", "mratio", "magg", "merchant_accounts", "mcc_t
       LEFT JOIN mspike s ON s.merchant_id = t.merchant_id AND s.hour_us = t.us - t.us % 3600000000
       LEFT JOIN mratio r ON r.merchant_id = t.merchant_id LEFT JOIN magg g ON g.merchant_id = t.merchant_id
       LEFT JOIN merchant_accounts a ON a.merchant_id = t.merchant_id LEFT JOIN mcc_table c ON c.mcc = a.mcc""")
+
+
+def bin_sql(v: str, lo: str, hi: str, bins: str) -> str:
+    """Index of the equal-width bin with edges lo + i * step, as an expression over a value already inside [lo, hi]."""
+    step = f"(({hi} - {lo}) / ({bins})::DOUBLE)"
+    i = f"least(floor(({v} - {lo}) * {bins} / ({hi} - {lo})), {bins} - 1)"
+    return f"(CASE WHEN {v} < {lo} + {i} * {step} THEN {i} - 1 WHEN {i} < {bins} - 1 AND {v} >= {lo} + ({i} + 1) * {step} THEN {i} + 1 ELSE {i} END)::BIGINT"
