@@ -62,14 +62,13 @@ def feature_wasserstein(baseline: DataFrame, current: DataFrame, features: list[
     quantiles, so no single task sees a whole feature.
     """
     t = _tagged(baseline, current, features)
+    t = t.select(*[F.col(f).cast("double").alias(f) for f in features], "_b", "_c")
     cuts = value_slices(t, features)
-    parts = []
-    for f in features:
-        one = t.select(F.col(f).cast("double").alias("value"), "_b", "_c").filter(F.col("value").isNotNull())
-        parts.append(sliced_by_value(one, "value", cuts[f]).withColumn("feature", F.lit(f)))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    entries = []
+    for i, f in enumerate(features):
+        t = sliced_by_value(t, f, cuts[f], f"_r{i}")
+        entries.append(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(f"_r{i}").alias("_vslice")))
+    long = t.select("_b", "_c", F.explode(F.array(*entries)).alias("e")).select("_b", "_c", "e.*").filter(F.col("value").isNotNull())
     values = long.groupBy("feature", "_vslice", "value").agg(F.sum("_b").alias("b"), F.sum("_c").alias("c"))
     run = tl.running(values, ["feature"], "value", {"fb": F.col("b"), "fc": F.col("c")}, F.col("_vslice"), tie="_vslice", inclusive=True)
     nxt = tl.neighbours(values.select("feature", "_vslice", "value"), ["feature"], "value", "_vslice", after={"next": "value"}, slice_col=F.col("_vslice"))
