@@ -21,14 +21,12 @@ def lookup(facts: DataFrame, dim: DataFrame, on: dict[str, str], spread_by: list
     adaptive planner, which knows its real size.
     """
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    renamed = copies
-    for i, k in enumerate(on.values()):
-        renamed = renamed.withColumnRenamed(k, f"_key{i}")
-    cond = reduce(lambda a, b: a & b, [salted[f] == renamed[f"_key{i}"] for i, f in enumerate(on)])
-    cond = cond & (salted["_salt"] == renamed["_salt"])
     kept = [c for c in dim.columns if c not in on.values()]
-    return salted.join(renamed, cond, "left").select(*[salted[c] for c in facts.columns], *[renamed[c] for c in kept])
+    copies = dim.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(on.values())], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(kept)],
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
+    cond = reduce(lambda a, b: a & b, [F.col(f) == F.col(f"_k{i}") for i, f in enumerate(on)], F.col("_salt") == F.col("_s"))
+    return salted.join(copies, cond, "left").select(*facts.columns, *[F.col(f"_v{i}").alias(c) for i, c in enumerate(kept)])
 
 
 def newest(df: DataFrame, keys: list[str], by: list[Column | str]) -> DataFrame:
