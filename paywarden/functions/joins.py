@@ -36,21 +36,25 @@ def newest(df: DataFrame, keys: list[str], by: list[Column | str]) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def latest_n(df: DataFrame, n: int, time: str, ties: list[Column], slice_us: int = HOUR) -> DataFrame:
-    """The ``n`` rows with the highest ``time`` (ties by ``ties``) without sorting the whole table.
+def top_n(df: DataFrame, n: int, order: Column, ties: list[Column], slice_of: Column) -> DataFrame:
+    """The ``n`` rows with the highest ``order`` (then ``ties``) without sorting the whole table.
 
-    Row counts per time slice give the slice in which the n-th row falls; only rows from that
-    slice on reach the final ordering.
+    ``slice_of`` is a coarse non-decreasing function of ``order``. Row counts per slice give the
+    slice in which the n-th row falls; only rows from that slice on reach the final ordering.
     """
-    sl = slice_start(F.col(time), slice_us)
-    counts = df.groupBy(sl.alias("_sl")).agg(F.count(F.lit(1)).alias("_n"))
-    newer = Window.orderBy(F.col("_sl").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(slice_of.alias("_sl")).agg(F.count(F.lit(1)).alias("_n"))
+    higher = Window.orderBy(F.col("_sl").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cutoff = (
-        counts.select("_sl", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
+        counts.select("_sl", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_before"))
         .filter(F.col("_before") < n).select("_sl")
     )
-    reach = df.withColumn("_sl", sl).join(cutoff, "_sl", "left_semi").drop("_sl")
-    return reach.orderBy(F.col(time).desc(), *ties).limit(n)
+    reach = df.withColumn("_sl", slice_of).join(cutoff, "_sl", "left_semi").drop("_sl")
+    return reach.orderBy(order.desc(), *ties).limit(n)
+
+
+def latest_n(df: DataFrame, n: int, time: str, ties: list[Column], slice_us: int = HOUR) -> DataFrame:
+    """The ``n`` newest rows by ``time``."""
+    return top_n(df, n, F.col(time), ties, slice_start(F.col(time), slice_us))
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: Column | int, name: str = "rank") -> DataFrame:
