@@ -129,7 +129,7 @@ def trailing(df: DataFrame, keys: list[str], time: str,
 def presence(df: DataFrame, keys: list[str], member: str, time: str, tie: str, width: int, name: str,
              slice_us: int = SLICE) -> DataFrame:
     """Flags ``{name}_in`` / ``{name}_out`` that make :func:`trailing` count distinct members, and
-    ``{name}_fresh``: not seen for ``width``.
+    ``{name}_fresh``: not seen for ``width``; ``{name}_known``: the row has a member.
 
     A member stays present for ``width`` after each of its rows. Only the row that opens a spell
     and the row that ends it count, so the sliding distinct count is a sum of +1 and -1.
@@ -142,8 +142,9 @@ def presence(df: DataFrame, keys: list[str], member: str, time: str, tie: str, w
         F.when(F.col("_p").isNull() | (t - F.col("_p") > width), 1).otherwise(0).cast("long").alias(f"{name}_in"),
         F.when(F.col("_n").isNull() | (F.col("_n") - t > width), 1).otherwise(0).cast("long").alias(f"{name}_out"),
         F.when(F.col("_p").isNull() | (t - F.col("_p") >= width), 1).otherwise(0).alias(f"{name}_fresh"),
+        F.lit(1).alias(f"{name}_known"),
     ]
-    zero = [F.lit(0).alias(f"{name}_fresh"), F.lit(0).cast("long").alias(f"{name}_in"), F.lit(0).cast("long").alias(f"{name}_out")]
+    zero = [F.lit(0).alias(f"{name}_fresh"), F.lit(0).alias(f"{name}_known"), F.lit(0).cast("long").alias(f"{name}_in"), F.lit(0).cast("long").alias(f"{name}_out")]
     return b.select(*df.columns, *flags).unionByName(blank.select(*df.columns, *zero))
 
 

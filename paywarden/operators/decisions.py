@@ -144,13 +144,11 @@ def fail_closed(domain: str, score: Column, verdict: Column) -> tuple[Column, Co
 
 
 def _finish(v: DataFrame, domain: str, score: Column, confidence: Column, verdict_of) -> DataFrame:
-    s = v.withColumn("_score", score).withColumn("_conf", confidence)
+    s = v.withColumns({"_score": score, "_conf": confidence})
     final, verdict = fail_closed(domain, F.col("_score"), verdict_of(F.col("_score"), F.col("_conf")))
-    out = s.withColumn("_v", verdict).withColumn("score", final)
-    out = out.withColumn("decision", F.col("_v.decision")).withColumn("level", F.col("_v.level")).withColumn("overrides", F.col("_v.overrides"))
-    if domain == "merchant":
-        out = out.withColumn("tier", F.col("_v.tier"))
-    return out.withColumn("confidence", F.col("_conf")).drop("_score", "_conf", "_v")
+    parts = ["decision", "level", "overrides"] + (["tier"] if domain == "merchant" else [])
+    s = s.withColumns({"_v": verdict, "score": final})
+    return s.select(*v.columns, "score", *[F.col(f"_v.{p}").alias(p) for p in parts], F.col("_conf").alias("confidence"))
 
 
 def _scored(v: DataFrame, domain: str, cold: Column, maturity: Column, anomaly, ensemble) -> tuple[Column, Column]:

@@ -65,9 +65,9 @@ def fraud_vector(txn: DataFrame, auth: DataFrame, accounts: DataFrame, confirmed
     v = tl.attach(txn, past, velocity.geo_distance(txn))
     v = profiles.device_lookup(v, devices)
     v = lookup(v, accounts.select("user_id", "created_us"), {"user_id": "user_id"}, ["txn_id"])
-    v = v.withColumn("account_age_days", profiles.age_days(F.col("created_us"), F.col("us"), 365.0))
-    v = v.withColumn("time_of_day", profiles.time_of_day(F.col("us")))
-    v = v.withColumn("currency_risk", profiles.currency_risk(F.col("currency")))
+    v = v.withColumns({
+        "account_age_days": profiles.age_days(F.col("created_us"), F.col("us"), 365.0),
+        "time_of_day": profiles.time_of_day(F.col("us")), "currency_risk": profiles.currency_risk(F.col("currency"))})
     return registry_select(v, "fraud", ["txn_id", "user_id", "us", *(keep or [])])
 
 
@@ -80,22 +80,19 @@ def aml_vector(txn: DataFrame, accounts: DataFrame, ip_geo: DataFrame, user_grap
     sender_wallet and receiver_wallet.
     """
     wide = velocity._specs(["n_1h", "n_24h", "cents_24h", "n_30d", "cents_30d", "squares_30d"])
-    past = velocity.distinct_30d(txn, "device", "device_count_30d", wide).select(
+    past = velocity.distinct_30d(txn, wide).select(
         "txn_id", F.col("n_1h").alias("velocity_1h"), F.col("n_24h").alias("velocity_24h"),
-        (F.col("cents_24h") / 100.0).alias("total_volume_24h"), *velocity.amounts_30d(),
-        "device_count_30d", F.col("device_count_30d_new").alias("new_device_flag"))
-    ips = velocity.distinct_30d(txn, "ip", "ip_count_30d").select("txn_id", "ip_count_30d")
+        (F.col("cents_24h") / 100.0).alias("total_volume_24h"), *velocity.amounts_30d(), "device_count_30d", "ip_count_30d", "new_device_flag")
     shape = velocity.structuring(txn).select(
         "txn_id", "structuring_score_24h", "rapid_drain_flag", "historical_structuring_flag")
-    v = tl.attach(txn, past, ips, shape)
+    v = tl.attach(txn, past, shape)
     v = profiles.ip_country_mismatch(v, ip_geo)
     v = lookup(v, accounts.select("user_id", "created_us", "kyc_completeness_score"), {"user_id": "user_id"}, ["txn_id"])
     v = lookup(v, user_graph, {"user_id": "user_id"}, ["txn_id"])
     c = F.col("country")
-    v = v.withColumn("account_age_days", profiles.age_days(F.col("created_us"), F.col("us"), 365.0))
-    v = v.withColumn("time_of_day", profiles.time_of_day(F.col("us")))
-    v = v.withColumn("high_risk_country_flag", profiles.high_risk_country(c))
-    v = v.withColumn("sanctions_proximity_score", profiles.sanctions_proximity(c))
+    v = v.withColumns({
+        "account_age_days": profiles.age_days(F.col("created_us"), F.col("us"), 365.0), "time_of_day": profiles.time_of_day(F.col("us")),
+        "high_risk_country_flag": profiles.high_risk_country(c), "sanctions_proximity_score": profiles.sanctions_proximity(c)})
     if {"sender_wallet", "receiver_wallet"} <= set(txn.columns):
         v = v.withColumn("is_cross_border", profiles.cross_border(F.col("sender_wallet"), F.col("receiver_wallet"), c))
     return registry_select(v, "aml", ["txn_id", "user_id", "us", *(keep or [])])

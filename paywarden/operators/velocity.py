@@ -89,17 +89,26 @@ def failed_logins_24h(txn: DataFrame, auth: DataFrame) -> DataFrame:
     return t.filter("_fact = 0").drop("_fact")
 
 
-def distinct_30d(txn: DataFrame, member: str, name: str, specs: dict | None = None) -> DataFrame:
-    """Distinct members of the user's last 30 days per transaction, with ``specs`` in the same pass.
+def distinct_30d(txn: DataFrame, specs: dict | None = None) -> DataFrame:
+    """Distinct devices and ips of the user's last 30 days per transaction, with ``specs`` in the same pass.
 
-    Also says (``{name}_new``) whether this member is new or unused for 30 days.
+    Each transaction enters the timeline once with its device and once with its ip, so both counts
+    share one plan. Also says (``new_device_flag``) whether the device is new or unused for 30 days.
     """
-    narrow = txn.select("txn_id", "user_id", "us", "cents", "country", member)
-    flagged = tl.presence(narrow, ["user_id"], member, "us", "txn_id", 30 * DAY, "_d")
-    wanted = dict(specs or {})
-    wanted[name] = (30 * DAY, F.col("_d_in"), F.col("_d_out"))
-    t = tl.trailing(flagged.drop(member), ["user_id"], "us", wanted)
-    return t.select("txn_id", *wanted, F.col("_d_fresh").alias(f"{name}_new"))
+    used = F.array(F.struct(F.lit("d").alias("kind"), F.col("device").alias("member")), F.struct(F.lit("i").alias("kind"), F.col("ip").alias("member")))
+    two = txn.select("txn_id", "user_id", "us", "cents", "country", F.explode(used).alias("m")).select("txn_id", "user_id", "us", "cents", "country", "m.kind", "m.member")
+    flagged = tl.presence(two, ["user_id", "kind"], "member", "us", "txn_id", 30 * DAY, "_d")
+    device = F.col("kind") == "d"
+    zero = _zero()
+
+    def only(cond: Column, c: Column) -> Column:
+        return F.when(cond, c).otherwise(zero)
+
+    wanted = {n: (w, only(device, a), only(device, b)) for n, (w, a, b) in (specs or {}).items()}
+    wanted["device_count_30d"] = (30 * DAY, only(device, F.col("_d_in")), only(device, F.col("_d_out")))
+    wanted["ip_count_30d"] = (30 * DAY, only(~device, F.col("_d_in")), only(~device, F.col("_d_out")))
+    t = tl.trailing(flagged.drop("member"), ["user_id"], "us", wanted)
+    return t.filter(device).select("txn_id", *wanted, F.when(F.col("_d_known") == 1, F.col("_d_fresh")).otherwise(0).alias("new_device_flag"))
 
 
 def amounts_30d() -> list[Column]:
@@ -109,9 +118,7 @@ def amounts_30d() -> list[Column]:
 
 def aml_user_30d(txn: DataFrame) -> DataFrame:
     """Mean, sample deviation, count, volume, distinct devices and ips of the user's last 30 days."""
-    d = distinct_30d(txn, "device", "device_count_30d", _specs(["n_30d", "cents_30d", "squares_30d"]))
-    i = distinct_30d(txn, "ip", "ip_count_30d")
-    t = tl.attach(txn, d.drop("device_count_30d_new"), i.drop("ip_count_30d_new"))
+    t = tl.attach(txn, distinct_30d(txn, _specs(["n_30d", "cents_30d", "squares_30d"])))
     return t.select(
         *txn.columns, *amounts_30d(), F.col("n_30d").alias("transaction_count_30d"),
         (F.col("cents_30d") / 100.0).alias("total_volume_30d"), "device_count_30d", "ip_count_30d")
