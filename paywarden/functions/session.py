@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    _reach_workers(spark)
     return spark
 
 
+def _reach_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package; on a cluster ship it with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, env.get("PYTHONPATH", "")) if p)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """Folder for checkpoints: the cluster's own setting when there is one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
