@@ -223,6 +223,11 @@ def latency_histogram(measured: DataFrame, key: str, bounds: tuple[int, ...] = (
     return measured.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("latency_ms") <= b).alias(f"le_{b}") for b in bounds])
 
 
+def count_by(rows: DataFrame, column: str) -> DataFrame:
+    """Rows per value: tiers, or kinds of watchlist match."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
 def merchant_tier_changes(predictions: DataFrame) -> DataFrame:
     """Rows whose tier differs from the merchant's previous one; has merchant_id, tier, us, prediction_id."""
     p = neighbours(predictions.select("merchant_id", "tier", "us", "prediction_id"), ["merchant_id"], "us", "prediction_id",

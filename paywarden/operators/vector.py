@@ -198,3 +198,9 @@ def feature_coverage(df: DataFrame, domain: str) -> DataFrame:
     for f, d in zip(K.REGISTRY[domain], K.PRIOR_DEFAULTS[domain]):
         total = total + F.when(F.abs(F.col(f) - F.lit(float(d))) > 1e-6, 1).otherwise(0)
     return df.withColumn("covered", total).withColumn("coverage", total / F.lit(float(len(K.REGISTRY[domain]))))
+
+
+def mean_coverage(df: DataFrame, domain: str) -> DataFrame:
+    """Mean coverage over all rows of a domain (not just of the last row)."""
+    c = feature_coverage(df, domain).agg(F.sum("covered").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return c.select(F.lit(domain).alias("domain"), (F.col("_s") / F.col("_n") / float(len(K.REGISTRY[domain]))).alias("coverage"))
