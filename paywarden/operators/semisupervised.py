@@ -67,7 +67,7 @@ def self_training(labelled: DataFrame, unlabelled: DataFrame, domain: str, round
         flips = 0.0 if previous is None else (pseudo.flip_rate(previous, chosen).first()["flip_rate"] or 0.0)
         safe = count <= 3.0 * n and flips <= 0.10
         if count == 0 or not safe:
-            history.append(("SELF_TRAINING", r, best, count, flips, int(safe)))
+            history.append(("SELF_TRAINING", r, round(best, 4), count, flips, int(safe)))
             break
         model = _fit(domain, _with_pseudo(train, chosen, pool), trees, depth)
         auc = _auc(model, holdout)

@@ -106,14 +106,15 @@ def near_rows(df: DataFrame, id_col: str, width: int, k: int, projections: int =
     n = df.count()
     parts = max(1, min(4096, n // rows_per_range))
     dirs = _directions(width, projections, seed)
-    dots = [F.aggregate(F.zip_with("x", F.array(*[F.lit(c) for c in d]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias(f"_d{i}") for i, d in enumerate(dirs)]
-    pos = df.select(F.col(id_col).alias("id"), *dots)
+    dots = [F.aggregate(F.zip_with("x", F.array(*[F.lit(c) for c in d]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for d in dirs]
+    # copies of one point get slightly different places, so that ranges can cut between them
+    pos = df.select(F.col(id_col).alias("id"), *[(p + (_unit(F.col(id_col), F.lit(i)) - 0.5) * 1e-6 * (F.abs(p) + 1.0)).alias(f"_d{i}") for i, p in enumerate(dots)])
     cuts = value_slices(pos, [f"_d{i}" for i in range(projections)], parts) if parts > 1 else {}
-    lined = []
+    entries = []
     for i in range(projections):
-        s = sliced_by_value(pos.select("id", F.col(f"_d{i}").alias("v")), "v", cuts.get(f"_d{i}", []), "_r")
-        lined.append(s.withColumn("_i", F.lit(i)))
-    line = reduce(DataFrame.unionByName, lined)
+        pos = sliced_by_value(pos, f"_d{i}", cuts.get(f"_d{i}", []), f"_r{i}")
+        entries.append(F.struct(F.lit(i).alias("_i"), F.col(f"_r{i}").alias("_r"), F.col(f"_d{i}").alias("v")))
+    line = pos.select("id", F.explode(F.array(*entries)).alias("e")).select("id", "e.*")
     from pyspark.sql import Window
 
     w = Window.partitionBy("_i", "_r").orderBy("v", "id")

@@ -12,17 +12,20 @@ def month_of(us: Column) -> Column:
     return F.date_format(F.timestamp_micros(us), "yyyy-MM")
 
 
+def _by_month(df: DataFrame) -> DataFrame:
+    """Rows of a (domain, month) together; the adaptive planner splits a large partition into files
+    of its advisory size and merges small ones."""
+    return df.withColumn("month", month_of(F.col("created_us"))).hint("rebalance", "domain", "month")
+
+
 def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to a table partitioned by domain and month; rows are clustered so files stay few."""
-    m = df.withColumn("month", month_of(F.col("created_us")))
-    spread = F.pmod(F.xxhash64("prediction_id"), F.lit(16))
-    (m.repartition("domain", "month", spread).sortWithinPartitions("created_us").write.mode(mode).partitionBy("domain", "month").parquet(path))
+    """Append to a table partitioned by domain and month; files are ordered by time."""
+    _by_month(df).sortWithinPartitions("domain", "month", "created_us").write.mode(mode).partitionBy("domain", "month").parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str) -> None:
     """Rewrite only the (domain, month) partitions present in ``df``; it must not read from ``path``."""
-    m = df.withColumn("month", month_of(F.col("created_us")))
-    m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain", "month").parquet(path)
+    _by_month(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain", "month").parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:

@@ -78,6 +78,14 @@ def _past(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
         return None
 
 
+def _related(past: DataFrame, now: DataFrame) -> DataFrame:
+    """Past rows of the users and merchants of this batch; no other row can touch its features."""
+    users = now.select("user_id").distinct().withColumn("_u", F.lit(1))
+    merchants = now.select("merchant_id").distinct().withColumn("_m", F.lit(1))
+    j = lookup(lookup(past, users, {"user_id": "user_id"}, ["txn_id"]), merchants, {"merchant_id": "merchant_id"}, ["txn_id"])
+    return j.filter(F.col("_u").isNotNull() | F.col("_m").isNotNull()).drop("_u", "_m")
+
+
 def score_stream(stream: DataFrame, refs: References, folder: str, checkpoint: str, lookback_us: int | None = None,
                  publish: Callable[[DataFrame, int], None] | None = None):
     """A writer that scores each micro-batch against the stored past and keeps transactions and results.
@@ -100,7 +108,7 @@ def score_stream(stream: DataFrame, refs: References, folder: str, checkpoint: s
             if lookback_us is not None:
                 first = now.agg(F.min("us")).first()[0]
                 past = past.filter(F.col("us") >= (first or 0) - lookback_us)
-            both = past.select(cols).unionByName(now)
+            both = _related(past.select(cols), now).unionByName(now)
         scored = score_all(both, refs).join(now.select("txn_id"), "txn_id", "left_semi")
         scored.write.mode("overwrite").parquet(f"{results}/batch={number}")
         if publish is not None:

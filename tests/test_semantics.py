@@ -425,3 +425,14 @@ def test_noise_is_standard_normal_and_repeatable(spark):
     assert abs(z.mean()) < 0.06 and abs(z.std() - 1) < 0.05
     again = df.repartition(7).select(F.sum(pseudo.noise(F.col("copy"), 0)[0])).first()[0]
     assert again == pytest.approx(z.sum())
+
+
+def test_copies_of_one_point_are_split_into_ranges(spark):
+    """A third of the rows are the same point; no range of the ordering holds them all."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([np.zeros((300, 2)), rng.normal(size=(600, 2))])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(900), "x": x.tolist()}), "id long, x array<double>")
+    near = training.near_rows(df, "id", 2, 3, projections=2, reach=4, rows_per_range=50)
+    got = near.filter("id < 300").collect()
+    assert len({r["id"] for r in got}) == 300
+    assert sum(r["distance"] < 1e-9 for r in got) / len(got) > 0.95
