@@ -101,10 +101,10 @@ def degree_centrality(v):
     return graph.degree_centrality(merchant_edges(v))
 
 
-@query("propagate_risk", using("mnodes mlinks", "SELECT node, round(risk, 6) AS risk FROM pg_3", **_risk_views("mlinks", "mnodes", "pg", KNOWN_SQL)))
+@query("propagate_risk", using("mnodes mlinks", "SELECT node, round(risk, 10) AS risk FROM pg_3", **_risk_views("mlinks", "mnodes", "pg", KNOWN_SQL)))
 def propagate_risk(v):
     nodes, edges = graph.merchant_graph(merchant_edges(v))
-    return graph.propagate_risk(nodes, edges, known_risk(nodes)).withColumn("risk", F.round("risk", 6))
+    return graph.propagate_risk(nodes, edges, known_risk(nodes)).withColumn("risk", F.round("risk", 10))
 
 
 def _metrics_at(v):
@@ -122,9 +122,9 @@ _METRIC_VIEWS["metrics"] = f"""SELECT n.node AS merchant_id, rank AS pagerank_sc
 
 
 @query("graph_metrics", using("mnodes medges", """
-  SELECT merchant_id, round(pagerank_score, 8) AS pagerank_score, community_id, degree_centrality, betweenness_centrality, round(cluster_risk_score, 6) AS cluster_risk_score FROM metrics""", **_METRIC_VIEWS))
+  SELECT merchant_id, round(pagerank_score, 8) AS pagerank_score, community_id, degree_centrality, betweenness_centrality, round(cluster_risk_score, 10) AS cluster_risk_score FROM metrics""", **_METRIC_VIEWS))
 def graph_metrics(v):
-    return _metrics_at(v)[1].withColumn("pagerank_score", F.round("pagerank_score", 8)).withColumn("cluster_risk_score", F.round("cluster_risk_score", 6))
+    return _metrics_at(v)[1].withColumn("pagerank_score", F.round("pagerank_score", 8)).withColumn("cluster_risk_score", F.round("cluster_risk_score", 10))
 
 
 @query("graph_summary", using("mnodes medges", """
@@ -177,8 +177,8 @@ VIEWS["unodes"] = (["uedges"], "SELECT src AS node FROM uedges UNION SELECT dst
 VIEWS["ulinks"] = (["uedges"], "SELECT src AS node, dst AS other, weight FROM uedges UNION ALL SELECT dst, src, weight FROM uedges")
 
 
-@query("network_risk_score", using("unodes ulinks", "SELECT node AS user_id, round(risk, 6) AS network_risk_score FROM ug_3", **_risk_views("ulinks", "unodes", "ug", KNOWN_SQL)))
+@query("network_risk_score", using("unodes ulinks", "SELECT node AS user_id, round(risk, 10) AS network_risk_score FROM ug_3", **_risk_views("ulinks", "unodes", "ug", KNOWN_SQL)))
 def network_risk_score(v):
     e = cut(v.transfers.groupBy(F.col("sender").alias("src"), F.col("receiver").alias("dst")).agg(((F.count(F.lit(1)) % 10 + 1) / 20.0).alias("weight")))
     nodes, _ = graph.merchant_graph(e)
-    return graph.network_risk_score(e, known_risk(nodes)).withColumn("network_risk_score", F.round("network_risk_score", 6))
+    return graph.network_risk_score(e, known_risk(nodes)).withColumn("network_risk_score", F.round("network_risk_score", 10))
