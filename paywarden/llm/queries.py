@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, language, packing
+from . import binary, decontaminate, jaccard, language, packing
 from .common import held_out, read
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,5 +44,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op5_packing, op7_token_matrices, op8_language, op9_decontamination)}
-ORACLE = {"op9_decontamination": OP9_SQL}
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    members, _ = jaccard.similarity_join(read(spark, folder, "documents"))
+    return members.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * i >= 75 * (nx.n + ny.n - i)),
+r AS (SELECT doc_id, doc_id AS k FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.k = e.x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(k) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op5_packing, op7_token_matrices, op8_language, op9_decontamination, op10_ngram_jaccard)}
+ORACLE = {"op9_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
