@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, jaccard, language, packing
+from . import binary, decontaminate, jaccard, language, packing, toxicity
 from .common import held_out, read
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    out = held_out("doc_id", 3, 1)
+    model = toxicity.fit(docs, read(spark, folder, "labels"), ~out)
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, folder, "documents")))
 
@@ -59,5 +66,5 @@ r AS (SELECT doc_id, doc_id AS k FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(k) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op5_packing, op7_token_matrices, op8_language, op9_decontamination, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_packing, op7_token_matrices, op8_language, op9_decontamination, op10_ngram_jaccard)}
 ORACLE = {"op9_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
