@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, jaccard, language, packing, toxicity
+from . import binary, decontaminate, fingerprints, jaccard, language, packing, pii, toxicity
 from .common import held_out, read
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +18,16 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, folder, "documents"))
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(read(spark, folder, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias("n_" + k)
+    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, folder, "documents")))
 
@@ -66,5 +76,5 @@ r AS (SELECT doc_id, doc_id AS k FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(k) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_packing, op7_token_matrices, op8_language, op9_decontamination, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op4_pii, op5_packing, op7_token_matrices, op8_language, op9_decontamination, op10_ngram_jaccard)}
 ORACLE = {"op9_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
