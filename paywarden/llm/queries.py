@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, fingerprints, jaccard, language, packing, pii, toxicity
+from . import binary, decontaminate, fingerprints, jaccard, language, packing, pii, quality, toxicity, urls
 from .common import held_out, read
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +18,13 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(read(spark, folder, "pages"), RULES)
+
+
 def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, folder, "documents"))
 
@@ -32,6 +39,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, folder, "documents")))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op7_token_matrices(spark: SparkSession, folder: str) -> DataFrame:
     return binary.matrices(read(spark, folder, "documents"))
 
@@ -76,5 +87,5 @@ r AS (SELECT doc_id, doc_id AS k FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(k) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op4_pii, op5_packing, op7_token_matrices, op8_language, op9_decontamination, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_fingerprints, op4_pii, op5_packing, op6_quality, op7_token_matrices, op8_language, op9_decontamination, op10_ngram_jaccard)}
 ORACLE = {"op9_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
