@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from paywarden.llm import pipeline_stages as stages
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", stages.drop_toxic),
+    ("ngram_jaccard_join", stages.drop_near_duplicates),
     ("benchmark_decontamination", stages.drop_contaminated),
+    ("pii", stages.mask_personal_data),
     ("packing", stages.pack_documents),
 ]
 

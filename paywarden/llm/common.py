@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import cut, prepare
 
-__all__ = ["batches", "cut", "folded", "held_out", "pieces_of", "read", "ready", "texts"]
+__all__ = ["batches", "cut", "folded", "held_out", "kept", "pieces_of", "read", "ready", "texts"]
 
 #: Rows in an Arrow batch. Texts are long, and a Python worker shares its executor's memory.
 BATCH_ROWS = 1000
@@ -59,6 +59,19 @@ def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str, se
     return df.mapInArrow(run, schema)
 
 
+def kept(df: DataFrame, text_col: str, keep: Callable[[list, object], list[bool]], setup: Callable[[], object]) -> DataFrame:
+    """Rows of ``df``, with all their columns, whose text ``keep`` keeps; nothing is shuffled."""
+    at = df.columns.index(text_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = setup()
+        for part in parts:
+            if part.num_rows:
+                yield part.filter(pa.array(keep(part.column(at).to_pylist(), state), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def pieces_of(values: list, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose texts have about ``most`` characters; a longer text stands alone."""
     start = size = 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, texts
+from .common import batches, cut, kept, texts
 
 WINDOW = 10
 #: Characters of patterns in one automaton (about 60 bytes of memory each). A benchmark beyond that takes one pass for each so many.
@@ -174,13 +174,8 @@ def _merged(rows: DataFrame, scanners: list, found, kind: str) -> DataFrame:
     return batches(joined.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", "text", "ranges", "items"), united, _COLUMNS.format(kind=kind))
 
 
-def contaminated_ids(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **named) -> DataFrame:
-    """Ids of the documents with a hit."""
-    return decontaminate(docs, benchmark, id_col, **named).where(F.size("items") > 0).select("doc_id").distinct()
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **named) -> DataFrame:
-    """Rows of ``docs`` (all columns) without a hit; rows with a null id stay if their text has none."""
-    bad = contaminated_ids(docs, benchmark, id_col, **named)
-    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("b.doc_id"))
-    return docs.alias("d").join(bad.alias("b"), same, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = MAX_PATTERN_CHARS) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text has no hit; a benchmark of several automata takes one pass for each."""
+    for shard in _shards(benchmark, item_col, item_text_col, window, most):
+        docs = kept(docs, text_col, lambda values, a: [not scan(a, words(t))[0] for t in values], _scanner(docs.sparkSession, shard, window))
+    return docs

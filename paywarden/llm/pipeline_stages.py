@@ -1,11 +1,40 @@
-"""The stages of the corpus pipeline: (spark, docs, folder) -> DataFrame."""
+"""The stages of the corpus pipeline: (spark, docs, folder) -> DataFrame with the columns of ``docs``, but for the last.
+
+Edge cases: columns beside ``doc_id`` and ``text`` pass untouched; rows with null ids or texts stay unless a stage's decision
+is about them (a null text is never toxic, has no words, no personal data and packs as the end id alone); of repeated rows
+one stays after the near-duplicate stage; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontaminate, jaccard, packing, pii, toxicity
+from .common import cut, held_out, read, ready
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose score stays below the threshold. Learns from labelled documents outside the held-out fold."""
+    model = toxicity.fit(docs, read(spark, folder, "labels"), ~held_out("doc_id", 3, 1))
+    return toxicity.keep(docs, model)
+
 
-from . import decontaminate, packing
-from .common import read, ready
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each component the document with the least doc_id; of rows with one id the one that sorts first. Documents without words are no component and all stay."""
+    ready(spark)
+    members, _ = jaccard.similarity_join(docs)
+    gone = cut(members.where("doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("component")).where("component < doc_id").select(F.col("doc_id").alias("gone")))
+    gone = F.broadcast(gone) if gone.count() <= jaccard.MAX_BROADCAST else gone
+    stay = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    many = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many")))
+    n = many.count()
+    if not n:
+        return stay
+    many = F.broadcast(many) if n <= jaccard.MAX_BROADCAST else many
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = stay.join(many, F.col("doc_id") == F.col("many"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text"), *rest)).alias("row")).select("doc_id", "row.*").select(docs.columns)
+    return stay.join(many, F.col("doc_id") == F.col("many"), "left_anti").unionByName(first)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -14,7 +43,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     return decontaminate.clean(docs, read(spark, folder, "benchmark"))
 
 
+def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind; ``n_chars`` is counted anew where it is there."""
+    ready(spark)
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     ready(spark)
     return packing.pack(packing.pieces(docs))
+

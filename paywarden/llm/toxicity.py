@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, texts
+from .common import batches, cut, kept, texts
 
 #: Bounds of the training sample: documents of each label, and the longest text in it.
 SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 20_000
@@ -302,6 +302,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return batches(rows, run, f"doc_id {kind}, score double, predicted int", lambda: sent.value.scorer())
 
 
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return kept(docs, text_col, lambda values, scorer: [scorer(t) < threshold for t in values], lambda: sent.value.scorer())
+
+
 def restored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id and the text with every disguised stretch replaced by its reading."""
     rows = texts(docs, id_col, text_col)
