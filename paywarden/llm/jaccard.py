@@ -9,9 +9,11 @@ signature: those subsets of parts are enumerated, none is left out. Sets near a
 The order puts parts that hold only shingles frequent in a sample last, which changes cost, never results.
 
 Signatures travel as packed arrays dealt by hash (12 bytes each), each class once for a task however many copies it has. All
-classes with one signature are a group: its members are compared with one of them, exactly, by joining their sets; what the
-triangle inequality for Jaccard distances then leaves open, and lies in different components, is compared too. Components
-are found by alternating star contraction. No pair is lost and none is emitted that one of these steps does not need.
+classes with one signature are a group. Each class also has a parity bitmap of a few bits a shingle: bits in which two
+bitmaps differ bound from below the shingles in which the sets differ, so most chance meetings end there, without loss. A
+group's members are first held against one of them: bitmaps, then exactly, by joining the sets. Groups that still lie in
+several components are gone through pair by pair inside a task, on bitmaps, and only what survives is joined and counted.
+Components are found by alternating star contraction.
 
 Edge cases: null and empty texts and texts without words have empty sets and link with nothing; texts of fewer words than a
 shingle are one shingle; repeated rows and ids are kept (one row each); rows with a null id take part, but name no component
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +88,32 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> n
     return np.concatenate(out)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 2^k cells, about two to four cells a shingle, 64 at least."""
+    if not len(s):
+        return b""
+    cells = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ _U(0x2545F4914F6CDD1D)) & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def fold(m: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) with fewer cells: halves are added modulo two."""
+    while m.shape[-1] > width:
+        half = m.shape[-1] // 2
+        m = m[..., :half] ^ m[..., half:]
+    return m
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
+    """False only if two sets of n and m shingles cannot link."""
+    if min(n, m) * 100 < max(n, m) * percent:
+        return False
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    width = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, width) ^ fold(y, width)).sum(dtype=np.int64)) * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def class_key(s: np.ndarray) -> int:
     """One signed 64-bit key for equal sets: by chance, two of a billion different sets share one with probability 0.03."""
     with np.errstate(over="ignore"):
@@ -114,13 +143,12 @@ def _frequent(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def _sign(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Blocks of members (doc_id, class, size) and of signatures (signature, class), dealt over buckets."""
+    """Rows of members (doc_id, class, size; the bitmap as key) and blocks of signatures (signature, class), dealt over buckets."""
     sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size))
 
     def run(parts):
         seen: set[int] = set()
         held, n = [], 0
-        turn = 0
 
         def signed():
             sig = np.concatenate([h[0] for h in held])
@@ -132,16 +160,16 @@ def _sign(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a in at[:-1]], pa.int64()), pa.nulls(len(at) - 1, pa.list_(pa.int64())), pa.array([sig[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()), pa.array([key[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["bucket", "member", "sig", "key"])
 
         for part in parts:
-            members = []
+            members, maps = [], []
             for doc, s in zip(part.column(0).to_pylist(), _sets(part.column(1).to_pylist(), size), strict=True):
                 key = class_key(s)
                 members.append([doc, key, len(s)])
+                maps.append(bitmap(s))
                 if len(s) and key not in seen:
                     seen.add(key)
                     held.append((signatures(s, sent.value, percent), key))
                     n += len(held[-1][0])
-            turn += 1
-            yield pa.RecordBatch.from_arrays([pa.array([(m[1] ^ i) % buckets for i, m in enumerate(members)], pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.nulls(len(members), pa.binary()), pa.nulls(len(members), pa.binary())], names=["bucket", "member", "sig", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([(m[1] ^ i) % buckets for i, m in enumerate(members)], pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.nulls(len(members), pa.binary()), pa.array(maps, pa.binary())], names=["bucket", "member", "sig", "key"])
             if n >= HELD:
                 yield signed()
                 held, n = [], 0
@@ -171,12 +199,14 @@ def _groups(sig: np.ndarray, key: np.ndarray):
 
 
 def _meet(blocks: DataFrame) -> DataFrame:
-    """Rows of kind 0: (doc_id, class, size); kind 1: (group, class)."""
+    """Rows of kind 0: (doc_id, class, size, bitmap); kind 1: (group, class)."""
 
     def run(table: pa.Table) -> pa.Table:
-        members = [m for m in table.column("member").to_pylist() if m is not None]
-        sig = b"".join(x for x in table.column("sig").to_pylist() if x is not None)
-        key = b"".join(x for x in table.column("key").to_pylist() if x is not None)
+        is_member = pc.is_valid(table.column("member"))
+        own = table.filter(is_member)
+        members = own.column("member").to_pylist()
+        other = table.filter(pc.invert(is_member))
+        sig, key = b"".join(other.column("sig").to_pylist()), b"".join(other.column("key").to_pylist())
         found = list(_groups(np.frombuffer(sig, np.uint32), np.frombuffer(key, np.int64))) if sig else []
         gid = np.repeat(np.array([g for g, _ in found], np.uint64).view(np.int64), [len(k) for _, k in found])
         keys = np.concatenate([k for _, k in found]) if found else np.zeros(0, np.int64)
@@ -185,9 +215,23 @@ def _meet(blocks: DataFrame) -> DataFrame:
             "a": pa.array([m[0] for m in members] + gid.tolist(), pa.int64()),
             "b": pa.array([m[1] for m in members] + keys.tolist(), pa.int64()),
             "n": pa.array([m[2] for m in members] + [0] * len(keys), pa.int64()),
+            "map": pa.array(own.column("key").to_pylist() + [None] * len(keys), pa.binary()),
         })
 
-    return blocks.groupBy("bucket").applyInArrow(run, "kind bigint, a bigint, b bigint, n bigint")
+    return blocks.groupBy("bucket").applyInArrow(run, "kind bigint, a bigint, b bigint, n bigint, map binary")
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) that sizes and bitmaps do not rule out."""
+    one = lambda k: classes.select(F.col("key").alias(k), F.col("n").alias("n" + k), F.col("map").alias("m" + k))
+    p = pairs.join(one("x"), "x").where("nx > 0").join(one("y"), "y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).select("x", "y", "nx", "ny", "mx", "my")
+
+    def run(part):
+        nx, ny, mx, my = (part.column(i).to_pylist() for i in range(2, 6))
+        ok = pa.array([may_link(a, b, n, m, percent) for a, b, n, m in zip(mx, my, nx, ny, strict=True)], pa.bool_())
+        return [part.column(0).filter(ok), part.column(1).filter(ok)]
+
+    return batches(p, run, "x bigint, y bigint")
 
 
 def _class_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -245,27 +289,41 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("x").alias("key"), F.col("y").alias("component")).union(e.select(F.col("y").alias("key"), F.col("y").alias("component")).distinct())
 
 
-def _open(groups: DataFrame, first: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a group that lie in different components and that distances to the group's least class do not rule out."""
-    d = first.select("x", "y", (1 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))).alias("d"), F.col("ny").alias("n"))
-    g = groups.join(d, [groups["rep"] == d["x"], groups["key"] == d["y"]]).select("gid", "key", "d", "n")
-    g = g.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = g.groupBy("gid").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("gid")
-    g = g.join(mixed, "gid", "left_semi")
-    far = 1 - percent / 100 + 1e-9
+def close_pairs(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int):
+    """Pairs of different components that sizes and bitmaps do not rule out, row by row in order of size."""
+    order = np.lexsort((keys, sizes))
+    keys, comps, sizes = keys[order], comps[order], sizes[order]
+    widths = np.array([len(maps[i]) for i in order])
+    rows, folded = {}, {}
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        rows[w] = (int(at[0]), np.frombuffer(b"".join(maps[i] for i in order[at]), np.uint8).reshape(len(at), w))
+        folded[w // 2] = fold(rows[w][1], w // 2)
+    stops = np.searchsorted(sizes, sizes * 100 // percent, "right")
+    for i in range(len(keys) - 1):
+        w = int(widths[i])
+        first, own = rows[w]
+        mine, stop, end = own[i - first], int(stops[i]), first + len(own)
+        for begin, block in ((i + 1, own[i + 1 - first:max(i + 1, min(stop, end)) - first]), (end, folded[w][:stop - end] if stop > end and w in folded else own[:0])):
+            for a in range(0, len(block), 4096):
+                part = block[a:a + 4096]
+                j = np.arange(begin + a, begin + a + len(part))
+                differ = np.bitwise_count(part ^ mine).sum(1, dtype=np.int64)
+                j = j[(comps[j] != comps[i]) & (differ * (100 + percent) <= (sizes[j] + sizes[i]) * (100 - percent))]
+                if len(j):
+                    yield np.minimum(keys[j], keys[i]), np.maximum(keys[j], keys[i])
+
+
+def _open(groups: DataFrame, classes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs still to be counted: of one group, in different components, not ruled out by bitmaps."""
+    g = groups.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = g.groupBy("gid").agg((F.min("component") != F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("m")).where("mixed and m > 2").select("gid")
+    g = g.join(mixed, "gid", "left_semi").join(classes.select("key", "n", "map"), "key").select("gid", "key", "component", "n", "map")
 
     def run(table: pa.Table) -> pa.Table:
-        key, comps = table.column("key").to_numpy(), table.column("component").to_numpy()
-        order = np.argsort(table.column("d").to_numpy(), kind="stable")
-        key, comps, dist, n = key[order], comps[order], table.column("d").to_numpy()[order], table.column("n").to_numpy()[order]
-        xs, ys = [], []
-        for i in range(len(key) - 1):
-            stop = np.searchsorted(dist, dist[i] + far, "right")
-            j = np.arange(i + 1, stop)
-            j = j[(comps[j] != comps[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)]
-            xs.append(np.minimum(key[j], key[i]))
-            ys.append(np.maximum(key[j], key[i]))
-        return pa.table({"x": np.concatenate(xs) if xs else np.zeros(0, np.int64), "y": np.concatenate(ys) if ys else np.zeros(0, np.int64)})
+        key, comps, sizes = (table.column(c).to_numpy() for c in ("key", "component", "n"))
+        found = list(close_pairs(key, comps, sizes, table.column("map").to_pylist(), percent))
+        return pa.table({"x": np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64), "y": np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)})
 
     return g.groupBy("gid").applyInArrow(run, "x bigint, y bigint").distinct()
 
@@ -277,16 +335,20 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = cut(_meet(_sign(rows, size, percent, buckets)))
     members = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"))
+    classes = cut(met.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("doc_id"), "n", "map").dropDuplicates(["key"]))
     groups = met.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("key")).distinct()
-    groups = cut(groups.join(groups.groupBy("gid").agg(F.min("key").alias("rep")), "gid").where("key <> rep"))
-    pairs = groups.select(F.col("rep").alias("x"), F.col("key").alias("y")).distinct()
-    met_keys = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "k")
-    wanted = members.join(met_keys, F.col("key") == F.col("k"), "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(_class_sets(rows, wanted, size).dropDuplicates(["key"]))
     like = F.col("inter") * 100 >= (F.col("nx") + F.col("ny") - F.col("inter")) * percent
-    first = cut(_distances(pairs, sets))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        keys = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "key")
+        sets = cut(_class_sets(rows, classes.join(keys, "key", "left_semi").select("doc_id", "key"), size).dropDuplicates(["key"]))
+        return cut(_distances(pairs, sets))
+
+    least = groups.groupBy("gid").agg(F.min("key").alias("x"))
+    first = counted(_plausible(groups.join(least, "gid").where("key <> x").select("x", F.col("key").alias("y")).distinct(), classes, percent))
     comp = components(first.where(like))
-    rest = cut(_distances(_open(groups, first, comp, percent), sets))
+    rest = counted(_open(groups, classes, comp, percent).join(first.select("x", "y"), ["x", "y"], "left_anti"))
     links = first.where(like).union(rest.where(like)).distinct()
     comp = components(links)
     labels = comp.select("key", F.col("component"))
