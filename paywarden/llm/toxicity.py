@@ -2,7 +2,7 @@
 
 A character trigram model is counted over all texts. Stretches that look disguised (signs or digits inside a word, letters
 set apart one by one, letters repeated) become a lattice: each sign may stand for itself or for letters, separators may fall
-away, repetitions may shrink. Viterbi finds the reading that is cheapest under the trigram model and the costs of the
+away or part words, repetitions may shrink. Viterbi finds the reading that is cheapest under the trigram model and the costs of the
 disguise. Restored words join the words of the text, and the text is scored by its evidence for toxicity: log-odds of words
 and word beginnings, learnt from labelled rows, put on a probability scale by logistic regression on the other half of the
 sample.
@@ -35,7 +35,7 @@ THRESHOLD = 0.7
 
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
-SIGN_COST, DROP_COST, PAIR_COST, SEPARATOR_COST, LITERAL_COST = 1.5, 0.7, 3.0, 0.1, 9.0
+SIGN_COST, DROP_COST, PAIR_COST, SEPARATOR_COST, BREAK_COST, LITERAL_COST = 1.5, 0.7, 3.0, 0.1, 0.5, 9.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 _L = r"[^\W\d_]"
@@ -157,7 +157,7 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
                 edges.append(("", DROP_COST if stretch[i - 2:i - 1] == c or stretch[i + 1:i + 2] == c else PAIR_COST))
         else:
             edges = [(x, SIGN_COST) for x in SIGNS.get(c, "")]
-            edges.append(("", SEPARATOR_COST) if c in " .-_*~" else (" ", LITERAL_COST))
+            edges += [("", SEPARATOR_COST), (" ", BREAK_COST)] if c in " .-_*~" else [(" ", LITERAL_COST)]
         out.append(edges)
     return out
 

@@ -29,10 +29,10 @@ VOCABULARY, FEATURES = 50_000, 100_000
 #: Letters of a word in a segmentation, and of a label segmented at once.
 WORD_LENGTH, LONGEST = 20, 200
 NUMBER = "<number>"
-#: Words of unwanted names (the default labelled table), and the odds of an unwanted page before its words are seen.
+#: Words of unwanted names (the default labelled table), the odds of an unwanted page before its words are seen, and words taken as seen.
 UNWANTED = ("ads", "adult", "bet", "bets", "betting", "casino", "cheap", "clicks", "crack", "dating", "escort", "farm", "free", "gambling", "jackpot", "loan", "loans", "malware", "payday", "phish",
             "pills", "poker", "porn", "replica", "scam", "sex", "spam", "slots", "torrent", "track", "tracker", "viagra", "virus", "warez", "win", "xxx")
-PRIOR_ODDS = 0.1
+PRIOR_ODDS, PSEUDO = 0.1, 1000
 
 _WORD = re.compile(r"[a-z]+")
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -121,10 +121,13 @@ class Words:
 
 
 class Bayes:
-    """Multinomial naive Bayes, smoothed by one: odds of an unwanted page. Words beside those of unwanted names are as likely on either side."""
+    """Multinomial naive Bayes: odds of an unwanted page. Words beside those of unwanted names are as likely on either side.
+
+    On the wanted side each of those names has been seen once among ``PSEUDO`` words beforehand.
+    """
 
     def __init__(self, unwanted: tuple[str, ...], wanted: dict[str, int]):
-        total, names = sum(wanted.values()) + len(wanted) + 1, Counter(unwanted)
+        total, names = sum(wanted.values()) + PSEUDO, Counter(unwanted)
         self.odds = {w: math.log(n / len(unwanted)) - math.log((wanted.get(w, 0) + 1) / total) for w, n in names.items()} if wanted else {w: math.log(len(unwanted)) for w in names}
 
     def score(self, words: list[str]) -> float:

@@ -80,7 +80,10 @@ def test_close_pairs_are_all_that_bitmaps_allow():
     base = rng.integers(0, 2 ** 63, 300, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[:int(rng.integers(20, 300))], rng.integers(0, 2 ** 63, int(rng.integers(0, 60)), dtype=np.uint64)])) for _ in range(60)]
     keys, comps = np.arange(60), np.arange(60) // 2
-    got = {(int(x), int(y)) for xs, ys in jaccard.close_pairs(keys, comps, np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets], 75) for x, y in zip(xs, ys, strict=True)}
+    sizes, maps = np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets]
+    got = {(int(x), int(y)) for x, y in zip(*jaccard.close_pairs(keys, comps, sizes, maps, 75), strict=True)}
+    some = {(int(x), int(y)) for x, y in zip(*jaccard.close_pairs(keys, comps, sizes, maps, 75, True), strict=True)}
+    assert some <= got and len(some) == len({tuple(sorted((x // 2, y // 2))) for x, y in got})
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if comps[i] != comps[j] and jaccard.may_link(jaccard.bitmap(sets[i]), jaccard.bitmap(sets[j]), len(sets[i]), len(sets[j]), 75)}
     assert want <= got
     true = {(i, j) for i in range(60) for j in range(i + 1, 60) if comps[i] != comps[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
