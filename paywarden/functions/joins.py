@@ -7,9 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .constants import HOUR
-from .timeline import slice_start
-
 SALTS = 8
 
 
@@ -36,28 +33,57 @@ def newest(df: DataFrame, keys: list[str], by: list[Column | str]) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def top_n(df: DataFrame, n: int, order: Column, ties: list[Column], slice_of: Column) -> DataFrame:
-    """The ``n`` rows with the highest ``order`` (then ``ties``) without sorting the whole table.
+#: Equal parts a range is cut into while the n-th row is looked for, and rows that one task may order.
+PARTS, FEW = 256, 10_000
 
-    ``slice_of`` is a coarse non-decreasing function of ``order``. Row counts per slice give the
-    slice in which the n-th row falls; only rows from that slice on reach the final ordering.
-    """
-    counts = df.groupBy(slice_of.alias("_sl")).agg(F.count(F.lit(1)).alias("_n"))
-    higher = Window.orderBy(F.col("_sl").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    cutoff = (
-        counts.select("_sl", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_before"))
-        .filter(F.col("_before") < n).select("_sl")
-    )
-    reach = df.withColumn("_sl", slice_of).join(cutoff, "_sl", "left_semi").drop("_sl")
-    return reach.orderBy(order.desc(), *ties).limit(n)
 
+def top_n(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """The ``n`` rows with the highest numeric ``order`` columns; ``n`` of None keeps all.
 
-def latest_n(df: DataFrame, n: int, time: str, ties: list[Column], slice_us: int = HOUR) -> DataFrame:
-    """The ``n`` newest rows by ``time``."""
-    return top_n(df, n, F.col(time), ties, slice_start(F.col(time), slice_us))
+    Nothing is ordered but the few rows around the cut: the range of the first column is cut into
+    equal parts, rows are counted per part, parts above the n-th row are kept whole and the part it
+    falls in is cut again; rows that are equal in a column go on by the next one.
+    """
+    if n is None:
+        return df
+    keep, at = F.lit(False), F.lit(True)
+    for o in order:
+        v = o.cast("double")
+        while True:
+            s = df.filter(at).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("n"), F.count(v).alias("known")).first()
+            if s["n"] <= n:
+                return df.filter(keep | at)
+            if n <= 0:
+                return df.filter(keep)
+            if s["n"] <= FEW:
+                last = df.filter(at).orderBy(*[x.desc() for x in order]).limit(n)
+                return df.filter(keep).unionByName(last)
+            if s["known"] < s["n"] and s["known"] > 0:  # nulls come last
+                if s["known"] >= n:
+                    at = at & v.isNotNull()
+                else:
+                    keep, at, n = keep | (at & v.isNotNull()), at & v.isNull(), n - s["known"]
+                continue
+            if s["lo"] is None or s["lo"] == s["hi"]:
+                break
+            width = (s["hi"] - s["lo"]) / PARTS
+            part = F.least(F.floor((v - s["lo"]) / width), F.lit(PARTS - 1))
+            counts = sorted(df.filter(at).groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("lo")).collect(), key=lambda r: -r["p"])  # PARTS rows
+            for r in counts:
+                if r["c"] >= n:
+                    break
+                n -= r["c"]
+            keep, at = keep | (at & (part > r["p"])), at & (part == r["p"])
+    last = df.filter(at).orderBy(*[x.desc() for x in order]).limit(n)
+    return df.filter(keep).unionByName(last)
+
+
+def latest_n(df: DataFrame, n: int | None, time: str, *ties: Column) -> DataFrame:
+    """The ``n`` newest rows by ``time``, then by the highest ``ties``."""
+    return top_n(df, n, F.col(time), *ties)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: Column | int, name: str = "rank") -> DataFrame:
-    """Rows ranked 1..n per group (a partial limit runs before the shuffle when n is a small number)."""
+    """Rows ranked 1..n per group (a partial limit runs before the shuffle: ``n`` is a small number)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)

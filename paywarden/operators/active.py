@@ -29,10 +29,10 @@ def informativeness(score: Column, domain: str, strategy: str, anomaly: Column |
     raise ValueError(f"unknown strategy {strategy}")
 
 
-def refresh_queue(predictions: DataFrame, queue: DataFrame, domain: str, now_us: int, active: bool = True, newest: int = 5000) -> DataFrame:
-    """New queue rows of a domain: the most informative of the newest unlabelled predictions.
+def refresh_queue(predictions: DataFrame, queue: DataFrame, domain: str, now_us: int, active: bool = True, newest: int | None = None) -> DataFrame:
+    """New queue rows of a domain: the most informative of the unlabelled predictions of 30 days.
 
-    ``newest`` and twice the daily budget are the feature's own sizes. Ties go to the higher id.
+    Twice the daily budget is the length of the queue; ``newest`` looks only at so many. Ties go to the higher id.
     """
     strategy, daily, _ = K.AL_CONFIG[domain]
     waiting = queue.filter((F.col("domain") == domain) & F.col("status").isin("PENDING", "ASSIGNED")).select("prediction_id")
@@ -40,7 +40,7 @@ def refresh_queue(predictions: DataFrame, queue: DataFrame, domain: str, now_us:
     if not active:
         fresh = fresh.filter(F.lit(False))
     open_ = fresh.select("prediction_id", "entity_id", "score", "created_us").join(waiting, "prediction_id", "left_anti")
-    recent = latest_n(open_, newest, "created_us", [F.col("prediction_id").desc()])
+    recent = latest_n(open_, newest, "created_us", F.col("prediction_id"))
     ranked = recent.withColumn("informativeness", F.round(informativeness(F.col("score"), domain, strategy), 4))
     top = ranked.orderBy(F.col("informativeness").desc(), F.col("prediction_id").desc()).limit(2 * daily)
     return top.select(F.lit(domain).alias("domain"), "prediction_id", "entity_id", "score", "informativeness", F.lit(strategy).alias("strategy"),

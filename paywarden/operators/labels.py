@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import DAY
-from ..functions.joins import newest
+from ..functions.joins import newest, top_n
 from ..functions.timeline import neighbours
 
 
@@ -71,11 +71,11 @@ def propagate_case_labels(cases: DataFrame, predictions: DataFrame) -> DataFrame
     return j.withColumn("prediction_id", target).filter(F.col("prediction_id").isNotNull()).select("case_id", "prediction_id", "label", "source")
 
 
-def auto_label_aged_reviews(predictions: DataFrame, now_us: int, limit: int = 500) -> DataFrame:
-    """Labels for confident reviews older than a day, at most ``limit`` reviews a run, oldest first."""
+def auto_label_aged_reviews(predictions: DataFrame, now_us: int, limit: int | None = None) -> DataFrame:
+    """Labels for confident reviews older than a day; with ``limit`` at most so many labels a run, oldest first."""
     old = predictions.filter((F.col("decision") == "REVIEW") & F.col("label").isNull() & (F.col("created_us") < now_us - DAY))
-    batch = old.select("prediction_id", "score", "created_us").orderBy("created_us", "prediction_id").limit(limit)
-    return batch.withColumn("label", F.when(F.col("score") > 0.9, 1).when(F.col("score") < 0.1, 0)).filter(F.col("label").isNotNull())
+    sure = old.select("prediction_id", "score", "created_us").withColumn("label", F.when(F.col("score") > 0.9, 1).when(F.col("score") < 0.1, 0)).filter(F.col("label").isNotNull())
+    return top_n(sure, limit, -F.col("created_us"), -F.col("prediction_id"))
 
 
 def count_maturity(labelled: Column) -> Column:

@@ -13,13 +13,13 @@ from ..functions.joins import latest_n, newest, top_n, top_per_group
 from .labels import count_maturity
 
 
-def ssl_pool(predictions: DataFrame, snapshots: DataFrame, labelled: int = 50_000, unlabelled: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Newest labelled and newest unlabelled predictions that have a feature snapshot.
+def ssl_pool(predictions: DataFrame, snapshots: DataFrame, labelled: int | None = 50_000, unlabelled: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Newest labelled and all (or the newest) unlabelled predictions that have a feature snapshot.
 
-    ``snapshots``: prediction_id and features. The two sizes are the feature's own defaults.
+    ``snapshots``: prediction_id and features. ``labelled`` bounds the rows a classifier is fitted on.
     """
     have = predictions.select("prediction_id", "created_us", "label", "score").join(snapshots.select("prediction_id"), "prediction_id", "left_semi")
-    ties = [F.col("prediction_id").desc()]
+    ties = F.col("prediction_id")
     known = latest_n(have.filter(F.col("label").isNotNull()), labelled, "created_us", ties)
     unknown = latest_n(have.filter(F.col("label").isNull()), unlabelled, "created_us", ties)
     return known.join(snapshots, "prediction_id"), unknown.join(snapshots, "prediction_id")
@@ -53,7 +53,7 @@ def guardrails(runs: DataFrame, max_ratio: float = 3.0, max_flip: float = 0.10)
 def keep_most_confident(selected: DataFrame, n_labelled: int, max_ratio: float = 3.0) -> DataFrame:
     """The most confident ``max_ratio`` x labelled pseudo-labels."""
     c = F.col("confidence")
-    return top_n(selected, int(n_labelled * max_ratio), c, [F.col("prediction_id")], F.floor(c * 4096))
+    return top_n(selected, int(n_labelled * max_ratio), c, -F.col("prediction_id"))
 
 
 def noise(k: Column, feature: int, row: str = "prediction_id", seed: int = 42) -> tuple[Column, Column]:
@@ -147,7 +147,7 @@ def cross_domain_transfer(predictions: dict[str, DataFrame], existing: DataFrame
         budget = transfer_budget(predictions[target], done.get((source, target), 0))
         taken = existing.filter(F.col("target_domain") == target).select(F.col("source_id").alias("prediction_id"))
         s = predictions[source].filter(F.col("label") == 1).select("prediction_id", "entity_id", F.coalesce("labeled_us", F.lit(0).cast("long")).alias("_at"))
-        picked = latest_n(s.join(taken, "prediction_id", "left_anti"), budget, "_at", [F.col("prediction_id").desc()])
+        picked = latest_n(s.join(taken, "prediction_id", "left_anti"), budget, "_at", F.col("prediction_id"))
         if links is not None:
             ln = links.filter((F.col("source_domain") == source) & (F.col("target_domain") == target)).select(F.col("source_entity").alias("entity_id"), "target_entity").distinct()
             picked = picked.join(ln, "entity_id", "left").withColumn("entity_id", F.coalesce("target_entity", "entity_id")).drop("target_entity")
@@ -160,10 +160,10 @@ def cross_domain_transfer(predictions: dict[str, DataFrame], existing: DataFrame
     return reduce(DataFrame.unionByName, out)
 
 
-def transfer_training_rows(transfers: DataFrame, snapshots: DataFrame, domain: str, limit: int = 10_000) -> DataFrame:
-    """Newest transferred labels of a domain with their features and weight. ``transfers`` has created_us."""
+def transfer_training_rows(transfers: DataFrame, snapshots: DataFrame, domain: str, limit: int | None = None) -> DataFrame:
+    """Transferred labels of a domain (all, or the newest) with their features and weight. ``transfers`` has created_us."""
     t = transfers.filter(F.col("target_domain") == domain).join(snapshots.select(F.col("prediction_id").alias("target_id")), "target_id", "left_semi")
-    recent = latest_n(t, limit, "created_us", [F.col("source_id").desc(), "target_id"])
+    recent = latest_n(t, limit, "created_us", F.col("source_id"), -F.col("target_id"))
     s = snapshots.withColumnRenamed("prediction_id", "target_id")
     return recent.select("source_id", "target_id", F.col("transferred_label").alias("label"), F.col("confidence_decay").alias("weight")).join(s, "target_id")
 
@@ -174,12 +174,12 @@ def pseudo_label_rows(selected: DataFrame, domain: str, source: str, iteration:
                            F.round("confidence", 4).alias("confidence"), F.lit(iteration).alias("iteration"))
 
 
-def pseudo_label_read(table: DataFrame, domain: str, source: str | None = None, min_confidence: float = 0.0, limit: int = 10_000) -> DataFrame:
-    """Stored pseudo-labels, the surest first."""
+def pseudo_label_read(table: DataFrame, domain: str, source: str | None = None, min_confidence: float = 0.0, limit: int | None = None) -> DataFrame:
+    """Stored pseudo-labels: all, or the surest."""
     t = table.filter((F.col("domain") == domain) & (F.col("confidence") >= min_confidence))
     if source is not None:
         t = t.filter(F.col("source") == source)
-    return top_n(t, limit, F.col("confidence"), [F.col("prediction_id")], F.floor(F.col("confidence") * 1000))
+    return top_n(t, limit, F.col("confidence"), -F.col("prediction_id"))
 
 
 def validate_pseudo(pseudo: DataFrame, human: DataFrame) -> DataFrame:

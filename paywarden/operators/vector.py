@@ -73,18 +73,17 @@ def fraud_vector(txn: DataFrame, auth: DataFrame, accounts: DataFrame, confirmed
 
 def aml_vector(txn: DataFrame, accounts: DataFrame, ip_geo: DataFrame, user_graph: DataFrame,
                keep: list[str] | None = None) -> DataFrame:
-    """The 22 AML features of every transaction.
+    """The 22 AML features of every transaction; hour and day counts and the day's volume are the expiring counters.
 
     ``accounts`` (user_id, created_us, kyc_completeness_score); ``user_graph`` (user_id,
     network_risk_score, circular_transfer_flag, shared_device_cluster_size); ``txn`` may carry
     sender_wallet and receiver_wallet.
     """
-    wide = velocity._specs(["n_1h", "n_24h", "cents_24h", "n_30d", "cents_30d", "squares_30d"])
-    past = velocity.distinct_30d(txn, wide).select(
-        "txn_id", F.col("n_1h").alias("velocity_1h"), F.col("n_24h").alias("velocity_24h"),
-        (F.col("cents_24h") / 100.0).alias("total_volume_24h"), *velocity.amounts_30d(), "device_count_30d", "ip_count_30d", "new_device_flag")
+    wide = velocity._specs(["n_30d", "cents_30d", "squares_30d"])
+    past = velocity.distinct_30d(txn, wide).select("txn_id", *velocity.amounts_30d(), "device_count_30d", "ip_count_30d", "new_device_flag")
     shape = velocity.structuring(txn).select(
-        "txn_id", "structuring_score_24h", "rapid_drain_flag", "historical_structuring_flag")
+        "txn_id", F.col("count_1h").alias("velocity_1h"), F.col("count_24h").alias("velocity_24h"),
+        (F.col("sum_24h") / 100.0).alias("total_volume_24h"), "structuring_score_24h", "rapid_drain_flag", "historical_structuring_flag")
     v = tl.attach(txn, past, shape)
     v = profiles.ip_country_mismatch(v, ip_geo)
     v = lookup(v, accounts.select("user_id", "created_us", "kyc_completeness_score"), {"user_id": "user_id"}, ["txn_id"])
@@ -107,9 +106,7 @@ def merchant_vector(txn: DataFrame, aggregates: DataFrame, ratios: DataFrame, ac
     v = velocity.merchant_velocity(txn)
     v = v.withColumnRenamed("count_1h", "transaction_count_1h").withColumnRenamed("count_24h", "transaction_count_24h")
     v = v.drop("sum_1h", "sum_24h")
-    spikes = velocity.velocity_spike(txn, "merchant_id").select("merchant_id", "hour_us", "velocity_spike_flag")
-    v = v.withColumn("hour_us", tl.slice_start(F.col("us"), HOUR))
-    v = lookup(v, spikes, {"merchant_id": "merchant_id", "hour_us": "hour_us"}, ["txn_id"])
+    v = velocity.with_hourly_past(v, txn, "merchant_id").withColumn("velocity_spike_flag", velocity.spike_flag(F.col("transaction_count_1h"))).drop("past_n", "past_hours")
     profile = profiles.mcc_risk(accounts, mcc).select("merchant_id", "created_us", "mcc_risk_score")
     profile = profile.join(aggregates, "merchant_id", "full").join(ratios, "merchant_id", "full")
     v = lookup(v, profile, {"merchant_id": "merchant_id"}, ["txn_id"])
@@ -148,14 +145,14 @@ def vector_contract(df: DataFrame, domain: str) -> DataFrame:
         F.lit(schema_hash(domain)).alias("schema_hash"))
 
 
-def population_priors(snapshots: DataFrame, domain: str, newest: int = 10_000) -> DataFrame:
-    """Median, mean, histogram mode, deviation and count per feature over the newest snapshots.
+def population_priors(snapshots: DataFrame, domain: str, newest: int | None = None) -> DataFrame:
+    """Median, mean, histogram mode, deviation and count per feature over all (or the ``newest``) snapshots.
 
     The mode is the middle of the first fullest of ``min(50, n // 2 + 1)`` equal bins; a constant
     feature gets a range of one around its value. Features with fewer than 5 values are left out.
     """
     feats = K.REGISTRY[domain]
-    recent = latest_n(snapshots, newest, "us", [F.col("txn_id").desc()])
+    recent = latest_n(snapshots, newest, "us", F.col("txn_id"))
     long = recent.unpivot(["txn_id"], feats, "feature", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
     stats = long.groupBy("feature").agg(
         F.percentile("value", F.lit(0.5)).alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeline as tl
 from ..functions.constants import DAY, HIGH_RISK_COUNTRIES, HOUR
+from ..functions.joins import lookup
 
 def _zero() -> Column:
     return F.lit(0).cast("long")
@@ -182,8 +183,8 @@ def high_risk_country_exposure(txn: DataFrame) -> DataFrame:
     return tl.trailing(txn, ["user_id"], "us", {"high_risk_country_exposure": _specs(["risky_30d"])["risky_30d"]})
 
 
-def velocity_spike(txn: DataFrame, key: str = "user_id") -> DataFrame:
-    """Per key and hour: whether its count exceeds 3 x the mean of the key's earlier active hours.
+def with_hourly_past(rows: DataFrame, txn: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with txn_id, the key and us) beside what the key did in earlier clock hours: past_n transactions in past_hours active hours.
 
     Counts are combined per hour before anything is ordered, so a key has at most one row per hour.
     """
@@ -191,6 +192,18 @@ def velocity_spike(txn: DataFrame, key: str = "user_id") -> DataFrame:
 
     hourly = txn.groupBy(key, tl.slice_start(F.col("us"), HOUR).alias("hour_us")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(key).orderBy("hour_us").rowsBetween(Window.unboundedPreceding, -1)
-    h = hourly.select(key, "hour_us", "n", F.sum("n").over(before).alias("_s"), F.count(F.lit(1)).over(before).alias("_c"))
-    spike = (F.col("_c") > 0) & (F.col("n") * F.col("_c") > 3 * F.col("_s"))
-    return h.select(key, "hour_us", "n", F.coalesce(spike, F.lit(False)).cast("int").alias("velocity_spike_flag"))
+    past = hourly.select(key, "hour_us", F.sum("n").over(before).alias("past_n"), F.count(F.lit(1)).over(before).alias("past_hours"))
+    at = rows.withColumn("hour_us", tl.slice_start(F.col("us"), HOUR))
+    return lookup(at, past, {key: key, "hour_us": "hour_us"}, ["txn_id"]).drop("hour_us")
+
+
+def spike_flag(count_1h: Column) -> Column:
+    """1 when the hour counter before the transaction exceeds 3 x the mean of the key's earlier active hours."""
+    spike = (F.col("past_hours") > 0) & (count_1h * F.col("past_hours") > 3 * F.col("past_n"))
+    return F.coalesce(spike, F.lit(False)).cast("int")
+
+
+def velocity_spike(txn: DataFrame, key: str = "user_id") -> DataFrame:
+    """(txn_id, key, count_1h, velocity_spike_flag) of every transaction, from what was known before it."""
+    counted = velocity_session(txn.select("txn_id", key, "us", "cents"), key).select("txn_id", key, "us", "count_1h")
+    return with_hourly_past(counted, txn, key).select("txn_id", key, "count_1h", spike_flag(F.col("count_1h")).alias("velocity_spike_flag"))

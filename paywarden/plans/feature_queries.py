@@ -158,13 +158,17 @@ def merchant_risk_ratios(v):
     return profiles.merchant_risk_ratios(v.txn, v.fraud_labels, v.customer_risk)
 
 
-@query("velocity_spike", using("dense mspike", """
-  SELECT 'merchant' AS kind, merchant_id AS entity, hour_us, n, velocity_spike_flag::BIGINT AS velocity_spike_flag FROM mspike
-  UNION ALL
-  SELECT 'user', user_id, hour_us, n, coalesce(n * c > 3 * s, false)::BIGINT
-  FROM (SELECT *, sum(n) OVER w AS s, count(*) OVER w AS c
-        FROM (SELECT user_id, us - us % 3600000000 AS hour_us, count(*) AS n FROM dense GROUP BY ALL)
-        WINDOW w AS (PARTITION BY user_id ORDER BY hour_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
+def _spike_sql(kind: str, key: str) -> str:
+    return f"""
+  SELECT '{kind}' AS kind, t.{key} AS entity, txn_id, count_1h, coalesce(count_1h * c > 3 * s, false)::BIGINT AS velocity_spike_flag
+  FROM {"msess" if key == "merchant_id" else "dsess"} t LEFT JOIN
+       (SELECT {key}, hour_us, sum(n) OVER w AS s, count(*) OVER w AS c
+        FROM (SELECT {key}, us - us % 3600000000 AS hour_us, count(*) AS n FROM dense GROUP BY ALL)
+        WINDOW w AS (PARTITION BY {key} ORDER BY hour_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) h
+       ON h.{key} = t.{key} AND h.hour_us = t.us - t.us % 3600000000"""
+
+
+@query("velocity_spike", using("dense msess dsess", _spike_sql("merchant", "merchant_id") + " UNION ALL " + _spike_sql("user", "user_id")))
 def velocity_spike(v):
     m = velocity.velocity_spike(v.dense, "merchant_id").withColumnRenamed("merchant_id", "entity").withColumn("kind", F.lit("merchant"))
     u = velocity.velocity_spike(v.dense, "user_id").withColumnRenamed("user_id", "entity").withColumn("kind", F.lit("user"))
@@ -230,7 +234,7 @@ def _priors_sql(source: str, features: list[str]) -> str:
   FROM stats JOIN (SELECT feature, arg_min(bin, (-c) * 1000 + bin) AS bin FROM
         (SELECT feature, """ + bin_sql('value', 'lo', 'hi', 'bins') + """ AS bin, count(*) AS c FROM long JOIN stats USING (feature) GROUP BY ALL)
         GROUP BY feature) USING (feature)""",
-        recent=f"SELECT * FROM {source} ORDER BY us DESC, txn_id DESC LIMIT 10000", long=rows,
+        recent=f"SELECT * FROM {source}", long=rows,
         stats="""SELECT feature, quantile_cont(value, 0.5) AS median, avg(value) AS mean, stddev_pop(value) AS std, count(value) AS n,
                  CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END::DOUBLE AS lo,
                  CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END::DOUBLE AS hi,
@@ -254,7 +258,7 @@ def blend_prior(v):
   SELECT txn_id, {', '.join(f for f in K.FRAUD_FEATURES if f not in ('amount', 'currency_risk', 'time_of_day'))},
          CASE WHEN txn_id % 97 <> 0 THEN amount ELSE m END AS amount,
          CASE WHEN txn_id % 89 <> 0 THEN currency_risk ELSE 0.0::DOUBLE END AS currency_risk, time_of_day
-  FROM fv, (SELECT round(quantile_cont(amount, 0.5), 4) AS m FROM (SELECT * FROM fv ORDER BY us DESC, txn_id DESC LIMIT 10000))"""))
+  FROM fv, (SELECT round(quantile_cont(amount, 0.5), 4) AS m FROM fv)"""))
 def impute_defaults(v):
     base = cut(fraud_vector_of(v))
     priors = vector.population_priors(base, "fraud").filter("feature = 'amount'")

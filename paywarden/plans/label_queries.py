@@ -55,7 +55,7 @@ def propagate_case_labels(v):
 @query("auto_label_aged_reviews", using("p_fraud", f"""
   SELECT prediction_id, s AS score, created_us, CASE WHEN s > 0.9 THEN 1 WHEN s < 0.1 THEN 0 END::BIGINT AS label
   FROM (SELECT prediction_id, created_us, (prediction_id * 91 % 1000) / 1000.0::DOUBLE AS s FROM p_fraud
-        WHERE decision = 'REVIEW' AND label IS NULL AND created_us < {NOW} - {DAY_SQL} ORDER BY created_us, prediction_id LIMIT 500)
+        WHERE decision = 'REVIEW' AND label IS NULL AND created_us < {NOW} - {DAY_SQL})
   WHERE s > 0.9::DOUBLE OR s < 0.1::DOUBLE"""))
 def auto_label_aged_reviews(v):
     """Reviews come from the score; the labelling pass sees a rescored value."""
@@ -151,8 +151,7 @@ def _refresh_sql(domain, info, strategy, top):
     return f"""(SELECT '{domain}' AS domain, prediction_id, entity_id, score, informativeness, '{strategy}' AS strategy, 'PENDING' AS status, {NOW + 48 * K.HOUR}::BIGINT AS expires_us
       FROM (SELECT *, round({info}, 4) AS informativeness FROM
            (SELECT *, greatest(1e-10::DOUBLE, least(1.0::DOUBLE - 1e-10::DOUBLE, score)) AS p FROM p_{domain} WHERE label IS NULL AND created_us > {NOW} - 30 * {DAY_SQL} AND created_us <= {NOW}
-            AND prediction_id NOT IN (SELECT prediction_id FROM queue WHERE domain = '{domain}' AND status IN ('PENDING', 'ASSIGNED'))
-            ORDER BY created_us DESC, prediction_id DESC LIMIT 5000))
+            AND prediction_id NOT IN (SELECT prediction_id FROM queue WHERE domain = '{domain}' AND status IN ('PENDING', 'ASSIGNED'))))
       ORDER BY informativeness DESC, prediction_id DESC LIMIT {top})"""
 
 

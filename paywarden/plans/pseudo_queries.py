@@ -18,7 +18,7 @@ def _p(n, m):
 
 @query("ssl_pool", using("p_fraud", """
   (SELECT 'labelled' AS part, prediction_id, label::BIGINT AS label FROM p_fraud WHERE label IS NOT NULL AND prediction_id % 6 <> 0 ORDER BY created_us DESC, prediction_id DESC LIMIT 50000)
-  UNION ALL (SELECT 'unlabelled', prediction_id, NULL FROM p_fraud WHERE label IS NULL AND prediction_id % 6 <> 0 ORDER BY created_us DESC, prediction_id DESC LIMIT 100000)"""))
+  UNION ALL (SELECT 'unlabelled', prediction_id, NULL FROM p_fraud WHERE label IS NULL AND prediction_id % 6 <> 0)"""))
 def ssl_pool(v):
     p = v.predictions("fraud")
     snaps = p.filter("prediction_id % 6 <> 0").select(I, "amount")
@@ -161,8 +161,7 @@ def cross_domain_transfer(v):
 
 
 @query("transfer_training_rows", using("moved txn", """
-  SELECT source_id, target_id, transferred_label AS label, confidence_decay AS weight, amount FROM moved JOIN txn ON txn_id = target_id WHERE target_domain = 'merchant'
-  ORDER BY source_id DESC, source_id DESC, target_id LIMIT 10000"""))
+  SELECT source_id, target_id, transferred_label AS label, confidence_decay AS weight, amount FROM moved JOIN txn ON txn_id = target_id WHERE target_domain = 'merchant'"""))
 def transfer_training_rows(v):
     t = transfers(v).withColumn("created_us", F.col("source_id"))
     return pseudo.transfer_training_rows(t, v.predictions("merchant").select(I, "amount"), "merchant")
@@ -195,7 +194,7 @@ def stored(v):
 
 
 @query("pseudo_label_read", using("store", """
-  SELECT prediction_id, label, confidence FROM store WHERE domain = 'aml' AND source = 'MIXMATCH' AND confidence >= 0.9::DOUBLE ORDER BY confidence DESC, prediction_id LIMIT 10000"""))
+  SELECT prediction_id, label, confidence FROM store WHERE domain = 'aml' AND source = 'MIXMATCH' AND confidence >= 0.9::DOUBLE"""))
 def pseudo_label_read(v):
     """Rows as a training run would store them, read back by confidence."""
     s = store(v).filter("domain = 'aml'")

@@ -440,7 +440,7 @@ def fail_closed(v):
 
 
 @query("rescore_summary", using("txn", """
-  SELECT 'fraud_rescore' AS job_type, count(*) AS total, count(*) - count(*) FILTER (bad) AS processed, count(*) FILTER (bad) AS failed, 'COMPLETED_WITH_ERRORS' AS status
+  SELECT 'fraud_rescore' AS job_type, count(*) AS total, count(*) - count(*) FILTER (bad) AS processed, count(*) FILTER (bad) AS failed, CASE WHEN count(*) > count(*) FILTER (bad) THEN 'COMPLETED' ELSE 'FAILED' END AS status
   FROM (SELECT txn_id % 97 = 0 OR txn_id % 89 = 0 AS bad FROM txn)"""))
 def rescore_summary(v):
     return D.rescore_summary(D.fraud_score_batch(damaged(fraud_input(v)), maturity_col()), "fraud_rescore")
@@ -448,20 +448,14 @@ def rescore_summary(v):
 
 def aml_input(v):
     a = aml_vector_of(v, ["country"])
-    spikes = velocity.velocity_spike(v.dense, "user_id").select("user_id", "hour_us", "velocity_spike_flag")
-    from ..functions.joins import lookup
-    from ..functions.timeline import slice_start
-
-    a = a.withColumn("hour_us", slice_start(F.col("us"), K.HOUR))
-    a = lookup(a, spikes, {"user_id": "user_id", "hour_us": "hour_us"}, ["txn_id"]).withColumnRenamed("velocity_spike_flag", "velocity_spike")
-    a = a.withColumn("velocity_spike", F.coalesce("velocity_spike", F.lit(0)))
+    a = velocity.with_hourly_past(a, v.dense, "user_id").withColumn("velocity_spike", velocity.spike_flag(F.col("velocity_1h"))).drop("past_n", "past_hours")
     keys = v.dense.select("txn_id", "user_id", "device", "ip")
     b = screening.blacklist_flags(keys, *blacklists(v)).select("txn_id", "blacklisted_user", "blacklisted_device")
     return (a.join(b, "txn_id", "left").withColumn("sanctions_match", _hit(41).cast("int")).withColumn("watchlist_hit", _hit(43).cast("int")))
 
 
 VIEWS["uspike"] = (["dense"], """
-      SELECT user_id, hour_us, coalesce(n * c > 3 * s, false) AS p
+      SELECT user_id, hour_us, s, c
       FROM (SELECT *, sum(n) OVER w AS s, count(*) OVER w AS c FROM (SELECT user_id, us - us % 3600000000 AS hour_us, count(*) AS n FROM dense GROUP BY ALL)
             WINDOW w AS (PARTITION BY user_id ORDER BY hour_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
 VIEWS["adecided"] = (["av", "uspike", "blacklisted"], AML_DECIDE_SQL.format(keep="txn_id, s, conf, velocity_1h, user_id", source=f"""
@@ -469,7 +463,7 @@ VIEWS["adecided"] = (["av", "uspike", "blacklisted"], AML_DECIDE_SQL.format(keep
     FROM (SELECT x.*, CASE maturity WHEN 'COLD' THEN {AML_COLD} WHEN 'WARMING' THEN 0.3::DOUBLE * ml + 0.7::DOUBLE * 0.5::DOUBLE WHEN 'WARM' THEN 0.7::DOUBLE * ml + 0.3::DOUBLE * 0.5::DOUBLE ELSE ml END AS s0,
            CASE maturity WHEN 'COLD' THEN 0.1 WHEN 'WARMING' THEN 0.3 WHEN 'WARM' THEN pow(0.7::DOUBLE * 0.7::DOUBLE, 1.0::DOUBLE / 3.0::DOUBLE) ELSE pow(0.7::DOUBLE, 1.0::DOUBLE / 3.0::DOUBLE) END::DOUBLE AS conf,
            txn_id % 41 = 0 AS h1, txn_id % 43 = 0 AS h2, user_id % 29 = 0 AS h3, bd = 1 AS h4, structuring_score_24h > 0.5 AS g
-    FROM (SELECT av.*, coalesce(u.p, false) AS p, {MATURITY_SQL} AS maturity, bd, {AML_HEUR} AS ml
+    FROM (SELECT av.*, coalesce(velocity_1h * u.c > 3 * u.s, false) AS p, {MATURITY_SQL} AS maturity, bd, {AML_HEUR} AS ml
           FROM (SELECT *, {AML_RATIO} FROM av) av LEFT JOIN uspike u ON u.user_id = av.user_id AND u.hour_us = av.us - av.us % 3600000000
           JOIN (SELECT txn_id AS tid, blacklisted_device AS bd FROM blacklisted) ON tid = txn_id) x))"""))
 

@@ -193,8 +193,8 @@ VIEWS["fv"] = (["dense", "geo", "devices", "accounts", "confirmed"], f"""
       LEFT JOIN geo g USING (txn_id) LEFT JOIN devices d USING (device) LEFT JOIN accounts a ON a.user_id = t.user_id
       LEFT JOIN (SELECT user_id, min(us) AS first_us FROM confirmed GROUP BY user_id) f ON f.user_id = t.user_id""")
 VIEWS["av"] = (["structured", "accounts", "ip_geo", "user_graph"], f"""
-      SELECT t.txn_id, t.user_id, t.us, t.amount, n1::DOUBLE AS velocity_1h, n24::DOUBLE AS velocity_24h,
-             coalesce(s24, 0) / 100.0::DOUBLE AS total_volume_24h,
+      SELECT t.txn_id, t.user_id, t.us, t.amount, count_1h::DOUBLE AS velocity_1h, count_24h::DOUBLE AS velocity_24h,
+             sum_24h / 100.0::DOUBLE AS total_volume_24h,
              CASE WHEN n30 > 0 THEN s30::DOUBLE / n30::DOUBLE / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS avg_amount_30d,
              CASE WHEN n30 > 1 THEN round(sqrt(greatest((q30::DOUBLE - s30::DOUBLE * s30::DOUBLE / n30::DOUBLE) / (n30::DOUBLE - 1.0), 0.0)) / 100.0::DOUBLE, 4) ELSE 0.0::DOUBLE END AS std_amount_30d,
              {TOD_SQL} AS time_of_day,
@@ -208,7 +208,7 @@ VIEWS["av"] = (["structured", "accounts", "ip_geo", "user_graph"], f"""
              coalesce(upper(i.ip_country) <> upper(t.country), false)::INTEGER::DOUBLE AS ip_country_mismatch,
              coalesce(hist, 0)::DOUBLE AS historical_structuring_flag, structuring_score_24h, rapid_drain_flag::DOUBLE AS rapid_drain_flag,
              t.country, t.device, t.ip, t.merchant_id
-      FROM (SELECT *, count(*) {over('1h')} AS n1, count(*) {over('24h')} AS n24, sum(cents) {over('24h')} AS s24, count(*) {over('30d')} AS n30,
+      FROM (SELECT *, count(*) {over('30d')} AS n30,
                    sum(cents) {over('30d')} AS s30, sum(cents::HUGEINT * cents::HUGEINT) {over('30d')} AS q30,
                    count(DISTINCT device) {over('30d')} AS dev30, count(DISTINCT ip) {over('30d')} AS ip30,
                    CASE WHEN us - lag(us) OVER (PARTITION BY user_id, device ORDER BY us, txn_id) < 2592000000000 THEN 0 ELSE 1 END AS newdev
@@ -216,7 +216,7 @@ VIEWS["av"] = (["structured", "accounts", "ip_geo", "user_graph"], f"""
       LEFT JOIN accounts a ON a.user_id = t.user_id LEFT JOIN ip_geo i USING (ip) LEFT JOIN user_graph g ON g.user_id = t.user_id""")
 VIEWS["msess"] = (["dense"], session_counts("dense", "merchant_id"))
 VIEWS["mspike"] = (["dense"], """
-      SELECT merchant_id, hour_us, n, coalesce(n * c > 3 * s, false)::INTEGER AS velocity_spike_flag
+      SELECT merchant_id, hour_us, s, c
       FROM (SELECT *, sum(n) OVER w AS s, count(*) OVER w AS c
             FROM (SELECT merchant_id, us - us % 3600000000 AS hour_us, count(*) AS n FROM dense GROUP BY ALL)
             WINDOW w AS (PARTITION BY merchant_id ORDER BY hour_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
@@ -246,7 +246,7 @@ VIEWS["mv"] = (["msess", "mspike", "mratio", "magg", "merchant_accounts", "mcc_t
              coalesce(chargeback_rate_90d, 0)::DOUBLE AS chargeback_rate_90d, coalesce(refund_rate_90d, 0)::DOUBLE AS refund_rate_90d,
              coalesce(((t.us - a.created_us) - ((t.us - a.created_us) % 86400000000 + 86400000000) % 86400000000) / 86400000000, 0.0)::DOUBLE AS account_age_days,
              coalesce(fraud_transaction_rate, 0)::DOUBLE AS fraud_transaction_rate, coalesce(high_risk_customer_ratio, 0)::DOUBLE AS high_risk_customer_ratio,
-             coalesce(cross_border_ratio, 0)::DOUBLE AS cross_border_ratio, coalesce(velocity_spike_flag, 0)::DOUBLE AS velocity_spike_flag,
+             coalesce(cross_border_ratio, 0)::DOUBLE AS cross_border_ratio, coalesce(count_1h * s.c > 3 * s.s, false)::INTEGER::DOUBLE AS velocity_spike_flag,
              coalesce(mcc_risk_score, 0)::DOUBLE AS mcc_risk_score, coalesce(avg_customer_risk_score, 0)::DOUBLE AS avg_customer_risk_score
       FROM (SELECT *, count(DISTINCT user_id) {over('24h', 'merchant_id')} AS u24 FROM msess) t
       LEFT JOIN mspike s ON s.merchant_id = t.merchant_id AND s.hour_us = t.us - t.us % 3600000000

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.joins import lookup
-from ..functions.timeline import slice_start
 from ..functions import constants as K
 from ..operators import decisions, profiles, screening, vector, velocity
 from ..sources import ingest
@@ -53,8 +52,7 @@ def score_all(txn: DataFrame, refs: References, maturity=None) -> DataFrame:
     fraud = decisions.fraud_score_batch(fv, level).withColumn("entity_id", F.col("user_id"))
 
     av = vector.aml_vector(txn, refs.accounts, refs.ip_geo, refs.user_graph, ["country"])
-    spikes = velocity.velocity_spike(txn, "user_id").select("user_id", "hour_us", F.col("velocity_spike_flag").alias("velocity_spike"))
-    av = lookup(av.withColumn("hour_us", slice_start(F.col("us"), K.HOUR)), spikes, {"user_id": "user_id", "hour_us": "hour_us"}, ["txn_id"])
+    av = velocity.with_hourly_past(av, txn, "user_id").withColumn("velocity_spike", velocity.spike_flag(F.col("velocity_1h"))).drop("past_n", "past_hours")
     av = lookup(av, refs.watchlist.select("user_id", "sanctions_match", "watchlist_hit"), {"user_id": "user_id"}, ["txn_id"])
     av = av.join(flags.select("txn_id", "blacklisted_user", "blacklisted_device"), "txn_id", "left").fillna(0, ["velocity_spike", "sanctions_match", "watchlist_hit"])
     aml = decisions.aml_score_batch(av, level).withColumn("entity_id", F.col("user_id"))

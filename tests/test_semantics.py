@@ -101,8 +101,18 @@ def test_lookup_keeps_rows_and_leaves_unknown_null(spark):
 def test_top_n_is_exact(spark):
     rows = [(i, (i * 37) % 50) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, v long")
-    got = [tuple(r) for r in top_n(df, 23, F.col("v"), [F.col("id")], F.floor(F.col("v") / 10)).collect()]
-    assert got == sorted(rows, key=lambda x: (-x[1], x[0]))[:23]
+    for n in (0, 23, 100, 500, 900):
+        got = sorted(tuple(r) for r in top_n(df, n, F.col("v"), -F.col("id")).collect())
+        assert got == sorted(sorted(rows, key=lambda x: (-x[1], x[0]))[:n])
+
+
+def test_top_n_cuts_without_ordering(spark):
+    """Half of many rows, a third of them equal, some null."""
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 3 == 0, 7.5).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) / 64).alias("v"))
+    got = {r["id"] for r in top_n(rows, 30_000, F.col("v"), -F.col("id")).collect()}
+    want = sorted(rows.collect(), key=lambda r: (r["v"] is None, -(r["v"] or 0), r["id"]))[:30_000]
+    assert got == {r["id"] for r in want}
+    assert top_n(rows, None, F.col("v")) is rows
 
 
 # ---- features ------------------------------------------------------------------------

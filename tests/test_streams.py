@@ -25,7 +25,7 @@ def _refs(v):
 def test_scored_stream_equals_batch(spark, tmp_path):
     """Two micro-batches in time order, scored against the stored past, against one scoring of everything."""
     v = Views(spark, FOLDER)
-    t = v.dense.filter("user_id % 2 = 0")
+    t = v.dense
     middle = t.approxQuantile("us", [0.5], 0.0)[0]
     for part in (F.col("us") < middle, F.col("us") >= middle):
         t.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -38,9 +38,8 @@ def test_scored_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out" / "results")).select(cols).toPandas()
     want = scoring.score_all(t, _refs(v)).select(cols).toPandas()
     key = ["domain", "txn_id"]
-    # a merchant's hourly spike flag knows the whole hour in a batch, but only its start in a stream
-    keep = got["domain"] == "fraud"
-    got, want = got[keep].sort_values(key).reset_index(drop=True), want[want["domain"] == "fraud"].sort_values(key).reset_index(drop=True)
+    assert set(got["domain"]) == {"fraud", "aml", "merchant"}
+    got, want = (x.sort_values(key).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want)
 
 
