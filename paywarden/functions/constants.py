@@ -84,9 +84,10 @@ PRIOR_DEFAULTS = {
 # --- fixed values: currency and country lists --------------------------------
 HIGH_RISK_CURRENCIES = ["IRR", "KPW", "SYP", "VEF", "ZWD", "SDG", "MMK", "CUP"]
 MEDIUM_RISK_CURRENCIES = ["NGN", "GHS", "TZS", "UGX", "ETB"]
-HIGH_RISK_COUNTRIES = (
-    "IR KP MM SY YE AF PK NG AL BB BF CM CD GH HT JM JO ML MZ PA PH SN SS TZ TR UG VN ZA".split()
-)
+HIGH_RISK_COUNTRIES = [
+    "IR", "KP", "MM", "SY", "YE", "AF", "PK", "NG", "AL", "BB", "BF", "CM", "CD", "GH", "HT", "JM", "JO", "ML", "MZ", "PA", "PH", "SN", "SS", "TZ", "TR", "UG",
+    "VN", "ZA",
+]
 SANCTIONED_OVERRIDE = ["IR", "KP", "SY", "CU"]
 SANCTIONED_PROXIMITY = ["IR", "KP", "SY", "CU", "VE"]
 AML_BUMP_COUNTRIES = ["IR", "KP", "SY", "AF", "YE"]
@@ -156,19 +157,19 @@ TRANSFER_RULES = [
 # --- fixed values: feature views for co-training ----------------------------------
 FEATURE_VIEWS = {
     "fraud": {
-        "transaction_view": FRAUD_FEATURES[9:13],
-        "user_view": FRAUD_FEATURES[0:6],
-        "device_view": FRAUD_FEATURES[6:9],
+        "transaction_view": ["amount", "geo_distance_from_last_tx", "time_of_day", "currency_risk"],
+        "user_view": ["avg_transaction_amount_7d", "transaction_velocity_1h", "transaction_velocity_24h", "failed_login_attempts_24h", "account_age_days", "historical_fraud_flag"],
+        "device_view": ["device_risk_score", "device_fraud_count", "distinct_user_count"],
     },
     "aml": {
-        "transaction_view": AML_FEATURES[0:8],
-        "entity_view": AML_FEATURES[8:13],
-        "network_view": AML_FEATURES[13:22],
+        "transaction_view": ["amount", "velocity_1h", "velocity_24h", "total_volume_24h", "avg_amount_30d", "std_amount_30d", "time_of_day", "is_cross_border"],
+        "entity_view": ["account_age_days", "device_count_30d", "ip_count_30d", "new_device_flag", "kyc_completeness_score"],
+        "network_view": ["network_risk_score", "circular_transfer_flag", "shared_device_cluster_size", "high_risk_country_flag", "sanctions_proximity_score", "ip_country_mismatch", "historical_structuring_flag", "structuring_score_24h", "rapid_drain_flag"],
     },
     "merchant": {
-        "velocity_view": MERCHANT_FEATURES[0:4],
-        "aggregate_view": MERCHANT_FEATURES[4:9],
-        "risk_view": MERCHANT_FEATURES[9:15],
+        "velocity_view": ["transaction_count_1h", "transaction_count_24h", "transaction_volume_24h", "unique_customers_24h"],
+        "aggregate_view": ["avg_transaction_amount_30d", "std_transaction_amount_30d", "chargeback_rate_90d", "refund_rate_90d", "account_age_days"],
+        "risk_view": ["fraud_transaction_rate", "high_risk_customer_ratio", "cross_border_ratio", "velocity_spike_flag", "mcc_risk_score", "avg_customer_risk_score"],
     },
 }
 

@@ -82,6 +82,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         got = sent.groupBy("node").agg(F.sum(F.col("share") * F.col("rank")).alias("g"))
         ranks = nodes.join(got, "node", "left").select("node", (base + F.lit(damping) * F.coalesce("g", F.lit(0.0))).alias("rank"))
         done += 1
+        if (done + 1) % every == 0:  # the round that the next one is compared with
+            ranks = cut(ranks)
         if done % every == 0 and done < rounds:
             ranks = cut(ranks)
             if tolerance is not None:

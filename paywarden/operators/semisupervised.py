@@ -57,12 +57,12 @@ def self_training(labelled: DataFrame, unlabelled: DataFrame, domain: str, round
     train, holdout, n = _start(labelled)
     pool = cut(unlabelled)
     model = _fit(domain, train, trees, depth)
-    best, history = _auc(model, holdout), []
+    best = before = _auc(model, holdout)
+    history = []
     kept = previous = None
     for r in range(rounds):
         pos, neg = pseudo.thresholds_at(r)
-        chosen = pseudo.select_confident(_score(model, pool).select(ID, "p"), pos, neg)
-        chosen = cut(pseudo.keep_most_confident(chosen, n).select(ID, "pseudo_label", "confidence"))
+        chosen = cut(pseudo.select_confident(_score(model, pool).select(ID, "p"), pos, neg).select(ID, "pseudo_label", "confidence"))
         count = chosen.count()
         flips = 0.0 if previous is None else (pseudo.flip_rate(previous, chosen).first()["flip_rate"] or 0.0)
         safe = count <= 3.0 * n and flips <= 0.10
@@ -72,7 +72,7 @@ def self_training(labelled: DataFrame, unlabelled: DataFrame, domain: str, round
         model = _fit(domain, _with_pseudo(train, chosen, pool), trees, depth)
         auc = _auc(model, holdout)
         history.append(("SELF_TRAINING", r, round(auc, 4), count, flips, 1))
-        gain, previous = auc - best, chosen
+        gain, before, previous = auc - before, auc, chosen
         if kept is None or auc > best:
             kept = chosen
         best = max(best, auc)
@@ -95,7 +95,7 @@ def label_spreading(labelled: DataFrame, unlabelled: DataFrame, width: int, k: i
                     tolerance: float = 1e-3, every: int = 5) -> DataFrame:
     """Pseudo-labels spread over the graph of near rows; accepted from ``accept`` confidence, the surest first.
 
-    Neighbours are found along random directions (``training.near_rows``), so dense regions cost no more.
+    Neighbours are exact (``training.near_rows``).
     """
     both = labelled.select(ID, "x", F.col("y").cast("int").alias("y")).unionByName(unlabelled.select(ID, "x", F.lit(None).cast("int").alias("y")))
     z = cut(standardise(both, width))
@@ -112,6 +112,8 @@ def label_spreading(labelled: DataFrame, unlabelled: DataFrame, width: int, k: i
         near = lookup(links, state, {"other": "id"}, ["id"]).groupBy("id").agg(F.sum(F.col("w") * F.col("f1")).alias("s1"), F.sum(F.col("w") * F.col("f0")).alias("s0"))
         mix = lambda s, y: alpha * F.coalesce(F.col(s), F.lit(0.0)) + (1 - alpha) * F.col(y)
         state = seed.join(near, "id", "left").select("id", mix("s1", "y1").alias("f1"), mix("s0", "y0").alias("f0"))
+        if (r + 2) % every == 0:  # the round that the next one is compared with
+            state = cut(state)
         if (r + 1) % every == 0:
             state = cut(state)
             moved = state.join(before.select("id", F.col("f1").alias("o1"), F.col("f0").alias("o0")), "id").agg(F.sum(F.abs(F.col("f1") - F.col("o1")) + F.abs(F.col("f0") - F.col("o0")))).first()[0]

@@ -91,40 +91,106 @@ def train_classifier(df: DataFrame, domain: str, id_col: str, folds: int = 5, tr
 
 
 # ---- neighbours ------------------------------------------------------------------------
-def _directions(width: int, count: int, seed: int) -> list[list[float]]:
-    rng = np.random.default_rng(seed)
-    return rng.normal(size=(count, width)).tolist()
-
-
-def near_rows(df: DataFrame, id_col: str, width: int, k: int, projections: int = 6, reach: int = 8, seed: int = SEED, rows_per_range: int = 50_000) -> DataFrame:
-    """About the k nearest rows of every row: (id, other, distance, rank). ``df``: id and ``x``, an array.
-
-    The rows are ordered along several random directions; rows close in one order are compared.
-    The work is n x projections x 2 x reach however the data clusters: equal points merely lie
-    side by side, so there is no bucket that could fill up.
+#: Rows of either side that meet in one task, and the most pivots.
+BLOCK, PIVOTS = 2000, 512
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances between two sets of points, by differences (a matrix product would round near neighbours)."""
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+
+
+def _nearest_in(q_id, q, d_id, d, k: int, bound=None):
+    """(query, other, distance) of the k nearest rows of a block; copies of the query itself are left out, further ones than ``bound`` too."""
+    out = []
+    step = max(1, 4_000_000 // max(1, d.size))
+    for i in range(0, len(q), step):
+        dist = _distances(q[i:i + step], d)
+        dist[q_id[i:i + step, None] == d_id[None, :]] = np.inf
+        if bound is not None:
+            dist[dist > bound[i:i + step, None]] = np.inf
+        for j, row in enumerate(dist):
+            kth = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+            near = np.flatnonzero((row <= kth) & np.isfinite(row))
+            near = near[np.lexsort((d_id[near], row[near]))][:k]
+            out.append((np.full(len(near), q_id[i + j]), d_id[near], row[near]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+
+def near_rows(df: DataFrame, id_col: str, width: int, k: int, seed: int = SEED, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """The k nearest other rows of every row: (id, other, distance, rank), ties by id. ``df``: a long id and ``x``, an array.
+
+    Exact. Rows belong to the cell of their nearest pivot (sampled rows). The k-th distance inside a part
+    of the own cell bounds the search; a row then visits only cells that can hold a nearer one, by the
+    triangle inequality. Cells and their visitors are split into blocks of at most about ``block`` rows,
+    which meet pair by pair, so that a cell of many equal rows is many tasks. In data without structure
+    every cell is visited and the work is that of all block pairs.
     """
-    n = df.count()
-    parts = max(1, min(4096, n // rows_per_range))
-    dirs = _directions(width, projections, seed)
-    dots = [F.aggregate(F.zip_with("x", F.array(*[F.lit(c) for c in d]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for d in dirs]
-    # copies of one point get slightly different places, so that ranges can cut between them
-    pos = df.select(F.col(id_col).alias("id"), *[(p + (_unit(F.col(id_col), F.lit(i)) - 0.5) * 1e-6 * (F.abs(p) + 1.0)).alias(f"_d{i}") for i, p in enumerate(dots)])
-    cuts = value_slices(pos, [f"_d{i}" for i in range(projections)], parts) if parts > 1 else {}
-    entries = []
-    for i in range(projections):
-        pos = sliced_by_value(pos, f"_d{i}", cuts.get(f"_d{i}", []), f"_r{i}")
-        entries.append(F.struct(F.lit(i).alias("_i"), F.col(f"_r{i}").alias("_r"), F.col(f"_d{i}").alias("v")))
-    line = pos.select("id", F.explode(F.array(*entries)).alias("e")).select("id", "e.*")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_i", "_r").orderBy("v", "id")
-    other = F.array_compact(F.array(*[f("id", s).over(w) for s in range(1, reach + 1) for f in (F.lag, F.lead)]))
-    cand = line.select("id", other.alias("_o")).select("id", F.explode("_o").alias("other")).distinct()
-    x = df.select(F.col(id_col).alias("_id"), "x")
-    j = cand.join(x.select(F.col("_id").alias("id"), F.col("x").alias("a")), "id").join(x.select(F.col("_id").alias("other"), F.col("x").alias("b")), "other")
-    dist = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    # at most 2 * reach * projections candidates per row
-    best = j.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct(dist.alias("distance"), "other"))), 1, k).alias("b"))
+    import pyarrow as pa
+
+    x = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")).filter("id is not null and x is not null"))
+    n = x.count()
+    schema = "id long, other long, distance double"
+    if n < 2:
+        return x.sparkSession.createDataFrame([], schema + ", rank int")
+    wanted = min(pivots, max(1, n // block))
+    points = x.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(wanted).select("x").collect()  # at most ``pivots`` rows
+    centre = np.array([r["x"] for r in points], float)
+
+    def matrix(column) -> np.ndarray:
+        return np.array(column.to_pylist(), float).reshape(len(column), -1)
+
+    def placed(parts):
+        for part in parts:
+            if part.num_rows:
+                d = _distances(matrix(part.column("x")), centre)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("x"), pa.array(cell), pa.array(d[np.arange(len(d)), cell])], names=["id", "x", "cell", "reach"])
+
+    rows = cut(x.mapInArrow(placed, "id long, x array<double>, cell long, reach double"))
+    cells = {r["cell"]: (r["n"], r["r"]) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()}  # one row a pivot
+
+    def blocks_of(counts: dict[int, int]):
+        return F.element_at(F.create_map(*[F.lit(v) for c, m in counts.items() for v in (c, max(1, -(-m // block)))]), F.col("cell"))
+
+    parts = blocks_of({c: m for c, (m, _) in cells.items()})
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), parts.cast("long")))
+
+    def bounded(table):
+        ids, points = table.column("id").to_numpy(), matrix(table.column("x"))
+        q, _, d = _nearest_in(ids, points, ids, points, k)
+        last = dict.fromkeys(ids.tolist(), (0, 0.0))
+        for i, v in zip(q.tolist(), d.tolist()):
+            last[i] = (last[i][0] + 1, v)
+        bound = [last[i][1] if last[i][0] >= k else float("inf") for i in ids.tolist()]
+        return pa.table({"id": table.column("id"), "x": table.column("x"), "bound": pa.array(bound, pa.float64())})
+
+    asked = rows.groupBy("cell", "part").applyInArrow(bounded, "id long, x array<double>, bound double")
+    known = np.array(sorted(cells))
+    radius = np.array([cells[c][1] for c in known.tolist()])
+
+    def visits(batches):
+        for b in batches:
+            if b.num_rows:
+                least = _distances(matrix(b.column("x")), centre[known]) - radius[None, :]
+                bound = b.column("bound").to_numpy(zero_copy_only=False)
+                q, c = np.nonzero(least <= bound[:, None] * (1 + 1e-9) + 1e-12)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(q)), b.column("x").take(pa.array(q)), b.column("bound").take(pa.array(q)), pa.array(known[c], pa.int64())], names=["id", "x", "bound", "cell"])
+
+    asked = cut(asked.mapInArrow(visits, "id long, x array<double>, bound double, cell long"))
+    chunks = blocks_of({r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()})
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m.cast("long") - 1))
+    data = rows.select("cell", "part", each(chunks).alias("chunk"), "id", "x", F.lit(None).cast("double").alias("bound"))
+    ask = asked.select("cell", each(parts).alias("part"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), chunks.cast("long")).alias("chunk"), "id", "x", "bound")
+
+    def meet(table):
+        bound = table.column("bound").to_numpy()
+        ids, points, is_query = table.column("id").to_numpy(), matrix(table.column("x")), ~np.isnan(bound)
+        q, o, d = _nearest_in(ids[is_query], points[is_query], ids[~is_query], points[~is_query], k, bound[is_query])
+        return pa.table({"id": pa.array(q, pa.int64()), "other": pa.array(o, pa.int64()), "distance": pa.array(d, pa.float64())})
+
+    found = data.unionByName(ask).groupBy("cell", "part", "chunk").applyInArrow(meet, schema)
+    best = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("b"))  # k for each block visited
     e = best.select("id", F.posexplode("b").alias("rank", "e"))
     return e.select("id", F.col("e.other").alias("other"), F.col("e.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
 

@@ -1,6 +1,7 @@
 """Source, sink and contract queries over the given tables."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def _scratch(v, name):
     base = checkpoint_folder(v.spark)
     if v.spark.sparkContext.master.startswith("local") and "://" not in base:
         return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    return f"{base}/{name}-{v.spark.sparkContext.applicationId}-{abs(hash((name, v.folder)))}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def event_json(v):

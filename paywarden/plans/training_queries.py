@@ -30,6 +30,16 @@ def train_classifier(v):
     return T.train_classifier(T.with_vector(ml(v)), "fraud", "vec_id", folds=3, trees=TREES, depth=4)[1]
 
 
+@query("near_rows", using("", """
+  SELECT id, other, rank, round(distance, 6) AS distance FROM
+    (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance,
+            row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank
+     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 10"""))
+def near_rows(v):
+    """The ten nearest rows of every embedding, in blocks small enough to meet many of them here."""
+    return T.near_rows(ml(v), "vec_id", WIDTH, 10, block=200).select("id", "other", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query("oversample")
 def oversample(v):
     """Counts of synthetic rows per strategy, and their mean first coordinate."""

@@ -70,9 +70,12 @@ def messages(scored: DataFrame) -> DataFrame:
 
 
 def _past(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
+    """Rows of earlier batches; None if there are none yet. Any other failure to read is raised."""
     try:
         return spark.read.parquet(path).filter(F.col("batch") < batch).drop("batch")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

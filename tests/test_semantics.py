@@ -384,15 +384,15 @@ def test_isolation_forest_finds_planted_outliers(spark):
     assert all(r["impact"] > 0 and r["feature"] == 1 for r in top)
 
 
-def test_near_rows_find_most_true_neighbours(spark):
+def test_near_rows_are_the_nearest(spark):
+    """Clusters, scattered points, and one point that a third of the rows share."""
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(200, 4))
-    df = spark.createDataFrame(pd.DataFrame({"id": range(200), "x": x.tolist()}), "id long, x array<double>")
-    got = {(r["id"], r["other"]) for r in training.near_rows(df, "id", 4, 3, projections=8, reach=12).collect()}
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    x = np.vstack([rng.normal(size=(150, 4)), rng.normal(size=(150, 4)) * 0.1 + rng.integers(0, 5, size=(150, 1)) * 3, np.full((150, 4), 1.5)])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(450), "x": x.tolist()}), "id long, x array<double>")
+    got = {(r["id"], r["rank"]): r["other"] for r in training.near_rows(df, "id", 4, 3, block=40).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
-    want = {(i, int(j)) for i in range(200) for j in np.argsort(d[i])[:3]}
-    assert len(got & want) / len(want) > 0.85
+    assert got == {(i, r + 1): int(j) for i in range(450) for r, j in enumerate(np.lexsort((np.arange(450), d[i]))[:3])}
 
 
 def test_oversampling_balances_and_interpolates(spark):
@@ -437,12 +437,10 @@ def test_noise_is_standard_normal_and_repeatable(spark):
     assert again == pytest.approx(z.sum())
 
 
-def test_copies_of_one_point_are_split_into_ranges(spark):
-    """A third of the rows are the same point; no range of the ordering holds them all."""
+def test_copies_of_one_point_are_split_into_blocks(spark):
+    """A third of the rows are the same point; no task meets them all, and each finds others of them."""
     rng = np.random.default_rng(12)
     x = np.vstack([np.zeros((300, 2)), rng.normal(size=(600, 2))])
     df = spark.createDataFrame(pd.DataFrame({"id": range(900), "x": x.tolist()}), "id long, x array<double>")
-    near = training.near_rows(df, "id", 2, 3, projections=2, reach=4, rows_per_range=50)
-    got = near.filter("id < 300").collect()
-    assert len({r["id"] for r in got}) == 300
-    assert sum(r["distance"] < 1e-9 for r in got) / len(got) > 0.95
+    got = training.near_rows(df, "id", 2, 3, block=50).filter("id < 300").collect()
+    assert len(got) == 900 and all(r["distance"] == 0 and r["other"] in (0, 1, 2, 3) for r in got)
