@@ -151,33 +151,43 @@ def _finish(v: DataFrame, domain: str, score: Column, confidence: Column, verdic
     return s.select(*v.columns, "score", *[F.col(f"_v.{p}").alias(p) for p in parts], F.col("_conf").alias("confidence"))
 
 
-def _scored(v: DataFrame, domain: str, cold: Column, maturity: Column, anomaly, ensemble) -> tuple[Column, Column]:
+def _scored(domain: str, cold: Column, maturity: Column, anomaly, ensemble, ml, calibrated) -> tuple[Column, Column]:
+    """Blended score; rows without a model's own score fall back to the rules, and count as not calibrated."""
     none = F.lit(None).cast("double")
-    return scoring.blend_by_maturity(scoring.heuristic(domain), none if anomaly is None else anomaly,
-                                     none if ensemble is None else ensemble, cold, maturity)
+    rules = scoring.heuristic(domain)
+    own = F.lit(False) if ml is None else ml.isNotNull()
+    quality = own & (F.lit(calibrated) if isinstance(calibrated, bool) else F.coalesce(calibrated, F.lit(False)))
+    return scoring.blend_by_maturity(rules if ml is None else F.coalesce(ml, rules), none if anomaly is None else anomaly,
+                                     none if ensemble is None else ensemble, cold, maturity, quality)
 
 
-def fraud_score_batch(v: DataFrame, maturity: Column, anomaly: Column | None = None, ensemble: Column | None = None) -> DataFrame:
-    """Score and decide fraud vectors that also carry the six override flags (0/1)."""
+def fraud_score_batch(v: DataFrame, maturity: Column, anomaly: Column | None = None, ensemble: Column | None = None,
+                      ml: Column | None = None, calibrated: bool | Column = False) -> DataFrame:
+    """Score and decide fraud vectors that also carry the six override flags (0/1).
+
+    ``ml`` is a trained model's score (null: none, the rules stand in), ``calibrated`` whether it was calibrated.
+    """
     names = ["sanctioned_country", "blacklisted_device", "blacklisted_ip", "blacklisted_user", "velocity_anomaly", "new_account_high_amount"]
     flags = {n: F.col(n) == 1 for n in names}
     cold = scoring.fraud_cold(flags["velocity_anomaly"], flags["new_account_high_amount"])
-    score, conf = _scored(v, "fraud", cold, maturity, anomaly, ensemble)
+    score, conf = _scored("fraud", cold, maturity, anomaly, ensemble, ml, calibrated)
     return _finish(v, "fraud", score, conf, lambda s, c: fraud_decide(s, flags, c, maturity))
 
 
-def aml_score_batch(v: DataFrame, maturity: Column, anomaly: Column | None = None, ensemble: Column | None = None) -> DataFrame:
+def aml_score_batch(v: DataFrame, maturity: Column, anomaly: Column | None = None, ensemble: Column | None = None,
+                    ml: Column | None = None, calibrated: bool | Column = False) -> DataFrame:
     """Score and decide AML vectors with country, screening flags, blacklist flags and velocity_spike (0/1)."""
     names = ["sanctions_match", "watchlist_hit", "blacklisted_user", "blacklisted_device", "velocity_spike"]
     flags = {n: F.col(n) == 1 for n in names}
     flags["structuring_detected"] = F.coalesce(F.col("structuring_score_24h") > 0.5, F.lit(False))
-    score, conf = _scored(v, "aml", scoring.aml_cold(), maturity, anomaly, ensemble)
+    score, conf = _scored("aml", scoring.aml_cold(), maturity, anomaly, ensemble, ml, calibrated)
     out = _finish(v, "aml", scoring.aml_country_bump(score, F.col("country")), conf, lambda s, c: aml_decide(s, flags, c, maturity))
     return out.withColumn("risk_factors", aml_risk_factors(F.col("overrides")))
 
 
-def merchant_score_batch(v: DataFrame, maturity: Column, anomaly: Column | None = None, ensemble: Column | None = None) -> DataFrame:
-    score, conf = _scored(v, "merchant", scoring.merchant_cold(), maturity, anomaly, ensemble)
+def merchant_score_batch(v: DataFrame, maturity: Column, anomaly: Column | None = None, ensemble: Column | None = None,
+                         ml: Column | None = None, calibrated: bool | Column = False) -> DataFrame:
+    score, conf = _scored("merchant", scoring.merchant_cold(), maturity, anomaly, ensemble, ml, calibrated)
     out = _finish(v, "merchant", score, conf, lambda s, c: merchant_decide(
         s, F.col("chargeback_rate_90d"), F.col("fraud_transaction_rate"), F.col("velocity_spike_flag") > 0, c, maturity))
     return out.withColumn("risk_factors", merchant_risk_factors(F.col("overrides")))

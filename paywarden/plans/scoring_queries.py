@@ -430,6 +430,25 @@ def cold_fraud_decisions(v):
     return D.fraud_score_batch(fraud_input(v), F.lit("COLD")).groupBy("decision", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+VIEWS["ftrained"] = (["fin"], FRAUD_DECIDE_SQL.format(keep="txn_id, s, conf", source=f"""
+   (SELECT *, CASE maturity WHEN 'COLD' THEN {FRAUD_COLD} WHEN 'WARMING' THEN 0.3::DOUBLE * ml + 0.7::DOUBLE * odd WHEN 'WARM' THEN 0.7::DOUBLE * ml + 0.3::DOUBLE * odd ELSE ml END AS s,
+           CASE maturity WHEN 'COLD' THEN 0.1 WHEN 'WARMING' THEN 0.3 WHEN 'WARM' THEN pow(0.7::DOUBLE * quality, 1.0::DOUBLE / 3.0::DOUBLE) ELSE pow(quality, 1.0::DOUBLE / 3.0::DOUBLE) END::DOUBLE AS conf,
+           sanctioned_country = 1 AS h1, blacklisted_device = 1 AS h2, blacklisted_ip = 1 AS h3, blacklisted_user = 1 AS h4, velocity_anomaly = 1 AS v, new_account_high_amount = 1 AS n
+    FROM (SELECT *, {MATURITY_SQL} AS maturity, CASE WHEN txn_id % 10 = 0 THEN {FRAUD_HEUR} ELSE (txn_id * 37 % 1000) / 1000.0::DOUBLE END AS ml,
+                 CASE WHEN txn_id % 7 = 0 THEN 0.5::DOUBLE ELSE (txn_id * 53 % 1000) / 1000.0::DOUBLE END AS odd,
+                 CASE WHEN txn_id % 2 = 1 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS quality FROM (SELECT *, {FRAUD_RATIO} FROM fin)))"""))
+
+
+@query("fraud_trained_batch", using("ftrained", "SELECT txn_id, round(s, 6) AS score, round(conf, 6) AS confidence, decision, level, overrides FROM ftrained"))
+def fraud_trained_batch(v):
+    """Decisions from stored model and anomaly scores in every maturity; some rows have none, odd ids are calibrated."""
+    i = F.col("txn_id")
+    ml = F.when(i % 10 != 0, i * 37 % 1000 / 1000.0)
+    odd = F.when(i % 7 != 0, i * 53 % 1000 / 1000.0)
+    s = D.fraud_score_batch(fraud_input(v), maturity_col(), anomaly=odd, ml=ml, calibrated=i % 2 == 1)
+    return s.select("txn_id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "decision", "level", "overrides")
+
+
 @query("fail_closed", using("fdecided", """
   SELECT txn_id, CASE WHEN bad THEN 1.0 ELSE round(s, 6) END::DOUBLE AS score, CASE WHEN bad THEN 'BLOCK' ELSE decision END AS decision,
          CASE WHEN bad THEN 'CRITICAL' ELSE level END AS level, CASE WHEN bad THEN 'MODEL_FAILURE_FAIL_CLOSED' ELSE overrides END AS overrides
