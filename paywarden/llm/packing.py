@@ -18,7 +18,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,11 +119,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> Da
     dealt = kept.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
     kind = kept.schema["doc_id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        sequence, offset = assign(pdf["length"].to_numpy(np.int64), capacity)
-        pdf["sequence_id"] = sequence + (pdf["bucket"].to_numpy(np.int64) << 32)
-        pdf["offset"] = offset
-        return pdf.drop(columns="bucket")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        sequence, offset = assign(table.column("length").to_numpy(), capacity)
+        return table.drop_columns(["bucket"]).append_column("sequence_id", pa.array(sequence + (table.column("bucket")[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("bucket").applyInPandas(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return dealt.groupBy("bucket").applyInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
