@@ -215,20 +215,21 @@ def multi_view(labelled: DataFrame, unlabelled: DataFrame, domain: str, views: d
 
 def tri_training(labelled: DataFrame, unlabelled: DataFrame, domain: str, rounds: int = 8, top: int = 200, max_disagreement: float = 0.10, bootstrap: float = 0.8,
                  trees: int | None = None, depth: int | None = None):
-    """Three learners on different samples; two that agree teach the third."""
+    """Three learners of different kinds (deep and shallow boosting, forest) on different samples; two that agree teach the third."""
     train, holdout, n = _start(labelled)
     pool = cut(unlabelled)
     names = ["a", "b", "c"]
+    learners = dict(zip(names, T.base_learners(domain, trees, depth).values()))
     sets = {m: train for m in names}
     history, picked, total = [], [], 0
     for r in range(rounds):
         models = {}
-        for i, m in enumerate(names):
+        for m in names:
             # how often a row is drawn follows from its hash, so a retried task draws the same
             u = T._unit(F.col(ID), F.lit(m), F.lit(r))
             times = F.when(u < np.exp(-bootstrap), 0).when(u < np.exp(-bootstrap) * (1 + bootstrap), 1).when(u < np.exp(-bootstrap) * (1 + bootstrap + bootstrap**2 / 2), 2).otherwise(3)
             drawn = sets[m].withColumn("_t", times).filter("_t > 0").withColumn("weight", F.col("weight") * F.col("_t")).drop("_t")
-            models[m] = _fit(domain, drawn, trees, depth, T.SEED + i)
+            models[m] = learners[m].fit(T.weighted(T.with_vector(drawn), T.K.TRAINING[domain][3], "weight"))
         scores, held = pool.select(ID, "x"), holdout
         for m in names:
             scores, held = _score(models[m], scores, m), _score(models[m], held, m)

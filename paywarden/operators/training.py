@@ -244,8 +244,10 @@ def calibrate(scored: DataFrame, calibrator) -> DataFrame:
     return calibrator.transform(a.transform(scored)).drop("_pv")
 
 
-def _base_learners(domain: str, trees: int | None):
+def base_learners(domain: str, trees: int | None, depth: int | None = None):
+    """Three learners of different kinds, by name."""
     n, d, rate, _ = K.TRAINING[domain]
+    d = depth or d
     common = {"labelCol": "y", "featuresCol": "features", "weightCol": "_w"}
     return {
         "boosted_deep": GBTClassifier(maxIter=trees or n, maxDepth=d, stepSize=rate, seed=SEED, **common),
@@ -259,7 +261,7 @@ def stack(df: DataFrame, domain: str, id_col: str, folds: int = 5, trees: int |
     pos = K.TRAINING[domain][3]
     data = cut(weighted(stratified_kfold(stratified_split(df, id_col, "y"), id_col, "y", folds), pos))
     train, test = data.filter("is_test = 0"), data.filter("is_test = 1")
-    learners = _base_learners(domain, trees)
+    learners = base_learners(domain, trees)
     parts = []
     for f in range(folds):
         rest, held = train.filter(F.col("fold") != f), train.filter(F.col("fold") == f)
