@@ -12,7 +12,6 @@ compressed whole.
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
 import zstandard
@@ -26,7 +25,6 @@ SAMPLE_CHARS, MAX_LANGUAGES, TEXT_CHARS = 40_000, 200, 4_000
 #: Share that the winner must save.
 MARGIN = 0.01
 UNDECIDED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _sample(docs: DataFrame, text_col: str, lang_col: str, train: Column, chars: int) -> dict[str, bytes]:
@@ -65,7 +63,7 @@ def compressors(samples: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdComp
 
 def guess(models, text: str | None) -> tuple[str, float, float]:
     """Language, score (softmax of the sizes in bits per 64 bits of text), margin."""
-    if not text or not models or not _LETTER.search(text):
+    if not text or not models or not any(map(str.isalpha, text)):
         return UNDECIDED, 0.0, 0.0
     data = text.lower().encode("utf-8", "replace")
     sizes = [(len(c.compress(data)), lang) for lang, c in models]
