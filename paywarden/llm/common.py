@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import cut, prepare
 
-__all__ = ["batches", "cut", "folded", "held_out", "kept", "pieces_of", "read", "ready", "texts"]
+__all__ = ["batches", "cut", "draw", "folded", "held_out", "kept", "pieces_of", "read", "ready", "texts"]
 
 #: Rows in an Arrow batch. Texts are long, and a Python worker shares its executor's memory.
 BATCH_ROWS = 1000
@@ -42,6 +42,11 @@ def held_out(id_col: str, folds: int, fold: int):
     return folded(id_col, folds) == F.lit(fold)
 
 
+def draw(*columns: str):
+    """A number in [0, 1) that depends on the columns alone, fine enough to sample a few rows of any table."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
 def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
     """``fn`` gets each Arrow batch (and what ``setup`` made once per task) and returns the output columns in order."""
     flat = schema

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, texts
+from .common import batches, draw, texts
 
 #: Bounds of the training sample: characters for each language, languages, characters of one sampled text.
 SAMPLE_CHARS, MAX_LANGUAGES, TEXT_CHARS = 40_000, 200, 4_000
@@ -35,8 +35,7 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, train: Column, chars:
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * chars / r["n"]))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    picked = rows.where(draw < share[F.col("lang")]).distinct().collect()
+    picked = rows.where(draw("text") < share[F.col("lang")]).distinct().collect()
     out: dict[str, bytes] = {}
     for lang in sorted({r["lang"] for r in picked}):
         lines = sorted((r["text"] for r in picked if r["lang"] == lang), key=lambda t: (hash_of(t), t))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, texts
+from .common import batches, cut, draw, texts
 from .toxicity import logistic
 
 #: Labelled documents of each class the classifier learns from, and the longest text among them.
@@ -100,9 +100,8 @@ def _classifier(docs: DataFrame, known: DataFrame, n0: int, n1: int, id_col: str
     """Logistic weights from a bounded sample of labelled rows; None if one class is missing."""
     if not n0 or not n1:
         return None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    part = F.when(F.col("y") == 1, F.lit(int(1e6 * min(1.0, SAMPLE_DOCS / n1)))).otherwise(F.lit(int(1e6 * min(1.0, SAMPLE_DOCS / n0))))
-    drawn = cut(known.where(draw < part))  # about 2 * SAMPLE_DOCS rows
+    part = F.when(F.col("y") == 1, F.lit(min(1.0, SAMPLE_DOCS / n1))).otherwise(F.lit(min(1.0, SAMPLE_DOCS / n0)))
+    drawn = cut(known.where(draw("doc_id") < part))  # about 2 * SAMPLE_DOCS rows
     rows = texts(docs, id_col, text_col).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"])
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = batches(rows, lambda p: [p.column(0), pa.array([features(t) for t in p.column(1).to_pylist()], pa.list_(pa.float64())), p.column(2)], f"doc_id {kind}, x array<double>, y int").toPandas().sort_values("doc_id")

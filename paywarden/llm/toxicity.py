@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, kept, texts
+from .common import batches, cut, draw, kept, texts
 
 #: Bounds of the training sample: documents of each label, and the longest text in it.
 SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 20_000
@@ -266,9 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     if not (n.get(0) and n.get(1)):
         return Model(cost, {}, None)
     # most texts are shorter than SAMPLE_CHARS: somewhat more are drawn, then cut to the bound in hash order
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.when(F.col("toxic") == 1, F.lit(int(1e6 * min(1.0, 1.2 * sample_docs / n[1])))).otherwise(F.lit(int(1e6 * min(1.0, 1.2 * sample_docs / n[0]))))
-    drawn = cut(known.where(F.col("toxic").isin(0, 1) & (draw < share)))  # at most about 2.4 * sample_docs rows
+    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, 1.2 * sample_docs / n[1]))).otherwise(F.lit(min(1.0, 1.2 * sample_docs / n[0])))
+    drawn = cut(known.where(F.col("toxic").isin(0, 1) & (draw("doc_id") < share)))  # at most about 2.4 * sample_docs rows
     rows = texts(docs, id_col, text_col).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
     sample = rows.toPandas()
     sample["h"] = [int.from_bytes(hashlib.blake2b(str(d).encode(), digest_size=8).digest(), "big") for d in sample["doc_id"]]
