@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeline as tl
@@ -63,26 +63,31 @@ def parity_ratios(preds: DataFrame, attribute: str, min_size: int = 30) -> DataF
 
 
 def bias_report(preds: DataFrame, attributes: list[str], min_size: int = 30, limit: float = 0.80) -> DataFrame:
-    """One row per attribute with ratios, verdict and warnings."""
+    """One row per attribute with ratios, verdict, warnings about the ratios and the number of groups too small to judge (``bias_warnings`` names them)."""
     rows = []
     for a in attributes:
         p = parity_ratios(preds, a, min_size)
-        small = small_groups(preds, a, min_size).agg(F.sort_array(F.collect_list("warning")).alias("_w"))  # group names, not rows
-        j = p.join(F.broadcast(small))
+        small = small_groups(preds, a, min_size).agg(F.count(F.lit(1)).alias("small_groups"))
+        j = p.join(F.broadcast(small))  # one row
         def under(col, text):
             return F.when(F.col(col) < limit, F.format_string(f"{text} %.3f below threshold {limit}", col))
         own = F.array_compact(F.array(under("disparate_impact_ratio", "Disparate impact ratio"), under("fpr_parity_ratio", "FPR parity ratio"),
                                       under("equal_opportunity_ratio", "Equal opportunity ratio")))
         ok = (F.col("disparate_impact_ratio") >= limit) & (F.col("fpr_parity_ratio") >= limit) & (F.col("equal_opportunity_ratio") >= limit)
         rows.append(j.select(F.lit(a).alias("attribute"), "reference_group", "disparate_impact_ratio", "fpr_parity_ratio", "equal_opportunity_ratio",
-                             ok.cast("int").alias("passed"), F.concat("_w", own).alias("warnings")))
+                             ok.cast("int").alias("passed"), own.alias("warnings"), "small_groups"))
     return reduce(DataFrame.unionByName, rows)
 
 
+def bias_warnings(preds: DataFrame, attributes: list[str], min_size: int = 30) -> DataFrame:
+    """A row for every group too small to judge: attribute, group, n, warning."""
+    return reduce(DataFrame.unionByName, [small_groups(preds, a, min_size).select(F.lit(a).alias("attribute"), "group", "n", "warning") for a in attributes])
+
+
 def bias_summary(report: DataFrame) -> DataFrame:
     return report.agg(F.count(F.lit(1)).alias("evaluations"), F.min("passed").alias("overall_pass"),
                       F.sort_array(F.collect_list(F.when(F.col("passed") == 0, F.col("attribute")))).alias("failing_attributes"),
-                      F.sum(F.size("warnings")).alias("warnings"))
+                      F.sum(F.size("warnings") + F.col("small_groups")).alias("warnings"))
 
 
 def roc_auc(preds: DataFrame, score: str = "score") -> DataFrame:
@@ -158,11 +163,13 @@ def validation_report(preds: DataFrame, baseline: DataFrame | None, features: Da
     if attributes:
         b = bias_report(preds, attributes)
         parts.append(b.select(F.concat(F.lit("fairness_"), "attribute").alias("check_name"), "passed", F.col("disparate_impact_ratio").alias("actual"), F.lit(None).cast("double").alias("threshold")))
-        w = b.select("attribute", F.explode("warnings").alias("w"))
-        parts.append(w.select(F.concat(F.lit("fairness_"), "attribute", F.lit("_warning")).alias("check_name"), F.lit(1).alias("passed"),
-                              F.lit(None).cast("double").alias("actual"), F.lit(None).cast("double").alias("threshold")))
     checks = reduce(DataFrame.unionByName, parts)
-    return checks.withColumn("overall_pass", F.min("passed").over(Window.partitionBy()))  # a few dozen check rows
+    overall = checks.agg(F.min("passed").alias("overall_pass"))
+    if attributes:  # warnings pass; there may be one for every small group
+        w = b.select("attribute", F.explode("warnings").alias("w")).drop("w").unionByName(bias_warnings(preds, attributes).select("attribute"))
+        checks = checks.unionByName(w.select(F.concat(F.lit("fairness_"), "attribute", F.lit("_warning")).alias("check_name"), F.lit(1).alias("passed"),
+                                             F.lit(None).cast("double").alias("actual"), F.lit(None).cast("double").alias("threshold")))
+    return checks.crossJoin(F.broadcast(overall))  # one row
 
 
 # --- fixed values: acceptance limits per training job (auc, precision) ---------------

@@ -171,11 +171,11 @@ def threshold_history(v):
 
 
 # ---- fairness ---------------------------------------------------------------------------
-VIEWS["preds"] = (["eval_set"], "SELECT *, (score >= 0.5::DOUBLE)::INTEGER AS pred FROM eval_set")
+VIEWS["preds"] = (["eval_set"], "SELECT *, (score >= 0.5::DOUBLE)::INTEGER AS pred, (doc_id // 50)::VARCHAR AS bucket FROM eval_set")
 
 
 def preds(v):
-    return v.eval_set.withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    return v.eval_set.withColumn("pred", (F.col("score") >= 0.5).cast("int")).withColumn("bucket", F.floor(F.col("doc_id") / 50).cast("string"))
 
 
 def _groups_sql(attr):
@@ -209,7 +209,8 @@ def parity_ratios(v):
 
 def _report_sql(attr):
     return f"""SELECT '{attr}' AS attribute, *, (disparate_impact_ratio >= 0.8 AND fpr_parity_ratio >= 0.8 AND equal_opportunity_ratio >= 0.8)::BIGINT AS passed,
-      concat_ws('|', (SELECT string_agg('Group ''' || "group" || ''' has only ' || n || ' samples (min: 30)', '|' ORDER BY 'Group ''' || "group" || ''' has only ' || n) FROM g_{attr} WHERE n < 30),
+      (SELECT count(*) FROM g_{attr} WHERE n < 30) AS small_groups,
+      concat_ws('|',
                 CASE WHEN disparate_impact_ratio < 0.8 THEN format('Disparate impact ratio {{:.3f}} below threshold 0.8', disparate_impact_ratio) END,
                 CASE WHEN fpr_parity_ratio < 0.8 THEN format('FPR parity ratio {{:.3f}} below threshold 0.8', fpr_parity_ratio) END,
                 CASE WHEN equal_opportunity_ratio < 0.8 THEN format('Equal opportunity ratio {{:.3f}} below threshold 0.8', equal_opportunity_ratio) END) AS warnings
@@ -221,9 +222,22 @@ def bias_report(v):
     return governance.bias_report(preds(v), ["lang", "source"])
 
 
+def _small_sql(attr):
+    return f"""SELECT '{attr}' AS attribute, "group", n, 'Group ''' || "group" || ''' has only ' || n || ' samples (min: 30)' AS warning FROM g_{attr} WHERE n < 30"""
+
+
+VIEWS["g_bucket"] = (["preds"], _groups_sql("bucket"))
+
+
+@query("bias_warnings", using("g_lang g_source g_bucket", " UNION ALL ".join(map(_small_sql, ("lang", "source", "bucket")))))
+def bias_warnings(v):
+    """Languages, sources, and a fine division that has small groups at every size."""
+    return governance.bias_warnings(preds(v), ["lang", "source", "bucket"])
+
+
 @query("bias_summary", using("g_lang g_source", f"""
   SELECT count(*) AS evaluations, min(passed) AS overall_pass, coalesce(string_agg(attribute, '|' ORDER BY attribute) FILTER (passed = 0), '') AS failing_attributes,
-         sum(CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, '|')) END)::BIGINT AS warnings
+         sum(small_groups + CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, '|')) END)::BIGINT AS warnings
   FROM ({_report_sql("lang")} UNION ALL {_report_sql("source")})"""))
 def bias_summary(v):
     return governance.bias_summary(governance.bias_report(preds(v), ["lang", "source"]))

@@ -287,7 +287,7 @@ def test_parity_reference_is_most_common_group(spark):
     df = spark.createDataFrame(rows, "g string, y int, pred int")
     r = governance.bias_report(df, ["g"]).first()
     assert r["reference_group"] == "a" and r["disparate_impact_ratio"] == pytest.approx(0.4) and r["passed"] == 0
-    assert "Group 'c' has only 5 samples (min: 30)" in r["warnings"]
+    assert r["small_groups"] == 1 and [x["warning"] for x in governance.bias_warnings(df, ["g"]).collect()] == ["Group 'c' has only 5 samples (min: 30)"]
 
 
 # ---- change detection -----------------------------------------------------------------------
