@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import top_n
 from .common import batches, cut
 
-#: Words kept in the unigram model (the most frequent), and words with weights of their own in the classifier.
+#: Words kept in the unigram model (the most frequent, ties by hash), and words with weights of their own in the classifier.
 VOCABULARY, FEATURES = 50_000, 100_000
 #: Letters of a word in a segmentation, and of a label segmented at once.
 WORD_LENGTH, LONGEST = 20, 200
@@ -81,7 +82,7 @@ def unigrams(pages: DataFrame, html_col: str = "html", most: int = VOCABULARY, s
     """Log probabilities of the most frequent words over the text of all pages, and the log of the number of words. Seeds count once at least."""
     counts = cut(_counted(pages.select(F.col(f"`{html_col}`").alias("html")), html_words))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    top = top_n(counts, most, F.col("n"), F.xxhash64("word")).collect()
     total = max(2, total)
     return {w: -math.log(total) for w in seeds} | {r["word"]: math.log(r["n"] / total) for r in top}, math.log(total)
 
@@ -153,8 +154,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
                 got.update(words(h, p))
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array(got.values(), pa.int64())], names=["word", "n"])
 
-    known = rows.where("ruled = 'allow'").select("host", "path").mapInArrow(learn, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    found = known.orderBy(F.desc("n"), "word").limit(FEATURES).collect()
+    known = cut(rows.where("ruled = 'allow'").select("host", "path").mapInArrow(learn, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    found = top_n(known, FEATURES, F.col("n"), F.xxhash64("word")).collect()
     bayes = spark.sparkContext.broadcast(Bayes(unwanted, {r["word"]: r["n"] for r in found}))
 
     def run(part, words):
