@@ -12,7 +12,8 @@ Signatures travel as packed arrays dealt by hash (12 bytes each), each class onc
 classes with one signature are a group. Each class also has a parity bitmap of a few bits a shingle: bits in which two
 bitmaps differ bound from below the shingles in which the sets differ, so most chance meetings end there, without loss. A
 group's members are first held against one of them: bitmaps, then exactly, by joining the sets. Groups that still lie in
-several components are gone through pair by pair inside a task, on bitmaps, and only what survives is joined and counted.
+several components are gone through pair by pair inside a task, on bitmaps, and what survives is joined and counted: first
+the nearest pair of each two components, then whatever is still apart.
 Components are found by alternating star contraction.
 
 Edge cases: null and empty texts and texts without words have empty sets and link with nothing; texts of fewer words than a
@@ -32,14 +33,17 @@ from .common import batches, cut, pieces_of, texts
 from .shingles import mix, shingle_sets
 
 SHINGLE, PERCENT = 5, 75
-#: Documents in the sample that orders signatures, the longest text in it, and the share of it that makes a shingle frequent.
-SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT = 10_000, 100_000, 3
+#: Share of the documents in the sample that orders signatures, how many of them make a shingle frequent, and the bits in which
+#: frequent shingles are marked (a fixed size: a bit shared by chance moves a signature back in the order, on both sides alike).
+SAMPLE_SHARE, FREQUENT, MARKS = 0.05, 2, 1 << 25
 #: Sets up to this size have one part for each shingle.
 SMALL = 64
 #: Characters hashed at once; signatures held by a task before they are sent.
 CHUNK, HELD = 1_000_000, 2_000_000
 #: Rows of ids that may be broadcast (16 bytes each).
 MAX_BROADCAST = 500_000
+#: 1.05 to the seventh is more than 100 / 75.
+SIZE_REACH = 7
 _U = np.uint64
 
 
@@ -75,12 +79,11 @@ def _band_signatures(s: np.ndarray, end: int, count: int, rare: np.ndarray) -> n
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """All signatures of a set; ``frequent`` are marks."""
     n = len(s)
     if not n:
         return s
-    rare = np.ones(n, bool)
-    if len(frequent):
-        rare = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s
+    rare = ~_marked(frequent, s)
     end = band_end(n)
     out = [_band_signatures(s, end, differences(n, end - 1, percent) + 1, rare)]
     if n * 100 // percent >= end:
@@ -89,7 +92,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> n
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of 2^k cells, about two to four cells a shingle, 64 at least."""
+    """Parity of the shingles in each of 2^k cells, two to four cells a shingle, 64 at least."""
     if not len(s):
         return b""
     cells = 1 << max(6, int(2 * len(s) - 1).bit_length())
@@ -114,6 +117,11 @@ def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
     return int(np.bitwise_count(fold(x, width) ^ fold(y, width)).sum(dtype=np.int64)) * (100 + percent) <= (n + m) * (100 - percent)
 
 
+def size_code(n: int) -> int:
+    """Sizes in steps of a twentieth; linked sets are at most SIZE_REACH codes apart."""
+    return min(255, int(np.log(n) / np.log(1.05)))
+
+
 def class_key(s: np.ndarray) -> int:
     """One signed 64-bit key for equal sets: by chance, two of a billion different sets share one with probability 0.03."""
     with np.errstate(over="ignore"):
@@ -126,26 +134,41 @@ def _sets(values: list[str | None], size: int):
         yield from shingle_sets(values[a:b], size)
 
 
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """A bit array in which the shingles are marked."""
+    bits = np.zeros(MARKS // 8, np.uint8)
+    at = shingles & _U(MARKS - 1)
+    np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), (1 << (at & _U(7)).astype(np.uint8)).astype(np.uint8))
+    return bits
+
+
+def _marked(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    at = s & _U(MARKS - 1)
+    return bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1 != 0
+
+
 def _frequent(rows: DataFrame, size: int) -> np.ndarray:
-    """Sorted shingles that at least FREQUENT of the sampled documents have. Bounded by the sample."""
-    n = rows.count()
-    if not n:
-        return np.zeros(0, np.uint64)
-    share = min(1.0, SAMPLE_DOCS / n)
-    sample = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) & (F.length("text") <= SAMPLE_CHARS))
+    """Marks of shingles that at least FREQUENT of the sampled documents have."""
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(SAMPLE_SHARE * 1_000_000))
 
     def run(part):
         values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *{class_key(s): s for s in _sets(part.column(0).to_pylist(), size)}.values()]), return_counts=True)
         return [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))]
 
-    found = batches(sample.select("text"), run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("h")
-    return np.sort(found.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    found = batches(sample.select("text"), run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    bit = F.pmod("h", F.lit(MARKS))
+    words = found.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("m")).toPandas()  # MARKS / 64 rows at most
+    out = np.zeros(MARKS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
 
 def _sign(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
     """Rows of members (doc_id, class, size; the bitmap as key) and blocks of signatures (signature, class), dealt over buckets."""
     sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size))
 
+    names = ["bucket", "member", "sig", "key", "code"]
+
     def run(parts):
         seen: set[int] = set()
         held, n = [], 0
@@ -155,9 +178,11 @@ def _sign(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
             key = np.repeat(np.array([h[1] for h in held], np.int64), [len(h[0]) for h in held])
             to = (sig >> _U(32)) % _U(buckets)
             order = np.argsort(to, kind="stable")
+            code = np.repeat(np.array([h[2] for h in held], np.uint8), [len(h[0]) for h in held])[order]
             sig, key, to = (sig & _U(0xFFFFFFFF)).astype(np.uint32)[order], key[order], to[order]
-            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() + [len(to)]
-            return pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a in at[:-1]], pa.int64()), pa.nulls(len(at) - 1, pa.list_(pa.int64())), pa.array([sig[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()), pa.array([key[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["bucket", "member", "sig", "key"])
+            cuts = list(zip(at := np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist(), [*at[1:], len(to)], strict=True))
+            packed = lambda x: pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in cuts], pa.int64()), pa.nulls(len(cuts), pa.list_(pa.int64())), packed(sig), packed(key), packed(code)], names=names)
 
         for part in parts:
             members, maps = [], []
@@ -167,25 +192,25 @@ def _sign(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
                 maps.append(bitmap(s))
                 if len(s) and key not in seen:
                     seen.add(key)
-                    held.append((signatures(s, sent.value, percent), key))
+                    held.append((signatures(s, sent.value, percent), key, size_code(len(s))))
                     n += len(held[-1][0])
-            yield pa.RecordBatch.from_arrays([pa.array([(m[1] ^ i) % buckets for i, m in enumerate(members)], pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.nulls(len(members), pa.binary()), pa.array(maps, pa.binary())], names=["bucket", "member", "sig", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([(m[1] ^ i) % buckets for i, m in enumerate(members)], pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.nulls(len(members), pa.binary()), pa.array(maps, pa.binary()), pa.nulls(len(members), pa.binary())], names=names)
             if n >= HELD:
                 yield signed()
                 held, n = [], 0
         if held:
             yield signed()
 
-    return rows.mapInArrow(run, "bucket bigint, member array<bigint>, sig binary, key binary")
+    return rows.mapInArrow(run, "bucket bigint, member array<bigint>, sig binary, key binary, code binary")
 
 
-def _groups(sig: np.ndarray, key: np.ndarray):
-    """Distinct groups of two classes or more with one signature: (group id, sorted classes)."""
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
+def _groups(sig: np.ndarray, key: np.ndarray, code: np.ndarray):
+    """Distinct groups of two classes or more with one signature, parted where sizes are too far apart: (group id, classes)."""
+    order = np.lexsort((key, code, sig))
+    sig, key, code = sig[order], key[order], code[order].astype(np.int64)
     keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])  # copies met in several tasks
-    sig, key = sig[keep], key[keep]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    sig, key, code = sig[keep], key[keep], code[keep]
+    start = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (np.diff(code) > SIZE_REACH)]))
     size = np.diff(np.append(start, len(sig)))
     many = size > 1
     if not many.any():
@@ -206,8 +231,8 @@ def _meet(blocks: DataFrame) -> DataFrame:
         own = table.filter(is_member)
         members = own.column("member").to_pylist()
         other = table.filter(pc.invert(is_member))
-        sig, key = b"".join(other.column("sig").to_pylist()), b"".join(other.column("key").to_pylist())
-        found = list(_groups(np.frombuffer(sig, np.uint32), np.frombuffer(key, np.int64))) if sig else []
+        sig, key, code = (b"".join(other.column(c).to_pylist()) for c in ("sig", "key", "code"))
+        found = list(_groups(np.frombuffer(sig, np.uint32), np.frombuffer(key, np.int64), np.frombuffer(code, np.uint8))) if sig else []
         gid = np.repeat(np.array([g for g, _ in found], np.uint64).view(np.int64), [len(k) for _, k in found])
         keys = np.concatenate([k for _, k in found]) if found else np.zeros(0, np.int64)
         return pa.table({
@@ -271,30 +296,46 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, component) for every class on an edge; the component is its least class. Alternating star contraction."""
+    """(key, component) for every class on an edge; the component is its least class. Alternating star contraction.
+
+    Each half of a round deals its edges once by the class they are grouped and joined on.
+    """
     e = cut(edges.select("x", "y").where("x <> y").distinct())
     before = None
     while True:
-        both = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        both = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).repartition("x")
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        down = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y")
+        large = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        down = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").repartition("x")
         low = down.groupBy("x").agg(F.min("y").alias("m"))
-        small = down.join(low, "x").select(F.col("y").alias("x"), "m").where("x <> m").union(low.select("x", "m")).toDF("x", "y").distinct()
-        e = cut(small)
+        small = down.join(low, "x").select(F.col("y").alias("x"), "m").where("x <> m").union(low.select("x", "m")).toDF("x", "y")
+        e = cut(small.distinct())
         now = e.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("x", "y")), F.lit(0)).alias("h")).first()
-        if now == before:
+        if now == before or not now["n"]:
             break
         before = now
     return e.select(F.col("x").alias("key"), F.col("y").alias("component")).union(e.select(F.col("y").alias("key"), F.col("y").alias("component")).distinct())
 
 
-def close_pairs(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int):
-    """Pairs of different components that sizes and bitmaps do not rule out, row by row in order of size."""
+def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """``components`` after further edges: only those between components count, and few are left of them."""
+    label = lambda k: comp.select(F.col("key").alias(k), F.col("component").alias("c" + k))
+    between = cut(more.join(label("x"), "x", "left").join(label("y"), "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"), F.col("x").alias("a"), F.col("y").alias("b")))
+    if not between.where("x <> y").limit(1).count():
+        return comp
+    top = cut(components(between.select("x", "y")))
+    old = comp.join(top.select(F.col("key").alias("component"), F.col("component").alias("top")), "component", "left").select("key", F.coalesce("top", "component").alias("component"))
+    alone = between.select(F.col("x").alias("key"), F.col("a").alias("own")).union(between.select(F.col("y").alias("key"), F.col("b").alias("own"))).where("key = own").select("key").distinct()
+    new = top.join(alone, "key").join(comp.select("key"), "key", "left_anti").select("key", "component")
+    return cut(old.union(new))
+
+
+def close_pairs(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (x, y) of different components that sizes and bitmaps do not rule out, and their number; of each two components only the ``nearest`` if asked."""
     order = np.lexsort((keys, sizes))
     keys, comps, sizes = keys[order], comps[order], sizes[order]
     widths = np.array([len(maps[i]) for i in order])
-    rows, folded = {}, {}
+    rows, folded, found, n, total = {}, {}, [np.zeros((5, 0), np.int64)], 0, 0
     for w in np.unique(widths).tolist():
         at = np.flatnonzero(widths == w)
         rows[w] = (int(at[0]), np.frombuffer(b"".join(maps[i] for i in order[at]), np.uint8).reshape(len(at), w))
@@ -309,23 +350,39 @@ def close_pairs(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: li
                 part = block[a:a + 4096]
                 j = np.arange(begin + a, begin + a + len(part))
                 differ = np.bitwise_count(part ^ mine).sum(1, dtype=np.int64)
-                j = j[(comps[j] != comps[i]) & (differ * (100 + percent) <= (sizes[j] + sizes[i]) * (100 - percent))]
-                if len(j):
-                    yield np.minimum(keys[j], keys[i]), np.maximum(keys[j], keys[i])
-
-
-def _open(groups: DataFrame, classes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs still to be counted: of one group, in different components, not ruled out by bitmaps."""
+                ok = (comps[j] != comps[i]) & (differ * (100 + percent) <= (sizes[j] + sizes[i]) * (100 - percent))
+                if ok.any():
+                    j = j[ok]
+                    own_comp = np.full(len(j), comps[i])
+                    found.append(np.stack([np.minimum(comps[j], own_comp), np.maximum(comps[j], own_comp), differ[ok] * 1_000_000 // (sizes[j] + sizes[i]), np.minimum(keys[j], keys[i]), np.maximum(keys[j], keys[i])]))
+                    n, total = n + len(j), total + len(j)
+                    if nearest and n > 500_000:
+                        found, n = [_nearest(np.concatenate(found, 1))], 0
+    out = np.concatenate(found, 1)
+    out = _nearest(out) if nearest else out
+    return out[3], out[4], total
+
+
+def _nearest(found: np.ndarray) -> np.ndarray:
+    """Of the columns (component, component, distance, x, y) the nearest of each two components."""
+    found = found[:, np.lexsort(found[::-1])]
+    return found[:, np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(0)])] if found.shape[1] else found
+
+
+def _open(groups: DataFrame, classes: DataFrame, comp: DataFrame, percent: int, nearest: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs still to be counted: of one group, in different components, not ruled out by bitmaps; all, or the nearest of each two components. And the groups that have more."""
     g = groups.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = g.groupBy("gid").agg((F.min("component") != F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("m")).where("mixed and m > 2").select("gid")
     g = g.join(mixed, "gid", "left_semi").join(classes.select("key", "n", "map"), "key").select("gid", "key", "component", "n", "map")
 
     def run(table: pa.Table) -> pa.Table:
         key, comps, sizes = (table.column(c).to_numpy() for c in ("key", "component", "n"))
-        found = list(close_pairs(key, comps, sizes, table.column("map").to_pylist(), percent))
-        return pa.table({"x": np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64), "y": np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)})
+        x, y, total = close_pairs(key, comps, sizes, table.column("map").to_pylist(), percent, nearest)
+        more = [table.column("gid")[0].as_py()] * int(total > len(x))
+        return pa.table({"gid": pa.array(more + [None] * len(x), pa.int64()), "x": pa.array([None] * len(more) + x.tolist(), pa.int64()), "y": pa.array([None] * len(more) + y.tolist(), pa.int64())})
 
-    return g.groupBy("gid").applyInArrow(run, "x bigint, y bigint").distinct()
+    found = cut(g.groupBy("gid").applyInArrow(run, "gid bigint, x bigint, y bigint"))
+    return found.where("x is not null").select("x", "y").distinct(), found.where("gid is not null").select("gid").distinct()
 
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -347,10 +404,16 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     least = groups.groupBy("gid").agg(F.min("key").alias("x"))
     first = counted(_plausible(groups.join(least, "gid").where("key <> x").select("x", F.col("key").alias("y")).distinct(), classes, percent))
-    comp = components(first.where(like))
-    rest = counted(_open(groups, classes, comp, percent).join(first.select("x", "y"), ["x", "y"], "left_anti"))
-    links = first.where(like).union(rest.where(like)).distinct()
-    comp = components(links)
+    comp = cut(components(first.where(like)))
+    for nearest in (True, False):  # one link joins two components: the likeliest is tried before all
+        pairs, more = _open(groups, classes, comp, percent, nearest)
+        rest = counted(pairs.join(first.select("x", "y"), ["x", "y"], "left_anti"))
+        first = first.union(rest)
+        comp = joined(comp, rest.where(like))
+        if not more.limit(1).count():
+            break
+        groups = groups.join(more, "gid", "left_semi")
+    links = first.where(like)
     labels = comp.select("key", F.col("component"))
     named = members.join(labels, "key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "key")))
     named = cut(named)
