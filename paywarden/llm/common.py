@@ -13,14 +13,15 @@ from ..functions.session import cut, prepare
 
 __all__ = ["batches", "cut", "draw", "folded", "held_out", "kept", "pieces_of", "read", "ready", "texts"]
 
-#: Rows in an Arrow batch. Texts are long, and a Python worker shares its executor's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch. Texts are long, and a Python worker shares its executor's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the library, and batches that suit long texts."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
