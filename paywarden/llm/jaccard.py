@@ -35,11 +35,11 @@ from .shingles import mix, shingle_sets
 SHINGLE, PERCENT = 5, 75
 #: Share of the documents in the sample that orders signatures, how many of them make a shingle frequent, and the bits in which
 #: frequent shingles are marked (a fixed size: a bit shared by chance moves a signature back in the order, on both sides alike).
-SAMPLE_SHARE, FREQUENT, MARKS = 0.05, 2, 1 << 25
+SAMPLE_SHARE, FREQUENT, MARKS = 0.1, 2, 1 << 25
 #: Sets up to this size have one part for each shingle.
 SMALL = 64
 #: Characters hashed at once; signatures held by a task before they are sent.
-CHUNK, HELD = 1_000_000, 2_000_000
+CHUNK, HELD = 400_000, 500_000
 #: Rows of ids that may be broadcast (16 bytes each).
 MAX_BROADCAST = 500_000
 #: 1.05 to the seventh is more than 100 / 75.
