@@ -38,58 +38,64 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 SIGN_COST, DROP_COST, PAIR_COST, SEPARATOR_COST, BREAK_COST, LITERAL_COST = 1.5, 0.7, 3.0, 0.1, 0.5, 9.0
 
 _WORD = re.compile(r"[^\W\d_]+")
-_L = r"[^\W\d_]"
+_L, _S, _SEP = r"[^\W\d_]", "[0-9@$!|+€]", r"[ .\-_*~]"
+_ITEM = rf"(?:{_L}|{_S})"
 DISGUISED = re.compile(
-    rf"(?<!\w){_L}(?:[ .\-_*~](?:{_L}|[0-9@$!|+€])){{2,}}(?!\w)"  # l e t t e r s  or l.e.t.t.e.r.s
-    rf"|(?<![\w@$!|+€])(?:[0-9@$!|+€]|{_L})*{_L}[0-9@$!|+€]+(?:[0-9@$!|+€]|{_L})*{_L}(?:[0-9@$!|+€]|{_L})*"  # signs between letters
-    rf"|(?<!\w)[0-9@$!|+€]{{1,4}}{_L}[^\W_]+"  # signs before letters
+    rf"(?<!\w){_L}(?:{_SEP}{_ITEM}){{2,}}(?!\w)"  # l e t t e r s  or l.e.t.t.e.r.s
+    rf"|(?<![\w@$!|+€])(?<![^\w@$!|+€]{_S}{_SEP})(?<!\A{_S}{_SEP})(?={_S}{_SEP}{_ITEM}{_SEP}{_ITEM}(?!\w)){_S}(?:{_SEP}{_S})*+{_SEP}{_L}(?:{_SEP}{_ITEM})*(?!\w)"  # the same after signs set apart; tried where these begin
+    rf"|(?<![\w@$!|+€]){_ITEM}*?{_L}{_S}{_ITEM}*"  # signs after letters
+    rf"|(?<!\w){_S}{{1,4}}{_L}[^\W_]+"  # signs before letters
     rf"|(?<!\w)\w*({_L})\1\1\w*")  # three of a kind
 #: Longest stretch that is decoded at once; longer ones are decoded in parts of this many characters.
 LONGEST = 120
 
 _A = 64
-#: Code point -> 1 for a letter that words are made of, 2 for a sign that may stand for a letter; the rest is 0.
-_LETTER, _SIGN = 1, 2
-
-
-def _classes() -> np.ndarray:
-    out = np.zeros(0x110000, np.uint8)
-    out[[c for c in range(0x30000) if _WORD.fullmatch(chr(c))]] = _LETTER
-    out[[ord(c) for c in SIGNS]] = _SIGN
-    return out
+#: Code point -> sum of what it is: a letter that words are made of, a sign that may stand for a letter, a separator, a character of ``\\w``.
+_LETTER, _SIGN, _SEPARATOR, _INWORD = 1, 2, 4, 8
 
 
 @functools.cache
 def _class_table() -> np.ndarray:
-    return _classes()
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x40000):  # no letters lie above
+        if chr(c).isalnum() or c == 95:
+            out[c] = _INWORD + (_LETTER if _WORD.fullmatch(chr(c)) else 0)
+    out[[ord(c) for c in SIGNS]] |= _SIGN
+    out[[ord(c) for c in " .-_*~"]] |= _SEPARATOR
+    return out
 
 
 def disguised(low: str) -> list[str]:
-    """Stretches that look disguised. The pattern is only tried around letters after a sign, set apart, or three of a kind."""
+    """Stretches that look disguised: the matches of ``DISGUISED``, in order.
+
+    The text falls into regions no match can leave: they end at blanks and line ends, but not at a blank between two
+    characters set apart. The pattern is only tried in regions with a letter beside a sign, three of a kind, or three set apart.
+    """
     codes = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
-    if len(codes) < 3:
-        return [m.group() for m in DISGUISED.finditer(low)]
-    kind = _class_table()[codes]
-    letter = kind == _LETTER
-    hot = np.zeros(len(codes), bool)
-    hot[1:] |= letter[1:] & (kind[:-1] == _SIGN)
-    hot[2:] |= letter[2:] & (codes[2:] == codes[1:-1]) & (codes[2:] == codes[:-2])
-    alone = letter.copy()
-    alone[1:] &= ~letter[:-1]
-    alone[:-1] &= ~letter[1:]
-    hot[2:] |= alone[2:] & alone[:-2]
-    at = np.flatnonzero(hot)
+    n = len(codes)
+    if n < 2:
+        return []
+    kind = np.zeros(n + 2, np.uint8)
+    kind[1:-1] = _class_table()[codes]
+    letter, item, apart = (kind & _LETTER) > 0, (kind & (_LETTER | _SIGN)) > 0, (kind & _SEPARATOR) > 0
+    edge = apart | ((kind & _INWORD) == 0)  # may stand beside the first or last of a run
+    sign = (kind & _SIGN) > 0
+    begins, ends = np.zeros(n + 2, bool), np.zeros(n + 2, bool)
+    begins[1:], ends[:-1] = item[1:] & edge[:-1], item[:-1] & edge[1:]
+    hot = np.zeros(n + 2, bool)
+    hot[1:] = (letter[1:] & sign[:-1]) | (sign[1:] & letter[:-1])
+    same = codes[1:] == codes[:-1]
+    hot[3:-1] |= letter[3:-1] & same[1:] & same[:-1]
+    hot[4:] |= ends[4:] & apart[3:-1] & item[2:-2] & apart[1:-3] & begins[:-4]
+    at = np.flatnonzero(hot[1:-1])
     if not len(at):
         return []
-    gap = np.flatnonzero(np.diff(at) > 4)
-    out = []
-    reached = 0
-    for a, b in zip(at[np.append(0, gap + 1)].tolist(), at[np.append(gap, len(at) - 1)].tolist(), strict=True):
-        a = max(low.rfind(" ", 0, max(0, a - 2)) + 1, low.rfind("\n", 0, max(0, a - 2)) + 1, reached)
-        ends = [e for e in (low.find(" ", b + 1), low.find("\n", b + 1)) if e >= 0]
-        reached = max(a, min(ends, default=len(low)))
-        out += [m.group() for m in DISGUISED.finditer(low, a, reached)]
-    return out
+    joined = np.zeros(n, bool)
+    joined[:] = begins[:-2] & ends[2:]
+    cuts = np.flatnonzero((codes == 10) | ((codes == 32) & ~joined))
+    place = np.unique(np.searchsorted(cuts, at))
+    starts, stops = np.append(0, cuts + 1)[place], np.append(cuts, n)[place]
+    return [m.group() for a, b in zip(starts.tolist(), stops.tolist(), strict=True) for m in DISGUISED.finditer(low, a, b)]
 
 
 def _table() -> np.ndarray:
@@ -157,7 +163,12 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
                 edges.append(("", DROP_COST if stretch[i - 2:i - 1] == c or stretch[i + 1:i + 2] == c else PAIR_COST))
         else:
             edges = [(x, SIGN_COST) for x in SIGNS.get(c, "")]
-            edges += [("", SEPARATOR_COST), (" ", BREAK_COST)] if c in " .-_*~" else [(" ", LITERAL_COST)]
+            if c in " .-_*~":
+                edges += [("", SEPARATOR_COST), (" ", BREAK_COST)]
+            elif c == "!" and not stretch[i:].strip("!"):  # at the end as likely a mark as a letter
+                edges.append((c, SIGN_COST))
+            else:
+                edges.append((" ", LITERAL_COST))
         out.append(edges)
     return out
 

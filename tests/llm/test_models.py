@@ -83,6 +83,19 @@ def test_disguised_stretches_equal_the_pattern(sample):
         assert toxicity.disguised(low) == [m.group() for m in toxicity.DISGUISED.finditer(low)]
 
 
+def test_disguised_stretches_in_spaced_words_and_at_ends():
+    assert [toxicity.disguised(t) for t in ("an i d 1 o t.", "s h 1 t", "i d i o 7", "$ h i t", "idi07 a55")] == [["i d 1 o t"], ["s h 1 t"], ["i d i o 7"], ["$ h i t"], ["idi07", "a55"]]
+    cost = toxicity.costs(toxicity.trigram_counts(["idiot stupid lesser is it do lots of toil"] * 30))
+    restorer = toxicity.Restorer(cost)
+    for text in ("you i d 1 o t there", "you i d i o 7 there", "you idi07 there", "you idiot! there"):
+        assert "idiot" in restorer.words(text)
+        assert "idiot" in toxicity.DISGUISED.sub(lambda m: toxicity.decode(m.group(), restorer.cost), text)
+    rng = random.Random(11)
+    for _ in range(20_000):
+        low = "".join(rng.choice("ab1$! .-_*~\nö,aa  x2") for _ in range(rng.randint(0, 24)))
+        assert toxicity.disguised(low) == [m.group() for m in toxicity.DISGUISED.finditer(low)], low
+
+
 def test_language(speech, odd, empty):
     docs, _ = speech
     got = {r["doc_id"]: r for r in language.language(docs, ~held_out("doc_id", 4, 2)).collect()}
