@@ -22,11 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import top_n
 from .common import batches, cut
 
-#: Words kept in the unigram model (the most frequent, ties by hash), and words with weights of their own in the classifier.
-VOCABULARY, FEATURES = 50_000, 100_000
 #: Letters of a word in a segmentation, and of a label segmented at once.
 WORD_LENGTH, LONGEST = 20, 200
 NUMBER = "<number>"
@@ -78,13 +75,37 @@ def html_words(html: str | None) -> list[str]:
     return [w for w in _WORD.findall(_TAGS.sub(" ", html).lower()) if len(w) <= WORD_LENGTH] if html else []
 
 
-def unigrams(pages: DataFrame, html_col: str = "html", most: int = VOCABULARY, seeds: tuple[str, ...] = UNWANTED) -> tuple[dict[str, float], float]:
-    """Log probabilities of the most frequent words over the text of all pages, and the log of the number of words. Seeds count once at least."""
+def _candidates(rows: DataFrame) -> DataFrame:
+    """The distinct substrings, of at most ``WORD_LENGTH`` letters, of the labels in ``host`` and ``path``: all that a segmentation can look up."""
+
+    def labels(parts):
+        for part in parts:
+            got = {x for h, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for text in (h, p.lower()) for x in _WORD.findall(text)}
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["label"])
+
+    def pieces(parts):
+        for part in parts:
+            got: set[str] = set()
+            for x in part.column(0).to_pylist():
+                for a in range(len(x)):
+                    got.update(x[a:b] for b in range(a + 1, min(len(x), a + WORD_LENGTH) + 1))
+                    if len(got) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["word"])
+                        got = set()
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["word"])
+
+    return rows.select("host", "path").mapInArrow(labels, "label string").distinct().mapInArrow(pieces, "word string").distinct()
+
+
+def unigrams(pages: DataFrame, rows: DataFrame, html_col: str = "html", seeds: tuple[str, ...] = UNWANTED) -> tuple[dict[str, float], float]:
+    """Log probabilities of words over the text of all pages, and the log of the number of words. Seeds count once at least.
+
+    Every word is counted; those that occur in a label of ``rows`` (host, path) are fetched, as no other can be looked up.
+    """
     counts = cut(_counted(pages.select(F.col(f"`{html_col}`").alias("html")), html_words))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    top = top_n(counts, most, F.col("n"), F.xxhash64("word")).collect()
-    total = max(2, total)
-    return {w: -math.log(total) for w in seeds} | {r["word"]: math.log(r["n"] / total) for r in top}, math.log(total)
+    total = max(2, counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    found = counts.join(_candidates(rows), "word", "left_semi").toPandas()
+    return {w: -math.log(total) for w in seeds} | {w: math.log(n / total) for w, n in zip(found["word"], found["n"].tolist(), strict=True)}, math.log(total)
 
 
 def segment(label: str, logp: dict[str, float], log_total: float) -> list[str]:
@@ -124,12 +145,13 @@ class Words:
 class Bayes:
     """Multinomial naive Bayes: odds of an unwanted page. Words beside those of unwanted names are as likely on either side.
 
-    On the wanted side each of those names has been seen once among ``PSEUDO`` words beforehand.
+    On the wanted side each of those names has been seen once among ``PSEUDO`` words beforehand. ``wanted`` has their counts on
+    the pages that rules allow, ``total`` is that of all words there.
     """
 
-    def __init__(self, unwanted: tuple[str, ...], wanted: dict[str, int]):
-        total, names = sum(wanted.values()) + PSEUDO, Counter(unwanted)
-        self.odds = {w: math.log(n / len(unwanted)) - math.log((wanted.get(w, 0) + 1) / total) for w, n in names.items()} if wanted else {w: math.log(len(unwanted)) for w in names}
+    def __init__(self, unwanted: tuple[str, ...], wanted: dict[str, int], total: int):
+        names = Counter(unwanted)
+        self.odds = {w: math.log(n / len(unwanted)) - math.log((wanted.get(w, 0) + 1) / (total + PSEUDO)) for w, n in names.items()} if total else {w: math.log(len(unwanted)) for w in names}
 
     def score(self, words: list[str]) -> float:
         """Probability of block."""
@@ -140,12 +162,12 @@ class Bayes:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", unwanted: tuple[str, ...] = UNWANTED) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, words (segmented), block_score."""
     spark = pages.sparkSession
-    logp, log_total = unigrams(pages, html_col, seeds=unwanted)
-    sent = spark.sparkContext.broadcast((logp, log_total))  # at most VOCABULARY words
     url = F.col(f"`{url_col}`")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host(url).alias("host"), path(url).alias("path"))
     rule, verdict = rule_of(rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    sent = spark.sparkContext.broadcast(unigrams(pages, rows, html_col, unwanted))  # the words of the pages that occur in labels
+
     def learn(parts):
         words = Words(*sent.value)
         for part in parts:
@@ -155,8 +177,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array(got.values(), pa.int64())], names=["word", "n"])
 
     known = cut(rows.where("ruled = 'allow'").select("host", "path").mapInArrow(learn, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    found = top_n(known, FEATURES, F.col("n"), F.xxhash64("word")).collect()
-    bayes = spark.sparkContext.broadcast(Bayes(unwanted, {r["word"]: r["n"] for r in found}))
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found = known.where(F.col("word").isin(*unwanted)).collect()  # no other word has odds
+    bayes = spark.sparkContext.broadcast(Bayes(unwanted, {r["word"]: r["n"] for r in found}, total))
 
     def run(part, words):
         cols = [part.column(i).to_pylist() for i in range(1, 5)]

@@ -192,6 +192,17 @@ def test_urls(spark, empty):
     assert urls.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_url_words_and_totals_have_no_caps(spark):
+    """More words in the pages than 50,000, and on allowed pages more than 100,000; the words of one label are the rarest."""
+    word = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "bcdfghjklm")
+    many = spark.range(100_050).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.org/fr/"), word).alias("url"), F.concat_ws(" ", word, word).alias("html"))
+    rare = spark.createDataFrame([(-1, "http://quuxzorb.com/", "quux or zorb"), (-2, "http://casino.org/fr/", None), (-3, "http://casino.com/", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urls.judge(many.unionByName(rare), RULES).where("page_id < 0").collect()}
+    assert got[-1]["words"] == "quux zorb com"
+    odds = urls.PRIOR_ODDS / len(urls.UNWANTED) / (2 / (4 * 100_050 + 3 + urls.PSEUDO))
+    assert math.isclose(got[-3]["block_score"], odds / (1 + odds), rel_tol=1e-9)
+
+
 def test_segmentation_is_the_likeliest():
     logp, total = {"the": -2.0, "ring": -3.0, "he": -2.5, "t": -4.0, "in": -2.2, "her": -4.0}, 8.0
     for label in ("thering", "there", "zz", "inthe"):
