@@ -24,6 +24,8 @@ from .common import batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 REACH, SURE = 8, 0.95
+#: Tokens whose features are in memory at once, and tokens (padding included) that are decoded together; a longer stretch is decoded alone.
+BLOCK, TOGETHER = 400, 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -155,6 +157,14 @@ class Field:
         self.move = np.where(_ALLOWED, move, -1e4)
         self.start = np.where(_START, 0.0, -1e4)
 
+    def scores_of(self, text: str, at: list[tuple[int, int]]) -> np.ndarray:
+        """Scores of all tokens of a stretch. Features are made for ``BLOCK`` tokens at a time, with the neighbours they look at."""
+        out = np.zeros((len(at), _K))
+        for j in range(0, len(at), BLOCK):
+            a = max(0, j - 3)
+            out[j:j + BLOCK] = self.scores(observations(text, at[a:j + BLOCK + 2])[j - a:j - a + BLOCK])
+        return out
+
     def scores(self, observed: list[list[str]]) -> np.ndarray:
         get, rows = self.ids.get, np.zeros((len(observed), _K))
         for i, features in enumerate(observed):
@@ -177,8 +187,8 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def forward_backward(e: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log partition, marginals (chains, places, labels) and expected transitions (summed over chains)."""
+def forward_backward(e: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log partition, marginals (chains, places, labels) and expected transitions (summed over chains; zeros without ``moves``)."""
     n, t, k = e.shape
     alpha, beta = np.zeros((n, t, k)), np.zeros((n, t, k))
     alpha[:, 0] = start + e[:, 0]
@@ -191,7 +201,7 @@ def forward_backward(e: np.ndarray, length: np.ndarray, start: np.ndarray, move:
         beta[:, i] = np.where((i + 1 < length)[:, None], step, 0.0)
     marginal = np.exp(np.clip(alpha + beta - z[:, None, None], -60, 0)) * (np.arange(t) < length[:, None])[:, :, None]
     pairs = np.zeros((k, k))
-    for i in range(1, t):
+    for i in range(1, t if moves else 1):
         on = i < length
         if on.any():
             pairs += np.exp(np.clip(alpha[on, i - 1, :, None] + move + (e[on, i] + beta[on, i])[:, None, :] - z[on, None, None], -60, 0)).sum(0)
@@ -201,7 +211,7 @@ def forward_backward(e: np.ndarray, length: np.ndarray, start: np.ndarray, move:
 def viterbi(e: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.ndarray) -> list[list[int]]:
     """The best labels of each chain of a padded batch."""
     n, t, _ = e.shape
-    best, back = start + e[:, 0], np.zeros((n, t, _K), np.int64)
+    best, back = start + e[:, 0], np.zeros((n, t, _K), np.int8)
     for i in range(1, t):
         step = best[:, :, None] + move
         back[:, i] = step.argmax(1)
@@ -286,20 +296,22 @@ def added_spans(values: list[str | None], base: list[list[tuple[str, int, int]]]
     chains, where = [], []
     for i, text in enumerate(values):
         for run in stretches(text) if text else ():
-            for j in range(0, len(run), 400):  # a longer run is cut: no span is so long
-                part = run[j:j + 400]
-                chains.append(field.scores(observations(text, part)))
-                where.append((i, part))
+            chains.append(field.scores_of(text, run))
+            where.append((i, run))
     out: list[list[tuple[str, int, int]]] = [[] for _ in values]
     order = sorted(range(len(chains)), key=lambda c: len(chains[c]))
-    for a in range(0, len(order), 256):
-        some = order[a:a + 256]
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and b - a < 256 and (b - a + 1) * len(chains[order[b]]) <= TOGETHER:
+            b += 1
+        some, a = order[a:b], b
         e, length = _padded([chains[c] for c in some])
         paths = viterbi(e, length, field.start, field.move)
         hit = [j for j, p in enumerate(paths) if any(p)]
         if not hit:
             continue
-        _, marginal, _ = forward_backward(e[hit], length[hit], field.start, field.move)
+        _, marginal, _ = forward_backward(e[hit], length[hit], field.start, field.move, moves=False)
         for k, j in enumerate(hit):
             i, at = where[some[j]]
             path, n = paths[j], 0

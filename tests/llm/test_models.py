@@ -160,6 +160,17 @@ def test_viterbi_and_marginals_equal_brute_force(field):
         assert math.isclose(marginal[i, 0, 3], sum(math.exp(s - top) for p, s in scores.items() if p[0] == 3) / total, rel_tol=1e-6, abs_tol=1e-12)
 
 
+def test_long_stretches_are_decoded_whole(field):
+    """A span of the field is found wherever it lies in a stretch of a thousand tokens, and features are those of the whole stretch."""
+    filler = [w for i in range(200) for w in ("it", "costs", str(i % 9 + 1), "of", "the")]
+    for at in range(390, 406):
+        text = " ".join([*filler[:at], "anna at mail dot com", *filler[at:]])
+        (run,) = pii.stretches(text)
+        assert len(run) > 1000 and run[at][0] == text.index("anna")
+        assert ("email", "anna at mail dot com") in [(k, text[a:b]) for k, a, b in pii.added_spans([text], [[]], field)[0]], at
+    assert np.array_equal(field.scores_of(text, run), field.scores(pii.observations(text, run)))
+
+
 def test_pii_odd_rows(odd, empty, field):
     got = {r["doc_id"]: r for r in pii.find(odd, field=field).collect()}
     assert [s["kind"] for s in got[13]["base"]] == ["email", "phone", "card", "ip"] and not got[3]["spans"] and not got[4]["spans"]
