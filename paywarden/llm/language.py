@@ -20,22 +20,24 @@ from pyspark.sql import functions as F
 
 from .common import batches, draw, texts
 
-#: Bounds of the training sample: characters for each language, languages, characters of one sampled text.
-SAMPLE_CHARS, MAX_LANGUAGES, TEXT_CHARS = 40_000, 200, 4_000
+#: Bounds of the training sample: characters for each language, of all dictionaries together (with many languages each gets an equal share), of one sampled text.
+SAMPLE_CHARS, ALL_CHARS, TEXT_CHARS = 40_000, 8_000_000, 4_000
 #: Share that the winner must save.
 MARGIN = 0.01
 UNDECIDED = "und"
 
 
 def _sample(docs: DataFrame, text_col: str, lang_col: str, train: Column, chars: int) -> dict[str, bytes]:
-    """For each language, texts of about ``chars`` characters, chosen by a hash of the text alone."""
+    """For each language, different texts of about ``chars`` characters in all, one at least, chosen by a hash of the text alone."""
     rows = docs.where(train).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and length(text) > 0")
-    rows = rows.withColumn("text", F.substring("text", 1, TEXT_CHARS))
-    counts = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = rows.withColumn("text", F.substring("text", 1, TEXT_CHARS)).withColumn("h", draw("text"))
+    different = rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n"))  # copies count once
+    counts = different.groupBy("lang").agg(F.sum("n").alias("n"), F.min("h").alias("least")).collect()  # a row for each language
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * chars / r["n"]))])
-    picked = rows.where(draw("text") < share[F.col("lang")]).distinct().collect()
+    chars = min(chars, max(1, ALL_CHARS // len(counts)))
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * chars / r["n"]), r["least"]) for r in counts], f"lang {rows.schema['lang'].dataType.simpleString()}, share double, least double")
+    picked = rows.join(F.broadcast(bounds), "lang").where("h < share or h = least").select("lang", "text").distinct().collect()
     out: dict[str, bytes] = {}
     for lang in sorted({r["lang"] for r in picked}):
         lines = sorted((r["text"] for r in picked if r["lang"] == lang), key=lambda t: (hash_of(t), t))
@@ -76,7 +78,7 @@ def guess(models, text: str | None) -> tuple[str, float, float]:
 def language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = MARGIN, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """Per document: doc_id, lang_pred, score (0 to 1), margin, rejected. ``train`` marks the rows whose text and language may be learnt."""
     samples = _sample(docs, text_col, lang_col, train, sample_chars)
-    sent = docs.sparkSession.sparkContext.broadcast(samples)  # at most MAX_LANGUAGES * SAMPLE_CHARS
+    sent = docs.sparkSession.sparkContext.broadcast(samples)  # at most ALL_CHARS characters, or one for each language
     rows = texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
 

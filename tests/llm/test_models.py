@@ -106,6 +106,16 @@ def test_language(speech, odd, empty):
     assert {r["lang_pred"] for r in language.language(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_every_language_gets_a_dictionary(spark):
+    """Also beyond 200 languages, and where a language is almost all copies of one text."""
+    rng = random.Random(5)
+    few = [(f"few{i}", prose(rng, EN, 20)) for i in range(210)]
+    copies = [(f"copied{i}", prose(rng, DE, 400)) for i in range(8)]
+    rows = few + [r for r in copies for _ in range(400)]
+    got = language._sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", F.lit(True), language.SAMPLE_CHARS)
+    assert got == {k: t[:language.TEXT_CHARS].lower().encode() for k, t in few + copies}
+
+
 def test_language_of_held_out_documents(sample):
     out = held_out("doc_id", 4, 2)
     got = language.language(sample, ~out).join(sample.select("doc_id", "lang"), "doc_id").where(out).selectExpr("avg(int(lang = lang_pred)) a", "count(*) n").first()
