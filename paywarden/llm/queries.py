@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, fingerprints, jaccard, language, packing, pii, quality, toxicity, urls
+from . import alignment, binary, collocations, decontaminate, fingerprints, jaccard, language, packing, pii, quality, repeats, toxicity, urls
 from .common import held_out, read
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,5 +87,49 @@ r AS (SELECT doc_id, doc_id AS k FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(k) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_fingerprints, op4_pii, op5_packing, op6_quality, op7_token_matrices, op8_language, op9_decontamination, op10_ngram_jaccard)}
-ORACLE = {"op9_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.align(read(spark, folder, "documents"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS t(k))) GROUP BY lang, k, g),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k >= 2 AND f >= 10),
+inside AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[i:i + 1], ' ') AS g FROM c, (VALUES (1), (2)) AS t(i) WHERE k = 3) GROUP BY lang, g),
+parts AS (SELECT lang, g, k, a, j, array_to_string(w[1:j], ' ') AS lg, array_to_string(w[j + 1:], ' ') AS rg FROM c, (VALUES (1), (2)) AS t(j) WHERE j < k),
+cuts AS (SELECT parts.*, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM parts JOIN f AS x ON x.lang = parts.lang AND x.g = lg AND x.k = j JOIN f AS y ON y.lang = parts.lang AND y.g = rg AND y.k = parts.k - j),
+weak AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+kept AS (SELECT weak.* FROM weak LEFT JOIN inside ON weak.k = 2 AND inside.lang = weak.lang AND inside.g = weak.g WHERE coalesce(100 * longer < 50 * a, TRUE)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, hex(b[i:i + 99]) AS s FROM (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - 99)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+runs AS (SELECT doc_id, min(i) AS first, max(i) + 99 AS last FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM later)) GROUP BY doc_id, g),
+ends AS (SELECT doc_id, first, last FROM runs UNION ALL SELECT doc_id, octet_length(b) + 1, octet_length(b) FROM d),
+kept AS (SELECT e.doc_id, string_agg(hex(b[coalesce(before, 0) + 1:first - 1]), '' ORDER BY first) AS k FROM (SELECT *, lag(last) OVER (PARTITION BY doc_id ORDER BY first) AS before FROM ends) AS e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id),
+removed AS (SELECT doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN removed ON removed.doc_id = d.doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_fingerprints, op4_pii, op5_packing, op6_quality, op7_token_matrices, op8_language, op9_decontamination, op10_ngram_jaccard, op11_token_alignment, op12_collocations, op13_suffix_dedup)}
+ORACLE = {"op9_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_collocations": OP12_SQL, "op13_suffix_dedup": OP13_SQL}

@@ -9,6 +9,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
+#: Entries of tables that a worker keeps (16 bytes each); longer ones, for one very long text, go with it.
+KEPT = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,16 +22,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = pow(_P, -1, 1 << 64)
-        for name, base in (("p", _P), ("q", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["p"], _POWERS["q"]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64; tables of up to KEPT are kept by the worker."""
+    if "p" in _POWERS and len(_POWERS["p"]) >= n:
+        return _POWERS["p"], _POWERS["q"]
+    size, out = 1 << max(16, (n - 1).bit_length()), {}
+    for name, base in (("p", _P), ("q", pow(_P, -1, 1 << 64))):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        out[name] = np.multiply.accumulate(steps)
+    if size <= KEPT:
+        _POWERS.update(out)
+    return out["p"], out["q"]
 
 
 def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
@@ -45,7 +49,7 @@ def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
     first, last = at[0::2], at[1::2]
     ends = np.cumsum([1] + [len(d) + 1 for d in data])
     bounds = np.searchsorted(first, ends)
-    p, q = _powers(len(buf))
+    p, q = powers(len(buf))
     sums = np.concatenate([[np.uint64(0)], np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[:len(buf)])])
     words = mix((sums[last] - sums[first]) * q[first] + (last - first).astype(np.uint64))
     weights = mix(np.arange(1, size + 1, dtype=np.uint64))
