@@ -87,7 +87,7 @@ def matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """Per sequence: sequence_id, n_tokens, ids (binary), doc_ids, starts, cu_seqlens, resets.
 
     ``starts`` are the segments' first positions in their documents, ``resets`` the offsets at which positions begin anew
-    for another document. With ``wide`` ids take 32 bits.
+    for another document. Ids take 16 bits, with ``wide`` 32; an id that does not fit raises an error.
     """
     rows = texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -104,7 +104,10 @@ def matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
             n, ids, docs_, starts, cu = [], [], [], [], []
             for seq in best_fit([len(h[2]) // 4 for h in held], capacity):
                 n.append(sum(len(held[i][2]) for i in seq) // 4)
-                ids.append(np.frombuffer(b"".join(held[i][2] for i in seq), "<u4").astype(width).tobytes())
+                own = np.frombuffer(b"".join(held[i][2] for i in seq), "<u4")
+                if not wide and own.max() > 0xFFFF:
+                    raise ValueError(f"id {own.max()} takes more than 16 bits: call with wide=True")
+                ids.append(own.astype(width).tobytes())
                 docs_.append([held[i][0] for i in seq])
                 starts.append([held[i][1] for i in seq])
                 cu.append(np.concatenate([[0], np.cumsum([len(held[i][2]) // 4 for i in seq])]).tolist())

@@ -10,7 +10,7 @@ sums are added up. No count is approximate.
 
 Words are 64-bit hashes of language and word; a clash is found when words are counted and another seed is taken. A phrase
 that occurs ``least`` times has words that do, so words marked as rarer end a suffix. Marks are bits, as many as the number
-of words asks for up to ``MOST_MARKS``; a bit shared by chance keeps a word that could have gone, which costs, but changes
+of words asks for up to a bound; a bit shared by chance keeps a word that could have gone, which costs, but changes
 nothing. The same holds for the marks of extended prefixes.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; repeated rows count each; a word that is no
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, pieces_of
+from .common import cut, cut_in, mark_bits, marked, pieces_of
 from .shingles import mix, powers
 
 SIZE, LEAST, COVER, TOP = 3, 10, 50, 2000
@@ -35,7 +35,8 @@ SIZE, LEAST, COVER, TOP = 3, 10, 50, 2000
 BUDGET = 4_000_000
 #: Suffixes, or different words, a task holds before it sends them; characters read at once.
 HELD, CHUNK = 1_000_000, 1 << 20
-MOST_MARKS = 1 << 27
+#: Bytes of text behind one task that counts words.
+TEXT = 64 << 20
 #: What ends a piece, and what parts words inside one.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -109,7 +110,8 @@ def count_words(rows: DataFrame, seed: int, least: int) -> DataFrame:
         if held:
             yield sent()
 
-    sent = rows.mapInArrow(run, "id bigint, lang string, word binary, n bigint").repartition("id")
+    sent = rows.mapInArrow(run, "id bigint, lang string, word binary, n bigint")
+    sent = sent.repartition("id")
     spelt = sent.groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
     one = spelt.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("spellings"))
     common = (F.col("n") >= least) | (F.col("spellings") > 1)
@@ -117,22 +119,6 @@ def count_words(rows: DataFrame, seed: int, least: int) -> DataFrame:
     return one.select(hide("id"), "lang", hide("word"), "n", hide("spellings")).groupBy("id", "lang", "word", "spellings").agg(F.sum("n").alias("n"))
 
 
-def marks(ids: DataFrame, most: int = MOST_MARKS) -> np.ndarray:
-    """Bits in which the column ``id`` is marked, 16 for each id where ``most`` allows it."""
-    n = ids.count()
-    bits = min(most, 1 << max(10, (16 * n - 1).bit_length())) if n else 1 << 10
-    bit = F.pmod("id", F.lit(bits))
-    found = ids.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("m")).toPandas()  # bits / 64 rows at most
-    out = np.zeros(bits // 64, np.int64)
-    out[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64)
-    return out.view(np.uint8)
-
-
-def marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = ids & _U(8 * len(bits) - 1)
-    return bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1 != 0
-
-
 def pair_id(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _U(0x9E3779B97F4A7C15) + mix(b ^ _U(0xD6E8FEB86659FD93)))
 
@@ -282,19 +268,21 @@ def _counted(trees: DataFrame, size: int, least: int) -> DataFrame:
 def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = SIZE, least: int = LEAST, budget: int = BUDGET) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (id, lang, word, n) and phrases (w1 to w{size}, 0 where there is none; n) met ``least`` times or more, and all words of each language (lang, total)."""
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    read = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     seed = 0
     while True:
-        table = cut(count_words(rows, seed, least))
+        table = cut_in(count_words(rows, seed, least), -(-read // TEXT))
         if not table.where("spellings > 1").limit(1).count():
             break
         seed += 1
     totals = cut(table.groupBy("lang").agg(F.sum("n").alias("total")))
     known = table.where("id is not null").select("id", "lang", F.col("word").cast("string").alias("word"), "n")
     n = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
-    common, most = marks(known.select("id")), budget // 8
-    heavy = marks(known.where(F.col("n") > most).select("id"))
-    pairs = marks(cut(_heavy_pairs(rows, seed, common, heavy, most / n))) if heavy.any() else np.zeros(128, np.uint8)
-    found = cut(_counted(_trees(rows, seed, common, heavy, pairs, max(1, -(-4 * n // budget)), size), size, least))
+    common, most = mark_bits(known.select("id")), budget // 8
+    heavy = mark_bits(known.where(F.col("n") > most).select("id"))
+    pairs = mark_bits(cut(_heavy_pairs(rows, seed, common, heavy, most / n))) if heavy.any() else np.zeros(128, np.uint8)
+    groups = max(1, -(-4 * n // budget))
+    found = cut_in(_counted(_trees(rows, seed, common, heavy, pairs, groups, size), size, least), groups)
     return known, found, totals
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import cut, prepare
 
-__all__ = ["batches", "cut", "draw", "folded", "held_out", "kept", "pieces_of", "read", "ready", "texts"]
+__all__ = ["batches", "by_worker", "cut", "cut_in", "draw", "folded", "held_out", "kept", "mark_bits", "marked", "pieces_of", "read", "ready", "release", "texts"]
 
 #: Rows and bytes in an Arrow batch. Texts are long, and a Python worker shares its executor's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -89,3 +90,51 @@ def pieces_of(values: list, most: int) -> Iterator[tuple[int, int]]:
         size += n
     if start < len(values):
         yield start, len(values)
+
+
+def cut_in(df: DataFrame, parts: int) -> DataFrame:
+    """``cut``, with shuffles into as many tasks as the data ask for, the session's setting at least: what a task reads does not grow."""
+    conf, name = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, str(max(int(before), parts)))
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
+_WORKER: dict[object, object] = {}
+
+
+def by_worker(key: object, build: Callable[[], object]):
+    """What a Python worker keeps from task to task: one thing at a time, so that a stage does not carry what another one needed."""
+    if key not in _WORKER:
+        release()
+        _WORKER[key] = build()
+    return _WORKER[key]
+
+
+def release() -> None:
+    """Give back what earlier tasks of this worker kept."""
+    _WORKER.clear()
+    pa.default_memory_pool().release_unused()
+
+
+#: Bits of marks for each id, and the most there may be: more ids share bits instead.
+BITS_EACH, MOST_BITS = 16, 1 << 27
+
+
+def mark_bits(ids: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """Bits in which the column ``id`` is marked, ``BITS_EACH`` for each where ``most`` allows it."""
+    n = ids.count()
+    bits = min(most, 1 << max(10, (BITS_EACH * n - 1).bit_length())) if n else 1 << 10
+    bit = F.pmod("id", F.lit(bits))
+    found = ids.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("m")).toPandas()  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.int64)
+    out[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = ids & np.uint64(8 * len(bits) - 1)
+    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 != 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, kept, texts
+from .common import batches, by_worker, cut, kept, texts
 
 WINDOW = 10
 #: Characters of patterns in one automaton (about 60 bytes of memory each). A benchmark beyond that takes one pass for each so many.
@@ -94,9 +94,6 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, mos
     return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-_BUILT: dict[object, object] = {}
-
-
 def _scanner(spark, shard: DataFrame, window: int):
     """A function that gives a task the shard's automaton, built once for each Python worker."""
     found = patterns([(r["item_id"], r["text"]) for r in shard.collect()], window)
@@ -104,10 +101,7 @@ def _scanner(spark, shard: DataFrame, window: int):
     key = hashlib.sha256(repr(sorted(found)).encode() + repr(sorted(map(sorted, found.values()))).encode()).hexdigest()
 
     def setup():
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = automaton(sent.value)
-        return _BUILT[key]
+        return by_worker(key, lambda: automaton(sent.value))
 
     return setup
 

@@ -12,7 +12,7 @@ Signatures travel as packed arrays dealt by hash (12 bytes each), each class onc
 classes with one signature are a group. Each class also has a parity bitmap of a few bits a shingle: bits in which two
 bitmaps differ bound from below the shingles in which the sets differ, so most chance meetings end there, without loss. A
 group's members are first held against one of them: bitmaps, then exactly, by joining the sets. Groups that still lie in
-several components are gone through pair by pair inside a task, on bitmaps, and what survives is joined and counted: first
+several components are gone through pair by pair, on bitmaps (large ones in blocks, each two of which meet in a task), and what survives is joined and counted: first
 the nearest pair of each two components, then whatever is still apart.
 Components are found by alternating star contraction.
 
@@ -29,13 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, pieces_of, texts
+from .common import batches, cut, cut_in, mark_bits, marked, pieces_of, release, texts
 from .shingles import mix, shingle_sets
 
 SHINGLE, PERCENT = 5, 75
-#: Share of the documents in the sample that orders signatures, how many of them make a shingle frequent, and the bits in which
-#: frequent shingles are marked (a fixed size: a bit shared by chance moves a signature back in the order, on both sides alike).
-SAMPLE_SHARE, FREQUENT, MARKS = 0.1, 2, 1 << 25
+#: Share of the documents in the sample that orders signatures, and how many of them make a shingle frequent. Frequent shingles
+#: are marked in bits, as many as their number asks for (one shared by chance moves a signature back in the order, on both sides alike).
+SAMPLE_SHARE, FREQUENT = 0.1, 2
+#: Bytes of text behind one bucket of signatures (about as many bytes of signatures), and members of a group that meet in one task.
+BUCKET, BLOCK = 16 << 20, 1000
 #: Sets up to this size have one part for each shingle.
 SMALL = 64
 #: Characters hashed at once; signatures held by a task before they are sent.
@@ -83,7 +85,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> n
     n = len(s)
     if not n:
         return s
-    rare = ~_marked(frequent, s)
+    rare = ~marked(frequent, s)
     end = band_end(n)
     out = [_band_signatures(s, end, differences(n, end - 1, percent) + 1, rare)]
     if n * 100 // percent >= end:
@@ -134,37 +136,28 @@ def _sets(values: list[str | None], size: int):
         yield from shingle_sets(values[a:b], size)
 
 
-def marks(shingles: np.ndarray) -> np.ndarray:
+def marks(shingles: np.ndarray, bits: int = 1 << 20) -> np.ndarray:
     """A bit array in which the shingles are marked."""
-    bits = np.zeros(MARKS // 8, np.uint8)
-    at = shingles & _U(MARKS - 1)
-    np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), (1 << (at & _U(7)).astype(np.uint8)).astype(np.uint8))
-    return bits
-
-
-def _marked(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
-    at = s & _U(MARKS - 1)
-    return bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1 != 0
+    out = np.zeros(bits // 8, np.uint8)
+    at = shingles & _U(bits - 1)
+    np.bitwise_or.at(out, (at >> _U(3)).astype(np.int64), (1 << (at & _U(7)).astype(np.uint8)).astype(np.uint8))
+    return out
 
 
 def _frequent(rows: DataFrame, size: int) -> np.ndarray:
     """Marks of shingles that at least FREQUENT of the sampled documents have."""
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(SAMPLE_SHARE * 1_000_000))
 
-    def run(part):
+    def run(part, _):
         values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *{class_key(s): s for s in _sets(part.column(0).to_pylist(), size)}.values()]), return_counts=True)
         return [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))]
 
-    found = batches(sample.select("text"), run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    bit = F.pmod("h", F.lit(MARKS))
-    words = found.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("m")).toPandas()  # MARKS / 64 rows at most
-    out = np.zeros(MARKS // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
-    return out.view(np.uint8)
+    found = batches(sample.select("text"), run, "id bigint, n bigint", release).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    return mark_bits(cut(found.select("id")))
 
 
 def _sign(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of members (doc_id, class, size; the bitmap as key) and blocks of signatures (signature, class), dealt over buckets."""
+    """Rows of members (doc_id, class, size, hash of the text; the bitmap as key) and blocks of signatures (signature, class), dealt over buckets."""
     sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size))
 
     names = ["bucket", "member", "sig", "key", "code"]
@@ -184,11 +177,12 @@ def _sign(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
             packed = lambda x: pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in cuts], pa.int64()), pa.nulls(len(cuts), pa.list_(pa.int64())), packed(sig), packed(key), packed(code)], names=names)
 
+        release()
         for part in parts:
             members, maps = [], []
-            for doc, s in zip(part.column(0).to_pylist(), _sets(part.column(1).to_pylist(), size), strict=True):
+            for doc, s, text in zip(part.column(0).to_pylist(), _sets(part.column(1).to_pylist(), size), part.column(2).to_pylist(), strict=True):
                 key = class_key(s)
-                members.append([doc, key, len(s)])
+                members.append([doc, key, len(s), text])
                 maps.append(bitmap(s))
                 if len(s) and key not in seen:
                     seen.add(key)
@@ -224,7 +218,7 @@ def _groups(sig: np.ndarray, key: np.ndarray, code: np.ndarray):
 
 
 def _meet(blocks: DataFrame) -> DataFrame:
-    """Rows of kind 0: (doc_id, class, size, bitmap); kind 1: (group, class)."""
+    """Rows of kind 0: (doc_id, class, size, hash of the text, bitmap); kind 1: (group, class)."""
 
     def run(table: pa.Table) -> pa.Table:
         is_member = pc.is_valid(table.column("member"))
@@ -240,10 +234,11 @@ def _meet(blocks: DataFrame) -> DataFrame:
             "a": pa.array([m[0] for m in members] + gid.tolist(), pa.int64()),
             "b": pa.array([m[1] for m in members] + keys.tolist(), pa.int64()),
             "n": pa.array([m[2] for m in members] + [0] * len(keys), pa.int64()),
+            "text": pa.array([m[3] for m in members] + [0] * len(keys), pa.int64()),
             "map": pa.array(own.column("key").to_pylist() + [None] * len(keys), pa.binary()),
         })
 
-    return blocks.groupBy("bucket").applyInArrow(run, "kind bigint, a bigint, b bigint, n bigint, map binary")
+    return blocks.groupBy("bucket").applyInArrow(run, "kind bigint, a bigint, b bigint, n bigint, text bigint, map binary")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -330,10 +325,10 @@ def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
     return cut(old.union(new))
 
 
-def close_pairs(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs (x, y) of different components that sizes and bitmaps do not rule out, and their number; of each two components only the ``nearest`` if asked."""
+def close_pairs(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int, nearest: bool = False, blocks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (x, y) of different components that sizes and bitmaps do not rule out, and their number; of each two components only the ``nearest`` if asked. With ``blocks`` only pairs of different blocks."""
     order = np.lexsort((keys, sizes))
-    keys, comps, sizes = keys[order], comps[order], sizes[order]
+    keys, comps, sizes, blocks = keys[order], comps[order], sizes[order], None if blocks is None else blocks[order]
     widths = np.array([len(maps[i]) for i in order])
     rows, folded, found, n, total = {}, {}, [np.zeros((5, 0), np.int64)], 0, 0
     for w in np.unique(widths).tolist():
@@ -351,6 +346,8 @@ def close_pairs(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: li
                 j = np.arange(begin + a, begin + a + len(part))
                 differ = np.bitwise_count(part ^ mine).sum(1, dtype=np.int64)
                 ok = (comps[j] != comps[i]) & (differ * (100 + percent) <= (sizes[j] + sizes[i]) * (100 - percent))
+                if blocks is not None:
+                    ok &= blocks[j] != blocks[i]
                 if ok.any():
                     j = j[ok]
                     own_comp = np.full(len(j), comps[i])
@@ -372,26 +369,29 @@ def _nearest(found: np.ndarray) -> np.ndarray:
 def _open(groups: DataFrame, classes: DataFrame, comp: DataFrame, percent: int, nearest: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs still to be counted: of one group, in different components, not ruled out by bitmaps; all, or the nearest of each two components. And the groups that have more."""
     g = groups.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = g.groupBy("gid").agg((F.min("component") != F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("m")).where("mixed and m > 2").select("gid")
-    g = g.join(mixed, "gid", "left_semi").join(classes.select("key", "n", "map"), "key").select("gid", "key", "component", "n", "map")
+    mixed = g.groupBy("gid").agg((F.min("component") != F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("m")).where("mixed and m > 2").select("gid", F.ceil(F.col("m") / BLOCK).alias("parts"))
+    own = F.pmod(F.xxhash64("key"), F.col("parts"))
+    g = g.join(mixed, "gid").withColumn("block", own).join(classes.select("key", "n", "map"), "key")
+    g = g.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))  # each two blocks of a group meet in a task
+    g = g.select("gid", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "component", "block", "n", "map")
 
     def run(table: pa.Table) -> pa.Table:
-        key, comps, sizes = (table.column(c).to_numpy() for c in ("key", "component", "n"))
-        x, y, total = close_pairs(key, comps, sizes, table.column("map").to_pylist(), percent, nearest)
+        key, comps, sizes, block = (table.column(c).to_numpy() for c in ("key", "component", "n", "block"))
+        apart = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        x, y, total = close_pairs(key, comps, sizes, table.column("map").to_pylist(), percent, nearest, block if apart else None)
         more = [table.column("gid")[0].as_py()] * int(total > len(x))
         return pa.table({"gid": pa.array(more + [None] * len(x), pa.int64()), "x": pa.array([None] * len(more) + x.tolist(), pa.int64()), "y": pa.array([None] * len(more) + y.tolist(), pa.int64())})
 
-    found = cut(g.groupBy("gid").applyInArrow(run, "gid bigint, x bigint, y bigint"))
+    found = cut(g.groupBy("gid", "low", "high").applyInArrow(run, "gid bigint, x bigint, y bigint"))
     return found.where("x is not null").select("x", "y").distinct(), found.where("gid is not null").select("gid").distinct()
 
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n_shingles, key, component: the least doc_id of the component) and links between classes (x, y, inter, nx, ny)."""
-    rows = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = cut(_meet(_sign(rows, size, percent, buckets)))
-    members = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"))
+    """Members (doc_id, n_shingles, key, component: the least doc_id of the component, group: its least class, text_hash: xxhash64 of the text) and links between classes (x, y, inter, nx, ny)."""
+    rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    buckets = max(1, -(-rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // BUCKET))
+    met = cut_in(_meet(_sign(rows, size, percent, buckets)), buckets)
+    members = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"), F.col("text").alias("text_hash"))
     classes = cut(met.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("doc_id"), "n", "map").dropDuplicates(["key"]))
     groups = met.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("key")).distinct()
     like = F.col("inter") * 100 >= (F.col("nx") + F.col("ny") - F.col("inter")) * percent
@@ -418,5 +418,5 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.join(labels, "key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "key")))
     named = cut(named)
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "component", "left").select("doc_id", "n_shingles", "key", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("least")), F.col("doc_id")).alias("component"))
+    out = named.join(least, "component", "left").select("doc_id", "n_shingles", "key", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("least")), F.col("doc_id")).alias("component"), F.coalesce("component", "key").alias("group"), "text_hash")
     return out, links

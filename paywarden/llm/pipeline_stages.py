@@ -2,7 +2,7 @@
 
 Edge cases: columns beside ``doc_id`` and ``text`` pass untouched; rows with null ids or texts stay unless a stage's decision
 is about them (a null text is never toxic, has no words, no personal data and packs as the end id alone); of repeated rows
-one stays after the near-duplicate stage; empty tables stay empty.
+with words one stays after the near-duplicate stage; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -21,20 +21,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each component the document with the least doc_id; of rows with one id the one that sorts first. Documents without words are no component and all stay."""
+    """Of each component the row with the least doc_id (null ids come last). Texts without words are no component and all stay.
+
+    Rows are told apart by id and text: different texts under one id each stay or go with their own component. Of repeated rows
+    that would stay, the one that sorts first does.
+    """
     ready(spark)
     members, _ = jaccard.similarity_join(docs)
-    gone = cut(members.where("doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("component")).where("component < doc_id").select(F.col("doc_id").alias("gone")))
-    gone = F.broadcast(gone) if gone.count() <= jaccard.MAX_BROADCAST else gone
-    stay = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    many = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many")))
-    n = many.count()
-    if not n:
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    named = members.where("n_shingles > 0").select("group", row.alias("row"))
+    least = named.groupBy("group").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    close = cut(named.join(least, "group").groupBy("row", (F.col("row") == F.col("least")).alias("stays")).count().select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_text"), "stays", "count"))
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        rows = rows.select("_id", "_text")
+        return F.broadcast(rows) if rows.count() <= jaccard.MAX_BROADCAST else rows
+
+    stay = docs.join(listed(close.where("not stays")), own, "left_anti")
+    again = close.where("stays and count > 1")
+    if not again.limit(1).count():
         return stay
-    many = F.broadcast(many) if n <= jaccard.MAX_BROADCAST else many
+    again = listed(again)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    first = stay.join(many, F.col("doc_id") == F.col("many"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text"), *rest)).alias("row")).select("doc_id", "row.*").select(docs.columns)
-    return stay.join(many, F.col("doc_id") == F.col("many"), "left_anti").unionByName(first)
+    one = stay.join(again, own, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(F.col("text"), *rest)).alias("row")).select("doc_id", "row.*").select(docs.columns)
+    return stay.join(again, own, "left_anti").unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ pseudo-observations as the spread between groups warrants (moments of the summed
 evidence to what its section's posterior says beyond the global share.
 
 Edge cases: null texts count as empty; null sites and sections are groups of their own; a document without labels in its
-site gets the global share; several labels of one document count as their mean, rounded up; without both labels every score
+site gets the global share; several labels of one document count as their mean, rounded up; of several texts under one id the classifier learns from the one that sorts first; without both labels every score
 is the global share (one half without any); repeated rows are scored each; an empty table gives no rows.
 """
 
@@ -102,7 +102,7 @@ def _classifier(docs: DataFrame, known: DataFrame, n0: int, n1: int, id_col: str
         return None
     part = F.when(F.col("y") == 1, F.lit(min(1.0, SAMPLE_DOCS / n1))).otherwise(F.lit(min(1.0, SAMPLE_DOCS / n0)))
     drawn = cut(known.where(draw("doc_id") < part))  # about 2 * SAMPLE_DOCS rows
-    rows = texts(docs, id_col, text_col).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+    rows = texts(docs, id_col, text_col).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = batches(rows, lambda p: [p.column(0), pa.array([features(t) for t in p.column(1).to_pylist()], pa.list_(pa.float64())), p.column(2)], f"doc_id {kind}, x array<double>, y int").toPandas().sort_values("doc_id")
     y = made["y"].to_numpy(float)

@@ -5,7 +5,7 @@ id or further ahead in the same one. Windows are judged on the input.
 
 Sharding: of each window the seed (a shorter string) with the least hash, the first of equals, names where it belongs; windows
 next to each other that share their seed are one stretch, and equal windows lie at one distance from equal seeds, so they
-meet. Tasks send for each stretch two hashes and its place (about 25 bytes for 35 of text); of equal stretches only the
+meet. Tasks send for each stretch two hashes and its place (about 25 bytes for 27 of text); of equal stretches only the
 earliest one goes further, all others are repeats. Different stretches with one seed are compared as strings: they are
 dealt to shards by seed, each shard's suffix array is built by induced sorting, permuted common prefixes of ``length`` bytes
 or more join equal windows, and all but the earliest are repeats. A seed of more than ``hot`` different stretches (a line that
@@ -28,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, texts
+from .common import batches, cut, cut_in, texts
 from .shingles import mix, powers
 from .suffixes import permuted_common_prefixes, suffix_array
 
-LENGTH, SEED = 100, 32
+LENGTH, SEED = 100, 48
 #: Bytes hashed at once, stretches a task holds before it sends them, bytes of text behind one bucket of stretches.
 SEGMENT, HELD, BUCKET = 1 << 20, 500_000, 16 << 20
 #: Bytes of strings in one shard, and different stretches of one seed that a shard takes.
@@ -165,7 +165,7 @@ def _deal(rows: DataFrame, buckets: int, length: int, seed: int) -> DataFrame:
 _MET = "kind int, doc bigint, tag int, start bigint, n bigint, seed bigint"
 
 
-def _meet(dealt: DataFrame, hot: int) -> DataFrame:
+def _meet(packed: DataFrame, hot: int) -> DataFrame:
     """Kind 0: windows [start, start + n) are repeats. Kinds 1 and 2: a stretch whose seed others have as well, at most ``hot`` of them or more."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -194,7 +194,7 @@ def _meet(dealt: DataFrame, hot: int) -> DataFrame:
         names = [c.split()[0] for c in _MET.split(", ")]
         return pa.table({c: pa.array(np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int32 if c in ("kind", "tag") else np.int64)) for j, c in enumerate(names)})
 
-    return dealt.groupBy("bucket").applyInArrow(run, _MET)
+    return packed.groupBy("bucket").applyInArrow(run, _MET)
 
 
 def repeated_windows(strings: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
@@ -297,15 +297,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     tag = F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)).cast("int")
     rows = named.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(tag, F.lit(0)).alias("tag"), F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    met = cut(_meet(_deal(rows.select("doc", "tag", "text"), max(1, -(-size // BUCKET)), length, seed), hot))
+    buckets = max(1, -(-size // BUCKET))
+    met = cut_in(_meet(_deal(rows.select("doc", "tag", "text"), buckets, length, seed), hot), buckets)
     open_ = met.where("kind > 0")
     some = open_.agg(F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n") + length)), F.lit(0)).alias("cold"), F.count(F.when(F.col("kind") == 2, 1)).alias("hot")).first()
     found = met.where("kind = 0").select("doc", "tag", "start", "n")
     if some["cold"] or some["hot"]:
-        strings = _strings(rows, open_, max(1, -(-some["cold"] // SHARD)), length)
+        shards = max(1, -(-some["cold"] // SHARD))
+        strings = _strings(rows, open_, shards, length)
         strings = cut(strings) if some["cold"] and some["hot"] else strings
         if some["cold"]:
-            found = found.union(_sorted_shards(strings.where("kind = 1").select("shard", "doc", "tag", "start", "string"), length))
+            found = found.union(cut_in(_sorted_shards(strings.where("kind = 1").select("shard", "doc", "tag", "start", "string"), length), shards))
         if some["hot"]:
             found = found.union(_hot_windows(strings.where("kind = 2")))
     return rows, found

@@ -34,6 +34,96 @@ def _induced(first: list[int], size: list[int], smaller: list[int], larger: list
     return array
 
 
+def _by_place(text: np.ndarray, small: np.ndarray, symbols: int):
+    n = len(text)
+    count = np.bincount(text, minlength=symbols)
+    end = np.cumsum(count)
+    middle = end - np.bincount(text[small], minlength=symbols)
+    before = np.concatenate([[-1], text[:-1]])
+    kind = np.concatenate([[False], small[:-1]])
+    # the last entry answers for position -1, which stands for an empty place
+    smaller = np.append(np.where(kind, before, -1), -1).tolist()
+    larger = np.append(np.where(kind, -1, before), -1).tolist()
+    first, size, by_char = (end - count).tolist(), end.tolist(), middle.tolist()
+
+    def induced(order: np.ndarray) -> np.ndarray:
+        return np.array(_induced(first, size, smaller, larger, by_char, int(text[-1]), n, list(zip(order.tolist(), text[order].tolist(), strict=True))), np.int64)
+
+    return induced
+
+
+def _by_bucket(text: np.ndarray, small: np.ndarray, symbols: int):
+    return lambda order: _induced_by_bucket(text, small, symbols, order)
+
+
+class _Buckets:
+    """Positions by symbol, each bucket in the order of arrival."""
+
+    def __init__(self, symbols: int):
+        self.lists: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+
+    def add(self, at: np.ndarray, symbol: np.ndarray) -> None:
+        order = np.argsort(symbol, kind="stable")
+        at, symbol = at[order], symbol[order]
+        cuts = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
+        for c, part in zip(symbol[np.append(0, cuts)].tolist(), np.split(at, cuts), strict=True):
+            self.lists[c].append(part)
+
+    def take(self, symbol: int) -> np.ndarray:
+        return np.concatenate(self.lists[symbol]) if self.lists[symbol] else _NONE
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def _induced_by_bucket(text: np.ndarray, small: np.ndarray, symbols: int, lms: np.ndarray) -> np.ndarray:
+    """The same, a bucket at a time, where buckets are few: what a bucket induces into itself comes in rounds, one for each symbol of a run."""
+    text = text.astype(np.uint8)
+    waiting, larger = _Buckets(symbols), []
+    waiting.lists[text[-1]].append(np.array([len(text) - 1]))
+    seeds = _Buckets(symbols)
+    if len(lms):
+        seeds.add(lms, text[lms])
+    for c in range(symbols):
+        part, rounds = waiting.take(c), []
+        while len(part):
+            rounds.append(part)
+            at = part[part > 0] - 1
+            at = at[~small[at]]
+            symbol = text[at]
+            own = symbol == c
+            part = at[own]
+            if len(part) < len(at):
+                waiting.add(at[~own], symbol[~own])
+        larger.append(np.concatenate(rounds) if rounds else _NONE)
+        at = seeds.take(c) - 1
+        if len(at):
+            waiting.add(at, text[at])
+    waiting, out = _Buckets(symbols), [_NONE] * symbols
+    for c in range(symbols - 1, -1, -1):
+        part, rounds = waiting.take(c), []
+        while len(part):
+            rounds.append(part)
+            at = part[part > 0] - 1
+            at = at[small[at]]
+            symbol = text[at]
+            own = symbol == c
+            part = at[own]
+            if len(part) < len(at):
+                waiting.add(at[~own], symbol[~own])
+        out[c] = np.concatenate([larger[c], *(r[::-1] for r in reversed(rounds))])
+        at = larger[c][::-1]
+        at = at[at > 0] - 1
+        at = at[small[at]]
+        if len(at):
+            waiting.add(at, text[at])
+    return np.concatenate(out)
+
+
+#: Symbols up to which buckets are gone through whole.
+FEW = 256
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes of non-negative integers, in order; a suffix that begins another one comes first.
 
@@ -49,20 +139,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ahead = np.searchsorted(known, np.arange(n - 1))  # a run of equal symbols is of the kind of its end
     small = np.append(np.append(step[known], -1)[ahead] > 0, False)
     symbols = int(text.max()) + 1
-    count = np.bincount(text, minlength=symbols)
-    end = np.cumsum(count)
-    middle = end - np.bincount(text[small], minlength=symbols)
-    before = np.concatenate([[-1], text[:-1]])
-    kind = np.concatenate([[False], small[:-1]])
-    # the last entry answers for position -1, which stands for an empty place
-    smaller = np.append(np.where(kind, before, -1), -1).tolist()
-    larger = np.append(np.where(kind, -1, before), -1).tolist()
-    first, size, by_char = (end - count).tolist(), end.tolist(), middle.tolist()
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-
-    def induced(order: np.ndarray) -> np.ndarray:
-        return np.array(_induced(first, size, smaller, larger, by_char, int(text[-1]), n, list(zip(order.tolist(), text[order].tolist(), strict=True))), np.int64)
-
+    induced = _by_bucket(text, small, symbols) if symbols <= FEW else _by_place(text, small, symbols)
     array = induced(lms)
     if len(lms) < 2:
         return array
@@ -86,20 +164,23 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def permuted_common_prefixes(data: bytes, array: np.ndarray) -> np.ndarray:
-    """For each position, in text order, how many bytes its suffix shares with the one before it in the suffix array."""
+    """For each position, in text order, how many bytes its suffix shares with the one before it in the suffix array.
+
+    Eight bytes are compared at a time, for all positions that still agree.
+    """
     n = len(data)
-    before = np.full(n, -1, np.int64)
-    before[array[1:]] = array[:-1]
-    data += b"\xfe"  # no byte of the text: ends every comparison
-    out, k = [0] * n, 0
-    for i, j in enumerate(before.tolist()):
-        if j < 0:
-            k = 0
-            continue
-        while data[i + k:i + k + 16] == data[j + k:j + k + 16]:
-            k += 16
-        while data[i + k] == data[j + k]:
-            k += 1
-        out[i] = k
-        k = k - 1 if k else 0
-    return np.array(out, np.int64)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    word = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n + 1].copy().view(np.uint64).ravel()
+    at, other, k = array[1:], array[:-1], 0
+    while len(at):
+        most = n - np.maximum(at, other)  # bytes left in the shorter one
+        differ = word[np.minimum(at + k, n)] ^ word[np.minimum(other + k, n)]
+        low = differ & (~differ + np.uint64(1))
+        same = np.where(differ == 0, 8, (np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64))
+        out[at] = np.minimum(k + same, most)
+        go = (same == 8) & (k + 8 < most)
+        at, other, k = at[go], other[go], k + 8
+    return out

@@ -15,8 +15,10 @@ import re
 
 import numpy as np
 
+from .common import by_worker
+
 #: Stretches remembered by a worker, about 200 bytes each.
-CACHE = 500_000
+CACHE = 250_000
 FILE = "word_bpe_49k.json"
 END_ID = 2
 
@@ -100,12 +102,6 @@ class Encoder:
         return self.encode_all([text])[0]
 
 
-_BUILT: dict[str | None, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
     """The worker's encoder, kept between tasks."""
-    if path not in _BUILT:
-        _BUILT.clear()
-        _BUILT[path] = Encoder(path)
-    return _BUILT[path]
+    return by_worker(("encoder", path), lambda: Encoder(path))

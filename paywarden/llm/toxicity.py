@@ -8,7 +8,7 @@ and word beginnings, learnt from labelled rows, put on a probability scale by lo
 sample.
 
 Edge cases: null and empty texts score as texts without evidence; a sample without both labels gives every text score 0;
-several labels of one document count as toxic if any is; ties between readings go to the one that sorts first; repeated rows
+several labels of one document count as toxic if any is; of several texts under one id the model learns from the one that sorts first; ties between readings go to the one that sorts first; repeated rows
 are scored each; long texts are scored whole.
 """
 
@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, draw, kept, texts
+from .common import batches, cut, draw, kept, release, texts
 
 #: Bounds of the training sample: documents of each label, and the longest text in it.
 SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 20_000
-#: Features kept, documents that must show one, and its least log-odds.
-MAX_FEATURES, LEAST_DOCS, LEAST_ODDS = 50_000, 2, 3.0
+#: Documents of the sample that must show a feature, and its least log-odds.
+LEAST_DOCS, LEAST_ODDS = 2, 3.0
+#: Readings of disguised stretches that a task remembers.
+READINGS = 50_000
 THRESHOLD = 0.7
 
 #: Letters that a sign may stand for.
@@ -46,8 +48,6 @@ DISGUISED = re.compile(
     rf"|(?<![\w@$!|+€]){_ITEM}*?{_L}{_S}{_ITEM}*"  # signs after letters
     rf"|(?<!\w){_S}{{1,4}}{_L}[^\W_]+"  # signs before letters
     rf"|(?<!\w)\w*({_L})\1\1\w*")  # three of a kind
-#: Longest stretch that is decoded at once; longer ones are decoded in parts of this many characters.
-LONGEST = 120
 
 _A = 64
 #: Code point -> sum of what it is: a letter that words are made of, a sign that may stand for a letter, a separator, a character of ``\\w``.
@@ -155,7 +155,7 @@ def costs(counts: np.ndarray) -> np.ndarray:
 
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     """For each character the letters it may stand for ("" falls away), with costs."""
-    out = []
+    out, marks = [], len(stretch.rstrip("!"))
     for i, c in enumerate(stretch):
         if c.isalpha():
             edges = [(c, 0.0)]
@@ -165,7 +165,7 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
             edges = [(x, SIGN_COST) for x in SIGNS.get(c, "")]
             if c in " .-_*~":
                 edges += [("", SEPARATOR_COST), (" ", BREAK_COST)]
-            elif c == "!" and not stretch[i:].strip("!"):  # at the end as likely a mark as a letter
+            elif c == "!" and i >= marks:  # at the end as likely a mark as a letter
                 edges.append((c, SIGN_COST))
             else:
                 edges.append((" ", LITERAL_COST))
@@ -173,24 +173,64 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+class _Readings:
+    """Readings as a tree of letters: equal texts are one node, so a stretch of any length costs as much as it is long."""
+
+    def __init__(self):
+        self.up, self.letter, self.depth, self.known = [0], [""], [0], {}
+
+    def add(self, node: int, letter: str) -> int:
+        at = self.known.get((node, letter))
+        if at is None:
+            at = self.known[node, letter] = len(self.up)
+            self.up.append(node)
+            self.letter.append(letter)
+            self.depth.append(self.depth[node] + 1)
+        return at
+
+    def before(self, a: int, b: int) -> bool:
+        """Whether the text of one node sorts before that of another."""
+        x, y = a, b
+        while self.depth[x] > self.depth[y]:
+            x = self.up[x]
+        while self.depth[y] > self.depth[x]:
+            y = self.up[y]
+        if x == y:  # one begins the other
+            return self.depth[a] < self.depth[b]
+        while self.up[x] != self.up[y]:
+            x, y = self.up[x], self.up[y]
+        return self.letter[x] < self.letter[y]
+
+    def text(self, node: int) -> str:
+        out = []
+        while node:
+            out.append(self.letter[node])
+            node = self.up[node]
+        return "".join(reversed(out))
+
+
 def decode(stretch: str, cost) -> str:
-    """The cheapest reading of a stretch: Viterbi over (place, last two symbols)."""
-    if len(stretch) > LONGEST:
-        return "".join(decode(stretch[i:i + LONGEST], cost) for i in range(0, len(stretch), LONGEST))
-    best = {(0, 0): (0.0, "")}
+    """The cheapest reading of a whole stretch: Viterbi over (place, last two symbols); of equally cheap ones the first in order."""
+    read = _Readings()
+    best = {(0, 0): (0.0, 0)}
     for edges in lattice(stretch):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (c, text) in best.items():
+        after: dict[tuple[int, int], tuple[float, int]] = {}
+        for (a, b), (c, node) in best.items():
             for letter, e in edges:
                 if letter:
                     s = int(_SYMBOL[ord(letter)])
-                    key, value = (b, s), (c + e + cost[a][b][s], text + letter)
+                    key, total = (b, s), c + e + cost[a][b][s]
                 else:
-                    key, value = (a, b), (c + e, text)
-                if key not in after or value < after[key]:
-                    after[key] = value
+                    key, total = (a, b), c + e
+                had = after.get(key)
+                if had is None or total <= had[0]:
+                    to = read.add(node, letter) if letter else node
+                    if had is None or total < had[0] or read.before(to, had[1]):
+                        after[key] = total, to
         best = after
-    return min((c + cost[a][b][0], text) for (a, b), (c, text) in best.items())[1]
+    ends = [(c + cost[a][b][0], node) for (a, b), (c, node) in best.items()]
+    least = min(ends)[0]
+    return min(read.text(node) for c, node in ends if c == least)
 
 
 class Restorer:
@@ -198,7 +238,7 @@ class Restorer:
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
-        self.read = functools.lru_cache(200_000)(lambda s: tuple(_WORD.findall(decode(s, self.cost))))
+        self.read = functools.lru_cache(READINGS)(lambda s: tuple(_WORD.findall(decode(s, self.cost))))
 
     def words(self, text: str | None) -> set[str]:
         if not text:
@@ -226,7 +266,7 @@ def learn(docs: list[set[str]], toxic: list[bool]) -> dict[str, float]:
             without.update(f for f in features(words) if with_[f] >= LEAST_DOCS)
     n, m = sum(toxic) + 1, len(toxic) - sum(toxic) + 1
     found = {f: math.log((k + 0.5) / n) - math.log((without[f] + 0.5) / m) for f, k in with_.items() if k >= LEAST_DOCS}
-    return dict(sorted(((f, v - math.sqrt(1 / with_[f])) for f, v in found.items() if v >= LEAST_ODDS), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES])
+    return dict(sorted(((f, v - math.sqrt(1 / with_[f])) for f, v in found.items() if v >= LEAST_ODDS), key=lambda x: (-x[1], x[0])))
 
 
 def evidence(words: set[str], model: dict[str, float]) -> tuple[float, float]:
@@ -257,6 +297,7 @@ class Model:
         self.cost, self.odds, self.weights = cost, odds, weights
 
     def scorer(self):
+        release()
         restorer = Restorer(self.cost)
 
         def score(text: str | None) -> float:
@@ -279,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     # most texts are shorter than SAMPLE_CHARS: somewhat more are drawn, then cut to the bound in hash order
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, 1.2 * sample_docs / n[1]))).otherwise(F.lit(min(1.0, 1.2 * sample_docs / n[0])))
     drawn = cut(known.where(F.col("toxic").isin(0, 1) & (draw("doc_id") < share)))  # at most about 2.4 * sample_docs rows
-    rows = texts(docs, id_col, text_col).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    rows = texts(docs, id_col, text_col).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = rows.toPandas()
     sample["h"] = [int.from_bytes(hashlib.blake2b(str(d).encode(), digest_size=8).digest(), "big") for d in sample["doc_id"]]
     sample = sample.sort_values("h", kind="stable").groupby("toxic").head(sample_docs).sort_values("h", kind="stable", ignore_index=True)
@@ -303,7 +344,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Per document: doc_id, score (0 to 1), predicted (1 from ``threshold`` on)."""
     rows = texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 64^3 costs and at most MAX_FEATURES log-odds
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 64^3 costs, and log-odds of features of the bounded sample
 
     def run(part, scorer):
         got = [scorer(t) for t in part.column(1).to_pylist()]
