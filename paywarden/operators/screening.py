@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,65 +42,112 @@ def exact_alias(parties: DataFrame, entities: DataFrame) -> DataFrame:
         F.lit(1.0).alias("confidence"), F.col("e.source").alias("source"))
 
 
-def _similar(a: str, b: str, threshold: float) -> float:
-    """Ratcliff-Obershelp ratio, or -1 when the cheap letter bound already rules the pair out."""
-    from difflib import SequenceMatcher
+def _matched_needed(a, b, threshold: float):
+    """The fewest matched letters with which names of lengths ``a`` and ``b`` reach the ratio."""
+    return F.ceil((a + b) * (threshold / 2) - 1e-9).cast("int")
+
+
+def _segments(size, other, threshold: float):
+    """How many segments the list's name of length ``size`` falls into beside a name of length ``other``: one more than letters
+    that stay unmatched on both sides together, so that one segment is matched whole."""
+    return size + other - 2 * _matched_needed(size, other, threshold) + 1
+
+
+def _codes(names: list[str]) -> np.ndarray:
+    """Names as rows of code points, filled up with zeros."""
+    lengths = np.array([len(x) for x in names])
+    out = np.zeros((len(names), int(lengths.max(initial=1))), np.uint32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
 
-    common = sum((Counter(a) & Counter(b)).values())
-    if 2.0 * common / (len(a) + len(b)) < threshold:
-        return -1.0
-    return SequenceMatcher(None, a, b).ratio()
+
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each two names (rows of code points, ``a`` at most 64 wide): no ratio can
+    match more letters. Bit-parallel: a word holds the whole first name of a pair, a step takes one letter of all second ones."""
+    n = len(a)
+    place = np.uint64(1) << np.arange(a.shape[1], dtype=np.uint64)
+    state = np.full(n, ~np.uint64(0))
+    for j in range(b.shape[1]):
+        hit = (np.where(a == b[:, j, None], place, np.uint64(0))).sum(1, dtype=np.uint64)
+        hit[b[:, j] == 0] = 0
+        both = state & hit
+        state = (state + both) | (state - both)
+    return (a.shape[1] - np.bitwise_count(state << np.uint64(64 - a.shape[1]) if a.shape[1] < 64 else state)).astype(np.int64)
+
+
+def _longest_common(a: str, b: str) -> int:
+    """The same for names of any length, one pair at a time, on Python's long integers."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    state = full
+    for c in b:
+        both = state & at.get(c, 0)
+        state = ((state + both) | (state - both)) & full
+    return len(a) - state.bit_count()
+
+
+def bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """For each two names a number of letters that no matching exceeds."""
+    out = np.zeros(len(a), np.int64)
+    short = np.array([len(x) <= 64 for x in a], bool)
+    at = np.flatnonzero(short)
+    for k in range(0, len(at), 20_000):
+        some = at[k:k + 20_000]
+        out[some] = common_subsequence(_codes([a[i] for i in some]), _codes([b[i] for i in some]))
+    for i in np.flatnonzero(~short):
+        out[i] = _longest_common(a[i], b[i])
+    return out
 
 
 def _score_pairs(threshold: float):
+    from difflib import SequenceMatcher
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["ratio"] = [_similar(a, b, threshold) for a, b in zip(pdf["lname"], pdf["lentity"])]
+            a, b = pdf["lname"].tolist(), pdf["lentity"].tolist()
+            size = np.array([len(x) + len(y) for x, y in zip(a, b)])
+            pdf = pdf[2.0 * bounds(a, b) >= threshold * size - 1e-9]
+            pdf = pdf.assign(ratio=[SequenceMatcher(None, x, y).ratio() for x, y in zip(pdf["lname"], pdf["lentity"])])
             yield pdf[pdf["ratio"] >= threshold]
 
     return run
 
 
-def _histogram(name):
-    """Letters of a name as (letter, which occurrence), so that multisets become sets."""
-    chars = F.filter(F.split(name, ""), lambda c: c != "")
-    return F.flatten(F.transform(F.array_distinct(chars), lambda c: F.transform(
-        F.sequence(F.lit(1), F.size(F.filter(chars, lambda d: d == c))), lambda i: F.concat(c, i.cast("string")))))
+def candidate_pairs(names: DataFrame, entries: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """Pairs (lname, lentity, ordinal) that share a segment; every pair that reaches the ratio is among them.
+
+    A ratio of t over lengths a and b leaves at most d = a + b - 2 * ceil(t * (a + b) / 2) letters of both names unmatched. Of
+    d + 1 segments of the list's name one is therefore matched whole, and no other letters come between: it stands unchanged in
+    the other name, moved by no more than the letters that either side may have too many. ``names``: lname; ``entries``: ordinal, lentity.
+    """
+    reach = lambda n: F.sequence(F.ceil(n * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.floor(n * ((2 - threshold) / threshold) + 1e-9).cast("int"))
+    lx, ly, seg = F.col("lx"), F.col("ly"), F.col("seg")
+    parts = _segments(ly, lx, threshold)
+    begin, end = F.floor(seg * ly / parts).cast("int"), F.floor((seg + 1) * ly / parts).cast("int")
+    right = entries.withColumn("ly", F.length("lentity")).withColumn("lx", F.explode(reach(ly))).withColumn("seg", F.explode(F.sequence(F.lit(0), parts - 1)))
+    right = right.withColumns({"_b": begin, "_e": end}).select("ordinal", "lentity", "lx", "ly", "seg", F.expr("substring(lentity, _b + 1, _e - _b)").alias("piece"))
+    left = names.withColumn("lx", F.length("lname")).withColumn("ly", F.explode(reach(lx))).withColumn("seg", F.explode(F.sequence(F.lit(0), parts - 1)))
+    matched = _matched_needed(lx, ly, threshold)
+    left = left.withColumns({"_b": begin, "_e": end}).withColumn("_at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_b") - (ly - matched)), F.col("_b") + (lx - matched))))
+    left = left.where(F.col("_at") + F.col("_e") - F.col("_b") <= lx).select("lname", "lx", "ly", "seg", F.expr("substring(lname, _at + 1, _e - _b)").alias("piece"))
+    return left.join(right, ["lx", "ly", "seg", "piece"]).select("lname", "lentity", "ordinal")
 
 
 def fuzzy(parties: DataFrame, entities: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """Per distinct name: the first entry in list order whose name is at least ``threshold`` similar.
+    """Per distinct name: the first entry in list order whose name is at least ``threshold`` similar (Ratcliff-Obershelp ratio).
 
-    Candidates are found losslessly. A ratio of t over lengths a and b needs at least
-    t*(a+b)/2 common letters (as a multiset), so both lengths lie within a factor t/(2-t), and two
-    names that share so many letters must share one among their rarest letters ("prefix" of
-    length a - needed + 1 in a common order). Names are joined on (length, prefix letter) and only
-    those pairs reach the Python similarity.
+    Pairs come from a lossless index of segments; the longest common subsequence, found for all pairs of a batch at once, rules
+    out nearly all that are chance, and only the rest are compared exactly. Each distinct list name is indexed once, under its
+    first entry.
     """
-    names = _names(parties).withColumn("lx", F.length("lname"))
-    list_ = entities.select("ordinal", "name", "source", F.lower("name").alias("lentity")).withColumn("ly", F.length("lentity")).filter("ly > 0")
-    # rarity of a letter occurrence in the list decides the common order
-    freq = list_.select(F.explode(_histogram(F.col("lentity"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-
-    def prefixes(df: DataFrame, text: str, length: str, ids: list[str]) -> DataFrame:
-        letters = df.select(*ids, text, length, F.explode(_histogram(F.col(text))).alias("g")).join(freq, "g", "left")
-        ranked = letters.groupBy(*ids, text, length).agg(
-            F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("gs"))
-        # the partner is at least length * t / (2 - t) long: that many letters are needed at the least
-        need = F.ceil(F.lit(threshold) * (F.col(length) + F.ceil(F.col(length) * (threshold / (2 - threshold)) - 1e-9)) / 2 - 1e-9)
-        keep = F.slice("gs", F.lit(1), F.greatest(F.lit(1), (F.col(length) - need + 1).cast("int")))
-        return ranked.select(*ids, text, length, F.explode(F.transform(keep, lambda s: s["g"])).alias("g"))
-
-    left = prefixes(names, "lname", "lx", [])
-    right = prefixes(list_, "lentity", "ly", ["ordinal", "name", "source"])
-    reach = right.select("*", F.explode(F.sequence(
-        F.ceil(F.col("ly") * (threshold / (2 - threshold)) - 1e-9).cast("int"),
-        F.floor(F.col("ly") * ((2 - threshold) / threshold) + 1e-9).cast("int"))).alias("lx"))
-    pairs = left.join(reach, ["g", "lx"]).select("lname", "lentity", "ordinal", "name", "source").distinct()
-    scored = pairs.mapInPandas(_score_pairs(threshold), "lname string, lentity string, ordinal long, name string, source string, ratio double")
-    first = scored.groupBy("lname").agg(F.min_by(F.struct("name", "source", "ratio"), "ordinal").alias("e"))
-    return first.select("lname", F.lit("FUZZY").alias("match_type"), F.col("e.name").alias("entity"),
-                        F.round("e.ratio", 4).alias("confidence"), F.col("e.source").alias("source"))
+    names = _names(parties)
+    first = entities.where(F.length("name") > 0).groupBy(F.lower("name").alias("lentity")).agg(F.min_by(F.struct("name", "source"), "ordinal").alias("entry"), F.min("ordinal").alias("ordinal"))
+    scored = candidate_pairs(names, first.select("ordinal", "lentity"), threshold).mapInPandas(_score_pairs(threshold), "lname string, lentity string, ordinal long, ratio double")
+    best = scored.groupBy("lname").agg(F.min_by(F.struct("lentity", "ratio"), "ordinal").alias("e")).select("lname", F.col("e.lentity").alias("lentity"), F.col("e.ratio").alias("ratio"))
+    return best.join(first, "lentity").select("lname", F.lit("FUZZY").alias("match_type"), F.col("entry.name").alias("entity"),
+                                              F.round("ratio", 4).alias("confidence"), F.col("entry.source").alias("source"))
 
 
 def country(parties: DataFrame, entities: DataFrame) -> DataFrame:

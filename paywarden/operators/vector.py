@@ -12,7 +12,7 @@ from ..functions import constants as K
 from ..functions import timeline as tl
 from ..functions.bins import histogram_bin
 from ..functions.joins import latest_n, lookup
-from . import profiles, velocity
+from . import asof, profiles, velocity
 
 HOUR, DAY = K.HOUR, K.DAY
 
@@ -42,12 +42,13 @@ def _user_timeline(txn: DataFrame, auth: DataFrame | None, confirmed: DataFrame
     return tl.trailing(both, ["user_id"], "us", specs).filter("_txn = 1").drop("_auth", "_fraud", "_txn")
 
 
-def fraud_vector(txn: DataFrame, auth: DataFrame, accounts: DataFrame, confirmed: DataFrame, devices: DataFrame,
-                 keep: list[str] | None = None) -> DataFrame:
+def fraud_vector(txn: DataFrame, auth: DataFrame, accounts: DataFrame, confirmed: DataFrame, devices: DataFrame | None,
+                 keep: list[str] | None = None, arrivals: DataFrame | None = None) -> DataFrame:
     """The 13 fraud features of every transaction.
 
     ``auth`` (user_id, us): failed logins; ``accounts`` (user_id, created_us); ``confirmed``
-    (user_id, us): times at which a fraud label arrived; ``devices``: a device profile.
+    (user_id, us): times at which a fraud label arrived; ``devices``: a device profile. With ``arrivals`` (txn_id, label, us:
+    when the label arrived) devices are seen as they were before each transaction instead.
     """
     x = F.when(F.col("_txn") == 1, F.col("cents")).otherwise(F.lit(0).cast("long"))
     n = F.col("_txn")
@@ -63,7 +64,11 @@ def fraud_vector(txn: DataFrame, auth: DataFrame, accounts: DataFrame, confirmed
         velocity._mean("_s7", "_n7").alias("avg_transaction_amount_7d"),
         (F.col("_frauds") > 0).cast("int").alias("historical_fraud_flag"))
     v = tl.attach(txn, past, velocity.geo_distance(txn))
-    v = profiles.device_lookup(v, devices)
+    if arrivals is None:
+        v = profiles.device_lookup(v, devices)
+    else:
+        seen = asof.device_profile(txn.select("txn_id", "user_id", "us", "device"), arrivals)
+        v = tl.attach(v, seen.select("txn_id", "device_risk_score", "device_fraud_count", "distinct_user_count"))
     v = lookup(v, accounts.select("user_id", "created_us"), {"user_id": "user_id"}, ["txn_id"])
     v = v.withColumns({
         "account_age_days": profiles.age_days(F.col("created_us"), F.col("us"), 365.0),
@@ -71,13 +76,14 @@ def fraud_vector(txn: DataFrame, auth: DataFrame, accounts: DataFrame, confirmed
     return registry_select(v, "fraud", ["txn_id", "user_id", "us", *(keep or [])])
 
 
-def aml_vector(txn: DataFrame, accounts: DataFrame, ip_geo: DataFrame, user_graph: DataFrame,
-               keep: list[str] | None = None) -> DataFrame:
+def aml_vector(txn: DataFrame, accounts: DataFrame, ip_geo: DataFrame, user_graph: DataFrame | None,
+               keep: list[str] | None = None, snapshots: DataFrame | None = None) -> DataFrame:
     """The 22 AML features of every transaction; hour and day counts and the day's volume are the expiring counters.
 
     ``accounts`` (user_id, created_us, kyc_completeness_score); ``user_graph`` (user_id,
     network_risk_score, circular_transfer_flag, shared_device_cluster_size); ``txn`` may carry
-    sender_wallet and receiver_wallet.
+    sender_wallet and receiver_wallet. With ``snapshots`` (user_id, us and those three) the newest before each transaction
+    counts instead of ``user_graph``.
     """
     wide = velocity._specs(["n_30d", "cents_30d", "squares_30d"])
     past = velocity.distinct_30d(txn, wide).select("txn_id", *velocity.amounts_30d(), "device_count_30d", "ip_count_30d", "new_device_flag")
@@ -87,7 +93,10 @@ def aml_vector(txn: DataFrame, accounts: DataFrame, ip_geo: DataFrame, user_grap
     v = tl.attach(txn, past, shape)
     v = profiles.ip_country_mismatch(v, ip_geo)
     v = lookup(v, accounts.select("user_id", "created_us", "kyc_completeness_score"), {"user_id": "user_id"}, ["txn_id"])
-    v = lookup(v, user_graph, {"user_id": "user_id"}, ["txn_id"])
+    if snapshots is None:
+        v = lookup(v, user_graph, {"user_id": "user_id"}, ["txn_id"])
+    else:
+        v = tl.attach(v, asof.user_graph(txn.select("txn_id", "user_id", "us"), snapshots).select("txn_id", *asof.GRAPH))
     c = F.col("country")
     v = v.withColumns({
         "account_age_days": profiles.age_days(F.col("created_us"), F.col("us"), 365.0), "time_of_day": profiles.time_of_day(F.col("us")),
@@ -97,18 +106,24 @@ def aml_vector(txn: DataFrame, accounts: DataFrame, ip_geo: DataFrame, user_grap
     return registry_select(v, "aml", ["txn_id", "user_id", "us", *(keep or [])])
 
 
-def merchant_vector(txn: DataFrame, aggregates: DataFrame, ratios: DataFrame, accounts: DataFrame, mcc: DataFrame,
-                    keep: list[str] | None = None) -> DataFrame:
+def merchant_vector(txn: DataFrame, aggregates: DataFrame, ratios: DataFrame | None, accounts: DataFrame, mcc: DataFrame,
+                    keep: list[str] | None = None, arrivals: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """The 15 merchant features at every transaction of the merchant.
 
-    ``accounts`` (merchant_id, created_us, mcc); ``mcc`` (mcc, mcc_risk_score).
+    ``accounts`` (merchant_id, created_us, mcc); ``mcc`` (mcc, mcc_risk_score). With ``arrivals`` (txn_id, label, us) and
+    ``scores`` (user_id, us, milli) the ratios are those known before each transaction instead of ``ratios``.
     """
     v = velocity.merchant_velocity(txn)
     v = v.withColumnRenamed("count_1h", "transaction_count_1h").withColumnRenamed("count_24h", "transaction_count_24h")
     v = v.drop("sum_1h", "sum_24h")
     v = velocity.with_hourly_past(v, txn, "merchant_id").withColumn("velocity_spike_flag", velocity.spike_flag(F.col("transaction_count_1h"))).drop("past_n", "past_hours")
     profile = profiles.mcc_risk(accounts, mcc).select("merchant_id", "created_us", "mcc_risk_score")
-    profile = profile.join(aggregates, "merchant_id", "full").join(ratios, "merchant_id", "full")
+    profile = profile.join(aggregates, "merchant_id", "full")
+    if arrivals is None:
+        profile = profile.join(ratios, "merchant_id", "full")
+    else:
+        known = asof.merchant_ratios(txn.select("txn_id", "merchant_id", "user_id", "us", "country"), arrivals, scores)
+        v = tl.attach(v, known.drop("merchant_id", "user_id", "us", "country"))
     v = lookup(v, profile, {"merchant_id": "merchant_id"}, ["txn_id"])
     v = v.withColumn("account_age_days", profiles.age_days(F.col("created_us"), F.col("us"), 0.0))
     return registry_select(v, "merchant", ["txn_id", "merchant_id", "us", *(keep or [])])

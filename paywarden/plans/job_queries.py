@@ -66,9 +66,9 @@ def tier_counts(v):
     return decisions.count_by(merchant_scored(v), "tier")
 
 
-@query("match_type_counts", _screen_sql("SELECT match_type, count(*) AS n FROM screened GROUP BY match_type"))
+@query("match_type_counts", _screen_sql("SELECT match_type, count(*) AS n FROM fully GROUP BY match_type"))
 def match_type_counts(v):
-    return decisions.count_by(screening.screen(v.parties, v.sanctions, _blacklisted_parties(v), with_fuzzy=False), "match_type")
+    return decisions.count_by(screening.screen(v.parties, v.sanctions, _blacklisted_parties(v)), "match_type")
 
 
 @query("mean_coverage", using("av", "SELECT 'aml' AS domain, sum(covered)::BIGINT / count(*) / 22.0::DOUBLE AS coverage FROM (SELECT "

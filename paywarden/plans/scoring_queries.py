@@ -154,6 +154,16 @@ def fraud_cold_score(v):
     return f.select("txn_id", scoring.fraud_cold(F.col("velocity_anomaly") == 1, F.col("new_account_high_amount") == 1).alias("score"))
 
 
+def _screened(finding, more):
+    of = lambda c: finding.format(c)
+    return f"""SELECT party_id, (p.party_id % 37 = 0 OR {of('match_type')} IS NOT NULL)::BIGINT AS matched,
+                CASE WHEN p.party_id % 37 = 0 THEN 'BLACKLIST' ELSE coalesce({of('match_type')}, 'NONE') END AS match_type,
+                CASE WHEN p.party_id % 37 = 0 THEN p.name ELSE {of('entity')} END AS entity,
+                CASE WHEN p.party_id % 37 = 0 THEN 1.0 ELSE coalesce({of('confidence')}, 0.0) END::DOUBLE AS confidence,
+                CASE WHEN p.party_id % 37 = 0 THEN 'BLACKLIST' ELSE {of('source')} END AS source
+                FROM parties p LEFT JOIN exact e ON e.lname = lower(p.name) {more} LEFT JOIN bycountry c ON c.ucountry = upper(p.country) AND p.country <> ''"""
+
+
 SCREEN_SQL = {
     "spelled": """SELECT lower(s) AS lname, ordinal, pos > 1 AS alias, name, source
                   FROM (SELECT *, unnest(list_concat([name], aliases)) AS s, generate_subscripts(list_concat([name], aliases), 1) AS pos FROM sanctions)""",
@@ -161,17 +171,27 @@ SCREEN_SQL = {
                 FROM spelled s WHERE lname IN (SELECT lower(name) FROM parties) ORDER BY lname, ordinal, alias""",
     "bycountry": """SELECT DISTINCT ON (upper(s.country)) upper(s.country) AS ucountry, 'COUNTRY' AS match_type, s.name AS entity, 0.7::DOUBLE AS confidence, source
                 FROM sanctions s WHERE upper(country) IN (SELECT upper(country) FROM parties WHERE country <> '') ORDER BY upper(s.country), ordinal""",
-    "screened": """SELECT party_id, (p.party_id % 37 = 0 OR e.lname IS NOT NULL OR c.ucountry IS NOT NULL)::BIGINT AS matched,
-                CASE WHEN p.party_id % 37 = 0 THEN 'BLACKLIST' ELSE coalesce(e.match_type, c.match_type, 'NONE') END AS match_type,
-                CASE WHEN p.party_id % 37 = 0 THEN p.name ELSE coalesce(e.entity, c.entity) END AS entity,
-                CASE WHEN p.party_id % 37 = 0 THEN 1.0 ELSE coalesce(e.confidence, c.confidence, 0.0) END::DOUBLE AS confidence,
-                CASE WHEN p.party_id % 37 = 0 THEN 'BLACKLIST' ELSE coalesce(e.source, c.source) END AS source
-                FROM parties p LEFT JOIN exact e ON e.lname = lower(p.name) LEFT JOIN bycountry c ON c.ucountry = upper(p.country) AND p.country <> ''""",
+    "pairs": """SELECT * FROM (SELECT DISTINCT lower(name) AS a, length(name) AS la FROM parties WHERE length(name) > 0), (SELECT DISTINCT lower(name) AS b, length(name) AS lb FROM sanctions WHERE length(name) > 0)
+                WHERE 2 * least(la, lb) >= 0.85 * (la + lb)
+                  AND 2 * list_sum([least(la - length(replace(a, c, '')), lb - length(replace(b, c, ''))) for c in list_distinct(string_split(a, ''))]) >= 0.85 * (la + lb)""",
+    # matching blocks: the longest common one, first in a, then in b; the same on its left and on its right
+    "boxes": """SELECT a, b, la + lb AS letters, 1::BIGINT AS a0, la AS a1, 1::BIGINT AS b0, lb AS b1, 0::BIGINT AS k FROM pairs
+                UNION ALL
+                SELECT a, b, letters, CASE s WHEN 1 THEN a0 WHEN 2 THEN m.k - m.i END, CASE s WHEN 1 THEN -m.i - 1 WHEN 2 THEN a1 END,
+                       CASE s WHEN 1 THEN b0 WHEN 2 THEN m.k - m.j END, CASE s WHEN 1 THEN -m.j - 1 WHEN 2 THEN b1 END, CASE s WHEN 3 THEN m.k ELSE 0 END
+                FROM (SELECT *, list_max(flatten([[{'k': coalesce(list_max([n for n in range(1, least(a1 - i, b1 - j) + 2) if substr(a, i, n) = substr(b, j, n)]), 0), 'i': -i, 'j': -j}
+                                                   for j in range(b0, b1 + 1)] for i in range(a0, a1 + 1)])) AS m
+                      FROM boxes WHERE a0 <= a1 AND b0 <= b1), (VALUES (1), (2), (3)) AS t(s) WHERE m.k > 0""",
+    "fuzzy": """SELECT DISTINCT ON (a) a AS lname, 'FUZZY' AS match_type, s.name AS entity, round(ratio, 4) AS confidence, source
+                FROM (SELECT a, b, 2.0::DOUBLE * sum(k) / letters AS ratio FROM boxes GROUP BY a, b, letters) JOIN sanctions s ON lower(s.name) = b WHERE ratio >= 0.85 ORDER BY a, ordinal""",
+    "screened": _screened("coalesce(e.{0}, c.{0})", ""),
+    "fully": _screened("coalesce(e.{0}, f.{0}, c.{0})", "LEFT JOIN fuzzy f ON f.lname = lower(p.name)"),
 }
 
 
 def _screen_sql(body):
-    return using("sanctions parties", body, **SCREEN_SQL)
+    views = {k: v for k, v in SCREEN_SQL.items() if "fuzzy" in body or "fully" in body or k not in ("pairs", "boxes", "fuzzy", "fully")}
+    return using("sanctions parties", body, recursive=True, **views)
 
 
 @query("screen_exact_alias", _screen_sql("SELECT * FROM exact"))
@@ -179,9 +199,9 @@ def screen_exact_alias(v):
     return screening.exact_alias(v.parties, v.sanctions)
 
 
-@query("screen_fuzzy")
+@query("screen_fuzzy", _screen_sql("SELECT * FROM fuzzy"))
 def screen_fuzzy(v):
-    """First list entry at least 0.85 similar per name; checked against brute force in the tests."""
+    """First list entry at least 0.85 similar per name."""
     return screening.fuzzy(v.parties, v.sanctions)
 
 
@@ -199,15 +219,15 @@ def screen_without_fuzzy(v):
     return screening.screen(v.parties, v.sanctions, _blacklisted_parties(v), with_fuzzy=False)
 
 
-@query("screen_full")
+@query("screen_full", _screen_sql("SELECT * FROM fully"))
 def screen_full(v):
     return screening.screen(v.parties, v.sanctions, _blacklisted_parties(v))
 
 
 @query("screening_flags", _screen_sql("""
-  SELECT party_id, match_type, (match_type IN ('EXACT', 'ALIAS'))::BIGINT AS sanctions_match, (matched = 1 AND confidence >= 0.95)::BIGINT AS watchlist_hit FROM screened"""))
+  SELECT party_id, match_type, (match_type IN ('EXACT', 'ALIAS'))::BIGINT AS sanctions_match, (matched = 1 AND confidence >= 0.95)::BIGINT AS watchlist_hit FROM fully"""))
 def screening_flags(v):
-    s = screening.screen(v.parties, v.sanctions, _blacklisted_parties(v), with_fuzzy=False)
+    s = screening.screen(v.parties, v.sanctions, _blacklisted_parties(v))
     return screening.screening_flags(s).select("party_id", "match_type", "sanctions_match", "watchlist_hit")
 
 
