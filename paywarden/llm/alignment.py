@@ -279,7 +279,7 @@ def spelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         cols = list(zip(*out, strict=True))
         return [part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.binary())]
 
-    return batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_FIELDS}")
+    return batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_FIELDS}", keeps=True)
 
 
 def pair_counts(found: DataFrame) -> DataFrame:

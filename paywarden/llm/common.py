@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -49,14 +52,17 @@ def draw(*columns: str):
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
-    """``fn`` gets each Arrow batch (and what ``setup`` made once per task) and returns the output columns in order."""
+def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str, setup: Callable[[], object] | None = None, keeps: bool = False) -> DataFrame:
+    """``fn`` gets each Arrow batch (and what ``setup`` made once per task) and returns the output columns in order. What the
+    worker keeps from earlier tasks is given back first, unless ``keeps``."""
     flat = schema
     while "<" in flat:  # commas inside nested types separate no columns
         flat = re.sub("<[^<>]*>", "", flat)
     names = [x.split()[0] for x in flat.split(",")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         state = setup() if setup else None
         for part in parts:
             if part.num_rows:
@@ -115,9 +121,12 @@ def by_worker(key: object, build: Callable[[], object]):
 
 
 def release() -> None:
-    """Give back what earlier tasks of this worker kept."""
+    """Give back what earlier tasks of this worker kept: freed memory stays with the process unless it is told to return it."""
     _WORKER.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Bits of marks for each id, and the most there may be: more ids share bits instead.

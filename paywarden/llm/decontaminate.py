@@ -131,7 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     shards = _shards(benchmark, item_col, item_text_col, window, most)
     if len(shards) == 1:
-        return batches(rows, found, _COLUMNS.format(kind=kind), _scanner(spark, shards[0], window))
+        return batches(rows, found, _COLUMNS.format(kind=kind), _scanner(spark, shards[0], window), keeps=True)
     return _merged(rows, [lambda s=s: _scanner(spark, s, window) for s in shards], found, kind)
 
 
@@ -141,7 +141,7 @@ def _merged(rows: DataFrame, scanners: list, found, kind: str) -> DataFrame:
     key = keyed.schema["doc_id"].dataType.simpleString()
     parts, base = [], None
     for make in scanners:
-        part = batches(keyed, found, _COLUMNS.format(kind=key), make())
+        part = batches(keyed, found, _COLUMNS.format(kind=key), make(), keeps=True)
         parts.append(cut(part.where(F.size("items") > 0).select("doc_id", "ranges", "items").distinct()))
     base = batches(keyed, lambda p: [p.column(0), pa.array([len(words(t)) for t in p.column(1).to_pylist()], pa.int64()), p.column(1)], f"doc_id {key}, n_words bigint, text string")
     hits = parts[0]

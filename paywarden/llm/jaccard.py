@@ -148,11 +148,11 @@ def _frequent(rows: DataFrame, size: int) -> np.ndarray:
     """Marks of shingles that at least FREQUENT of the sampled documents have."""
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(SAMPLE_SHARE * 1_000_000))
 
-    def run(part, _):
+    def run(part):
         values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *{class_key(s): s for s in _sets(part.column(0).to_pylist(), size)}.values()]), return_counts=True)
         return [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))]
 
-    found = batches(sample.select("text"), run, "id bigint, n bigint", release).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    found = batches(sample.select("text"), run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     return mark_bits(cut(found.select("id")))
 
 
@@ -221,6 +221,7 @@ def _meet(blocks: DataFrame) -> DataFrame:
     """Rows of kind 0: (doc_id, class, size, hash of the text, bitmap); kind 1: (group, class)."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         is_member = pc.is_valid(table.column("member"))
         own = table.filter(is_member)
         members = own.column("member").to_pylist()

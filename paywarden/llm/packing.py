@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         cols = np.array(out, np.int64).reshape(-1, 4)
         return [part.column(0).take(pa.array(row, pa.int64())), *(pa.array(cols[:, j]) for j in range(4))]
 
-    return batches(rows, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return batches(rows, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", keeps=True)
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

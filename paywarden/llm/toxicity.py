@@ -128,6 +128,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Trigram counts over all texts, summed per task, then over tasks; the result has at most 64^3 entries."""
 
     def run(parts):
+        release()
         total = np.zeros(_A ** 3, np.int64)
         for part in parts:
             values = part.column(0).to_pylist()
@@ -337,7 +338,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     if not rest.any() or rest.all():
         x, rest = np.array([evidence(w, first) for w in words]), y
     weight = np.where(rest, n[1] / max(1, rest.sum()), n[0] / max(1, (~rest).sum()))
-    return Model(cost, learn(words, y.tolist()), logistic(x, rest.astype(float), weight * len(rest) / weight.sum()))
+    model = Model(cost, learn(words, y.tolist()), logistic(x, rest.astype(float), weight * len(rest) / weight.sum()))
+    del sample, words, restorer
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
