@@ -64,11 +64,15 @@ def fraud_vector(txn: DataFrame, auth: DataFrame, accounts: DataFrame, confirmed
         velocity._mean("_s7", "_n7").alias("avg_transaction_amount_7d"),
         (F.col("_frauds") > 0).cast("int").alias("historical_fraud_flag"))
     v = tl.attach(txn, past, velocity.geo_distance(txn))
-    if arrivals is None:
-        v = profiles.device_lookup(v, devices)
-    else:
+    if arrivals is not None:
         seen = asof.device_profile(txn.select("txn_id", "user_id", "us", "device"), arrivals)
         v = tl.attach(v, seen.select("txn_id", "device_risk_score", "device_fraud_count", "distinct_user_count"))
+    return finish_fraud(v, accounts, devices if arrivals is None else None, keep)
+
+
+def finish_fraud(v: DataFrame, accounts: DataFrame, devices: DataFrame | None, keep: list[str] | None = None) -> DataFrame:
+    """The fraud vector of transactions that carry what their users did before (and device columns, if ``devices`` is None)."""
+    v = v if devices is None else profiles.device_lookup(v, devices)
     v = lookup(v, accounts.select("user_id", "created_us"), {"user_id": "user_id"}, ["txn_id"])
     v = v.withColumns({
         "account_age_days": profiles.age_days(F.col("created_us"), F.col("us"), 365.0),
@@ -91,17 +95,22 @@ def aml_vector(txn: DataFrame, accounts: DataFrame, ip_geo: DataFrame, user_grap
         "txn_id", F.col("count_1h").alias("velocity_1h"), F.col("count_24h").alias("velocity_24h"),
         (F.col("sum_24h") / 100.0).alias("total_volume_24h"), "structuring_score_24h", "rapid_drain_flag", "historical_structuring_flag")
     v = tl.attach(txn, past, shape)
+    if snapshots is not None:
+        v = tl.attach(v, asof.user_graph(txn.select("txn_id", "user_id", "us"), snapshots).select("txn_id", *asof.GRAPH))
+    return finish_aml(v, accounts, ip_geo, user_graph if snapshots is None else None, keep)
+
+
+def finish_aml(v: DataFrame, accounts: DataFrame, ip_geo: DataFrame, user_graph: DataFrame | None, keep: list[str] | None = None) -> DataFrame:
+    """The AML vector of transactions that carry what their users did before (and graph features, if ``user_graph`` is None)."""
+    wallets = {"sender_wallet", "receiver_wallet"} <= set(v.columns)
     v = profiles.ip_country_mismatch(v, ip_geo)
     v = lookup(v, accounts.select("user_id", "created_us", "kyc_completeness_score"), {"user_id": "user_id"}, ["txn_id"])
-    if snapshots is None:
-        v = lookup(v, user_graph, {"user_id": "user_id"}, ["txn_id"])
-    else:
-        v = tl.attach(v, asof.user_graph(txn.select("txn_id", "user_id", "us"), snapshots).select("txn_id", *asof.GRAPH))
+    v = v if user_graph is None else lookup(v, user_graph, {"user_id": "user_id"}, ["txn_id"])
     c = F.col("country")
     v = v.withColumns({
         "account_age_days": profiles.age_days(F.col("created_us"), F.col("us"), 365.0), "time_of_day": profiles.time_of_day(F.col("us")),
         "high_risk_country_flag": profiles.high_risk_country(c), "sanctions_proximity_score": profiles.sanctions_proximity(c)})
-    if {"sender_wallet", "receiver_wallet"} <= set(txn.columns):
+    if wallets:
         v = v.withColumn("is_cross_border", profiles.cross_border(F.col("sender_wallet"), F.col("receiver_wallet"), c))
     return registry_select(v, "aml", ["txn_id", "user_id", "us", *(keep or [])])
 
@@ -117,13 +126,17 @@ def merchant_vector(txn: DataFrame, aggregates: DataFrame, ratios: DataFrame | N
     v = v.withColumnRenamed("count_1h", "transaction_count_1h").withColumnRenamed("count_24h", "transaction_count_24h")
     v = v.drop("sum_1h", "sum_24h")
     v = velocity.with_hourly_past(v, txn, "merchant_id").withColumn("velocity_spike_flag", velocity.spike_flag(F.col("transaction_count_1h"))).drop("past_n", "past_hours")
-    profile = profiles.mcc_risk(accounts, mcc).select("merchant_id", "created_us", "mcc_risk_score")
-    profile = profile.join(aggregates, "merchant_id", "full")
-    if arrivals is None:
-        profile = profile.join(ratios, "merchant_id", "full")
-    else:
+    if arrivals is not None:
         known = asof.merchant_ratios(txn.select("txn_id", "merchant_id", "user_id", "us", "country"), arrivals, scores)
         v = tl.attach(v, known.drop("merchant_id", "user_id", "us", "country"))
+    return finish_merchant(v, aggregates, ratios if arrivals is None else None, accounts, mcc, keep)
+
+
+def finish_merchant(v: DataFrame, aggregates: DataFrame, ratios: DataFrame | None, accounts: DataFrame, mcc: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The merchant vector of transactions that carry what their merchants did before (and the ratios, if ``ratios`` is None)."""
+    profile = profiles.mcc_risk(accounts, mcc).select("merchant_id", "created_us", "mcc_risk_score")
+    profile = profile.join(aggregates, "merchant_id", "full")
+    profile = profile if ratios is None else profile.join(ratios, "merchant_id", "full")
     v = lookup(v, profile, {"merchant_id": "merchant_id"}, ["txn_id"])
     v = v.withColumn("account_age_days", profiles.age_days(F.col("created_us"), F.col("us"), 0.0))
     return registry_select(v, "merchant", ["txn_id", "merchant_id", "us", *(keep or [])])

@@ -12,7 +12,7 @@ from .label_queries import NOW, queue
 from .monitoring_queries import FEATURES, feature_halves
 from .pseudo_queries import existing_transfers
 from .registry import query
-from .scoring_queries import _blacklisted_parties, _screen_sql, blacklists, merchant_scored
+from .scoring_queries import AML_COLD, AML_DECIDE_SQL, FRAUD_COLD, FRAUD_DECIDE_SQL, MERCHANT_COLD, MERCHANT_DECIDE_SQL, _blacklisted_parties, _screen_sql, blacklists, merchant_scored
 from .source_queries import _scratch
 from .sqlviews import using
 
@@ -44,9 +44,26 @@ def ssl_cycle_transfers(v):
     return jobs.ssl_cycle(v.all_predictions, existing_transfers(v))["transfers"].groupBy("source_domain", "target_domain").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("score_stream")
+_STREAM_SQL = {
+    "sfraud": FRAUD_DECIDE_SQL.format(keep="txn_id, s", source=f"""
+   (SELECT *, 'COLD' AS maturity, {FRAUD_COLD} AS s, 0.1::DOUBLE AS conf, sanctioned_country = 1 AS h1, blacklisted_device = 1 AS h2, blacklisted_ip = 1 AS h3,
+           blacklisted_user = 1 AS h4, velocity_anomaly = 1 AS v, new_account_high_amount = 1 AS n
+    FROM (SELECT fin.* REPLACE ((d.count_1h > 20)::INTEGER AS velocity_anomaly) FROM fin JOIN dsess d ON d.txn_id = fin.txn_id))"""),
+    "saml": AML_DECIDE_SQL.format(keep="txn_id, s", source=f"""
+   (SELECT *, CASE WHEN country IN ('IR','KP','SY','AF','YE') THEN least(1.0::DOUBLE, s0 + 0.15::DOUBLE) ELSE s0 END AS s
+    FROM (SELECT x.*, {AML_COLD} AS s0, 0.1::DOUBLE AS conf, user_id % 41 = 0 AS h1, false AS h2, user_id % 29 = 0 AS h3, bd = 1 AS h4, structuring_score_24h > 0.5 AS g
+    FROM (SELECT av.* REPLACE (0.0::DOUBLE AS is_cross_border), coalesce(velocity_1h * u.c > 3 * u.s, false) AS p, 'COLD' AS maturity, bd
+          FROM av LEFT JOIN uspike u ON u.user_id = av.user_id AND u.hour_us = av.us - av.us % 3600000000
+          JOIN (SELECT txn_id AS tid, blacklisted_device AS bd FROM blacklisted) ON tid = txn_id) x))"""),
+    "smerchant": MERCHANT_DECIDE_SQL.format(keep="txn_id, s", source=f"""
+   (SELECT *, 'COLD' AS maturity, chargeback_rate_90d AS cb, fraud_transaction_rate AS fr, velocity_spike_flag > 0 AS p, {MERCHANT_COLD} AS s, 0.1::DOUBLE AS conf FROM mv)"""),
+}
+
+
+@query("score_stream", using("fin dsess av uspike blacklisted mv", " UNION ALL ".join(
+    f"SELECT '{d}' AS domain, txn_id, round(s, 6) AS score, decision, level FROM s{d}" for d in ("fraud", "aml", "merchant")), **_STREAM_SQL))
 def score_stream(v):
-    """Every transaction scored in two micro-batches against the stored past; results per domain, decision and level."""
+    """Every transaction scored in two micro-batches from keyed state; the same as scoring all of them at once."""
     src, out, ck = _scratch(v, "score-in"), _scratch(v, "score-out"), _scratch(v, "score-ck")
     middle = v.dense.approxQuantile("us", [0.5], 0.01)[0]
     for part in (F.col("us") < middle, F.col("us") >= middle):
@@ -58,7 +75,7 @@ def score_stream(v):
         profiles.merchant_risk_ratios(v.txn, v.fraud_labels, v.customer_risk), v.merchant_accounts, v.mcc_table, users, devices, ips, watch)
     stream = v.spark.readStream.schema(v.dense.schema).option("maxFilesPerTrigger", 2).parquet(src)
     stream_scoring.score_stream(stream, refs, out, ck).trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.parquet(f"{out}/results").groupBy("domain", "decision", "level").agg(F.count(F.lit(1)).alias("n"))
+    return v.spark.read.parquet(f"{out}/results").select("domain", "txn_id", F.round("score", 6).alias("score"), "decision", "level")
 
 
 @query("tier_counts", using("mdecided", "SELECT tier, count(*) AS n FROM mdecided GROUP BY tier"))

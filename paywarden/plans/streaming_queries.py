@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.constants import DAY
 from ..functions.session import cut
 from ..operators import adwin
 from ..streaming import devices as stream_devices
@@ -48,7 +49,13 @@ def sliding_windows(v):
     return s.select("user_id", F.unix_micros("start").alias("start_us"), "n", "cents")
 
 
-@query("new_devices_stream")
+@query("new_devices_stream", using("txn", "SELECT txn_id, flag AS new_device_flag FROM walk WHERE txn_id IS NOT NULL", recursive=True,
+       seq="SELECT txn_id, user_id, us, device, row_number() OVER (PARTITION BY user_id ORDER BY us, txn_id) AS rn FROM txn",
+       walk=f"""SELECT DISTINCT user_id, 0::BIGINT AS rn, []::VARCHAR[] AS known, 0::BIGINT AS until, NULL::BIGINT AS txn_id, 0::BIGINT AS flag FROM seq
+         UNION ALL SELECT user_id, rn, CASE WHEN fresh THEN list_append(known, device) ELSE known END, CASE WHEN fresh THEN us + {30 * DAY} ELSE until END, txn_id, fresh::BIGINT
+         FROM (SELECT *, device IS NOT NULL AND NOT list_contains(known, device) AS fresh
+               FROM (SELECT s.user_id, s.rn, s.us, s.device, s.txn_id, w.until, CASE WHEN s.us >= w.until THEN []::VARCHAR[] ELSE w.known END AS known
+                     FROM walk w JOIN seq s ON s.user_id = w.user_id AND s.rn = w.rn + 1))"""))
 def new_devices_stream(v):
     return streamed(v, v.txn.select("txn_id", "user_id", "device", "us"), "devices", stream_devices.new_devices).select("txn_id", "new_device_flag")
 

@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.constants import DAY
+from .counters import prepare
 
 OUTPUT = "txn_id long, user_id long, us long, new_device_flag int"
-STATE = "devices array<string>, until_us long"
 
 
-def _known(life_us: int):
-    def run(key, batches, state: GroupState):
-        devices, until = state.get if state.exists else ([], 0)
-        devices = set(devices)
-        rows = pd.concat(list(batches)).sort_values(["us", "txn_id"])  # one user's rows of one micro-batch
+class KnownDevices(StatefulProcessor):
+    """One map entry for each known device of a user, and the time at which all of them expire. Only devices of the micro-batch are read."""
+
+    def __init__(self, life_us: int):
+        self.life_us = life_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.devices = handle.getMapState("devices", "device string", "since long")
+        self.until = handle.getValueState("until", "us long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["us", "txn_id"])  # one user's rows of one micro-batch
+        until = self.until.get()[0] if self.until.exists() else 0
+        met: dict[str, bool] = {}
         flags = []
-        for us, device in zip(rows["us"], rows["device"]):
-            if us >= until:
-                devices = set()
-            fresh = device is not None and device not in devices
+        for us, device in zip(frame["us"].tolist(), frame["device"].tolist(), strict=True):
+            if us >= until and (met or self.until.exists()):
+                self.devices.clear()
+                met = {}
+            fresh = False
+            if isinstance(device, str):
+                if device not in met:
+                    met[device] = self.devices.containsKey((device,))
+                fresh = not met[device]
             if fresh:
-                devices.add(device)
-                until = int(us) + life_us
+                self.devices.updateValue((device,), (us,))
+                met[device], until = True, us + self.life_us
+                self.until.update((until,))
             flags.append(int(fresh))
-        state.update((sorted(devices), int(until)))
-        yield pd.DataFrame({"txn_id": rows["txn_id"], "user_id": key[0], "us": rows["us"], "new_device_flag": flags})
-
-    return run
+        yield pd.DataFrame({"txn_id": frame["txn_id"].tolist(), "user_id": key[0], "us": frame["us"].tolist(), "new_device_flag": flags})
 
 
 def new_devices(txn: DataFrame, life_us: int = 30 * DAY) -> DataFrame:
     """1 for a device outside the user's known set. The set expires as a whole ``life_us`` after the
     last device was added to it; using a known device does not prolong it. ``txn``: txn_id, user_id,
     device, us."""
-    return txn.select("txn_id", "user_id", "device", "us").groupBy("user_id").applyInPandasWithState(
-        _known(life_us), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    prepare(txn.sparkSession)
+    return txn.select("txn_id", "user_id", "device", "us").groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=KnownDevices(life_us), outputStructType=OUTPUT, outputMode="Append", timeMode="None")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from ..functions.joins import lookup
 from ..functions import constants as K
 from ..operators import decisions, profiles, screening, vector, velocity
 from ..sources import ingest
+from . import counters
 
 
 @dataclass
@@ -69,53 +69,62 @@ def messages(scored: DataFrame) -> DataFrame:
     return ingest.route(scored.select("domain", key.alias("key"), "decision", F.to_json(F.struct(*RESULT)).alias("value")))
 
 
-def _past(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """Rows of earlier batches; None if there are none yet. Any other failure to read is raised."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch") < batch).drop("batch")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
+def score_counted(rows: DataFrame, refs: References, maturity=None) -> DataFrame:
+    """What :func:`score_all` gives, for rows of ``counters.counted``: nothing of the past is read but what they carry."""
+    level = F.lit("COLD") if maturity is None else maturity
+    past = ["past_n", "past_hours"]
+    u = rows.filter("kind = 'u'")
+    flags = vector.override_flags(screening.blacklist_flags(u.select("txn_id", "user_id", "device", "ip", "country", "count_1h"), refs.blocked_users, refs.blocked_devices, refs.blocked_ips))
+    flags = flags.select("txn_id", "sanctioned_country", "blacklisted_device", "blacklisted_ip", "blacklisted_user", "velocity_anomaly", "new_account_high_amount")
+
+    # failed logins and confirmed frauds come from tables: the logins of the batch's own days, the first fraud of a user
+    span = u.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+    logins = refs.auth if span["lo"] is None else refs.auth.filter((F.col("us") >= span["lo"] - K.DAY) & (F.col("us") < span["hi"]))
+    failed = velocity.failed_logins_24h(u.select("txn_id", "user_id", "us"), logins).select("txn_id", "failed_login_attempts_24h")
+    first = refs.confirmed.groupBy("user_id").agg(F.min("us").alias("first_fraud_us"))
+    km = velocity.haversine(F.col("last_lat"), F.col("last_lng"), F.col("lat"), F.col("lng"))
+    here = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    f = lookup(u, first, {"user_id": "user_id"}, ["txn_id"]).join(failed, "txn_id", "left")
+    f = f.select("txn_id", "user_id", "us", "amount", "device", "country", "currency", "failed_login_attempts_24h", F.col("n_1h").alias("transaction_velocity_1h"), F.col("n_24h").alias("transaction_velocity_24h"),
+                 velocity._mean("cents_7d", "n_7d").alias("avg_transaction_amount_7d"), F.coalesce(F.col("first_fraud_us") < F.col("us"), F.lit(False)).cast("int").alias("historical_fraud_flag"),
+                 F.when(here & (F.col("us") - F.col("last_us") < K.DAY), F.round(km, 4)).otherwise(0.0).alias("geo_distance_from_last_tx"))
+    fraud = decisions.fraud_score_batch(vector.finish_fraud(f, refs.accounts, refs.devices).join(flags, "txn_id", "left"), level).withColumn("entity_id", F.col("user_id"))
+
+    a = u.withColumn("squares_30d", F.col("squares_30d").cast("decimal(38,0)"))
+    a = a.select("txn_id", "user_id", "us", "amount", "device", "ip", "country", *past, *velocity.amounts_30d(), "device_count_30d", "ip_count_30d", "new_device_flag", "historical_structuring_flag",
+                 F.col("count_1h").alias("velocity_1h"), F.col("count_24h").alias("velocity_24h"), (F.col("sum_24h") / 100.0).alias("total_volume_24h"),
+                 velocity.structuring_score().alias("structuring_score_24h"), velocity.rapid_drain().alias("rapid_drain_flag"))
+    av = vector.finish_aml(a, refs.accounts, refs.ip_geo, refs.user_graph, ["country", *past])
+    av = av.withColumn("velocity_spike", velocity.spike_flag(F.col("velocity_1h"))).drop(*past)
+    av = lookup(av, refs.watchlist.select("user_id", "sanctions_match", "watchlist_hit"), {"user_id": "user_id"}, ["txn_id"])
+    av = av.join(flags.select("txn_id", "blacklisted_user", "blacklisted_device"), "txn_id", "left").fillna(0, ["velocity_spike", "sanctions_match", "watchlist_hit"])
+    aml = decisions.aml_score_batch(av, level).withColumn("entity_id", F.col("user_id"))
 
-def _related(past: DataFrame, now: DataFrame) -> DataFrame:
-    """Past rows of the users and merchants of this batch; no other row can touch its features."""
-    users = now.select("user_id").distinct().withColumn("_u", F.lit(1))
-    merchants = now.select("merchant_id").distinct().withColumn("_m", F.lit(1))
-    j = lookup(lookup(past, users, {"user_id": "user_id"}, ["txn_id"]), merchants, {"merchant_id": "merchant_id"}, ["txn_id"])
-    return j.filter(F.col("_u").isNotNull() | F.col("_m").isNotNull()).drop("_u", "_m")
+    m = rows.filter("kind = 'm'").withColumns({"transaction_count_1h": F.col("count_1h"), "transaction_count_24h": F.col("count_24h"), "transaction_volume_24h": F.col("sum_24h") / 100.0,
+                                              "velocity_spike_flag": velocity.spike_flag(F.col("count_1h"))}).drop(*past)
+    mv = vector.finish_merchant(m, refs.merchant_aggregates, refs.merchant_ratios, refs.merchant_accounts, refs.mcc)
+    merchant = decisions.merchant_score_batch(mv, level).withColumn("entity_id", F.col("merchant_id"))
+    parts = [d.withColumn("domain", F.lit(n)).select(RESULT) for n, d in (("fraud", fraud), ("aml", aml), ("merchant", merchant))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def score_stream(stream: DataFrame, refs: References, folder: str, checkpoint: str, lookback_us: int | None = None,
+def score_stream(stream: DataFrame, refs: References, folder: str, checkpoint: str, past: DataFrame | None = None,
                  publish: Callable[[DataFrame, int], None] | None = None):
-    """A writer that scores each micro-batch against the stored past and keeps transactions and results.
+    """A writer that scores each micro-batch from itself and the keyed state of ``streaming.counters``.
 
-    Everything is written under the batch number and overwritten by it, so a batch that is run
-    again after a failure leaves the same files. ``lookback_us`` limits how much of the past is
-    read; without it sessions of any length are seen whole. ``publish`` sends the messages on.
+    Counted rows and results are written under the batch number and overwritten by it, so a batch that is run again after a
+    failure leaves the same files. ``past``: transactions from before the stream, for the first state. ``publish`` sends the
+    messages on.
     """
-    history, results = f"{folder}/transactions", f"{folder}/results"
-
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        cols = batch.columns
-        here = f"{history}/batch={number}"
+        here = f"{folder}/counted/batch={number}"
         batch.write.mode("overwrite").parquet(here)
-        now = spark.read.parquet(here).select(cols)
-        past = _past(spark, history, number)
-        both = now
-        if past is not None:
-            if lookback_us is not None:
-                first = now.agg(F.min("us")).first()[0]
-                past = past.filter(F.col("us") >= (first or 0) - lookback_us)
-            both = _related(past.select(cols), now).unionByName(now)
-        scored = score_all(both, refs).join(now.select("txn_id"), "txn_id", "left_semi")
-        scored.write.mode("overwrite").parquet(f"{results}/batch={number}")
+        score_counted(spark.read.schema(batch.schema).parquet(here), refs).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
         if publish is not None:
-            publish(messages(spark.read.parquet(f"{results}/batch={number}").select(RESULT)), number)
+            publish(messages(spark.read.parquet(f"{folder}/results/batch={number}").select(RESULT)), number)
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return counters.counted(stream, past).writeStream.outputMode("append").foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
 def feedback_stream(chargebacks: DataFrame, predictions: Callable[[SparkSession], DataFrame], path: str, checkpoint: str):
