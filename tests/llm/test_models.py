@@ -1,5 +1,6 @@
 """Learnt operators: held-out accuracy, plain versions of their inner loops, odd rows; and the pipeline."""
 
+import collections
 import itertools
 import math
 import random
@@ -213,15 +214,49 @@ def test_urls(spark, empty):
     assert urls.judge(pages.limit(0), RULES).count() == 0
 
 
-def test_url_words_and_totals_have_no_caps(spark):
-    """More words in the pages than 50,000, and on allowed pages more than 100,000; the words of one label are the rarest."""
-    word = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "bcdfghjklm")
-    many = spark.range(100_050).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.org/fr/"), word).alias("url"), F.concat_ws(" ", word, word).alias("html"))
-    rare = spark.createDataFrame([(-1, "http://quuxzorb.com/", "quux or zorb"), (-2, "http://casino.org/fr/", None), (-3, "http://casino.com/", None)], "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in urls.judge(many.unionByName(rare), RULES).where("page_id < 0").collect()}
-    assert got[-1]["words"] == "quux zorb com"
-    odds = urls.PRIOR_ODDS / len(urls.UNWANTED) / (2 / (4 * 100_050 + 3 + urls.PSEUDO))
-    assert math.isclose(got[-3]["block_score"], odds / (1 + odds), rel_tol=1e-9)
+def plain_judge(pages, rules_verdict, unwanted):
+    """Weights and scores by plain loops over segmented urls."""
+    counts = collections.Counter(w for _, _, html in pages for w in urls.html_words(html))
+    total = sum(counts.values())
+    for u in unwanted:
+        for w in urls.parts_of(u.partition("/")[0], "/" + u.partition("/")[2]):
+            counts[w] = max(counts[w], 1)
+    logp = {w: math.log(n / max(2, total)) for w, n in counts.items()}
+
+    def tokens(host, path):
+        return [w for p in urls.parts_of(host, path) for w in ([p] if p == urls.NUMBER else urls.segment(p, logp, math.log(max(2, total))))]
+
+    block = collections.Counter(w for u in unwanted for w in tokens(u.partition("/")[0], "/" + u.partition("/")[2]))
+    allow = collections.Counter(w for (host, path, _), says in zip(pages, rules_verdict, strict=True) if says == "allow" for w in tokens(host, path))
+    v, nb, na = len(set(block) | set(allow)), sum(block.values()), sum(allow.values())
+
+    def weight(w):
+        x = (block[w] / nb * urls.SCALE + 1) / (urls.SCALE + v) if nb else 1 / v
+        y = (allow[w] / na * urls.SCALE + 1) / (urls.SCALE + v) if na else 1 / v
+        return math.log(x / y) if w in block or w in allow else 0.0
+
+    return [(" ".join(t), 1 / (1 + math.exp(-(math.log(urls.PRIOR_ODDS) + sum(map(weight, t)))))) for t in (tokens(h, p) for h, p, _ in pages)]
+
+
+GOOD = ["gardennews", "citylibrary", "schoolmusic", "weatherreport", "familyrecipes", "historymuseum", "bookclub", "healthcare", "travelguide", "sciencedaily"]
+BAD = ["freecasinobonus", "bestpornsite", "buycheapviagra", "slotsjackpot", "paydaycash", "xxxadultsex", "warezkeygen", "spambacklinks", "trojanmalware", "bettingpoker"]
+PROSE = "garden news city library school music weather report family recipes history museum book club health care travel guide science daily free casino bonus best porn site buy cheap viagra slots jackpot payday cash xxx adult sex warez keygen spam backlinks trojan malware betting poker the of and to in a is"
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_url_scores_equal_plain_loops(spark, times):
+    """Names outside the labelled table are told apart, and a table twice as large gives the same verdicts."""
+    allowed = [(f"http://www.{a}{b}.org/fr/{c}", PROSE * 3) for a, b, c in zip(["garden", "city", "school", "family", "travel", "book"], ["news", "library", "music", "recipes", "guide", "club"], ["weather", "history", "health", "science", "report", "museum"], strict=True)]
+    asked = [(f"http://{n}.com/", None) for n in GOOD + BAD] + [("http://münchen-straße.de/über", "München Straße über Zürich " * 5)] + [(f"http://{'x' * 297}casino.com/", None)]
+    rows = [(i, u, html) for i, (u, html) in enumerate((allowed + asked) * times)]
+    got = sorted(urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), RULES).collect(), key=lambda r: r["page_id"])
+    want = plain_judge([(r["host"], r["path"], html) for r, (_, _, html) in zip(got, rows, strict=True)], [r["verdict"] if r["rule"] else None for r in got], urls.UNWANTED)
+    for r, (words, score) in zip(got, want, strict=True):
+        assert r["words"] == words and math.isclose(r["block_score"], score, rel_tol=1e-6), r
+    said = {r["host"][:-4]: r["verdict"] for r in got}
+    right = sum(said[n] == "allow" for n in GOOD) + sum(said[n] == "block" for n in BAD)
+    assert right >= 19
+    assert got[-2]["words"] == "münchen straße de über" and got[-1]["words"].endswith("casino com") and got[-1]["verdict"] == "block"
 
 
 def test_segmentation_is_the_likeliest():
