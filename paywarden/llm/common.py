@@ -18,7 +18,7 @@ from ..functions.session import cut, prepare
 __all__ = ["batches", "by_worker", "cut", "cut_in", "draw", "folded", "held_out", "kept", "mark_bits", "marked", "pieces_of", "read", "ready", "release", "texts"]
 
 #: Rows and bytes in an Arrow batch. Texts are long, and a Python worker shares its executor's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:

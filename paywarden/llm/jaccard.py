@@ -36,8 +36,8 @@ SHINGLE, PERCENT = 5, 75
 #: Share of the documents in the sample that orders signatures, and how many of them make a shingle frequent. Frequent shingles
 #: are marked in bits, as many as their number asks for (one shared by chance moves a signature back in the order, on both sides alike).
 SAMPLE_SHARE, FREQUENT = 0.1, 2
-#: Bytes of text behind one bucket of signatures (about as many bytes of signatures), and members of a group that meet in one task.
-BUCKET, BLOCK = 16 << 20, 1000
+#: Bytes of text behind one bucket of signatures (somewhat fewer bytes of signatures), and members of a group that meet in one task.
+BUCKET, BLOCK = 6 << 20, 1000
 #: Sets up to this size have one part for each shingle.
 SMALL = 64
 #: Characters hashed at once; signatures held by a task before they are sent.
@@ -261,15 +261,11 @@ def _class_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     side = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     texts_of = rows.join(side.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
 
-    def run(part):
-        return [part.column(0), pa.array([s.tobytes() for s in _sets(part.column(1).to_pylist(), size)], pa.binary())]
-
-    # an id may stand on several rows: only the set that makes the class counts
-    def own(part):
-        ok = [class_key(np.frombuffer(s, np.uint64)) == k for k, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-        return [c.filter(pa.array(ok, pa.bool_())) for c in part.columns]
+    def run(part):  # an id may stand on several rows: only the set that makes the class counts
+        found = [(k, s.tobytes()) for k, s in zip(part.column(0).to_pylist(), _sets(part.column(1).to_pylist(), size), strict=True) if class_key(s) == k]
+        return [pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())]
 
-    return batches(batches(texts_of, run, "key bigint, s binary"), own, "key bigint, s binary")
+    return batches(texts_of, run, "key bigint, s binary")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:

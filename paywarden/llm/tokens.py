@@ -18,7 +18,7 @@ import numpy as np
 from .common import by_worker
 
 #: Stretches remembered by a worker, about 200 bytes each.
-CACHE = 250_000
+CACHE = 120_000
 FILE = "word_bpe_49k.json"
 END_ID = 2
 
