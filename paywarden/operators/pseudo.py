@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.joins import latest_n, newest, top_n, top_per_group
+from ..functions.select import medians
+from ..functions.session import cut
 from .labels import count_maturity
 
 
@@ -78,13 +80,13 @@ def noisy_copies(pool: DataFrame, features: list[str], copies: int = 5, sigma: f
 def consistency_select(scored: DataFrame, p: str = "p") -> DataFrame:
     """Rows whose score varies less over noisy copies than the median row's; labelled at 0.5.
 
-    ``scored``: prediction_id, copy, p. The median is read from a histogram of the variances
-    rounded to 9 decimals.
+    ``scored``: prediction_id, copy, p. Variances are rounded to 9 decimals.
     """
     g = scored.groupBy("prediction_id").agg(F.avg(p).alias("mean"), F.var_pop(p).alias("variance"))
     g = g.withColumn("variance", F.round("variance", 9))
-    median = g.groupBy("variance").agg(F.count(F.lit(1)).alias("n")).agg(F.percentile("variance", F.lit(0.5), F.col("n")).alias("_m"))
-    kept = g.join(F.broadcast(median)).filter(F.col("variance") < F.col("_m"))  # one row
+    g = cut(g.withColumn("_all", F.lit(0)))
+    median = medians(g, "_all", "variance", {0: g.count()})
+    kept = g.filter(F.col("variance") < F.lit(float(median[0]))) if median else g
     label = (F.col("mean") >= 0.5).cast("int")
     return kept.select("prediction_id", F.round("mean", 6).alias("mean"), "variance", label.alias("pseudo_label"))
 
@@ -99,20 +101,20 @@ def feature_views(df: DataFrame, domain: str, ids: list[str]) -> dict[str, DataF
     return {name: df.select(*ids, *cols) for name, cols in K.FEATURE_VIEWS[domain].items()}
 
 
-def multi_view_agreement(scores: DataFrame, views: list[str], threshold: float = 0.9, top: int = 100) -> DataFrame:
-    """Rows on which all views agree with confidence, at most ``top`` per side, the surest first."""
+def multi_view_agreement(scores: DataFrame, views: list[str], threshold: float = 0.9, top: int | None = None) -> DataFrame:
+    """Rows on which all views agree with confidence; with ``top`` the surest of each side, ranked."""
     n = float(len(views))
     mean = reduce(lambda a, b: a + b, [F.col(v) for v in views]) / n
     s = scores.withColumn("mean", mean)
     spread = reduce(lambda a, b: a + b, [F.pow(F.col(v) - F.col("mean"), F.lit(2.0)) for v in views]) / n
     s = s.withColumn("std", F.sqrt(spread)).filter(F.col("std") < 1.0 - threshold)
     s = s.withColumn("pseudo_label", F.when(F.col("mean") >= 0.9, 1).when(F.col("mean") <= 0.1, 0)).filter(F.col("pseudo_label").isNotNull())
-    return top_per_group(s, ["pseudo_label"], [F.abs(F.col("mean") - 0.5).desc(), F.col("prediction_id")], top)
+    return s if top is None else top_per_group(s, ["pseudo_label"], [F.abs(F.col("mean") - 0.5).desc(), F.col("prediction_id")], top)
 
 
-def tri_training_agreement(scores: DataFrame, learners: list[str], top: int = 200) -> DataFrame:
-    """(learner, prediction_id, pseudo_label): rows on which the other two agree with confidence,
-    at most ``top`` per learner."""
+def tri_training_agreement(scores: DataFrame, learners: list[str], top: int | None = None) -> DataFrame:
+    """(learner, prediction_id, pseudo_label): rows on which the other two agree with confidence;
+    with ``top`` the surest of each learner, ranked."""
     parts = []
     for who in learners:
         a, b = [F.col(x) for x in learners if x != who]
@@ -120,7 +122,7 @@ def tri_training_agreement(scores: DataFrame, learners: list[str], top: int = 20
         agree = ((a >= 0.5) == (b >= 0.5)) & ((mean >= 0.8) | (mean <= 0.2))
         parts.append(F.when(agree, F.struct(F.lit(who).alias("learner"), mean.alias("mean"), (a >= 0.5).cast("int").alias("pseudo_label"))))
     e = scores.select("prediction_id", F.explode(F.array_compact(F.array(*parts))).alias("e")).select("prediction_id", "e.*")
-    return top_per_group(e, ["learner"], [F.abs(F.col("mean") - 0.5).desc(), F.col("prediction_id")], top)
+    return e if top is None else top_per_group(e, ["learner"], [F.abs(F.col("mean") - 0.5).desc(), F.col("prediction_id")], top)
 
 
 def disagreement(scores: DataFrame, a: str, b: str) -> DataFrame:

@@ -180,7 +180,7 @@ def mixmatch(labelled: DataFrame, unlabelled: DataFrame, domain: str, width: int
     return chosen.select(ID, "pseudo_label", "confidence"), labelled.sparkSession.createDataFrame(rows, HISTORY)
 
 
-def multi_view(labelled: DataFrame, unlabelled: DataFrame, domain: str, views: dict[str, list[int]], rounds: int = 5, top: int = 100, trees: int | None = None, depth: int | None = None):
+def multi_view(labelled: DataFrame, unlabelled: DataFrame, domain: str, views: dict[str, list[int]], rounds: int = 5, top: int | None = None, trees: int | None = None, depth: int | None = None):
     """Models on separate column groups label rows for one another. ``views``: name -> positions in x."""
     train, holdout, n = _start(labelled)
     pool = cut(unlabelled)
@@ -213,7 +213,7 @@ def multi_view(labelled: DataFrame, unlabelled: DataFrame, domain: str, views: d
     return out, spark.createDataFrame(history, HISTORY)
 
 
-def tri_training(labelled: DataFrame, unlabelled: DataFrame, domain: str, rounds: int = 8, top: int = 200, max_disagreement: float = 0.10, bootstrap: float = 0.8,
+def tri_training(labelled: DataFrame, unlabelled: DataFrame, domain: str, rounds: int = 8, top: int | None = None, max_disagreement: float = 0.10, bootstrap: float = 0.8,
                  trees: int | None = None, depth: int | None = None):
     """Three learners of different kinds (deep and shallow boosting, forest) on different samples; two that agree teach the third."""
     train, holdout, n = _start(labelled)

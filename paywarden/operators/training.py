@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import timeline as tl
 from ..functions.bins import sliced_by_value, value_slices
-from ..functions.joins import lookup
+from ..functions.joins import lookup, top_per_group
+from ..functions.select import at_ranks
 from ..functions.session import cut
 from . import governance
 
@@ -316,18 +317,27 @@ def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["tree", "node", "feature", "threshold", "size"])
 
 
-def grow_forest(df: DataFrame, id_col: str, trees: int = 200) -> DataFrame:
-    """Nodes of an isolation forest; every tree sees about SAMPLE rows drawn by hash.
+def draw_samples(df: DataFrame, id_col: str, trees: int, size: int) -> DataFrame:
+    """(tree, id, x, h): for each tree the ``size`` rows of least hash of id and tree, by one rule at every table size.
 
-    In a large table each row is drawn at most once; in a small one it may serve several trees.
+    Rows below a threshold are counted for each tree; it is raised until every tree has enough, so the least are all among
+    them, and the few drawn are ordered.
     """
-    n = df.count()
-    row = F.col(id_col)
-    if n > trees * SAMPLE:
-        drawn = df.select(row, "x").filter(_unit(row, F.lit("draw")) < 1.2 * trees * SAMPLE / n).withColumn("tree", F.pmod(F.xxhash64(row, F.lit("tree")), F.lit(trees)).cast("int"))
-    else:
-        drawn = df.select(row, "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).filter(_unit(row, F.col("tree")) < 1.2 * SAMPLE / max(n, 1))
-    return drawn.select("tree", "x", _unit(row, F.col("tree"), F.lit("order")).alias("h")).groupBy("tree").applyInPandas(_grow, NODE_SCHEMA)
+    n, row = df.count(), F.col(id_col)
+    need, share = min(size, n), 2.0
+    while True:
+        below = min(1.0, share * size / max(n, 1))
+        tree = F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _unit(row, t, F.lit("order")) < below))  # noqa: B023
+        drawn = cut(df.select(row, "x", tree.alias("tree")).withColumn("h", _unit(row, F.col("tree"), F.lit("order"))))
+        enough = drawn.groupBy("tree").count().where(F.col("count") >= need).count()
+        if enough == trees or below >= 1.0:
+            return top_per_group(drawn, ["tree"], [F.col("h"), row], size, "_rank").drop("_rank")
+        share *= 2
+
+
+def grow_forest(df: DataFrame, id_col: str, trees: int = 200) -> DataFrame:
+    """Nodes of an isolation forest; every tree sees SAMPLE rows (all of a smaller table), drawn by hash."""
+    return draw_samples(df, id_col, trees, SAMPLE).select("tree", "x", "h").groupBy("tree").applyInPandas(_grow, NODE_SCHEMA)
 
 
 class Forest:
@@ -383,7 +393,9 @@ def isolation_forest(df: DataFrame, id_col: str, id_type: str, contamination: fl
     ``contamination`` share of lowest raw scores. ``df``: id, x, y."""
     forest = Forest.from_frame(grow_forest(df, id_col, trees))
     raw = cut(forest_scores(df.select(id_col, "x", "y"), forest, f"{id_col} {id_type}, x array<double>, y int"))
-    offset = raw.approxQuantile("raw", [contamination], 0.001)[0]
+    n = raw.count()
+    rank = max(0, min(n, int(round(contamination * n))) - 1)
+    offset = at_ranks(raw.withColumn("_all", F.lit(0)), "_all", "raw", {0: [rank]})[0][0]  # the last of the share, exactly
     rng = raw.agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
     scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("raw")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     out = raw.join(F.broadcast(rng)).select(id_col, "y", "raw", scaled.alias("anomaly_score"), (F.col("raw") <= offset).cast("int").alias("flagged"))  # one row

@@ -12,6 +12,7 @@ from ..functions import constants as K
 from ..functions import timeline as tl
 from ..functions.bins import histogram_bin
 from ..functions.joins import latest_n, lookup
+from ..functions.select import lookup_constant, medians
 from . import asof, profiles, velocity
 
 HOUR, DAY = K.HOUR, K.DAY
@@ -183,8 +184,10 @@ def population_priors(snapshots: DataFrame, domain: str, newest: int | None = No
     recent = latest_n(snapshots, newest, "us", F.col("txn_id"))
     long = recent.unpivot(["txn_id"], feats, "feature", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
     stats = long.groupBy("feature").agg(
-        F.percentile("value", F.lit(0.5)).alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.count("value").alias("n"), F.min("value").alias("lo0"), F.max("value").alias("hi0")).filter("n >= 5")
+    known = {r["feature"]: r["n"] for r in stats.select("feature", "n").collect()}  # one row per registry feature
+    stats = stats.withColumn("median", lookup_constant(medians(long, "feature", "value", known), F.col("feature")))
     flat = F.col("lo0") == F.col("hi0")
     stats = stats.select(
         "*", F.when(flat, F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),

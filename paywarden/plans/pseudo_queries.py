@@ -109,7 +109,7 @@ def votes(v):
                  sqrt((pow(a - mean, 2.0) + pow(b - mean, 2.0) + pow(c - mean, 2.0)) / 3.0::DOUBLE) AS std FROM (SELECT *, (a + b + c) / 3.0::DOUBLE AS mean FROM votes))
     WHERE std < 1.0::DOUBLE - 0.9::DOUBLE AND pseudo_label IS NOT NULL) WHERE rank <= 100"""))
 def multi_view_agreement(v):
-    return pseudo.multi_view_agreement(votes(v), ["a", "b", "c"]).select(I, "pseudo_label", "rank")
+    return pseudo.multi_view_agreement(votes(v), ["a", "b", "c"], top=100).select(I, "pseudo_label", "rank")
 
 
 def _tri(who, x, y):
@@ -120,7 +120,7 @@ def _tri(who, x, y):
   SELECT learner, prediction_id, pseudo_label, rank FROM (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY abs(mean - 0.5) DESC, prediction_id) AS rank
     FROM ({_tri('a', 'b', 'c')} UNION ALL {_tri('b', 'a', 'c')} UNION ALL {_tri('c', 'a', 'b')}) WHERE mean >= 0.8::DOUBLE OR mean <= 0.2::DOUBLE) WHERE rank <= 200"""))
 def tri_training_agreement(v):
-    return pseudo.tri_training_agreement(votes(v), ["a", "b", "c"]).select("learner", I, "pseudo_label", "rank")
+    return pseudo.tri_training_agreement(votes(v), ["a", "b", "c"], top=200).select("learner", I, "pseudo_label", "rank")
 
 
 @query("view_disagreement", using("votes", "SELECT (count(*) FILTER ((a >= 0.5) <> (c >= 0.5))) / count(*)::DOUBLE AS disagreement FROM votes"))
