@@ -71,6 +71,13 @@ def propagate_case_labels(cases: DataFrame, predictions: DataFrame) -> DataFrame
     return j.withColumn("prediction_id", target).filter(F.col("prediction_id").isNotNull()).select("case_id", "prediction_id", "label", "source")
 
 
+def mark_propagated(cases: DataFrame, events: DataFrame) -> DataFrame:
+    """Cases with ``propagated`` set where an event (case_id) was made of them, so that no later run makes it again."""
+    done = events.select("case_id").distinct().withColumn("_done", F.lit(True))
+    j = cases.join(done, "case_id", "left")
+    return j.select(*[(F.col("propagated") | F.coalesce("_done", F.lit(False))).alias(c) if c == "propagated" else F.col(c) for c in cases.columns])
+
+
 def auto_label_aged_reviews(predictions: DataFrame, now_us: int, limit: int | None = None) -> DataFrame:
     """Labels for confident reviews older than a day; with ``limit`` at most so many labels a run, oldest first."""
     old = predictions.filter((F.col("decision") == "REVIEW") & F.col("label").isNull() & (F.col("created_us") < now_us - DAY))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import decisions, profiles, screening, vector
+from ..functions.session import cut
+from ..sources import store
 from ..sources.views import AS_OF
 from ..streaming import scoring as stream_scoring
 from . import jobs
@@ -27,6 +29,24 @@ def label_cycle_statistics(v):
     return jobs.label_cycle(v.all_predictions, v.cases, queue(v), NOW)["statistics"]
 
 
+@query("label_cycle_twice", using("cases p_aml", """
+  SELECT 1 AS run, count(*) AS events FROM cases WHERE status IN ('CLOSED_CONFIRMED', 'CLOSED_FALSE_POSITIVE') AND NOT propagated
+    AND coalesce(prediction_id, (SELECT max(prediction_id) FROM p_aml WHERE transaction_id = entity_id)) IS NOT NULL
+  UNION ALL SELECT 2, 0"""))
+def label_cycle_twice(v):
+    """Label events of two runs; the first stores the cases it has marked, and the second, which reads them, makes none."""
+    path, schema = _scratch(v, "cases"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.cases.schema.fields)
+    store.upsert(v.cases, path, ["case_id"], 1)
+    counts = None
+    for run in (1, 2):
+        cases = store.read(v.spark, path, schema)
+        made = jobs.label_cycle(v.all_predictions, cases, queue(v), NOW)
+        store.upsert(cut(made["cases"]), path, ["case_id"], run + 1)
+        n = made["events"].agg(F.count(F.lit(1)).alias("events")).select(F.lit(run).alias("run"), "events")
+        counts = n if counts is None else counts.unionByName(n)
+    return counts
+
+
 @query("label_cycle_queue")
 def label_cycle_queue(v):
     q = jobs.label_cycle(v.all_predictions, v.cases, queue(v), NOW)["queue"]

@@ -14,12 +14,14 @@ from ..operators import active, adwin, alerts, drift, labels, pseudo
 def label_cycle(predictions: DataFrame, cases: DataFrame, queue: DataFrame, now_us: int) -> dict[str, DataFrame]:
     """Closed cases become AML labels, queues are expired and refilled, label counts are renewed.
 
-    ``predictions`` holds all domains; the result has the label events, the new queue and the statistics.
+    ``predictions`` holds all domains; the result has the label events, the cases with those marked that events were made of
+    (to be stored, so that the next run makes none again), the new queue and the statistics.
     """
     aml = predictions.filter("domain = 'aml'").drop("domain")
     events = labels.propagate_case_labels(cases, aml).select(
         F.col("case_id").alias("event_id"), "prediction_id", "label", F.lit(now_us).cast("long").alias("us"), F.lit("case").alias("labeled_by"), "source")
     events = cut(events)
+    marked = labels.mark_propagated(cases, events.select(F.col("event_id").alias("case_id")))
     done = labels.apply_labels(aml, events).withColumn("domain", F.lit("aml"))
     cols = ["domain", "prediction_id", "entity_id", "score", "created_us", "label"]
     current = predictions.filter("domain <> 'aml'").select(cols).unionByName(done.select(cols))
@@ -27,7 +29,7 @@ def label_cycle(predictions: DataFrame, cases: DataFrame, queue: DataFrame, now_
     fresh = [active.refresh_queue(current.filter(F.col("domain") == d), kept, d, now_us) for d in ("fraud", "aml", "merchant")]
     names = ["domain", "prediction_id", "entity_id", "score", "informativeness", "status", "expires_us"]
     filled = reduce(DataFrame.unionByName, [kept.select(names), *[f.select(names) for f in fresh]])
-    return {"events": events, "queue": filled, "statistics": labels.label_statistics(current)}
+    return {"events": events, "cases": marked, "queue": filled, "statistics": labels.label_statistics(current)}
 
 
 def drift_cycle(baseline: DataFrame, current: DataFrame, features: list[str], baseline_confidence: float, model_version: str) -> dict[str, DataFrame]:

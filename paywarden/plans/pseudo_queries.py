@@ -6,7 +6,9 @@ from ..functions import constants as K
 from ..operators import pseudo
 from ..sources.views import _cycle
 from .feature_queries import fraud_vector_of
+from ..sources import store as table_store
 from .registry import query
+from .source_queries import _scratch
 from .sqlviews import VIEWS, using
 
 I = "prediction_id"
@@ -266,3 +268,21 @@ def ssl_plan(v):
     """AML labels are thinned out so that its level differs."""
     keep = (F.col("domain") != "aml") | (F.pmod(I, F.lit(3)) == 0)
     return pseudo.ssl_plan(v.all_predictions.withColumn("label", F.when(keep, F.col("label"))))
+
+
+@query("pseudo_label_store", using("p_fraud", """
+  SELECT prediction_id, source, label, confidence, iteration FROM (
+    SELECT *, row_number() OVER (PARTITION BY prediction_id, source ORDER BY iteration DESC) AS latest FROM (
+      SELECT prediction_id, 'self_training' AS source, (p >= 0.9::DOUBLE)::BIGINT AS label, round(CASE WHEN p >= 0.9::DOUBLE THEN p ELSE 1.0::DOUBLE - p END, 4) AS confidence, iteration
+      FROM (SELECT prediction_id, (prediction_id * 29 % 1000) / 1000.0::DOUBLE AS p, 1 AS iteration FROM p_fraud UNION ALL
+            SELECT prediction_id, (prediction_id * 31 % 1000) / 1000.0::DOUBLE, 2 FROM p_fraud WHERE prediction_id % 3 = 0) WHERE p >= 0.9::DOUBLE OR p <= 0.05::DOUBLE)) WHERE latest = 1"""))
+def pseudo_label_store(v):
+    """Pseudo-labels of two rounds, stored under their round and read back: the later round's replace the earlier one's. The second is written twice, as after a failure."""
+    path = _scratch(v, "pseudo-labels")
+    p = v.predictions("fraud")
+    for round_, factor, part in ((1, 29, p), (2, 31, p.filter("prediction_id % 3 = 0")), (2, 31, p.filter("prediction_id % 3 = 0"))):
+        chosen = pseudo.select_confident(part.select(I, _p(factor, 1000).alias("p")), 0.9, 0.05)
+        rows = pseudo.pseudo_label_rows(chosen, "fraud", "self_training", round_).join(p.select(I, "created_us"), I)
+        table_store.upsert(rows, path, ["domain", "source", I], round_)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return pseudo.pseudo_label_read(table_store.read(v.spark, path, schema), "fraud").select(I, "source", "label", "confidence", "iteration")

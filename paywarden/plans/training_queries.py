@@ -64,12 +64,12 @@ def stack(v):
 
 @query("isolation_forest")
 def isolation_forest(v):
-    return T.isolation_forest(ml(v), "vec_id", "bigint", 0.05, trees=50)[2]
+    return T.isolation_forest(ml(v), "vec_id", "bigint", 0.05)[2]
 
 
 @query("anomaly_attribution")
 def anomaly_attribution(v):
-    forest, offset, _ = T.isolation_forest(ml(v), "vec_id", "bigint", 0.05, trees=20)
+    forest, offset, _ = T.isolation_forest(ml(v), "vec_id", "bigint", 0.05)
     return T.anomaly_attribution(ml(v), forest, offset, "vec_id", "bigint", WIDTH)
 
 

@@ -45,3 +45,33 @@ def test_flagged_share_is_exact(spark, share):
     raw = sorted(r["raw"] for r in out.collect())
     assert offset == raw[round(share * 1000) - 1]
     assert out.where("flagged = 1").count() == sum(v <= offset for v in raw)
+
+
+def test_upserts_are_idempotent_and_touch_their_months_only(spark, tmp_path):
+    from paywarden.functions.constants import DAY
+    from paywarden.sources import store
+
+    schema = "id long, created_us long, v string"
+    path = str(tmp_path / "t")
+
+    def put(rows, batch):
+        store.upsert(spark.createDataFrame(rows, schema), path, ["id"], batch)
+
+    def have(before=None):
+        return sorted((tuple(r) for r in store.read(spark, path, schema, before).collect()), key=str)
+
+    assert have() == []
+    first = [(1, 0, "a"), (2, DAY, "b"), (3, 40 * DAY, "c"), (None, 41 * DAY, "n")]
+    put(first, 1)
+    assert have() == sorted(first, key=str)
+    second = [(2, DAY, "B"), (4, 2 * DAY, "d")]
+    for _ in range(2):  # run again after a failure
+        put(second, 2)
+        assert have() == sorted([(1, 0, "a"), *second, *first[2:]], key=str)
+    assert have(before=2) == sorted(first, key=str)
+    put([(None, 41 * DAY, "N")], 3)
+    assert have() == sorted([(1, 0, "a"), *second, first[2], (None, 41 * DAY, "N")], key=str)
+    assert {p.name for p in (tmp_path / "t" / "data").glob("batch=*/month=*")} == {"month=1970-01", "month=1970-02"}
+    assert len(list((tmp_path / "t" / "data").glob("batch=*/month=1970-01"))) == 2
+    put([], 4)
+    assert len(have()) == 5
