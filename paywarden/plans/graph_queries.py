@@ -159,15 +159,17 @@ def device_use(v):
     """Users with one device each, and a second one for every fifth user."""
     u = F.col("user_id")
     first = v.txn.select(u, F.concat(F.lit("a"), F.pmod(u, F.lit(37)).cast("string")).alias("device"))
-    second = v.txn.filter("user_id % 5 = 0 and user_id < 300").select(u, F.concat(F.lit("b"), F.pmod(u * 7, F.lit(53)).cast("string")).alias("device"))
+    second = v.txn.filter("user_id % 5 = 0").select(u, F.concat(F.lit("b"), F.pmod(u * 7, F.lit(53)).cast("string")).alias("device"))
     return first.unionByName(second)
 
 
 @query("shared_device_cluster_size", using("txn", """
   SELECT user_id, count(*) OVER (PARTITION BY label) - 1 AS shared_device_cluster_size FROM (SELECT user_id, min(reach) AS label FROM walk GROUP BY user_id)""", recursive=True,
-       use_="SELECT DISTINCT user_id, 'a' || (user_id % 37) AS device FROM txn UNION SELECT DISTINCT user_id, 'b' || (user_id * 7 % 53) FROM txn WHERE user_id % 5 = 0 AND user_id < 300",
-       hop="SELECT DISTINCT a.user_id AS a, b.user_id AS b FROM use_ a JOIN use_ b USING (device)",
-       walk="SELECT a AS user_id, b AS reach FROM hop UNION SELECT w.user_id, h.b FROM walk w JOIN hop h ON h.a = w.reach"))
+       use_="SELECT DISTINCT user_id, 'a' || (user_id % 37) AS device FROM txn UNION SELECT DISTINCT user_id, 'b' || (user_id * 7 % 53) FROM txn WHERE user_id % 5 = 0",
+       links="SELECT DISTINCT a.device AS x, b.device AS y FROM use_ a JOIN use_ b USING (user_id)",
+       reached="SELECT DISTINCT device, device AS dev FROM use_ UNION SELECT r.device, l.y FROM reached r JOIN links l ON l.x = r.dev",
+       least="SELECT device, min(u.user_id) AS label FROM reached r JOIN (SELECT device AS dev, min(user_id) AS user_id FROM use_ GROUP BY device) u USING (dev) GROUP BY device",
+       walk="SELECT DISTINCT user_id, label AS reach FROM use_ JOIN least USING (device)"))
 def shared_device_cluster_size(v):
     return graph.shared_device_cluster_size(device_use(v))
 

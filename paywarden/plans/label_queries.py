@@ -1,11 +1,15 @@
 """Label feedback, case, active-learning, maturity and report queries over the given tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import active, labels, maturity, reports
+from ..operators import active, labels, maturity, reports, vector
 from ..operators.drift import score_psi
 from ..sources.views import T0, _cycle
+from .feature_queries import aml_vector_of, fraud_vector_of, merchant_vector_of
 from .registry import query
 from .sqlviews import VIEWS, using
 
@@ -260,8 +264,14 @@ VIEWS["psi_fraud"] = (["base_half", "cur_half"], """
            (SELECT count(*) AS nb FROM bh), (SELECT count(*) AS nc FROM ch))""")
 
 
-@query("maturity_report", using("signals stale base_half cur_half", f"""
-  SELECT domain, level, sample_count, round(positive_rate, 6) AS positive_rate, cov AS feature_coverage, feature_staleness_hours, round(psi, 6) AS distribution_stability,
+def _coverage_sql(domain, view):
+    features = K.REGISTRY[domain]
+    covered = " + ".join(f"(abs({f} - {d}::DOUBLE) > 1e-6)::INTEGER" for f, d in zip(features, K.PRIOR_DEFAULTS[domain], strict=True))
+    return f"SELECT '{domain}' AS domain, sum({covered})::BIGINT / count(*) / {len(features)}.0::DOUBLE AS cov FROM {view}"
+
+
+@query("maturity_report", using("signals stale base_half cur_half fv av mv", f"""
+  SELECT domain, level, sample_count, round(positive_rate, 6) AS positive_rate, round(cov, 6) AS feature_coverage, feature_staleness_hours, round(psi, 6) AS distribution_stability,
          round(label_delay_hours, 4) AS label_delay_hours, CASE level WHEN 'COLD' THEN 0.0 WHEN 'WARMING' THEN 0.3 WHEN 'WARM' THEN 0.7 ELSE 1.0 END::DOUBLE AS alpha,
          CASE level WHEN 'COLD' THEN 0.1 WHEN 'WARMING' THEN 0.3 WHEN 'WARM' THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence_floor,
          concat_ws('|', CASE WHEN positive_rate < lo AND sample_count > 0 THEN format('Positive rate {{:.2f}}% below expected minimum {{:.2f}}%', positive_rate * 100, lo * 100)
@@ -269,18 +279,19 @@ VIEWS["psi_fraud"] = (["base_half", "cur_half"], """
                    CASE WHEN label_delay_hours > 72 THEN format('Label delay {{:.1f}}h exceeds 72h target', label_delay_hours) END) AS warnings,
          concat_ws('|', CASE WHEN positive_rate < lo AND sample_count > 0 THEN 'Check that labels arrive' WHEN positive_rate > hi THEN 'Check for labelling bias or data quality issues' END,
                    CASE WHEN cov < 0.70 THEN 'Raise feature coverage' END, CASE WHEN label_delay_hours > 72 THEN 'Speed up label confirmation' END) AS recommendations
-  FROM (SELECT *, {LEVEL_SQL} AS level FROM (SELECT s.*, feature_staleness_hours, sample_count AS n, CASE domain WHEN 'fraud' THEN 0.95 WHEN 'aml' THEN 0.8 ELSE 0.6 END::DOUBLE AS cov,
+  FROM (SELECT *, {LEVEL_SQL} AS level FROM (SELECT s.*, feature_staleness_hours, sample_count AS n, cov,
                coalesce(CASE WHEN domain = 'fraud' THEN psi END, 1.0)::DOUBLE AS psi,
                CASE domain WHEN 'aml' THEN 0.005 ELSE 0.01 END::DOUBLE AS lo, CASE domain WHEN 'aml' THEN 0.08 ELSE 0.10 END::DOUBLE AS hi
-        FROM signals s JOIN stale USING (domain), fraud_psi))""",
+        FROM signals s JOIN stale USING (domain) JOIN covered USING (domain), fraud_psi))""",
+       covered=" UNION ALL ".join(_coverage_sql(*x) for x in (("fraud", "fv"), ("aml", "av"), ("merchant", "mv"))),
        bh="SELECT CASE WHEN score < i * 0.1::DOUBLE THEN i - 1 WHEN i < 9 AND score >= (i + 1) * 0.1::DOUBLE THEN i + 1 ELSE i END::BIGINT AS bin FROM (SELECT score, least(floor(score * 10), 9) AS i FROM base_half)",
        ch="SELECT CASE WHEN score < i * 0.1::DOUBLE THEN i - 1 WHEN i < 9 AND score >= (i + 1) * 0.1::DOUBLE THEN i + 1 ELSE i END::BIGINT AS bin FROM (SELECT score, least(floor(score * 10), 9) AS i FROM cur_half)",
        fraud_psi=VIEWS["psi_fraud"][1]))
 def maturity_report(v):
-    """The stability of the fraud domain is measured; that of the other domains is unknown."""
-    domain = F.col("domain")
+    """Coverage is that of all vectors of a domain; the stability of the fraud domain is measured, that of the others unknown."""
     signals = maturity.maturity_signals(v.all_predictions, NOW)
-    coverage = signals.select("domain", F.when(domain == "fraud", 0.95).when(domain == "aml", 0.8).otherwise(0.6).alias("feature_coverage"))
+    vectors = {"fraud": fraud_vector_of(v), "aml": aml_vector_of(v), "merchant": merchant_vector_of(v)}
+    coverage = reduce(DataFrame.unionByName, [vector.mean_coverage(x, d) for d, x in vectors.items()]).withColumnRenamed("coverage", "feature_coverage")
     psi = score_psi(*v.halves).select(F.lit("fraud").alias("domain"), "psi")
     stale = maturity.feature_staleness(v.all_predictions.select("domain", F.col("created_us").alias("us")), NOW + 2 * K.DAY)
     return maturity.maturity_report(signals, coverage, psi, stale)
