@@ -66,13 +66,13 @@ def noise(k: Column, feature: int, row: str = "prediction_id", seed: int = 42) -
     return F.sqrt(-2.0 * F.log(unit(1))) * F.cos(2.0 * math.pi * unit(2)), unit(3)
 
 
-def noisy_copies(pool: DataFrame, features: list[str], copies: int = 5, sigma: float = 0.1, dropout: float = 0.1) -> DataFrame:
-    """Each row ``copies`` times with gaussian noise and feature dropout."""
+def noisy_copies(pool: DataFrame, features: list[str], copies: int = 5, sigma: float = 0.1, dropout: float = 0.1, seed: int = 42) -> DataFrame:
+    """Each row ``copies`` times with gaussian noise and feature dropout, other ones for another seed."""
     kept = [c for c in pool.columns if c not in features]
     e = pool.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     cols = []
     for i, f in enumerate(features):
-        z, u = noise(F.col("copy"), i)
+        z, u = noise(F.col("copy"), i, seed=seed)
         cols.append(F.when(u < dropout, 0.0).otherwise(F.col(f) + sigma * z).alias(f))
     return e.select(*kept, "copy", *cols)
 
