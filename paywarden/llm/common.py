@@ -129,8 +129,8 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Bits of marks for each id, and the most there may be: more ids share bits instead.
-BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Bits of marks for each id (one in so many others seems marked by chance), and the most there may be: more ids share bits instead.
+BITS_EACH, MOST_BITS = 64, 1 << 27
 
 
 def mark_bits(ids: DataFrame, most: int = MOST_BITS) -> np.ndarray:
