@@ -37,7 +37,7 @@ SHINGLE, PERCENT = 5, 75
 #: are marked in bits, as many as their number asks for (one shared by chance moves a signature back in the order, on both sides alike).
 SAMPLE_SHARE, FREQUENT = 0.1, 2
 #: Bytes of text behind one bucket of signatures (somewhat fewer bytes of signatures), and members of a group that meet in one task.
-BUCKET, BLOCK = 6 << 20, 1000
+BUCKET, BLOCK = 6 << 20, 4000
 #: Sets up to this size have one part for each shingle.
 SMALL = 64
 #: Characters hashed at once; signatures held by a task before they are sent.

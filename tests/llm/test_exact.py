@@ -91,8 +91,10 @@ def test_close_pairs_are_all_that_bitmaps_allow():
     assert true and true <= got
 
 
-def test_jaccard_groups_that_need_every_pair(spark):
-    """A chain of near copies, in which members of a group link with each other but not with the group's first."""
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 7])
+def test_jaccard_groups_that_need_every_pair(spark, monkeypatch, block):
+    """A chain of near copies, in which members of a group link with each other but not with the group's first; also in groups of many blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(4000)]
     docs, text = [], words[:60]
