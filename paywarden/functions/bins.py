@@ -23,9 +23,27 @@ def value_slices(df: DataFrame, columns: list[str], parts: int = 64) -> dict[str
     return {c: sorted(set(q)) for c, q in zip(columns, cuts)}
 
 
-def sliced_by_value(df: DataFrame, column: str, cuts: list[float], out: str = "_vslice") -> DataFrame:
-    """Number of the value range a row falls into; ranges keep the order of the values."""
-    if not cuts:
-        return df.withColumn(out, F.lit(0.0))
+#: Rows of a value range that one task may order.
+MOST = 1_000_000
+
+
+def sliced_by_value(df: DataFrame, column: str, cuts: list[float], out: str = "_vslice", rows: int | None = None, most: int = MOST) -> DataFrame:
+    """Number of the value range a row falls into; ranges keep the order of the values.
+
+    A range of more than ``most`` rows is cut again, at quantiles of its own that are found for all such ranges in one
+    aggregate, so that their number follows the rows. ``rows``: how many there are, if known; few rows need no second look.
+    """
     edges = [-float("inf"), *cuts, float("inf")]
-    return Bucketizer(splits=edges, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
+    sliced = Bucketizer(splits=edges, inputCol=column, outputCol=out, handleInvalid="keep").transform(df) if cuts else df.withColumn(out, F.lit(0.0))
+    if rows is not None and rows <= most:
+        return sliced
+    large = sliced.groupBy(out).agg(F.count(column).alias("n")).filter(F.col("n") > most)
+    largest = large.agg(F.max("n")).first()[0]
+    if largest is None:
+        return sliced
+    parts = 2 * -(-largest // most)
+    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    finer = sliced.join(F.broadcast(large.select(out)), out, "left_semi").groupBy(out).agg(F.array_distinct(F.percentile_approx(column, probs, F.lit(8 * parts))).alias("_finer"))
+    joined = sliced.join(F.broadcast(finer), out, "left")  # a row of ``parts`` numbers for each large range
+    below = F.size(F.filter(F.coalesce("_finer", F.array().cast("array<double>")), lambda c: c < F.col(column)))
+    return joined.withColumn(out, F.col(out) + below / float(parts + 1)).select(*df.columns, out)

@@ -63,10 +63,10 @@ def feature_wasserstein(baseline: DataFrame, current: DataFrame, features: list[
     """
     t = _tagged(baseline, current, features)
     t = t.select(*[F.col(f).cast("double").alias(f) for f in features], "_b", "_c")
-    cuts = value_slices(t, features)
+    cuts, rows = value_slices(t, features), t.count()
     entries = []
     for i, f in enumerate(features):
-        t = sliced_by_value(t, f, cuts[f], f"_r{i}")
+        t = sliced_by_value(t, f, cuts[f], f"_r{i}", rows)
         entries.append(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(f"_r{i}").alias("_vslice")))
     long = t.select("_b", "_c", F.explode(F.array(*entries)).alias("e")).select("_b", "_c", "e.*").filter(F.col("value").isNotNull())
     values = long.groupBy("feature", "_vslice", "value").agg(F.sum("_b").alias("b"), F.sum("_c").alias("c"))
