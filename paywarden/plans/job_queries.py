@@ -30,8 +30,8 @@ def label_cycle_statistics(v):
 
 
 @query("label_cycle_twice", using("cases p_aml", """
-  SELECT 1 AS run, count(*) AS events FROM cases WHERE status IN ('CLOSED_CONFIRMED', 'CLOSED_FALSE_POSITIVE') AND NOT propagated
-    AND coalesce(prediction_id, (SELECT max(prediction_id) FROM p_aml WHERE transaction_id = entity_id)) IS NOT NULL
+  SELECT 1 AS run, count(*) AS events FROM cases c WHERE c.status IN ('CLOSED_CONFIRMED', 'CLOSED_FALSE_POSITIVE') AND NOT c.propagated
+    AND (c.prediction_id IS NOT NULL OR c.entity_id IN (SELECT transaction_id FROM p_aml))
   UNION ALL SELECT 2, 0"""))
 def label_cycle_twice(v):
     """Label events of two runs; the first stores the cases it has marked, and the second, which reads them, makes none."""
