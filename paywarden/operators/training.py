@@ -92,44 +92,75 @@ def train_classifier(df: DataFrame, domain: str, id_col: str, folds: int = 5, tr
 
 
 # ---- neighbours ------------------------------------------------------------------------
-#: Rows of either side that meet in one task, and the most pivots.
-BLOCK, PIVOTS = 2000, 512
+#: Rows of a cell, the most pivots, and the most rows of either side that meet in one task.
+BLOCK, PIVOTS, TILE = 2000, 512, 16_384
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances between two sets of points, by differences (a matrix product would round near neighbours)."""
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+    """All distances between two sets of points, by differences (a matrix product would round near neighbours), a few rows at a time."""
+    out, step = np.empty((len(a), len(b))), max(1, 1_000_000 // max(1, b.size))
+    for i in range(0, len(a), step):
+        out[i:i + step] = np.sqrt(((a[i:i + step, None, :] - b[None, :, :]) ** 2).sum(2))
+    return out
 
 
 def _nearest_in(q_id, q, d_id, d, k: int, bound=None):
-    """(query, other, distance) of the k nearest rows of a block; copies of the query itself are left out, further ones than ``bound`` too."""
-    out = []
-    step = max(1, 4_000_000 // max(1, d.size))
+    """(query, other, distance, row of the query) of the k nearest rows of a tile; copies of the query itself are left out, further ones than ``bound`` too.
+
+    A matrix product rules out rows that are too far, with room for its rounding; what is left is compared by differences.
+    """
+    bound = np.full(len(q), np.inf) if bound is None else bound
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+    if not len(q) or not len(d):
+        return out[0]
+    shift = d.mean(0)
+    a, b = q - shift, d - shift
+    a2, b2 = (a * a).sum(1), (b * b).sum(1)
+    room = 8 * (q.shape[1] + 8) * np.finfo(float).eps * (a2 + b2.max())
+    again = np.isin(q_id, d_id)
+    step = max(1, 4_000_000 // len(d))
     for i in range(0, len(q), step):
-        dist = _distances(q[i:i + step], d)
-        dist[q_id[i:i + step, None] == d_id[None, :]] = np.inf
-        if bound is not None:
-            dist[dist > bound[i:i + step, None]] = np.inf
-        for j, row in enumerate(dist):
-            kth = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            near = np.flatnonzero((row <= kth) & np.isfinite(row))
-            near = near[np.lexsort((d_id[near], row[near]))][:k]
-            out.append((np.full(len(near), q_id[i + j]), d_id[near], row[near]))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-
-
-def near_rows(df: DataFrame, id_col: str, width: int, k: int, seed: int = SEED, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """The k nearest other rows of every row: (id, other, distance, rank), ties by id. ``df``: a long id and ``x``, an array.
-
-    Exact. Rows belong to the cell of their nearest pivot (sampled rows). The k-th distance inside a part
-    of the own cell bounds the search; a row then visits only cells that can hold a nearer one, by the
-    triangle inequality. Cells and their visitors are split into blocks of at most about ``block`` rows,
-    which meet pair by pair, so that a cell of many equal rows is many tasks. In data without structure
-    every cell is visited and the work is that of all block pairs.
+        part = slice(i, i + step)
+        square = a[part] @ b.T
+        square *= -2.0
+        square += b2
+        square += a2[part, None]
+        for j in np.flatnonzero(again[part]):
+            square[j, d_id == q_id[i + j]] = np.inf
+        limit = bound[part] ** 2 * (1 + 1e-12) + room[part]
+        near = (square <= limit[:, None]) & (square < np.inf)
+        for j in np.flatnonzero(np.count_nonzero(near, axis=1) > 4 * k):
+            kth = np.partition(square[j], k - 1)[k - 1] if k <= len(d) else np.inf
+            near[j] &= square[j] <= kth + 2 * room[i + j]
+        x, y = np.nonzero(near)
+        exact = np.empty(len(x))
+        for c in range(0, len(x), 50_000):
+            exact[c:c + 50_000] = np.sqrt(((q[i + x[c:c + 50_000]] - d[y[c:c + 50_000]]) ** 2).sum(1))
+        ok = np.isfinite(exact) & (exact <= bound[i + x])
+        x, y, exact = x[ok], y[ok], exact[ok]
+        order = np.lexsort((d_id[y], exact, x))
+        x, y, exact = x[order], y[order], exact[order]
+        first = np.arange(len(x)) - np.searchsorted(x, x) < k
+        x, y, exact = x[first], y[first], exact[first]
+        out.append((q_id[i + x], d_id[y], exact, i + x))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def near_rows(df: DataFrame, id_col: str, width: int, k: int, seed: int = SEED, block: int = BLOCK, pivots: int = PIVOTS, asking: Column | None = None) -> DataFrame:
+    """The k nearest other rows of every row: (id, other, distance, rank), ties by id. ``df``: a long id and ``x``, an array;
+    ``asking``: a condition on ``df`` for the rows whose neighbours are wanted (all by default), against all rows.
+
+    Exact. Rows belong to the cell of their nearest pivot (sampled rows; cells of about ``block`` rows). Cells near each other
+    make a tile of at most about ``TILE`` rows, and a larger cell several tiles. The k-th distance inside the own tile bounds
+    the search of a row; two tiles meet, in a task of their own, where a row of one may have a nearer one in a cell of the
+    other, by the triangle inequality. A tile is shuffled as one packed row. In data without structure every tile is met and
+    the work is that of all pairs of rows, in tasks of bounded size.
     """
     import pyarrow as pa
 
-    x = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")).filter("id is not null and x is not null"))
+    x = df.select(F.col(id_col).cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), (F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))).alias("asks"))
+    finite = F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)) & ~F.isnan(v))
+    x = cut(x.filter("id is not null and x is not null").filter(finite))
     n = x.count()
     schema = "id long, other long, distance double"
     if n < 2:
@@ -143,55 +174,74 @@ def near_rows(df: DataFrame, id_col: str, width: int, k: int, seed: int = SEED,
 
     def placed(parts):
         for part in parts:
-            if part.num_rows:
-                d = _distances(matrix(part.column("x")), centre)
+            for i in range(0, part.num_rows, 1000):
+                few = part.slice(i, 1000)
+                d = _distances(matrix(few.column("x")), centre)
                 cell = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("x"), pa.array(cell), pa.array(d[np.arange(len(d)), cell])], names=["id", "x", "cell", "reach"])
+                yield pa.RecordBatch.from_arrays([few.column("id"), few.column("x"), few.column("asks"), pa.array(cell), pa.array(d[np.arange(len(d)), cell])], names=["id", "x", "asks", "cell", "reach"])
 
-    rows = cut(x.mapInArrow(placed, "id long, x array<double>, cell long, reach double"))
+    rows = cut(x.mapInArrow(placed, "id long, x array<double>, asks boolean, cell long, reach double"))
     cells = {r["cell"]: (r["n"], r["r"]) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()}  # one row a pivot
-
-    def blocks_of(counts: dict[int, int]):
-        return F.element_at(F.create_map(*[F.lit(v) for c, m in counts.items() for v in (c, max(1, -(-m // block)))]), F.col("cell"))
-
-    parts = blocks_of({c: m for c, (m, _) in cells.items()})
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), parts.cast("long")))
-
-    def bounded(table):
-        ids, points = table.column("id").to_numpy(), matrix(table.column("x"))
-        q, _, d = _nearest_in(ids, points, ids, points, k)
-        last = dict.fromkeys(ids.tolist(), (0, 0.0))
-        for i, v in zip(q.tolist(), d.tolist()):
-            last[i] = (last[i][0] + 1, v)
-        bound = [last[i][1] if last[i][0] >= k else float("inf") for i in ids.tolist()]
-        return pa.table({"id": table.column("id"), "x": table.column("x"), "bound": pa.array(bound, pa.float64())})
-
-    asked = rows.groupBy("cell", "part").applyInArrow(bounded, "id long, x array<double>, bound double")
+    most = max(block, min(TILE, n // 16))
+    first, parts, size, at, left = {}, {}, 0, 0, sorted(cells)
+    here = left[0]
+    while left:  # from cell to nearest cell, so that a tile is one region
+        here = min(left, key=lambda c: ((centre[c] - centre[here]) ** 2).sum())
+        left.remove(here)
+        m = cells[here][0]
+        if size and size + m > most:
+            at, size = at + 1, 0
+        first[here], parts[here] = at, -(-m // most)
+        if parts[here] > 1:
+            at += parts[here]
+        else:
+            size += m
+    pick = lambda of: F.element_at(F.create_map(*[F.lit(v).cast("long") for c in of for v in (c, of[c])]), F.col("cell"))
+    rows = rows.withColumn("tile", pick(first) + F.pmod(F.xxhash64("id", F.lit(seed)), pick(parts)))
     known = np.array(sorted(cells))
     radius = np.array([cells[c][1] for c in known.tolist()])
 
-    def visits(batches):
-        for b in batches:
-            if b.num_rows:
-                least = _distances(matrix(b.column("x")), centre[known]) - radius[None, :]
-                bound = b.column("bound").to_numpy(zero_copy_only=False)
-                q, c = np.nonzero(least <= bound[:, None] * (1 + 1e-9) + 1e-12)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(q)), b.column("x").take(pa.array(q)), b.column("bound").take(pa.array(q)), pa.array(known[c], pa.int64())], names=["id", "x", "bound", "cell"])
-
-    asked = cut(asked.mapInArrow(visits, "id long, x array<double>, bound double, cell long"))
-    chunks = blocks_of({r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()})
-    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m.cast("long") - 1))
-    data = rows.select("cell", "part", each(chunks).alias("chunk"), "id", "x", F.lit(None).cast("double").alias("bound"))
-    ask = asked.select("cell", each(parts).alias("part"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), chunks.cast("long")).alias("chunk"), "id", "x", "bound")
+    def packed(table):
+        ids, points, asks = table.column("id").to_numpy(), matrix(table.column("x")), table.column("asks").to_numpy()
+        bound = np.full(len(ids), np.nan)
+        bound[asks] = np.inf
+        reached = np.zeros(len(known), bool)
+        if asks.any():
+            _, _, d, row = _nearest_in(ids[asks], points[asks], ids, points, k)
+            count = np.bincount(row, minlength=int(asks.sum()))
+            last = np.cumsum(count) - 1
+            bound[np.flatnonzero(asks)[count >= k]] = d[last[count >= k]]
+            for i in range(0, len(ids), 1000):
+                few = np.flatnonzero(asks[i:i + 1000]) + i
+                least = _distances(points[few], centre[known]) - radius[None, :]
+                reached |= (least <= bound[few, None] * (1 + 1e-9) + 1e-9 * radius[None, :] + 1e-12).any(0)
+        met = sorted({first[c] + i for c in known[reached].tolist() for i in range(parts[c])})
+        narrow = points.astype(np.float32)
+        exact = bool((narrow == points).all())
+        return pa.table({"tile": pa.array([table.column("tile")[0].as_py()], pa.int64()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
+                         "points": pa.array([(narrow if exact else points).tobytes()], pa.binary()), "single": pa.array([exact]),
+                         "bound": pa.array([bound.tobytes()], pa.binary()), "meets": pa.array([met], pa.list_(pa.int64()))})
+
+    body = "tile long, ids binary, points binary, single boolean, bound binary"
+    tiles = cut(rows.groupBy("tile").applyInArrow(packed, f"{body}, meets array<long>"))
+    what = ["ids", "points", "single"]
+    ask = tiles.select(F.explode("meets").alias("data"), F.col("tile").alias("asked"), *what, "bound")
+    data = ask.select("data", "asked").join(tiles.select(F.col("tile").alias("data"), *what, F.lit(None).cast("binary").alias("bound")), "data")
 
     def meet(table):
-        bound = table.column("bound").to_numpy()
-        ids, points, is_query = table.column("id").to_numpy(), matrix(table.column("x")), ~np.isnan(bound)
-        q, o, d = _nearest_in(ids[is_query], points[is_query], ids[~is_query], points[~is_query], k, bound[is_query])
-        return pa.table({"id": pa.array(q, pa.int64()), "other": pa.array(o, pa.int64()), "distance": pa.array(d, pa.float64())})
-
-    found = data.unionByName(ask).groupBy("cell", "part", "chunk").applyInArrow(meet, schema)
-    best = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("b"))  # k for each block visited
+        sides = {}
+        for r in table.to_pylist():
+            ids = np.frombuffer(r["ids"], "<i8")
+            p = np.frombuffer(r["points"], np.float32 if r["single"] else np.float64).reshape(len(ids), -1).astype(float)
+            sides[r["bound"] is None] = ids, p, r["bound"]
+        (ids, points, bound), (d_id, d, _) = sides[False], sides[True]
+        bound = np.frombuffer(bound, float)
+        asks = ~np.isnan(bound)
+        q, o, far, _ = _nearest_in(ids[asks], points[asks], d_id, d, k, bound[asks])
+        return pa.table({"id": pa.array(q, pa.int64()), "other": pa.array(o, pa.int64()), "distance": pa.array(far, pa.float64())})
+
+    found = ask.unionByName(data).groupBy("data", "asked").applyInArrow(meet, schema)
+    best = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("b"))  # k for each tile met
     e = best.select("id", F.posexplode("b").alias("rank", "e"))
     return e.select("id", F.col("e.other").alias("other"), F.col("e.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
 
@@ -212,7 +262,7 @@ def oversample(train: DataFrame, id_col: str, width: int, strategy: str = "SMOTE
     if strategy == "SMOTE":
         share = minority.select(F.col(id_col).alias("id"), F.lit(1.0).alias("g"))
     else:
-        near = near_rows(train, id_col, width, k, seed=seed).join(minority.select(F.col(id_col).alias("id")), "id", "left_semi")
+        near = near_rows(train, id_col, width, k, seed=seed, asking=F.col("y") == 1).join(minority.select(F.col(id_col).alias("id")), "id", "left_semi")
         y = train.select(F.col(id_col).alias("_o"), "y")
         r = lookup(near, y, {"other": "_o"}, ["id"]).groupBy("id").agg(F.avg((F.col("y") == 0).cast("double")).alias("r"))
         share = r.select("id", F.col("r").alias("g")) if strategy == "ADASYN" else r.select("id", ((F.col("r") >= 0.5) & (F.col("r") < 1.0)).cast("double").alias("g"))
