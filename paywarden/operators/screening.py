@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import lookup
+from ..functions.session import cut
 
 FUZZY_THRESHOLD = 0.85
 
@@ -101,51 +102,127 @@ def bounds(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def _score_pairs(threshold: float):
+def _first_hits(threshold: float):
+    """Of pairs in order of (lname, ordinal) the first of each name that reaches the ratio; what follows it is not compared."""
     from difflib import SequenceMatcher
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = None
         for pdf in batches:
+            pdf = pdf[pdf["lname"] != done].drop_duplicates()
             a, b = pdf["lname"].tolist(), pdf["lentity"].tolist()
-            size = np.array([len(x) + len(y) for x, y in zip(a, b)])
-            pdf = pdf[2.0 * bounds(a, b) >= threshold * size - 1e-9]
-            pdf = pdf.assign(ratio=[SequenceMatcher(None, x, y).ratio() for x, y in zip(pdf["lname"], pdf["lentity"])])
-            yield pdf[pdf["ratio"] >= threshold]
+            size = np.array([len(x) + len(y) for x, y in zip(a, b)], float)
+            rows = []
+            for i in np.flatnonzero(2.0 * bounds(a, b) >= threshold * size - 1e-9).tolist():
+                if a[i] != done:
+                    ratio = SequenceMatcher(None, a[i], b[i]).ratio()
+                    if ratio >= threshold:
+                        done = a[i]
+                        rows.append((i, ratio))
+            yield pdf.iloc[[i for i, _ in rows]].assign(ratio=[r for _, r in rows])
 
     return run
 
 
-def candidate_pairs(names: DataFrame, entries: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """Pairs (lname, lentity, ordinal) that share a segment; every pair that reaches the ratio is among them.
+#: Names are compared by what is left of them without a few letters where there are at most so many ways to leave them out.
+VARIANTS = 400
+
+
+def _fits(names: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """Lengths (lx, ly) that can reach the ratio, the letters to be matched, and whether names of both lengths have few variants."""
+    lx, ly = F.col("lx"), F.col("ly")
+    both = names.select(F.length("lname").alias("lx")).distinct().join(entries.select(F.length("lentity").alias("ly")).distinct(), 2 * F.least("lx", "ly") >= threshold * (lx + ly) - 1e-9)
+    ways = lambda n: F.expr(f"aggregate(filter(sequence(0, {n} - m), i -> i > 0), 1D, (p, i) -> p * ({n} - i + 1) / i)")
+    both = both.withColumn("m", _matched_needed(lx, ly, threshold))
+    return both.select("lx", "ly", "m", ((ways("lx") <= VARIANTS) & (ways("ly") <= VARIANTS)).alias("few"))
+
+
+def _without(text: str, n: int) -> set[str]:
+    """What is left of ``text`` without ``n`` of its letters."""
+    left = {text}
+    for _ in range(n):
+        left = {x[:i] + x[i + 1:] for x in left for i in range(len(x))}
+    return left
+
+
+def _variants(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, lx, ly, m) once for every subsequence of ``m`` letters: text, lx, ly, and its hash ``key``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 500):
+                some = pdf.iloc[i:i + 500]
+                found = [list(_without(t, len(t) - m)) for t, m in zip(some["text"], some["m"])]
+                at = np.repeat(np.arange(len(some)), [len(f) for f in found])
+                yield some[["text", "lx", "ly"]].iloc[at].assign(left=[x for f in found for x in f])
+
+    out = rows.select("text", "lx", "ly", "m").mapInPandas(run, "text string, lx int, ly int, left string")
+    return out.select("text", "lx", "ly", F.xxhash64("left").alias("key"))
+
+
+def _letters(name: str):
+    """The letters of a name in order."""
+    return F.array_join(F.array_sort(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))), "")
+
+
+def _pairs_by_variants(names: DataFrame, entries: DataFrame, fits: DataFrame) -> DataFrame:
+    """Pairs (lname, lentity, ordinal) with a common subsequence of the letters needed: they share a variant of that length.
+
+    The same is asked of their sorted letters first, once for each distinct set of letters, which leaves out names whose letters
+    alone are too different from any list name's."""
+    few = fits.filter("few").select("lx", "ly", "m")
+    left = names.select("lname", F.length("lname").alias("lx"), _letters("lname").alias("text")).join(few, "lx")
+    right = entries.select("ordinal", "lentity", F.length("lentity").alias("ly")).join(few, "ly")
+    asked = _variants(left.select("text", "lx", "ly", "m").distinct())
+    held = _variants(right.select(_letters("lentity").alias("text"), "lx", "ly", "m").distinct()).select("lx", "ly", "key").distinct()
+    alike = asked.join(held, ["lx", "ly", "key"], "left_semi").select("text", "lx", "ly").distinct()
+    left = left.join(alike, ["text", "lx", "ly"], "left_semi").select(F.col("lname").alias("text"), "lx", "ly", "m")
+    listed = _variants(right.select(F.col("lentity").alias("text"), "lx", "ly", "m")).withColumnRenamed("text", "lentity")
+    pairs = _variants(left).withColumnRenamed("text", "lname").join(listed, ["lx", "ly", "key"]).select("lname", "lentity").distinct()
+    return pairs.join(entries.select("lentity", "ordinal"), "lentity").select("lname", "lentity", "ordinal")
+
+
+def _pairs_by_segments(names: DataFrame, entries: DataFrame, fits: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (lname, lentity, ordinal) that share a segment.
 
     A ratio of t over lengths a and b leaves at most d = a + b - 2 * ceil(t * (a + b) / 2) letters of both names unmatched. Of
     d + 1 segments of the list's name one is therefore matched whole, and no other letters come between: it stands unchanged in
-    the other name, moved by no more than the letters that either side may have too many. ``names``: lname; ``entries``: ordinal, lentity.
+    the other name, moved by no more than the letters that either side may have too many.
     """
-    reach = lambda n: F.sequence(F.ceil(n * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.floor(n * ((2 - threshold) / threshold) + 1e-9).cast("int"))
+    fits = fits.filter("not few").select("lx", "ly")
     lx, ly, seg = F.col("lx"), F.col("ly"), F.col("seg")
     parts = _segments(ly, lx, threshold)
     begin, end = F.floor(seg * ly / parts).cast("int"), F.floor((seg + 1) * ly / parts).cast("int")
-    right = entries.withColumn("ly", F.length("lentity")).withColumn("lx", F.explode(reach(ly))).withColumn("seg", F.explode(F.sequence(F.lit(0), parts - 1)))
+    right = entries.withColumn("ly", F.length("lentity")).join(fits, "ly").withColumn("seg", F.explode(F.sequence(F.lit(0), parts - 1)))
     right = right.withColumns({"_b": begin, "_e": end}).select("ordinal", "lentity", "lx", "ly", "seg", F.expr("substring(lentity, _b + 1, _e - _b)").alias("piece"))
-    left = names.withColumn("lx", F.length("lname")).withColumn("ly", F.explode(reach(lx))).withColumn("seg", F.explode(F.sequence(F.lit(0), parts - 1)))
+    left = names.withColumn("lx", F.length("lname")).join(fits, "lx").withColumn("seg", F.explode(F.sequence(F.lit(0), parts - 1)))
     matched = _matched_needed(lx, ly, threshold)
     left = left.withColumns({"_b": begin, "_e": end}).withColumn("_at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_b") - (ly - matched)), F.col("_b") + (lx - matched))))
     left = left.where(F.col("_at") + F.col("_e") - F.col("_b") <= lx).select("lname", "lx", "ly", "seg", F.expr("substring(lname, _at + 1, _e - _b)").alias("piece"))
     return left.join(right, ["lx", "ly", "seg", "piece"]).select("lname", "lentity", "ordinal")
 
 
+def candidate_pairs(names: DataFrame, entries: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """Pairs (lname, lentity, ordinal); every pair that reaches the ratio is among them.
+
+    Short names meet over what is left of both without the letters that may stay unmatched, so that names which merely share a
+    frequent beginning never become pairs; where that has too many forms, over segments. ``names``: lname; ``entries``:
+    ordinal, lentity, each lentity once.
+    """
+    fits = _fits(names, entries, threshold)
+    return _pairs_by_variants(names, entries, fits).unionByName(_pairs_by_segments(names, entries, fits, threshold))
+
+
 def fuzzy(parties: DataFrame, entities: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Per distinct name: the first entry in list order whose name is at least ``threshold`` similar (Ratcliff-Obershelp ratio).
 
-    Pairs come from a lossless index of segments; the longest common subsequence, found for all pairs of a batch at once, rules
-    out nearly all that are chance, and only the rest are compared exactly. Each distinct list name is indexed once, under its
-    first entry.
+    Pairs come from a lossless index; the longest common subsequence, found for all pairs of a batch at once, rules out nearly
+    all that are chance, and of the rest those of a name are compared exactly, in list order, up to its first hit. Each distinct
+    list name is indexed once, under its first entry.
     """
-    names = _names(parties)
-    first = entities.where(F.length("name") > 0).groupBy(F.lower("name").alias("lentity")).agg(F.min_by(F.struct("name", "source"), "ordinal").alias("entry"), F.min("ordinal").alias("ordinal"))
-    scored = candidate_pairs(names, first.select("ordinal", "lentity"), threshold).mapInPandas(_score_pairs(threshold), "lname string, lentity string, ordinal long, ratio double")
-    best = scored.groupBy("lname").agg(F.min_by(F.struct("lentity", "ratio"), "ordinal").alias("e")).select("lname", F.col("e.lentity").alias("lentity"), F.col("e.ratio").alias("ratio"))
+    names = cut(_names(parties))
+    first = cut(entities.where(F.length("name") > 0).groupBy(F.lower("name").alias("lentity")).agg(F.min_by(F.struct("name", "source"), "ordinal").alias("entry"), F.min("ordinal").alias("ordinal")).where("ordinal is not null"))
+    pairs = candidate_pairs(names, first.select("ordinal", "lentity"), threshold).repartition("lname").sortWithinPartitions("lname", "ordinal", "lentity")
+    best = pairs.mapInPandas(_first_hits(threshold), "lname string, lentity string, ordinal long, ratio double").select("lname", "lentity", "ratio")
     return best.join(first, "lentity").select("lname", F.lit("FUZZY").alias("match_type"), F.col("entry.name").alias("entity"),
                                               F.round("ratio", 4).alias("confidence"), F.col("entry.source").alias("source"))
 

@@ -36,3 +36,44 @@ def test_near_rows_over_tiles_and_for_some_rows_only(spark, monkeypatch):
         for r, j in enumerate(np.lexsort((ids, d[i]))[:4]):
             want[i, r + 1] = (ids[j], d[i, j])
     assert {k: v for k, v in got.items() if k[0] != 498} == want and {k[0] for k in got} == set(range(0, 499, 3))
+
+
+def test_change_detector_skips_blocks_and_answers_alike(monkeypatch):
+    """Nearly no value of a steady stretch is tried by itself, and alerts are those of adding value by value."""
+    from paywarden.operators import adwin
+
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.random(4000), 0.3 + 0.7 * rng.random(1500), (np.arange(3000) * 37 % 1000) / 1000.0, [np.nan], rng.random(300), rng.random(900) * 0.2])
+    plain, want = adwin.Window(largest=2000), []
+    for i, x in enumerate(v):
+        if plain.add(float(x)):
+            want.append((i, len(plain.values), float(plain.values.mean())))
+    calls, add = [], adwin.Window.add
+    monkeypatch.setattr(adwin.Window, "add", lambda self, value: calls.append(1) or add(self, value))
+    rows = pd.DataFrame({"us": range(len(v)), "id": range(len(v)), "value": v})
+    got = adwin.detect(("fraud", "m"), rows[rows.index < 4000], window := adwin.Window(largest=2000))
+    assert len(calls) < 400 and len(got) == sum(i < 4000 for i, _, _ in want)
+    later = adwin.detect(("fraud", "m"), rows[rows.index >= 4000], window)
+    got = pd.concat([x for x in (got, later) if len(x)])
+    assert list(zip(got["id"], got["window_size"], got["new_mean"], strict=True)) == want and want
+    assert np.array_equal(window.values, plain.values, equal_nan=True)
+
+
+def test_names_that_share_a_frequent_beginning_do_not_become_pairs(spark):
+    """Nearly equal names of one family meet, families that share segments do not, and each name is given its first hit."""
+    from difflib import SequenceMatcher
+
+    from paywarden.operators import screening
+
+    names = [f"customer#{i * 7:09d}" for i in range(300)] + [f"supplier#{i:09d}" for i in range(0, 400, 3)] + ["a rather long name of a party that has many letters", "zo\u00eb \U0001f600 m\u00fcller"]
+    entries = [f"supplier#{i:09d}" for i in range(0, 400, 10)] + ["a rather long name of a party that had many letters", "zoe \U0001f600 m\u00fcller", "united kingdom"]
+    parties = spark.createDataFrame([(x.upper() if i % 2 else x,) for i, x in enumerate(names)], "name string")
+    listed = spark.createDataFrame([(1000 - i, x, "L") for i, x in enumerate(entries)], "ordinal long, name string, source string")
+    pairs = screening.candidate_pairs(screening._names(parties), listed.select("ordinal", F.lower("name").alias("lentity")))
+    assert pairs.filter("lname like 'customer%'").count() == 0
+    want = {}
+    for a in sorted({x.lower() for x in names}):
+        hits = [(1000 - i, b) for i, b in enumerate(entries) if SequenceMatcher(None, a, b.lower()).ratio() >= 0.85]
+        if hits:
+            want[a] = min(hits)[1]
+    assert {r["lname"]: r["entity"] for r in screening.fuzzy(parties, listed).collect()} == want
