@@ -162,12 +162,19 @@ def circular_transfer_users(transfers: DataFrame, within_us: int = DAY) -> DataF
     Two-cycles show as neighbouring opposite transfers on a pair's timeline, so no pairs are
     formed. Three-cycles start from triangles of the distinct undirected graph; each triangle is
     found once, at its member with the fewest neighbours, which keeps a hub from pairing its
-    neighbours. ``transfers``: txn_id, sender, receiver, us.
+    neighbours. Users that only send or only receive are in no cycle; a triangle whose members are
+    all found already needs no further look; one whose three transfers fall into one slice of
+    ``within_us`` is found from distinct slices, and only the others need single transfers.
+    ``transfers``: txn_id, sender, receiver, us.
     """
     t = transfers.filter(F.col("sender") != F.col("receiver")).select("txn_id", "sender", "receiver", "us")
+    through = cut(t.select(F.col("sender").alias("_n")).distinct().intersect(t.select(F.col("receiver").alias("_n")).distinct()))
+    t = t.join(through.withColumnRenamed("_n", "sender"), "sender", "left_semi").join(through.withColumnRenamed("_n", "receiver"), "receiver", "left_semi")
+    t = cut(t.select("txn_id", "sender", "receiver", "us"))
     pair = t.select("txn_id", "us", F.least("sender", "receiver").alias("lo"), F.greatest("sender", "receiver").alias("hi"), (F.col("sender") < F.col("receiver")).alias("up"))
     p = tl.neighbours(pair, ["lo", "hi"], "us", "txn_id", {"pup": "up", "pus": "us"})
     two = p.filter((F.col("pup") != F.col("up")) & (F.col("us") - F.col("pus") <= within_us)).select(F.explode(F.array("lo", "hi")).alias("user_id"))
+    two = cut(two.distinct())
 
     arcs = t.select(F.col("sender").alias("a"), F.col("receiver").alias("b")).distinct()
     links = arcs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
@@ -181,10 +188,13 @@ def circular_transfer_users(transfers: DataFrame, within_us: int = DAY) -> DataF
     closed = wedges.join(out.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"], "left_semi").select("x", "y", "z")
     # both ways round, as three arcs each
     ring = closed.select(F.explode(F.array(F.array("x", "y", "z"), F.array("x", "z", "y"))).alias("r"))
-    ring = ring.select("r", F.posexplode(F.array(F.struct(F.col("r")[0].alias("a"), F.col("r")[1].alias("b")), F.struct(F.col("r")[1].alias("a"), F.col("r")[2].alias("b")),
-                                                 F.struct(F.col("r")[2].alias("a"), F.col("r")[0].alias("b")))).alias("leg", "arc")).select("r", "leg", "arc.a", "arc.b")
+    ring = cut(_legs(_with_unfound(ring, two)))
+    at = tl.slice_start(F.col("us"), within_us)
+    slices = cut(t.groupBy(F.col("sender").alias("a"), F.col("receiver").alias("b"), at.alias("slice")).agg(F.count(F.lit(1)).alias("n")))
+    close = ring.join(slices.select("a", "b", "slice"), ["a", "b"]).groupBy("r", "slice").agg(F.count(F.lit(1)).alias("n")).filter("n = 3")
+    two = cut(two.unionByName(close.select(F.explode("r").alias("user_id"))).distinct())
     whole = ring.join(arcs, ["a", "b"], "left_semi").groupBy("r").agg(F.count(F.lit(1)).alias("n")).filter("n = 3").select("r")
-    legs = ring.join(whole, "r", "left_semi").join(t.select(F.col("sender").alias("a"), F.col("receiver").alias("b"), "us").distinct(), ["a", "b"])
+    legs = _legs(_with_unfound(whole, two)).join(t.select(F.col("sender").alias("a"), F.col("receiver").alias("b"), "us").distinct(), ["a", "b"])
     # a row looks back over its own and the previous bucket only, so it is placed in two buckets
     bucket = tl.slice_start(F.col("us"), within_us)
     placed = legs.select("r", "leg", "us", F.explode(F.array(bucket, bucket + within_us)).alias("bucket"))
@@ -199,6 +209,19 @@ def circular_transfer_users(transfers: DataFrame, within_us: int = DAY) -> DataF
     return two.unionByName(three).distinct()
 
 
+def _with_unfound(rings: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of ``rings`` (r: its users) with a member that is not among ``found``."""
+    left = rings.select("r", F.explode("r").alias("user_id")).join(found, "user_id", "left_anti")
+    return left.select("r").distinct()
+
+
+def _legs(rings: DataFrame) -> DataFrame:
+    """The three arcs of every ring: r, leg, a, b."""
+    x, y, z = (F.col("r")[i] for i in range(3))
+    arcs = F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in ((x, y), (y, z), (z, x))])
+    return rings.select("r", F.posexplode(arcs).alias("leg", "arc")).select("r", "leg", "arc.a", "arc.b")
+
+
 def components(pairs: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
     """Connected components of a two-sided graph: (left, component), the smallest member as label.
 

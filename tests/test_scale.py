@@ -77,3 +77,28 @@ def test_names_that_share_a_frequent_beginning_do_not_become_pairs(spark):
         if hits:
             want[a] = min(hits)[1]
     assert {r["lname"]: r["entity"] for r in screening.fuzzy(parties, listed).collect()} == want
+
+
+def test_rings_are_looked_up_only_for_users_not_found_yet(spark, monkeypatch):
+    """Rings in one slice, over two slices and too slow ones, beside many senders that nobody pays; as by trying all triples."""
+    from paywarden.operators import graph
+
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b), int(u)) for a, b, u in zip(rng.integers(0, 14, 70), rng.integers(0, 14, 70), rng.integers(0, 4000, 70), strict=True)]
+    rows += [(100 + i, i % 14, i) for i in range(300)] + [(50, 51, 990), (51, 52, 1005), (52, 50, 1080), (60, 61, 0), (61, 62, 90), (62, 60, 110), (70, 71, 10), (71, 70, 20)]
+    seen, legs = [], graph._legs
+    monkeypatch.setattr(graph, "_legs", lambda rings: seen.append(rings.count()) or legs(rings))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "txn_id long, sender long, receiver long, us long")
+    got = {r[0] for r in graph.circular_transfer_users(df, 100).collect()}
+    want, rows = set(), [r for r in rows if r[0] != r[1]]
+    for a in rows:
+        for b in rows:
+            if b[0] == a[1] and abs(a[2] - b[2]) <= 100:
+                if b[1] == a[0]:
+                    want |= {a[0], a[1]}
+                else:
+                    for c in rows:
+                        if c[0] == b[1] and c[1] == a[0] and abs(c[2] - a[2]) <= 100 and abs(c[2] - b[2]) <= 100:
+                            want |= {a[0], b[0], c[0]}
+    assert got == want and {50, 51, 52, 70, 71} <= got and not {60, 61, 62} & got
+    assert seen[1] < seen[0]
