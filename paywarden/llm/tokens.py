@@ -8,7 +8,6 @@ as fast; all others by ``tokenizers``. Tests hold both against ``tokenizers`` on
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
@@ -18,7 +17,7 @@ import numpy as np
 from .common import by_worker
 
 #: Stretches remembered by a worker, about 200 bytes each.
-CACHE = 120_000
+CACHE = 360_000
 FILE = "word_bpe_49k.json"
 END_ID = 2
 
@@ -88,15 +87,16 @@ class Encoder:
         return [known[c] for c in chunks]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. Stretches met first are the frequent ones: they stay when the cache is full."""
+        """Ids of each text. Stretches met first are the frequent ones: they stay when the cache is full, and later ones go after their batch."""
         split, known = [t.replace("\n", " ").split(" ") if t else () for t in texts], self.known
         new = list(set().union(*split).difference(known))
-        if len(known) + len(new) > self.cache:
-            self.known = known = dict(itertools.islice(known.items(), self.cache * 2 // 3))
-            new = list(set().union(*split).difference(known))
         for i in range(0, len(new), 20_000):
             known.update(zip(new[i:i + 20_000], self._encode(new[i:i + 20_000]), strict=True))
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        if len(known) > self.cache:
+            for x in new[self.cache - len(known):]:
+                del known[x]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]

@@ -102,3 +102,20 @@ def test_rings_are_looked_up_only_for_users_not_found_yet(spark, monkeypatch):
                             want |= {a[0], b[0], c[0]}
     assert got == want and {50, 51, 52, 70, 71} <= got and not {60, 61, 62} & got
     assert seen[1] < seen[0]
+
+
+def test_tokens_met_first_stay_when_the_cache_is_full():
+    """A batch of many new stretches neither pushes out the frequent ones nor stays in the cache, and ids are the same."""
+    import pytest
+
+    pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    from paywarden.llm.tokens import Encoder
+
+    first, rest = " ".join(f"word{i}" for i in range(60)), " ".join(f"x{i * 7919}q" for i in range(500))
+    small, large = Encoder(cache=100), Encoder()
+    assert small.encode_all([first, None]) == large.encode_all([first, None])
+    met = set(small.known)
+    assert small.encode_all([rest, first, ""]) == large.encode_all([rest, first, ""])
+    assert len(small.known) == 100 and met <= set(small.known)
+    assert small.encode_all([rest]) == large.encode_all([rest])
