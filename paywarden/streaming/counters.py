@@ -1,8 +1,8 @@
 """What a user or merchant did before each transaction, kept as keyed state of a stream.
 
 Per key the state holds: one record of running totals (with the counters that expire after a pause, the hours gone by, the
-last known place), a map from hours to the transactions of that hour, and a map from devices, ips or customers to their last
-use. A trailing window is a difference of running totals, so a transaction reads the hours in which its windows begin, not
+last known place), the transactions of every hour, and the last use of every device, ip or customer; the latter two in parts
+of many, because every access to the state is a message to the JVM. A trailing window is a difference of running totals, so a transaction reads the hours in which its windows begin, not
 its history. Hours and members that no window reaches any more are removed. A micro-batch reads itself and the state of the
 keys it holds.
 
@@ -18,8 +18,7 @@ from collections import deque
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,20 +27,35 @@ from ..functions.constants import DAY, HOUR
 TXN = "txn_id long, user_id long, merchant_id long, us long, cents long, amount double, device string, ip string, country string, currency string, lat double, lng double"
 COUNTED = ("n_1h long, n_24h long, n_7d long, cents_7d long, n_30d long, cents_30d long, squares_30d string, device_count_30d long, ip_count_30d long, new_device_flag int, "
            "count_1h long, sum_1h long, count_24h long, sum_24h long, unique_customers_24h long, historical_structuring_flag int, past_n long, past_hours long, last_us long, last_lat double, last_lng double")
-_NAMES = [c.split()[0] for c in COUNTED.split(", ")]
+_TXN, _NAMES = ([c.split()[0] for c in x.split(", ")] for x in (TXN, COUNTED))
+_US, _READ = _TXN.index("us"), [_TXN.index(c) for c in ("us", "cents", "device", "ip", "user_id", "lat", "lng")]
+#: Rows that go back to Spark together, as one row of arrays: most keys have few rows in a micro-batch, and each row sent costs.
+BLOCK = 10_000
 LONGEST = 30 * DAY
 _PAUSES = {"1h": HOUR, "24h": DAY}
 
 
+#: Rows after which a part of hours is full, and members of a part of members: what a key of few rows keeps is one part of each.
+PART_ROWS, PART_MEMBERS = 1_000, 1_000
+
+
 class _Hours:
-    """Running totals (rows, cents, squares) at any time, from the hours that are asked for."""
+    """Running totals (rows, cents, squares) at any time, from the hours that are asked for. Hours lie together in parts, each
+    named by its first hour; a part is read when one of its hours is, and takes no more hours once it has ``PART_ROWS`` rows."""
 
-    def __init__(self, stored, known: list[int], totals: tuple[int, int, int]):
-        self.stored, self.known, self.totals, self.read, self.changed = stored, known, totals, {}, set()
+    def __init__(self, stored, known: list[int], parts: list[int], part_n: int, totals: tuple[int, int, int]):
+        self.stored, self.known, self.parts, self.part_n, self.totals = stored, known, dict(zip(known, parts, strict=True)), part_n, totals
+        self.saved, self.packed, self.read, self.changed = set(parts), {}, {}, set()
+
+    def _load(self, part: int) -> None:
+        for at, *packed in zip(*self.stored.getValue((part,)), strict=True):
+            self.packed[at] = packed
 
     def hour(self, at: int) -> list:
         if at not in self.read:
-            n, cents, squares, times, values = self.stored.getValue((at,))
+            if at not in self.packed:
+                self._load(self.parts[at])
+            n, cents, squares, times, values = self.packed[at]
             times, values = (list(struct.unpack(f"<{len(x) // 8}q", x)) for x in (times, values))
             self.read[at] = [(n, cents, int(squares)), times, [0, *accumulate(values)], [0, *accumulate(v * v for v in values)], values]
         return self.read[at]
@@ -59,6 +73,10 @@ class _Hours:
     def add(self, us: int, cents: int) -> None:
         at = us - us % HOUR
         if not self.known or self.known[-1] != at:
+            if not self.known or self.totals[0] - self.part_n >= PART_ROWS:
+                self.parts[at], self.part_n = at, self.totals[0]
+            else:
+                self.parts[at] = self.parts[self.known[-1]]
             self.known.append(at)
             self.read[at] = [self.totals, [], [0], [0], []]
         h = self.hour(at)
@@ -70,18 +88,34 @@ class _Hours:
         self.changed.add(at)
 
     def store(self, now: int) -> None:
-        for at in self.changed:
-            base, times, _, _, values = self.read[at]
-            self.stored.updateValue((at,), (base[0], base[1], str(base[2]), struct.pack(f"<{len(times)}q", *times), struct.pack(f"<{len(values)}q", *values)))
-        while self.known and self.known[0] + HOUR <= now - LONGEST:
-            self.stored.removeKey((self.known.pop(0),))
+        gone = 0
+        while gone < len(self.known) and self.known[gone] + HOUR <= now - LONGEST:
+            del self.parts[self.known[gone]]
+            gone += 1
+        del self.known[:gone]
+        changed: dict[int, list] = {self.parts[at]: [] for at in self.changed if at in self.parts}
+        for at in self.known:
+            part = self.parts[at]
+            if part in changed:
+                if at in self.changed:
+                    base, times, _, _, values = self.read[at]
+                    row = base[0], base[1], str(base[2]), struct.pack(f"<{len(times)}q", *times), struct.pack(f"<{len(values)}q", *values)
+                else:
+                    if at not in self.packed:
+                        self._load(part)
+                    row = self.packed[at]
+                changed[part].append((at, *row))
+        for part, rows in changed.items():
+            self.stored.updateValue((part,), tuple(map(list, zip(*rows, strict=True))))
+        for part in self.saved - set(self.parts.values()):
+            self.stored.removeKey((part,))
 
 
 class _Members:
     """Members used within ``width``, and when each was used last."""
 
-    def __init__(self, stored, kind: str, found: list[tuple[str, int]], width: int):
-        self.stored, self.kind, self.width, self.last, self.changed = stored, kind, width, dict(found), set()
+    def __init__(self, found: dict[str, int], width: int):
+        self.width, self.last, self.changed = width, found, set()
         self.queue = deque(sorted((us, m) for m, us in self.last.items()))
         self.present = set(self.last)
 
@@ -107,53 +141,95 @@ class _Members:
                 self.present.add(m)
                 self.queue.append((us, m))
 
+
+class _Uses:
+    """The members of a key, of every kind, in parts of ``PART_MEMBERS``; parts are written as a whole, those that changed."""
+
+    def __init__(self, stored, widths: dict[str, int]):
+        self.stored, self.place, self.sizes, found = stored, {}, {}, {k: {} for k in widths}
+        for (part,), (kinds, members, last) in stored.iterator():
+            self.sizes[part] = len(kinds)
+            for k, m, us in zip(kinds, members, last, strict=True):
+                found[k][m] = us
+                self.place[k, m] = part
+        self.saved = set(self.sizes)
+        self.kinds = {k: _Members(found[k], w) for k, w in widths.items()}
+
     def store(self, now: int) -> None:
-        for m, us in self.last.items():
-            if us < now - self.width:
-                if m not in self.changed or self.stored.containsKey((self.kind, m)):
-                    self.stored.removeKey((self.kind, m))
-            elif m in self.changed:
-                self.stored.updateValue((self.kind, m), (us,))
+        touched = set()
+        for k, members in self.kinds.items():
+            for m in [m for m, us in members.last.items() if us < now - members.width]:
+                del members.last[m]
+                members.changed.discard(m)
+                if (k, m) in self.place:
+                    part = self.place.pop((k, m))
+                    self.sizes[part] -= 1
+                    touched.add(part)
+        free = [p for p, n in self.sizes.items() if n < PART_MEMBERS]
+        for k, members in self.kinds.items():
+            for m in members.changed:
+                part = self.place.get((k, m))
+                if part is None:
+                    while free and self.sizes[free[-1]] >= PART_MEMBERS:
+                        free.pop()
+                    if not free:
+                        free.append(max(self.sizes, default=-1) + 1)
+                        self.sizes[free[-1]] = 0
+                    part = self.place[k, m] = free[-1]
+                    self.sizes[part] += 1
+                touched.add(part)
+        rows: dict[int, list] = {p: [] for p in touched}
+        for (k, m), part in self.place.items():
+            if part in rows:
+                rows[part].append((k, m, self.kinds[k].last[m]))
+        for part, held in rows.items():
+            if held:
+                self.stored.updateValue((part,), tuple(map(list, zip(*held, strict=True))))
+            elif part in self.saved:
+                self.stored.removeKey((part,))
+
+
+def _ordered(rows: Iterator[tuple]) -> list[tuple]:
+    """Rows of ``TXN`` by time and id (those without id last); what is not a number is no value."""
+    clean = [tuple(None if x != x else x for x in r) for r in rows]
+    return sorted(clean, key=lambda r: (r[_US], r[0] is None, r[0] or 0))
 
 
 class Counters(StatefulProcessor):
     """Features of every transaction of a key (``kind`` u: a user, m: a merchant) from the key's earlier ones."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "n long, cents long, squares string, hours array<long>, moved long, c1 long, v1 long, c24 long, v24 long, hist int, past_n long, past_hours long, hour long, hour_n long, last_us long, lat double, lng double, latest long")
-        self.hours = handle.getMapState("hours", "hour long", "n long, cents long, squares string, times binary, values binary")
-        self.members = handle.getMapState("members", "kind string, member string", "us long")
+        self.now = handle.getValueState("now", "n long, cents long, squares string, hours array<long>, parts array<long>, part_n long, moved long, c1 long, v1 long, c24 long, v24 long, hist int, past_n long, past_hours long, hour long, hour_n long, last_us long, lat double, lng double, latest long")
+        self.hours = handle.getMapState("hours", "part long", "hours array<long>, n array<long>, cents array<long>, squares array<string>, times array<binary>, values array<binary>")
+        self.members = handle.getMapState("members", "part long", "kinds array<string>, members array<string>, last array<long>")
 
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["us", "txn_id"], ignore_index=True)  # a key's rows of one micro-batch
-        out = self._counted(key[0], frame)
-        made = pd.DataFrame(out, columns=_NAMES)
-        for c in _NAMES:
-            made[c] = made[c].astype("float64" if c in ("last_lat", "last_lng") else "str" if c == "squares_30d" else "Int64")
-        yield pd.concat([frame, made], axis=1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = _ordered(tuple(r[c] for c in _TXN) for r in rows)  # a key's rows of one micro-batch
+        out = self._counted(key[0], rows)
+        for i in range(0, len(rows), BLOCK):
+            columns = [*zip(*rows[i:i + BLOCK], strict=True), *zip(*out[i:i + BLOCK], strict=True)]
+            yield Row(kind=key[0], key=key[1], **dict(zip(_TXN + _NAMES, map(list, columns), strict=True)))
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Transactions from before the stream."""
-        self._counted(key[0], initialState.sort_values(["us", "txn_id"], ignore_index=True))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """Transactions from before the stream, all of a key's in one row."""
+        self._counted(key[0], _ordered(tuple(r[c] for c in _TXN) for r in initialState["past"]))
 
-    def _counted(self, kind: str, frame: pd.DataFrame) -> list[list]:
+    def _counted(self, kind: str, txn: list[tuple]) -> list[list]:
         user = kind == "u"
         if self.now.exists():
-            n, cents, squares, known, moved, c1, v1, c24, v24, hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest = self.now.get()
-            totals, known = (n, cents, int(squares)), list(known)
+            n, cents, squares, known, parts, part_n, moved, c1, v1, c24, v24, hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest = self.now.get()
+            totals, known, parts = (n, cents, int(squares)), list(known), list(parts)
         else:
-            totals, known, moved, latest, hour, last_us, lat, lng = (0, 0, 0), [], None, None, None, None, None, None
+            totals, known, parts, part_n, moved, latest, hour, last_us, lat, lng = (0, 0, 0), [], [], 0, None, None, None, None, None, None
             c1 = v1 = c24 = v24 = hist = past_n = past_hours = hour_n = 0
         run = {"1h": [c1, v1], "24h": [c24, v24]}
-        hours = _Hours(self.hours, known, totals)
-        stored: dict[str, list] = {"d": [], "i": [], "c": []}
-        for (k, m), (us,) in self.members.iterator():
-            stored[k].append((m, us))
-        kinds = {"d": _Members(self.members, "d", stored["d"], LONGEST), "i": _Members(self.members, "i", stored["i"], LONGEST)} if user else {"c": _Members(self.members, "c", stored["c"], DAY)}
-        rows = list(zip(*(frame[c].astype(object).where(frame[c].notna(), None) for c in ("us", "cents", "device", "ip", "user_id", "lat", "lng")), strict=True))
+        hours = _Hours(self.hours, known, parts, part_n, totals)
+        uses = _Uses(self.members, {"d": LONGEST, "i": LONGEST} if user else {"c": DAY})
+        kinds = uses.kinds
+        rows = [tuple(r[i] for i in _READ) for r in txn]
         out, i = [], 0
         while i < len(rows):
             t = int(rows[i][0])
@@ -202,10 +278,9 @@ class Counters(StatefulProcessor):
                 kinds["c"].arrive([None if r[4] is None else str(int(r[4])) for r in rows[i:j]], t)
             latest, i = t, j
         hours.store(latest)
-        for m in kinds.values():
-            m.store(latest)
+        uses.store(latest)
         n, cents, squares = hours.totals
-        self.now.update((n, cents, str(squares), hours.known, moved, *run["1h"], *run["24h"], hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest))
+        self.now.update((n, cents, str(squares), hours.known, [hours.parts[at] for at in hours.known], hours.part_n, moved, *run["1h"], *run["24h"], hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest))
         return out
 
 
@@ -226,6 +301,8 @@ def prepare(spark: SparkSession) -> None:
 def counted(txn: DataFrame, past: DataFrame | None = None) -> DataFrame:
     """The stream's transactions, by kind of key, with what the key did before; ``past``: transactions from before the stream."""
     prepare(txn.sparkSession)
-    first = None if past is None else keyed(past).groupBy("kind", "key")
-    return keyed(txn).groupBy("kind", "key").transformWithStateInPandas(
-        statefulProcessor=Counters(), outputStructType=f"{TXN}, kind string, key long, {COUNTED}", outputMode="Append", timeMode="None", initialState=first)
+    first = None if past is None else keyed(past).groupBy("kind", "key").agg(F.collect_list(F.struct(*_TXN)).alias("past")).groupBy("kind", "key")
+    arrays = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in f"{TXN}, {COUNTED}".split(", "))
+    blocks = keyed(txn).groupBy("kind", "key").transformWithState(
+        statefulProcessor=Counters(), outputStructType=f"kind string, key long, {arrays}", outputMode="Append", timeMode="None", initialState=first)
+    return blocks.select("kind", "key", F.inline(F.arrays_zip(*_TXN, *_NAMES))).select(*_TXN, "kind", "key", *_NAMES)
