@@ -44,6 +44,10 @@ SMALL = 64
 CHUNK, HELD = 400_000, 500_000
 #: Rows of ids that may be broadcast (16 bytes each).
 MAX_BROADCAST = 500_000
+#: Tasks for each bucket, at most, that write what is known of classes, groups and pairs.
+TASKS = 2
+#: Edges of a task while components are found: a round of few edges writes few files, however many partitions shuffles have.
+EDGES = 100_000
 #: 1.05 to the seventh is more than 100 / 75.
 SIZE_REACH = 7
 _U = np.uint64
@@ -255,9 +259,9 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return batches(p, run, "x bigint, y bigint")
 
 
-def _class_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _class_sets(rows: DataFrame, wanted: DataFrame, size: int, tasks: int | None = None) -> DataFrame:
     """(class, sorted shingle hashes as bytes) of the wanted classes, from one document each. ``wanted``: doc_id, class."""
-    wanted = cut(wanted)
+    wanted = cut(_few(wanted, tasks))
     side = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     texts_of = rows.join(side.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
 
@@ -287,39 +291,46 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return batches(p, run, "x bigint, y bigint, inter bigint, nx bigint, ny bigint")
 
 
+def _few(df: DataFrame, tasks: int | None) -> DataFrame:
+    """``df`` in at most so many tasks: every task writes files of its own to each shuffle and checkpoint, however few rows it has."""
+    return df if tasks is None else df.coalesce(tasks)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, component) for every class on an edge; the component is its least class. Alternating star contraction.
 
-    Each half of a round deals its edges once by the class they are grouped and joined on.
+    Each half of a round deals its edges once by the class they are grouped and joined on, from as many tasks as their number asks for.
     """
     e = cut(edges.select("x", "y").where("x <> y").distinct())
-    before = None
+    n, before = e.count(), None
     while True:
+        parts = max(1, -(-n // EDGES))
+        e = e.coalesce(parts)
         both = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).repartition("x")
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        down = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").repartition("x")
+        down = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").coalesce(parts).repartition("x")
         low = down.groupBy("x").agg(F.min("y").alias("m"))
         small = down.join(low, "x").select(F.col("y").alias("x"), "m").where("x <> m").union(low.select("x", "m")).toDF("x", "y")
-        e = cut(small.distinct())
+        e = cut(small.coalesce(parts).distinct().coalesce(parts))
         now = e.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("x", "y")), F.lit(0)).alias("h")).first()
         if now == before or not now["n"]:
             break
-        before = now
+        n, before = now["n"], now
     return e.select(F.col("x").alias("key"), F.col("y").alias("component")).union(e.select(F.col("y").alias("key"), F.col("y").alias("component")).distinct())
 
 
-def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+def joined(comp: DataFrame, more: DataFrame, tasks: int | None = None) -> DataFrame:
     """``components`` after further edges: only those between components count, and few are left of them."""
     label = lambda k: comp.select(F.col("key").alias(k), F.col("component").alias("c" + k))
-    between = cut(more.join(label("x"), "x", "left").join(label("y"), "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"), F.col("x").alias("a"), F.col("y").alias("b")))
+    between = cut(_few(more.join(label("x"), "x", "left").join(label("y"), "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"), F.col("x").alias("a"), F.col("y").alias("b")), tasks))
     if not between.where("x <> y").limit(1).count():
         return comp
-    top = cut(components(between.select("x", "y")))
+    top = cut(_few(components(between.select("x", "y")), tasks))
     old = comp.join(top.select(F.col("key").alias("component"), F.col("component").alias("top")), "component", "left").select("key", F.coalesce("top", "component").alias("component"))
     alone = between.select(F.col("x").alias("key"), F.col("a").alias("own")).union(between.select(F.col("y").alias("key"), F.col("b").alias("own"))).where("key = own").select("key").distinct()
     new = top.join(alone, "key").join(comp.select("key"), "key", "left_anti").select("key", "component")
-    return cut(old.union(new))
+    return cut(_few(old.union(new), tasks))
 
 
 def close_pairs(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int, nearest: bool = False, blocks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -363,7 +374,7 @@ def _nearest(found: np.ndarray) -> np.ndarray:
     return found[:, np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(0)])] if found.shape[1] else found
 
 
-def _open(groups: DataFrame, classes: DataFrame, comp: DataFrame, percent: int, nearest: bool) -> tuple[DataFrame, DataFrame]:
+def _open(groups: DataFrame, classes: DataFrame, comp: DataFrame, percent: int, nearest: bool, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs still to be counted: of one group, in different components, not ruled out by bitmaps; all, or the nearest of each two components. And the groups that have more."""
     g = groups.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = g.groupBy("gid").agg((F.min("component") != F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("m")).where("mixed and m > 2").select("gid", F.ceil(F.col("m") / BLOCK).alias("parts"))
@@ -379,7 +390,7 @@ def _open(groups: DataFrame, classes: DataFrame, comp: DataFrame, percent: int,
         more = [table.column("gid")[0].as_py()] * int(total > len(x))
         return pa.table({"gid": pa.array(more + [None] * len(x), pa.int64()), "x": pa.array([None] * len(more) + x.tolist(), pa.int64()), "y": pa.array([None] * len(more) + y.tolist(), pa.int64())})
 
-    found = cut(g.groupBy("gid", "low", "high").applyInArrow(run, "gid bigint, x bigint, y bigint"))
+    found = cut(_few(g.groupBy("gid", "low", "high").applyInArrow(run, "gid bigint, x bigint, y bigint"), tasks))
     return found.where("x is not null").select("x", "y").distinct(), found.where("gid is not null").select("gid").distinct()
 
 
@@ -387,33 +398,34 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Members (doc_id, n_shingles, key, component: the least doc_id of the component, group: its least class, text_hash: xxhash64 of the text) and links between classes (x, y, inter, nx, ny)."""
     rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     buckets = max(1, -(-rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // BUCKET))
-    met = cut_in(_meet(_sign(rows, size, percent, buckets)), buckets)
+    tasks = TASKS * buckets
+    met = cut_in(_few(_meet(_sign(rows, size, percent, buckets)), tasks), buckets)
     members = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"), F.col("text").alias("text_hash"))
-    classes = cut(met.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("doc_id"), "n", "map").dropDuplicates(["key"]))
+    classes = cut(_few(met.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("doc_id"), "n", "map").dropDuplicates(["key"]), tasks))
     groups = met.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("key")).distinct()
     like = F.col("inter") * 100 >= (F.col("nx") + F.col("ny") - F.col("inter")) * percent
 
     def counted(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
+        pairs = cut(_few(pairs, tasks))
         keys = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "key")
-        sets = cut(_class_sets(rows, classes.join(keys, "key", "left_semi").select("doc_id", "key"), size).dropDuplicates(["key"]))
-        return cut(_distances(pairs, sets))
+        sets = cut(_few(_class_sets(rows, classes.join(keys, "key", "left_semi").select("doc_id", "key"), size, tasks).dropDuplicates(["key"]), tasks))
+        return cut(_few(_distances(pairs, sets), tasks))
 
     least = groups.groupBy("gid").agg(F.min("key").alias("x"))
     first = counted(_plausible(groups.join(least, "gid").where("key <> x").select("x", F.col("key").alias("y")).distinct(), classes, percent))
-    comp = cut(components(first.where(like)))
+    comp = cut(_few(components(first.where(like)), tasks))
     for nearest in (True, False):  # one link joins two components: the likeliest is tried before all
-        pairs, more = _open(groups, classes, comp, percent, nearest)
+        pairs, more = _open(groups, classes, comp, percent, nearest, tasks)
         rest = counted(pairs.join(first.select("x", "y"), ["x", "y"], "left_anti"))
         first = first.union(rest)
-        comp = joined(comp, rest.where(like))
+        comp = joined(comp, rest.where(like), tasks)
         if not more.limit(1).count():
             break
         groups = groups.join(more, "gid", "left_semi")
     links = first.where(like)
     labels = comp.select("key", F.col("component"))
     named = members.join(labels, "key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "key")))
-    named = cut(named)
+    named = cut(_few(named, tasks))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "component", "left").select("doc_id", "n_shingles", "key", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("least")), F.col("doc_id")).alias("component"), F.coalesce("component", "key").alias("group"), "text_hash")
     return out, links

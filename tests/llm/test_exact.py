@@ -242,3 +242,33 @@ def test_fingerprints(spark, odd, empty, sample):
     assert fingerprints.fingerprints(odd).count() == odd.count() and fingerprints.fingerprints(empty).count() == 0
     one = fingerprints.fingerprints(odd.where("doc_id = 1")).collect()[0]
     assert one["near_next"] == 1.0
+
+
+def test_few_edges_write_few_files(spark, tmp_path, monkeypatch):
+    """However many partitions shuffles have: rounds of a handful of edges, and groups of a few texts, are written by few tasks."""
+    written = []
+
+    def counted(df):
+        out = cut_as_ever(df)
+        written.append(out.rdd.getNumPartitions())
+        return out
+
+    cut_as_ever = jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chain = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 100), (7, 7)]
+        found = dict(jaccard.components(spark.createDataFrame(chain, "x bigint, y bigint")).collect())
+        assert found == {i: 1 for i in range(1, 41)} | {100: 100, 200: 100}
+        assert len(written) > 1 and max(written[1:]) == 1
+        del written[:]
+        words = [f"w{i}" for i in range(40)]
+        texts = [(i, " ".join(words[:36] + [f"x{i % 3}"] + words[36:])) for i in range(9)] + [(20, "all other words than those of the rest"), (21, None)]
+        out, _ = jaccard.similarity_join(spark.createDataFrame(texts, "doc_id bigint, text string"))
+        assert {r["doc_id"]: r["component"] for r in out.collect()} == {i: 0 for i in range(9)} | {20: 20, 21: 21}
+        assert sum(written) < 37 * len(written) / 4
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
