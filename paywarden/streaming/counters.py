@@ -17,6 +17,7 @@ from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 from itertools import accumulate
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -145,9 +146,10 @@ class _Members:
 class _Uses:
     """The members of a key, of every kind, in parts of ``PART_MEMBERS``; parts are written as a whole, those that changed."""
 
-    def __init__(self, stored, widths: dict[str, int]):
+    def __init__(self, stored, widths: dict[str, int], parts: list[int]):
         self.stored, self.place, self.sizes, found = stored, {}, {}, {k: {} for k in widths}
-        for (part,), (kinds, members, last) in stored.iterator():
+        for part in parts:  # asked for by name: going through a map costs many times as much
+            kinds, members, last = stored.getValue((part,))
             self.sizes[part] = len(kinds)
             for k, m, us in zip(kinds, members, last, strict=True):
                 found[k][m] = us
@@ -155,7 +157,8 @@ class _Uses:
         self.saved = set(self.sizes)
         self.kinds = {k: _Members(found[k], w) for k, w in widths.items()}
 
-    def store(self, now: int) -> None:
+    def store(self, now: int) -> list[int]:
+        """Writes what changed; the parts that are there now."""
         touched = set()
         for k, members in self.kinds.items():
             for m in [m for m, us in members.last.items() if us < now - members.width]:
@@ -187,6 +190,16 @@ class _Uses:
                 self.stored.updateValue((part,), tuple(map(list, zip(*held, strict=True))))
             elif part in self.saved:
                 self.stored.removeKey((part,))
+        return sorted(p for p, n in self.sizes.items() if n)
+
+
+def _taken(rows: Iterator[Row]) -> Iterator[tuple]:
+    """The columns of ``TXN`` of each row; where they stand is looked up once, not by name for every value."""
+    pick = None
+    for r in rows:
+        if pick is None:
+            pick = itemgetter(*[r.__fields__.index(c) for c in _TXN])
+        yield pick(tuple(r))
 
 
 def _ordered(rows: Iterator[tuple]) -> list[tuple]:
@@ -199,7 +212,7 @@ class Counters(StatefulProcessor):
     """Features of every transaction of a key (``kind`` u: a user, m: a merchant) from the key's earlier ones."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "n long, cents long, squares string, hours array<long>, parts array<long>, part_n long, moved long, c1 long, v1 long, c24 long, v24 long, hist int, past_n long, past_hours long, hour long, hour_n long, last_us long, lat double, lng double, latest long")
+        self.now = handle.getValueState("now", "n long, cents long, squares string, hours array<long>, parts array<long>, part_n long, moved long, c1 long, v1 long, c24 long, v24 long, hist int, past_n long, past_hours long, hour long, hour_n long, last_us long, lat double, lng double, latest long, member_parts array<long>")
         self.hours = handle.getMapState("hours", "part long", "hours array<long>, n array<long>, cents array<long>, squares array<string>, times array<binary>, values array<binary>")
         self.members = handle.getMapState("members", "part long", "kinds array<string>, members array<string>, last array<long>")
 
@@ -207,7 +220,7 @@ class Counters(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        rows = _ordered(tuple(r[c] for c in _TXN) for r in rows)  # a key's rows of one micro-batch
+        rows = _ordered(_taken(rows))  # a key's rows of one micro-batch
         out = self._counted(key[0], rows)
         for i in range(0, len(rows), BLOCK):
             columns = [*zip(*rows[i:i + BLOCK], strict=True), *zip(*out[i:i + BLOCK], strict=True)]
@@ -219,15 +232,17 @@ class Counters(StatefulProcessor):
 
     def _counted(self, kind: str, txn: list[tuple]) -> list[list]:
         user = kind == "u"
-        if self.now.exists():
-            n, cents, squares, known, parts, part_n, moved, c1, v1, c24, v24, hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest = self.now.get()
+        stored = self.now.get()
+        if stored is not None:
+            n, cents, squares, known, parts, part_n, moved, c1, v1, c24, v24, hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest, held = stored
             totals, known, parts = (n, cents, int(squares)), list(known), list(parts)
         else:
+            held = []
             totals, known, parts, part_n, moved, latest, hour, last_us, lat, lng = (0, 0, 0), [], [], 0, None, None, None, None, None, None
             c1 = v1 = c24 = v24 = hist = past_n = past_hours = hour_n = 0
         run = {"1h": [c1, v1], "24h": [c24, v24]}
         hours = _Hours(self.hours, known, parts, part_n, totals)
-        uses = _Uses(self.members, {"d": LONGEST, "i": LONGEST} if user else {"c": DAY})
+        uses = _Uses(self.members, {"d": LONGEST, "i": LONGEST} if user else {"c": DAY}, held)
         kinds = uses.kinds
         rows = [tuple(r[i] for i in _READ) for r in txn]
         out, i = [], 0
@@ -278,9 +293,9 @@ class Counters(StatefulProcessor):
                 kinds["c"].arrive([None if r[4] is None else str(int(r[4])) for r in rows[i:j]], t)
             latest, i = t, j
         hours.store(latest)
-        uses.store(latest)
+        held = uses.store(latest)
         n, cents, squares = hours.totals
-        self.now.update((n, cents, str(squares), hours.known, [hours.parts[at] for at in hours.known], hours.part_n, moved, *run["1h"], *run["24h"], hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest))
+        self.now.update((n, cents, str(squares), hours.known, [hours.parts[at] for at in hours.known], hours.part_n, moved, *run["1h"], *run["24h"], hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest, held))
         return out
 
 

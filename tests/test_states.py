@@ -129,3 +129,22 @@ def test_counters_in_parts(monkeypatch, kind):
         assert len(held) == len(set(held)) and min(max(hours) for hours, *_ in states["hours"].values()) + HOUR > last - 30 * DAY
     members = [(k, m) for kinds, names, _ in states["members"].values() for k, m in zip(kinds, names, strict=True)]
     assert len(members) == len(set(members)) and all(0 < len(kinds) <= 5 for kinds, _, _ in states["members"].values())
+
+
+@pytest.mark.parametrize("kind", ["u", "m"])
+def test_counters_ask_for_what_they_know(monkeypatch, kind):
+    """A key of few rows: one read in its first micro-batch, one more for hours and members each later; no map is gone through."""
+    def gone_through(_):
+        raise AssertionError("a map is gone through")
+
+    monkeypatch.setattr(State, "iterator", gone_through)
+    p, handle = _started(counters.Counters())
+    reads = []
+    for k in range(3):
+        handle.calls.clear()
+        rows = [Row(**dict.fromkeys(counters._TXN) | {"txn_id": 10 * k + i, "user_id": i, "merchant_id": 5, "us": (3 * k + i) * HOUR // 2, "cents": 100, "device": f"d{i}", "ip": "i"}) for i in range(3)]
+        out = [r for r in p.handleInputRows((kind, 5), iter(rows), None)]
+        assert [x for r in out for x in r["txn_id"]] == [10 * k + i for i in range(3)]
+        assert [x for r in out for x in r["past_n"]] == [(3 * k + i) // 2 * 2 for i in range(3)]
+        reads.append(handle.calls["read"])
+    assert reads == ([1, 3, 3] if kind == "u" else [1, 2, 2])
