@@ -6,12 +6,18 @@ of many, because every access to the state is a message to the JVM. A trailing w
 its history. Hours and members that no window reaches any more are removed. A micro-batch reads itself and the state of the
 keys it holds.
 
+Spark hands each value of a stateful row to Python, and takes each value of a result, by itself, and every key costs several
+messages; both take far longer than the counting. On a stream keys are therefore dealt to ``BUCKETS`` buckets, whose keys lie
+in one record, and the rows of a bucket are put together first (``mapInArrow`` behind a shuffle by bucket): one row with one
+binary value for many transactions goes into the state's processor and one comes out, and is taken apart again.
+
 Transactions of a key come in order of time over the batches; inside a batch they are put in order. Of one instant, windows
 see no row, counters see those of smaller id.
 """
 
 from __future__ import annotations
 
+import pickle
 import struct
 from bisect import bisect_left, bisect_right
 from collections import deque
@@ -19,6 +25,9 @@ from collections.abc import Iterator
 from itertools import accumulate
 from operator import itemgetter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,11 +38,19 @@ TXN = "txn_id long, user_id long, merchant_id long, us long, cents long, amount
 COUNTED = ("n_1h long, n_24h long, n_7d long, cents_7d long, n_30d long, cents_30d long, squares_30d string, device_count_30d long, ip_count_30d long, new_device_flag int, "
            "count_1h long, sum_1h long, count_24h long, sum_24h long, unique_customers_24h long, historical_structuring_flag int, past_n long, past_hours long, last_us long, last_lat double, last_lng double")
 _TXN, _NAMES = ([c.split()[0] for c in x.split(", ")] for x in (TXN, COUNTED))
-_US, _READ = _TXN.index("us"), [_TXN.index(c) for c in ("us", "cents", "device", "ip", "user_id", "lat", "lng")]
+_US, _READ = _TXN.index("us"), itemgetter(*[_TXN.index(c) for c in ("us", "cents", "device", "ip", "user_id", "lat", "lng")])
+_AMOUNT, _LAT, _LNG = (_TXN.index(c) for c in ("amount", "lat", "lng"))
 #: Rows that go back to Spark together, as one row of arrays: most keys have few rows in a micro-batch, and each row sent costs.
 BLOCK = 10_000
+#: Keys of a kind are dealt to so many buckets: a record holds few keys, and the messages stop growing with the keys.
+BUCKETS = 4_096
+#: Rows of a task that are dealt to their buckets at once, and rows of one binary value.
+CHUNK, PACKED = 500_000, 1_000
+#: Parts of hours, and of members, that a key may keep in its bucket's record.
+FEW_PARTS = 4
 LONGEST = 30 * DAY
-_PAUSES = {"1h": HOUR, "24h": DAY}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+_FLAT = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in f"kind string, {TXN}, key long, {COUNTED}".split(", "))])
 
 
 #: Rows after which a part of hours is full, and members of a part of members: what a key of few rows keeps is one part of each.
@@ -204,7 +221,7 @@ def _taken(rows: Iterator[Row]) -> Iterator[tuple]:
 
 def _ordered(rows: Iterator[tuple]) -> list[tuple]:
     """Rows of ``TXN`` by time and id (those without id last); what is not a number is no value."""
-    clean = [tuple(None if x != x else x for x in r) for r in rows]
+    clean = [r if r[_AMOUNT] == r[_AMOUNT] and r[_LAT] == r[_LAT] and r[_LNG] == r[_LNG] else tuple(None if x != x else x for x in r) for r in rows]
     return sorted(clean, key=lambda r: (r[_US], r[0] is None, r[0] or 0))
 
 
@@ -230,7 +247,7 @@ class Counters(StatefulProcessor):
         """Transactions from before the stream, all of a key's in one row."""
         self._counted(key[0], _ordered(tuple(r[c] for c in _TXN) for r in initialState["past"]))
 
-    def _counted(self, kind: str, txn: list[tuple]) -> list[list]:
+    def _counted(self, kind: str, txn: list[tuple]) -> list[tuple]:
         user = kind == "u"
         stored = self.now.get()
         if stored is not None:
@@ -240,65 +257,202 @@ class Counters(StatefulProcessor):
             held = []
             totals, known, parts, part_n, moved, latest, hour, last_us, lat, lng = (0, 0, 0), [], [], 0, None, None, None, None, None, None
             c1 = v1 = c24 = v24 = hist = past_n = past_hours = hour_n = 0
-        run = {"1h": [c1, v1], "24h": [c24, v24]}
         hours = _Hours(self.hours, known, parts, part_n, totals)
         uses = _Uses(self.members, {"d": LONGEST, "i": LONGEST} if user else {"c": DAY}, held)
         kinds = uses.kinds
-        rows = [tuple(r[i] for i in _READ) for r in txn]
-        out, i = [], 0
+        rows = list(map(_READ, txn))
+        devices, ips, customers = (kinds.get(k) for k in "dic")
+        out, i, w, held_d, held_i, held_c = [], 0, (None,) * 7, None, None, None
         while i < len(rows):
             t = int(rows[i][0])
-            j = i
+            j = i + 1
             while j < len(rows) and rows[j][0] == t:
                 j += 1
+            here = rows[i:j]
             if hour is None or t - t % HOUR != hour:
                 if hour is not None:
                     past_n, past_hours = past_n + hour_n, past_hours + 1
                 hour, hour_n = t - t % HOUR, 0
             hour_n += j - i
-            window = {}
             if user:
-                end = hours.before(t)
-                for name, width in (("1h", HOUR), ("24h", DAY), ("7d", 7 * DAY), ("30d", LONGEST)):
-                    start = hours.before(t - width)
-                    window[name] = [a - b for a, b in zip(end, start, strict=True)]
-            counts = {k: m.count(t) for k, m in kinds.items()}
-            for _, cents, device, ip, customer, y, x in rows[i:j]:
+                (n, s, q), (n1, _, _), (nd, _, _) = hours.before(t), hours.before(t - HOUR), hours.before(t - DAY)
+                (n7, s7, _), (n30, s30, q30) = hours.before(t - 7 * DAY), hours.before(t - LONGEST)
+                w = n - n1, n - nd, n - n7, s - s7, n - n30, s - s30, str(q - q30)
+                held_d, held_i = devices.count(t), ips.count(t)
+            else:
+                held_c = customers.count(t)
+            for _, cents, device, ip, customer, y, x in here:
                 cents = int(cents)
-                shown = {}
-                for g, pause in _PAUSES.items():
-                    shown[g] = run[g] if moved is not None and t - moved < pause else [0, 0]
-                fresh = kinds["d"].use(device, t) if user else False
-                w = [window["1h"][0], window["24h"][0], window["7d"][0], window["7d"][1], window["30d"][0], window["30d"][1], str(window["30d"][2])] if user else [None] * 6 + [None]
-                out.append([*w, counts.get("d"), counts.get("i"), int(fresh), *shown["1h"], *shown["24h"], counts.get("c"), hist, past_n, past_hours, last_us, lat, lng])
-                count, total = shown["24h"]
-                if count >= 5 and cents < 100_000_000 < total + cents and min(1.0, count / 10.0) > 0.5:
+                idle = DAY if moved is None else t - moved
+                n_1h, sum_1h = (c1, v1) if idle < HOUR else (0, 0)
+                n_24h, sum_24h = (c24, v24) if idle < DAY else (0, 0)
+                fresh = devices.use(device, t) if user else False
+                out.append((*w, held_d, held_i, int(fresh), n_1h, sum_1h, n_24h, sum_24h, held_c, hist, past_n, past_hours, last_us, lat, lng))
+                if n_24h >= 5 and cents < 100_000_000 < sum_24h + cents and min(1.0, n_24h / 10.0) > 0.5:
                     hist = 1
                 if user or customer is not None:
-                    for g, pause in _PAUSES.items():
-                        run[g] = [shown[g][0] + 1, shown[g][1] + cents]
-                    moved = t
+                    c1, v1, c24, v24, moved = n_1h + 1, sum_1h + cents, n_24h + 1, sum_24h + cents, t
                 if user:
-                    kinds["i"].use(ip, t)
+                    ips.use(ip, t)
                     if y is not None and x is not None:
                         last_us, lat, lng = t, float(y), float(x)
                 elif customer is not None:
-                    kinds["c"].use(str(int(customer)), t)
+                    customers.use(str(int(customer)), t)
             if user:
-                kinds["d"].arrive([r[2] for r in rows[i:j]], t)
-                kinds["i"].arrive([r[3] for r in rows[i:j]], t)
-                for r in rows[i:j]:
+                devices.arrive([r[2] for r in here], t)
+                ips.arrive([r[3] for r in here], t)
+                for r in here:
                     hours.add(t, int(r[1]))
             else:
-                kinds["c"].arrive([None if r[4] is None else str(int(r[4])) for r in rows[i:j]], t)
+                customers.arrive([None if r[4] is None else str(int(r[4])) for r in here], t)
             latest, i = t, j
         hours.store(latest)
         held = uses.store(latest)
         n, cents, squares = hours.totals
-        self.now.update((n, cents, str(squares), hours.known, [hours.parts[at] for at in hours.known], hours.part_n, moved, *run["1h"], *run["24h"], hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest, held))
+        self.now.update((n, cents, str(squares), hours.known, [hours.parts[at] for at in hours.known], hours.part_n, moved, c1, v1, c24, v24, hist, past_n, past_hours, hour, hour_n, last_us, lat, lng, latest, held))
         return out
 
 
+class _Record:
+    """A value that lies in the record of its bucket."""
+
+    def __init__(self, mine: dict):
+        self.mine = mine
+
+    def get(self) -> tuple | None:
+        return self.mine.get("now")
+
+    def update(self, value: tuple) -> None:
+        self.mine["now"] = value
+
+
+class _Parts:
+    """The parts (of hours or members) of one key. Few lie in the record of the bucket; once there are more than ``FEW_PARTS``,
+    they are entries of their own, of which those asked for are read and those that changed are written."""
+
+    def __init__(self, mine: dict, what: str, key: int | None, entries):
+        self.near, self.far = mine.setdefault(what, ({}, set()))
+        self.name, self.entries = f"{what}/{key}/", entries
+
+    def getValue(self, part: tuple[int]) -> tuple:
+        return self.near[part[0]] if part[0] in self.near else pickle.loads(self.entries.getValue((f"{self.name}{part[0]}",))[0])
+
+    def updateValue(self, part: tuple[int], value: tuple) -> None:
+        self.near[part[0]] = value
+
+    def removeKey(self, part: tuple[int]) -> None:
+        self.near.pop(part[0], None)
+        if part[0] in self.far:
+            self.far.remove(part[0])
+            self.entries.removeKey((f"{self.name}{part[0]}",))
+
+    def settle(self) -> None:
+        if len(self.near.keys() | self.far) <= FEW_PARTS:
+            return
+        for part, value in self.near.items():
+            self.entries.updateValue((f"{self.name}{part}",), (pickle.dumps(value, pickle.HIGHEST_PROTOCOL),))
+        self.far |= self.near.keys()
+        self.near.clear()
+
+
+class BucketCounters(Counters):
+    """:class:`Counters` of all keys of a bucket; rows of ``TXN`` and the key come in and go out in binary values."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.record = handle.getValueState("record", "kept binary")
+        self.entries = handle.getMapState("entries", "name string", "kept binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held: list[tuple] = []
+        for done in self._keys(key[0], (r for block in rows for r in zip(*pickle.loads(block["rows"]), strict=True))):
+            held += done
+            while len(held) >= PACKED:
+                yield Row(kind=key[0], bucket=key[1], rows=_packed(held[:PACKED]))
+                del held[:PACKED]
+        if held:
+            yield Row(kind=key[0], bucket=key[1], rows=_packed(held))
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """Transactions from before the stream, all of a bucket's in one row."""
+        for _ in self._keys(key[0], (tuple(r[c] for c in [*_TXN, "key"]) for r in initialState["past"])):
+            pass
+
+    def _keys(self, kind: str, rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+        """The rows of each key with what was counted."""
+        by_key: dict[int | None, list[tuple]] = {}
+        for r in rows:
+            by_key.setdefault(r[-1], []).append(r)
+        stored = self.record.get()
+        kept = {} if stored is None else pickle.loads(stored[0])
+        for key, mine in by_key.items():
+            state = kept.setdefault(key, {})
+            self.now, self.hours, self.members = _Record(state), _Parts(state, "hours", key, self.entries), _Parts(state, "members", key, self.entries)
+            mine = _ordered(mine)
+            yield [r + c for r, c in zip(mine, self._counted(kind, mine), strict=True)]
+            self.hours.settle()
+            self.members.settle()
+        self.record.update((pickle.dumps(kept, pickle.HIGHEST_PROTOCOL),))
+
+
+def _packed(rows: list[tuple]) -> bytes:
+    return pickle.dumps(list(map(list, zip(*rows, strict=True))), pickle.HIGHEST_PROTOCOL)
+
+
+def _values(column: pa.Array) -> list:
+    """The column as Python values; numbers without nulls and repeated strings take the quick way."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        coded = column.dictionary_encode()
+        known = np.array([*coded.dictionary.to_pylist(), None], object)
+        return known[coded.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)].tolist()
+    return column.to_numpy(zero_copy_only=False).tolist() if column.null_count == 0 else column.to_pylist()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``TXN`` with kind, key and bucket become rows of kind, bucket and up to ``PACKED`` such rows in one binary value."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= CHUNK:
+            yield from _grouped(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield from _grouped(pa.Table.from_batches(held))
+
+
+def _grouped(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    kind, bucket = (rows.column(c).combine_chunks() for c in ("kind", "bucket"))
+    ids = np.asarray(bucket) * 2 + np.asarray(pc.equal(kind, "m").cast("int64"))
+    order = np.argsort(ids, kind="stable")
+    first = [0, *(np.flatnonzero(np.diff(ids[order])) + 1).tolist()]
+    starts = [k for a, b in zip(first, [*first[1:], len(order)], strict=True) for k in range(a, b, PACKED)]
+    ends = [*starts[1:], len(order)]
+    columns = [_values(rows.column(c).combine_chunks().take(pa.array(order))) for c in [*_TXN, "key"]]
+    kind, bucket = (c.take(pa.array(order[starts])) for c in (kind, bucket))
+    for i in range(0, len(starts), 1_000):
+        packed = [pickle.dumps([c[a:b] for c in columns], pickle.HIGHEST_PROTOCOL) for a, b in zip(starts[i:i + 1_000], ends[i:i + 1_000], strict=True)]
+        yield pa.RecordBatch.from_arrays([kind[i:i + 1_000], bucket[i:i + 1_000], pa.array(packed, pa.binary())], names=["kind", "bucket", "rows"])
+
+
+def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in the binary values, in the columns of ``_FLAT``."""
+    held: list[list] = [[] for _ in _FLAT]
+    for b in batches:
+        for kind, packed in zip(b.column("kind"), b.column("rows"), strict=True):
+            columns = pickle.loads(packed.as_py())
+            for h, c in zip(held, [[kind.as_py()] * len(columns[0]), *columns], strict=True):
+                h += c
+            if len(held[0]) >= BLOCK:
+                yield _flat(held)
+                held = [[] for _ in _FLAT]
+    if held[0]:
+        yield _flat(held)
+
+
+def _flat(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FLAT, strict=True)], schema=_FLAT)
+
+
 def keyed(txn: DataFrame) -> DataFrame:
     """Every transaction once for its user and, where it has one, once for its merchant."""
     names = [c.split()[0] for c in TXN.split(", ")]
@@ -308,6 +462,10 @@ def keyed(txn: DataFrame) -> DataFrame:
     return flat.select(*names, F.explode(both).alias("_k")).select(*names, "_k.kind", "_k.key")
 
 
+def _bucketed(txn: DataFrame) -> DataFrame:
+    return keyed(txn).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+
+
 def prepare(spark: SparkSession) -> None:
     """The state store that keyed state of several kinds asks for."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -316,8 +474,9 @@ def prepare(spark: SparkSession) -> None:
 def counted(txn: DataFrame, past: DataFrame | None = None) -> DataFrame:
     """The stream's transactions, by kind of key, with what the key did before; ``past``: transactions from before the stream."""
     prepare(txn.sparkSession)
-    first = None if past is None else keyed(past).groupBy("kind", "key").agg(F.collect_list(F.struct(*_TXN)).alias("past")).groupBy("kind", "key")
-    arrays = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in f"{TXN}, {COUNTED}".split(", "))
-    blocks = keyed(txn).groupBy("kind", "key").transformWithState(
-        statefulProcessor=Counters(), outputStructType=f"kind string, key long, {arrays}", outputMode="Append", timeMode="None", initialState=first)
-    return blocks.select("kind", "key", F.inline(F.arrays_zip(*_TXN, *_NAMES))).select(*_TXN, "kind", "key", *_NAMES)
+    by = ["kind", "bucket"]
+    first = None if past is None else _bucketed(past).groupBy(*by).agg(F.collect_list(F.struct(*_TXN, "key")).alias("past")).groupBy(*by)
+    packed = "kind string, bucket long, rows binary"
+    counts = _bucketed(txn).repartition(*by).mapInArrow(_dealt, packed).groupBy(*by).transformWithState(
+        statefulProcessor=BucketCounters(), outputStructType=packed, outputMode="Append", timeMode="None", initialState=first)
+    return counts.mapInArrow(_flattened, f"kind string, {TXN}, key long, {COUNTED}").select(*_TXN, "kind", "key", *_NAMES)

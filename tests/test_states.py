@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -148,3 +149,52 @@ def test_counters_ask_for_what_they_know(monkeypatch, kind):
         assert [x for r in out for x in r["past_n"]] == [(3 * k + i) // 2 * 2 for i in range(3)]
         reads.append(handle.calls["read"])
     assert reads == ([1, 3, 3] if kind == "u" else [1, 2, 2])
+
+
+@pytest.mark.parametrize("kind", ["u", "m"])
+@pytest.mark.parametrize("few", [0, 4])
+def test_keys_of_a_bucket(monkeypatch, kind, few):
+    """Keys that share a bucket count what each counts alone, in few messages, also where parts are entries of their own."""
+    monkeypatch.setattr(counters, "FEW_PARTS", few)
+    monkeypatch.setattr(counters, "PART_ROWS", 7)
+    monkeypatch.setattr(counters, "PART_MEMBERS", 5)
+    monkeypatch.setattr(counters, "PACKED", 9)
+    rng = random.Random(3)
+    keys, at = [4, None, 9], {k: n for n, k in enumerate(counters._TXN)}
+    rows = [(i, i * 7 % 41 if i % 9 else None, 5, us * HOUR // 4, i * 31 % 90_000, float("nan") if i % 4 else 2.5, f"d{i % 23}" if i % 5 else None, f"i{i % 59}", "KE", None, float("nan") if i % 3 else 1.5, 2.0, keys[i % 3])
+            for i, us in enumerate(sorted(rng.sample(range(70 * 24 * 4), 900)))]
+    names = [*counters._TXN, "key"]
+    want = {}
+    for key in keys:
+        p, _ = _started(counters.Counters())
+        for k in range(0, 900, 90):
+            batch = [Row(**dict(zip(counters._TXN, r, strict=False))) for r in rows[k:k + 90] if r[-1] == key]
+            for r in p.handleInputRows((kind, key), iter(batch), None):
+                want |= {x[0]: x for x in zip(*(r[c] for c in counters._TXN + counters._NAMES), strict=True)}
+    p, handle = _started(counters.BucketCounters())
+    got, most = {}, 0
+    for k in range(0, 900, 90):
+        handle.calls.clear()
+        batch = rows[k:k + 90]
+        rng.shuffle(batch)
+        table = pa.table({c: pa.array([None if x != x else x for x in (r[n] for r in batch)]) for n, c in enumerate(names)} | {"kind": [kind] * 90, "bucket": [3] * 90})
+        table = table.set_column(at["currency"], "currency", pa.nulls(90, pa.string()))
+        blocks = [Row(**x) for b in counters._dealt(iter(table.to_batches(max_chunksize=40))) for x in b.to_pylist()]
+        done = [r.asDict() for r in p.handleInputRows((kind, 3), iter(blocks), None)]
+        assert len(blocks) == len(done) == 10
+        for b in counters._flattened(iter([pa.RecordBatch.from_pylist(done)])):
+            got |= {x["txn_id"]: (x["key"], *(x[c] for c in counters._TXN + counters._NAMES)) for x in b.to_pylist()}
+        most = max(most, handle.calls.total())
+    assert {i: x[1:] for i, x in got.items()} == want and {i: x[0] for i, x in got.items()} == {r[0]: r[-1] for r in rows}
+    assert most > 2 if few == 0 else most <= 2 or handle.states["entries"]
+
+
+def test_a_bucket_of_small_keys_is_one_record():
+    """A hundred keys cost one read and one write in a micro-batch."""
+    p, handle = _started(counters.BucketCounters())
+    for k in range(2):
+        handle.calls.clear()
+        rows = [(100 * k + i, i, 5, (3 * k + 1) * HOUR, 100, 1.0, f"d{i % 3}", "i", "KE", "KES", None, None, i) for i in range(100)]
+        blocks = [Row(kind="u", bucket=1, rows=counters._packed(rows))]
+        out = [r for r in p.handleInputRows(("u", 1), iter(blocks), None)]
+        assert len(out) == 1 and handle.calls == {"read": 1, "write": 1}
