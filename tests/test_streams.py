@@ -109,3 +109,55 @@ def test_fingerprint_ignores_order(spark, parts):
     df = spark.range(100).withColumn("s", F.concat(F.lit("x"), F.col("id")))
     assert tables.fingerprint(df.repartition(parts)).first() == tables.fingerprint(df.orderBy(F.col("id").desc())).first()
     assert tables.fingerprint(df.filter("id <> 5")).first() != tables.fingerprint(df).first()
+
+
+def test_monitor_watches_all_metrics_of_all_domains(spark, tmp_path, monkeypatch):
+    """Every scored event gives its score, confidence, decision and each feature of its domain's vector, once and at its own time."""
+    from paywarden.plans import streaming_queries
+
+    n, t0 = 40, pd.Timestamp("2024-01-10")
+    tables_ = {
+        "events": pd.DataFrame({"event_id": range(n), "ts": [t0 + pd.Timedelta(minutes=7 * i) for i in range(n)], "user_id": [i % 3 for i in range(n)],
+                                "event_type": ["view", "error"] * (n // 2), "value": [10.0 + i for i in range(n)], "props": [f'{{"k": {i % 7}}}' for i in range(n)]}),
+        "orders": pd.DataFrame({"o_orderkey": [1, 2], "o_custkey": [1, 2], "o_orderdate": [pd.Timestamp("1995-05-05")] * 2}),
+        "lineitem": pd.DataFrame({"l_orderkey": [1, 2], "l_suppkey": [5, 6], "l_linenumber": [1, 1], "l_partkey": [1, 1], "l_extendedprice": [10.0, 20.0],
+                                  "l_returnflag": ["R", "A"], "l_linestatus": ["F", "F"]})}
+    for name, rows in tables_.items():
+        spark.createDataFrame(rows).write.parquet(str(tmp_path / f"{name}.parquet"))
+    fed = []
+
+    monkeypatch.setattr(streaming_queries, "streamed", lambda v, df, name, make: fed.append(df))
+    v = Views(spark, str(tmp_path))
+    streaming_queries.stream_monitor(v)
+    values = fed[0] if "metric" in fed[0].columns else streaming_queries.adwin.fan_out(fed[0])
+    got = values.toPandas()
+    want = {(d, m) for d in K.REGISTRY for m in ("score_distribution", "confidence", "positive_rate", *[f"feature:{f}" for f in K.REGISTRY[d]])}
+    assert set(zip(got["domain"], got["metric"], strict=True)) == want and len(got) == n * len(want)
+    at = {r["txn_id"]: r["us"] for r in v.txn.collect()}
+    assert all(at[i] == us for i, us in zip(got["id"], got["us"], strict=True))
+    amounts = got[(got["domain"] == "aml") & (got["metric"] == "feature:amount")].set_index("id")["value"].to_dict()
+    assert amounts == {r["txn_id"]: r["amount"] for r in v.txn.collect()}
+
+
+def test_packed_values_come_back_in_order(monkeypatch):
+    """Blocks that overlap in time, that tie or that have no time or id give what one sorted table gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    from paywarden.streaming import drift
+
+    monkeypatch.setattr(drift, "GATHER", 100)
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"domain": rng.choice(["fraud", "aml"], 900), "metric": rng.choice(["a", "b"], 900), "us": pd.array(rng.integers(0, 60, 900), "Int64"),
+                         "id": pd.array(np.arange(900) - 450, "Int64"), "value": rng.random(900)})
+    rows.loc[[7, 300], "us"] = pd.NA
+    rows.loc[[11, 500], "id"] = pd.NA
+    rows.loc[[20], "value"] = None
+    batches = pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=60)
+    packed = pa.Table.from_batches(drift._pack(iter(batches))).to_pandas()
+    assert len(packed) > 8
+    for key, blocks in packed.groupby(["domain", "metric"]):
+        got = pd.concat(list(drift._in_order(blocks)))
+        want = rows[(rows["domain"] == key[0]) & (rows["metric"] == key[1])].fillna({"us": drift.MISSING, "id": drift.MISSING}).sort_values(["us", "id"])
+        assert got["us"].tolist() == want["us"].tolist() and got["id"].tolist() == want["id"].tolist()
+        assert np.array_equal(got["value"].to_numpy(), want["value"].to_numpy(float), equal_nan=True)
