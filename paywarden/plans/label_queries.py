@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.session import settle
 from ..operators import active, labels, maturity, reports, vector
 from ..operators.drift import score_psi
 from ..sources.views import T0, _cycle
@@ -291,7 +292,7 @@ def maturity_report(v):
     """Coverage is that of all vectors of a domain; the stability of the fraud domain is measured, that of the others unknown."""
     signals = maturity.maturity_signals(v.all_predictions, NOW)
     vectors = {"fraud": fraud_vector_of(v), "aml": aml_vector_of(v), "merchant": merchant_vector_of(v)}
-    coverage = reduce(DataFrame.unionByName, [vector.mean_coverage(x, d) for d, x in vectors.items()]).withColumnRenamed("coverage", "feature_coverage")
+    coverage = reduce(DataFrame.unionByName, [settle(vector.mean_coverage(x, d)) for d, x in vectors.items()]).withColumnRenamed("coverage", "feature_coverage")
     psi = score_psi(*v.halves).select(F.lit("fraud").alias("domain"), "psi")
     stale = maturity.feature_staleness(v.all_predictions.select("domain", F.col("created_us").alias("us")), NOW + 2 * K.DAY)
     return maturity.maturity_report(signals, coverage, psi, stale)

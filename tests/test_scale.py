@@ -119,3 +119,101 @@ def test_tokens_met_first_stay_when_the_cache_is_full():
     assert small.encode_all([rest, first, ""]) == large.encode_all([rest, first, ""])
     assert len(small.known) == 100 and met <= set(small.known)
     assert small.encode_all([rest]) == large.encode_all([rest])
+
+
+def _timeline(spark, n=400):
+    """Rows of a few users and devices; some without user, time, device or cents, some twice."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(1, 4)) if i % 17 else None, int(rng.integers(0, 4 * 24)) * 1_800_000_000 if i % 23 else None, int(rng.integers(1, 9)) * 100 if i % 19 else None,
+             f"d{rng.integers(0, 4)}" if i % 5 else None) for i in range(n)]
+    return spark.createDataFrame(rows + rows[:20], "txn_id long, user_id long, us long, cents long, device string")
+
+
+def test_trailing_sends_no_more_than_it_needs(spark):
+    """Fewer columns, rows that only count and an end of time change no total, and fewer rows are summed."""
+    from paywarden.functions import timeline as tl
+
+    hour, df, one = 3_600_000_000, _timeline(spark), F.lit(1).cast("long")
+    asked, wide = F.col("cents") > 300, 24 * hour
+    some = F.when(F.col("txn_id") % 3 == 0, F.col("cents")).otherwise(F.lit(0).cast("long"))
+    specs = {"n": (hour, some, some), "s": (wide, some, some)}
+    plain = tl.trailing(df, ["user_id"], "us", specs).filter(asked).select("txn_id", "user_id", "us", "n", "s")
+    less = tl.trailing(df, ["user_id"], "us", specs, keep=["txn_id", "user_id", "us"], asking=asked, last=tl.last_time(df.filter(asked)))
+    assert less.columns == plain.columns and sorted(map(str, less.collect())) == sorted(map(str, plain.collect())) != []
+    seen = []
+
+    def counted(flat, *args):
+        seen.append(flat.count())
+        return running(flat, *args)
+
+    running = tl.running
+    tl.running = counted
+    try:
+        tl.trailing(df, ["user_id"], "us", {"n": (hour, one, one), "s": (30 * wide, one, one)}, last=tl.last_time(df))
+        tl.trailing(df, ["user_id"], "us", specs, asking=F.lit(False))
+    finally:
+        tl.running = running
+    known = df.filter("us is not null").count()
+    assert known <= seen[0] <= 2 * df.count() + (df.count() - known) and seen[1] <= 3 * df.filter("txn_id % 3 = 0").count()
+
+
+def test_rows_and_summaries_read_one_shuffle(spark):
+    """What a timeline helper reads for its summaries is the shuffle that it reads for its rows, where one feeds another."""
+    from paywarden.functions import timeline as tl
+
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        flagged = tl.presence(_timeline(spark).filter("device is not null"), ["user_id"], "device", "us", "txn_id", 3_600_000_000, "_d")
+        t = tl.trailing(flagged, ["user_id"], "us", {"u": (3_600_000_000, F.col("_d_in"), F.col("_d_out"))}, keep=["txn_id"])
+        plan = t._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert plan.count("ReusedExchange") >= 2
+
+
+def test_neighbours_tell_a_null_from_no_row(spark):
+    from paywarden.functions import timeline as tl
+
+    rows = [(1, 1, 5, None), (2, 1, 7, 30), (3, 1, 9 * 3_600_000_000, 40), (4, 2, 5, 50)]
+    df = spark.createDataFrame(rows, "txn_id long, user_id long, us long, cents long")
+    got = tl.neighbours(df, ["user_id"], "us", "txn_id", {"pc": "cents", "pt": "us"}, {"nt": "us"}).collect()
+    assert {r["txn_id"]: (r["pc"], r["pt"], r["nt"]) for r in got} == {
+        1: (None, None, 7), 2: (None, 5, 9 * 3_600_000_000), 3: (30, 7, None), 4: (None, None, None)}
+
+
+def test_settled_rows_give_back_their_shuffles(spark):
+    from paywarden.functions.session import settle
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    small = settle(spark.range(20_000, numPartitions=3).groupBy((F.col("id") % 7_000).alias("k")).count().agg(F.sum("count").alias("n")))
+    end = time.time() + 30
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and small.first()["n"] == 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_merchant_aggregates_are_combined_before_the_shuffle(spark):
+    """As told by plain Python, with customers, amounts, flags and merchants that are not known."""
+    from paywarden.operators import profiles
+
+    day, now = 86_400_000_000, 100 * 86_400_000_000
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 3)) if i % 29 else None, int(rng.integers(0, 6)) if i % 7 else None, int(rng.integers(0, 110)) * day, int(rng.integers(1, 9)) * 100 if i % 11 else None,
+             bool(rng.integers(0, 2)), bool(rng.integers(0, 2)) if i % 13 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "merchant_id long, user_id long, us long, cents long, refund boolean, chargeback boolean")
+    got = {r["merchant_id"]: r for r in profiles.merchant_aggregates(df, now).collect()}
+    for m in (None, 0, 1, 2):
+        mine = [r for r in rows if r[0] == m and r[2] < now]
+        in30, in90 = ([r for r in mine if r[2] >= now - d * day] for d in (30, 90))
+        want = (len(mine), sum(r[3] or 0 for r in mine) / 100.0, len({r[1] for r in in30} - {None}), sum(r[5] or False for r in in90) / len(in90), sum(r[4] for r in in90) / len(in90))
+        assert tuple(got[m][c] for c in ("total_transactions", "total_volume", "unique_customers_30d", "chargeback_rate_90d", "refund_rate_90d")) == want
+        if in30:
+            assert abs(got[m]["avg_transaction_amount_30d"] - sum(r[3] or 0 for r in in30) / len(in30) / 100.0) < 1e-9
