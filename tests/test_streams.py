@@ -126,7 +126,7 @@ def test_monitor_watches_all_metrics_of_all_domains(spark, tmp_path, monkeypatch
         spark.createDataFrame(rows).write.parquet(str(tmp_path / f"{name}.parquet"))
     fed = []
 
-    monkeypatch.setattr(streaming_queries, "streamed", lambda v, df, name, make: fed.append(df))
+    monkeypatch.setattr(streaming_queries, "streamed", lambda v, df, *a, **k: fed.append(df))
     v = Views(spark, str(tmp_path))
     streaming_queries.stream_monitor(v)
     values = fed[0] if "metric" in fed[0].columns else streaming_queries.adwin.fan_out(fed[0])
